@@ -10,7 +10,7 @@ Training takes at most ``max_rows`` rows of each label and at most ``max_bytes``
 from the rows with the smallest hash of their id; both bounds are parameters. Scoring compresses
 every whole text, chunk by chunk, in bounded memory.
 
-Defined cases: a null or empty text has raw score 0 and gets the curve's value there; repeated rows
+Defined cases: a null or empty text gets the score of a typical good text; repeated rows
 get equal scores; where one label has no training rows, the score is the share of good labels;
 without any labels it is 0.5; further columns are left alone.
 """
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import require
 
-CHUNK, DICT_BYTES, LEVEL = 2048, 65536, 3
-#: Bytes added to a text's length, so that a text of a few words stays near 0.
+CHUNK, DICT_BYTES, LEVEL = 2048, 262144, 3
+#: Bytes of a typical text that are added to every text, so that a few words say little either way.
 SHRINK = 64
 
 
@@ -38,6 +38,7 @@ class Model:
     bad: bytes
     slope: float
     intercept: float
+    typical: float = 0.0
 
     def scorer(self):  # noqa: ANN201
         """Function from text to raw score."""
@@ -55,7 +56,7 @@ class Model:
 
         def raw(text: str | None) -> float:
             parts = chunks(text)
-            return sum(bad(p) - good(p) for p in parts) / (sum(map(len, parts)) + SHRINK)
+            return (sum(bad(p) - good(p) for p in parts) + SHRINK * self.typical) / (sum(map(len, parts)) + SHRINK)
 
         return raw
 
@@ -103,10 +104,11 @@ def fit(texts: list[str], labels: list[int]) -> Model:
             raws.append(zstandard.train_dictionary(size, samples).as_bytes())
         except zstandard.ZstdError:
             return flat
+    shown = [(t, y) for y in (0, 1) for t in halves[y][1]]
     raw = Model(*raws, 1.0, 0.0).scorer()
-    x = np.array([raw(t) for y in (0, 1) for t in halves[y][1]])
-    y = np.array([float(y) for y in (0, 1) for _ in halves[y][1]])
-    return Model(*raws, *logistic(x, y))
+    typical = float(np.mean([raw(t) for t, y in shown if y]))
+    raw = Model(*raws, 1.0, 0.0, typical).scorer()
+    return Model(*raws, *logistic(np.array([raw(t) for t, _ in shown]), np.array([float(y) for _, y in shown])), typical)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", usable: Column | None = None, max_rows: int = 2000, max_bytes: int = 16 << 20) -> Model:

@@ -42,7 +42,7 @@ def default_rules(text: str = "text") -> list[Rule]:
     letters = F.length(F.regexp_replace(raw, "[^A-Za-z]+", ""))
     return [
         Rule("word_length", (2 * F.col("word_chars") < 3 * n) | (F.col("word_chars") > 25 * n)),
-        Rule("symbol_density", 2 * F.col("n_symbols") > n),
+        Rule("symbol_density", 10 * F.col("n_symbols") > 3 * n),
         Rule("duplicate_lines", (F.col("n_dup_lines") >= 3) & (F.col("n_dup_lines") > 0.3 * F.size(F.split(raw, "\n")))),
         Rule("shouting", (letters >= 40) & (capitals > 0.5 * letters)),
         Rule("stuttering", raw.rlike(r"(?:^|[\x20\x09-\x0D])([^\x20\x09-\x0D]+)(?:[\x20\x09-\x0D]+\1){7}(?:[\x20\x09-\x0D]|\z)")),

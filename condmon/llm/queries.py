@@ -93,8 +93,8 @@ def oracle_sql() -> dict[str, str]:
 SQL: dict[str, str] = {
     "op1_quality_rules": r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
-l AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), x -> x <> '') AS words,
-             list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+l AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
 w AS (SELECT rid, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM l),
 g AS (SELECT rid, pos, word || ' ' || lead(word, 1) OVER p || ' ' || lead(word, 2) OVER p || ' ' || lead(word, 3) OVER p || ' ' || lead(word, 4) OVER p AS gram,
              word = lag(word, 1) OVER p AND word = lag(word, 2) OVER p AND word = lag(word, 3) OVER p AND word = lag(word, 4) OVER p
@@ -108,11 +108,11 @@ m AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words
              (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
              coalesce(stutters, false) AS stutters, len(string_split(t, chr(10))) AS n_lines,
              length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS capitals, length(regexp_replace(t, '[^A-Za-z]+', '', 'g')) AS letters,
-             len(list_filter(words, x -> regexp_matches(x, '\p{L}'))) AS letter_words
+             len(list_filter(words, lambda x: regexp_matches(x, '\p{L}'))) AS letter_words
       FROM l LEFT JOIN r USING (rid)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR 2 * word_chars < 3 * n_words OR word_chars > 25 * n_words OR 2 * n_symbols > n_words
+       NOT (base_failed OR 2 * word_chars < 3 * n_words OR word_chars > 25 * n_words OR 10 * n_symbols > 3 * n_words
             OR (n_dup_lines >= 3 AND n_dup_lines > 0.3 * n_lines) OR (letters >= 40 AND capitals > 0.5 * letters)
             OR stutters OR 2 * letter_words < n_words) AS kept
 FROM b""",
@@ -147,7 +147,7 @@ t AS (SELECT sum(n) AS n_all, sum(weight) AS weights FROM s),
 r AS (SELECT source, weight / weights * n_all / n AS rate FROM s, t),
 d AS (SELECT doc_id, d.source, rate, ('0x' || md5('17|' || coalesce(doc_id::VARCHAR, ''))[1:13])::BIGINT / pow(2, 52) AS u
       FROM documents d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
-k AS (SELECT *, list_filter(range(0, 60), j -> u >= list_sum(list_transform(range(0, j + 1), i -> exp(-rate) * pow(rate, i) / gamma(i + 1)))) AS below FROM d)
+k AS (SELECT *, list_filter(range(0, 60), lambda j: u >= list_sum(list_transform(range(0, j + 1), lambda i: exp(-rate) * pow(rate, i) / gamma(i + 1)))) AS below FROM d)
 SELECT doc_id, source, replica::INT AS replica, rate,
        ('0x' || md5('18|' || coalesce(doc_id::VARCHAR, '') || '|' || replica)[1:13])::BIGINT / pow(2, 52) AS mix_key
 FROM (SELECT *, unnest(range(1, len(below) + 1)) AS replica FROM k)""",
