@@ -42,18 +42,36 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
+class Scratch:
+    """Tables of one run in a folder of their own below the shared folder.
 
-    Spark keeps a finished plan's shuffle files until the driver collects the plan as garbage, so
-    that is asked for here; otherwise the files of all steps of a long operator add up on disk.
+    Writing a table and reading it back cuts lineage, so lost executors cost no more than the step
+    at hand. Spark keeps a finished plan's shuffle files until the driver collects the plan as
+    garbage; that is asked for after each write, and ``drop`` deletes a table that no later step
+    reads, as otherwise the files of all steps of a long operator add up on disk.
     """
-    spark, schema = df.sparkSession, df.schema
-    df.write.parquet(path := shared_path(spark, name))
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.top = spark, shared_path(spark, name)
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        schema = df.schema
+        df.write.parquet(f"{self.top}/{name}")
+        del df
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+        return self.spark.read.schema(schema).parquet(f"{self.top}/{name}")
+
+    def drop(self, *names: str) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.top}/{name}")
+            path.getFileSystem(conf).delete(path, True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A table on its own; see ``Scratch``."""
+    return Scratch(df.sparkSession, name).write(df, "table")
 
 
 def require(df: DataFrame, *names: str) -> None:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import require, written
+from .common import Scratch, require
 
 LENGTH, GRAM, SPREAD, RUN = 400, 12, 256, 16
 BATCH_BYTES = 1 << 20
@@ -163,40 +163,46 @@ def _twins(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
 
 
-def _settle(rows: DataFrame, length: int, carry: list[str]) -> tuple[DataFrame, DataFrame]:
+def _settle(rows: DataFrame, length: int, carry: list[str], scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
     """From rows whose K stands twice: spans of those with a full twin, and one row of each class where classes differ."""
     classes = rows.groupBy("k", "c").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, *carry)).alias("row"))
-    classes = written(classes, "pfp-classes")
+    classes = scratch.write(classes, f"{name}-classes")
     full = rows.join(classes.where("n > 1").select("k", "c"), ["k", "c"], "left_semi")
     spans = full.select(*KEY, "first", (F.col("last") + length).alias("end"))
     mixed = classes.groupBy("k").agg(F.count("*").alias("n_classes")).where("n_classes > 1").select("k")
-    return spans, classes.join(mixed, "k", "left_semi").select("row.*")
+    return scratch.write(spans, f"{name}-spans"), classes.join(mixed, "k", "left_semi").select("row.*")
 
 
 def removed_spans(docs: DataFrame, length: int = LENGTH, spread: int = SPREAD, run: int = RUN) -> DataFrame:
     """doc_id, tk (hash of the text) and ``spans``, an array of (first, end) to remove; overlaps are possible."""
     require(docs, "doc_id", "text")
+    scratch = Scratch(docs.sparkSession, "repeats")
     texts = docs.select("doc_id", F.xxhash64("text").alias("tk"), "text")
     kinds = f"{KEY[0]} {docs.schema['doc_id'].dataType.simpleString()}, {KEY[1]} long"
     phrases = texts.mapInArrow(partial(_first_pass, length=length, spread=spread), f"{kinds}, t int, first int, last int, k long, c long")
-    phrases = written(phrases, "pfp-phrases")
-    open_rows = written(phrases.join(_twins(phrases, "k"), "k", "left_semi"), "pfp-open")
-    spans_1, open_1 = _settle(open_rows, length, ["t", "first", "last"])
+    phrases = scratch.write(phrases, "phrases")
+    open_rows = scratch.write(phrases.join(_twins(phrases, "k"), "k", "left_semi"), "open")
+    scratch.drop("phrases")
+    spans_1, open_1 = _settle(open_rows, length, ["t", "first", "last"], scratch, "phrase")
 
     listed = open_1.groupBy(*KEY).agg(F.collect_list(F.struct("t", "first", "last")).alias("open"))
-    # One row for each different text under an id is enough: equal rows are settled already.
     with_text = texts.join(listed, texts["doc_id"].eqNullSafe(listed["doc_id"]) & (texts["tk"] == listed["tk"]))
     with_text = with_text.select(texts["doc_id"], texts["tk"], "text", "open")
     runs = with_text.mapInArrow(partial(_run_pass, length=length, run=run), f"{kinds}, first int, last int, k long, c long, ws binary")
-    runs = written(runs, "pfp-runs")
-    near = runs.join(_twins(runs, "k"), "k", "left_semi")
-    spans_2, open_2 = _settle(written(near, "pfp-near"), length, ["first", "last", "ws"])
-
-    single = written(open_2.select(*KEY, "first", "ws").mapInArrow(_windows, f"{kinds}, at int, w long"), "pfp-windows")
+    runs = scratch.write(runs, "runs")
+    scratch.drop("open", "phrase-classes")
+    near = scratch.write(runs.join(_twins(runs, "k"), "k", "left_semi"), "near")
+    scratch.drop("runs")
+    spans_2, open_2 = _settle(near, length, ["first", "last", "ws"], scratch, "run")
+
+    single = scratch.write(open_2.select(*KEY, "first", "ws").mapInArrow(_windows, f"{kinds}, at int, w long"), "windows")
+    scratch.drop("near", "run-classes")
     spans_3 = single.join(_twins(single, "w"), "w", "left_semi").select(*KEY, F.col("at").alias("first"), (F.col("at") + length).alias("end"))
     # Neighbouring phrases with twins overlap, so most of a document's spans merge at once.
     every = spans_1.unionByName(spans_2).unionByName(spans_3)
-    return written(every.groupBy(*KEY).agg(F.collect_set(F.struct("first", "end")).alias("spans")), "pfp-spans")
+    found = scratch.write(every.groupBy(*KEY).agg(F.collect_set(F.struct("first", "end")).alias("spans")), "spans")
+    scratch.drop("windows", "phrase-spans", "run-spans")
+    return found
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
