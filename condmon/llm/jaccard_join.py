@@ -7,11 +7,12 @@
 3. Each shingle of those prefixes that two classes share gets a leader, the class with the most
    frequent shingles. Classes gather under the leaders of their shingles, so a pair that could
    link meets under a leader, and copies with many shared shingles meet under a few.
-4. Groups are cut into blocks of at most ``BLOCK``, each with the leader. In a block a signature
+4. Groups are cut into blocks of about ``BLOCK``, each with the leader. In a block a signature
    tree holds OR-combined bitmaps, size ranges and least bit counts; walking pairs of nodes, those
-   whose greatest possible overlap is too small are dropped, leaf pairs are bounded one by one,
-   and what remains is verified on the whole sets. Pairs already connected are not verified, so a
-   block yields at most as many links as rows.
+   whose greatest possible overlap is too small are dropped, and leaf pairs are bounded one by one.
+   A first walk over bitmaps of ``BITS`` bits drops the members that no partner could reach, so whole
+   sets move only for the rest; a second walk verifies on the sets. Pairs already connected are not
+   verified, so a block yields at most as many links as rows.
 5. Groups of several blocks whose members are then in one component are done. In others the
    members outside the largest component meet all blocks in further blocks.
 6. Components of all links.
@@ -35,10 +36,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import require, written
+from .common import Scratch, require
 from .components import components
 
-SHINGLE, BLOCK, COUNTERS, PARTS = 5, 128, 1 << 20, 64
+SHINGLE, BLOCK, COUNTERS, PARTS, BITS = 5, 128, 1 << 20, 64, 2048
 NUM, DEN = 80, 100  # the threshold as a ratio of integers
 LEAF, FAN = 16, 8
 
@@ -100,14 +101,14 @@ def _prefixes(batches: Iterator[pa.RecordBatch], counts) -> Iterator[pa.RecordBa
             seen = counts.value[(s % rolling.U(COUNTERS)).astype(np.int64)]
             order = np.lexsort((s, seen))[: n - (NUM * n + DEN - 1) // DEN + 1] if n else []
             print_ = xxhash.xxh3_128_hexdigest(s.tobytes()) if n else ""
-            rows.append((n, print_, float(seen.mean()) if n else 0.0, s[order].view(np.int64)))
-        n, prints, weight, prefix = zip(*rows, strict=True) if rows else ([], [], [], [])
+            rows.append((n, print_, float(seen.mean()) if n else 0.0, s[order].view(np.int64), signature(s, BITS).tobytes()))
+        n, prints, weight, prefix, bits = zip(*rows, strict=True) if rows else ([], [], [], [], [])
         ends = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
         values = np.concatenate(prefix) if rows else np.zeros(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int64()))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.string()), pa.array(weight, pa.float64()), lists],
-            names=["doc_id", "n_shingles", "print", "weight", "prefix"],
+            [batch.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.string()), pa.array(weight, pa.float64()), lists, pa.array(bits, pa.binary())],
+            names=["doc_id", "n_shingles", "print", "weight", "prefix", "bits"],
         )
 
 
@@ -124,16 +125,20 @@ def overlap_needed(x: np.ndarray | int, y: np.ndarray | int) -> np.ndarray | int
     return -((-NUM * (x + y)) // (NUM + DEN))
 
 
+def signature(s: np.ndarray, bits: int) -> np.ndarray:
+    """Bitmap of a set as uint64 words."""
+    out = np.zeros(bits // 64, rolling.U)
+    b = rolling.mix(s) % rolling.U(bits)
+    np.bitwise_or.at(out, (b >> rolling.U(6)).astype(np.int64), rolling.U(1) << (b & rolling.U(63)))
+    return out
+
+
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """Bitmaps of as many bits as the largest set has members, rounded up to a power of two."""
+    """Bitmaps of twice as many bits as the largest set has members, rounded up to a power of two."""
     bits = 64
-    while bits < min(4096, 2 * max(map(len, sets))):
+    while bits < min(8192, 2 * max(map(len, sets))):
         bits *= 2
-    out = np.zeros((len(sets), bits // 64), rolling.U)
-    for k, s in enumerate(sets):
-        b = rolling.mix(s) % rolling.U(bits)
-        np.bitwise_or.at(out[k], (b >> rolling.U(6)).astype(np.int64), rolling.U(1) << (b & rolling.U(63)))
-    return out
+    return np.stack([signature(s, bits) for s in sets])
 
 
 def ones(x: np.ndarray) -> np.ndarray:
@@ -178,6 +183,26 @@ class Tree:
                 stack += [(level - 1, a, b) for b in range(a if i == j else j * FAN, min(n, (j + 1) * FAN))]
 
 
+def possible_pairs(bitmaps: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows (ordered by size) whose greatest possible overlap reaches the threshold, leaf pair by leaf pair."""
+    bits = ones(bitmaps)
+    for a, b in Tree(bitmaps, sizes).leaf_pairs():
+        i, j = np.arange(a * LEAF, min(len(sizes), (a + 1) * LEAF)), np.arange(b * LEAF, min(len(sizes), (b + 1) * LEAF))
+        shared = ones(bitmaps[i][:, None] & bitmaps[j][None])
+        best = np.minimum(sizes[i][:, None] - bits[i][:, None] + shared, sizes[j][None] - bits[j][None] + shared)
+        p, q = np.nonzero((best >= overlap_needed(sizes[i][:, None], sizes[j][None])) & (i[:, None] != j[None]))
+        yield i[p], j[q]
+
+
+def alive(sizes: np.ndarray, bitmaps: np.ndarray) -> np.ndarray:
+    """Which rows of a block some other row could link with."""
+    order = np.argsort(sizes, kind="stable")
+    out = np.zeros(len(sizes), bool)
+    for i, j in possible_pairs(bitmaps[order], sizes[order]):
+        out[order[i]] = out[order[j]] = True
+    return out
+
+
 def links(ids: list[int], sets: list[np.ndarray], known: list[int]) -> list[tuple[int, int]]:
     """Links between the rows of a block that connect it; rows of one ``known`` component count as connected."""
     order = sorted(range(len(ids)), key=lambda k: len(sets[k]))
@@ -191,68 +216,71 @@ def links(ids: list[int], sets: list[np.ndarray], known: list[int]) -> list[tupl
             k = parent[k]
         return k
 
-    sizes = np.array([len(s) for s in sets], np.int64)
     out = []
-
-    def verify(i: int, j: int) -> None:
-        a, b = root(i), root(j)
-        if a == b:
-            return
-        x, y = (sets[i], sets[j]) if len(sets[i]) <= len(sets[j]) else (sets[j], sets[i])
-        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-        both = int((y[at] == x).sum())
-        if DEN * both >= NUM * (len(x) + len(y) - both):
-            parent[max(a, b)] = min(a, b)
-            out.append((ids[i], ids[j]))
-
-    if len(ids) <= 3:
-        for i in range(len(ids)):
-            for j in range(i):
-                if DEN * sizes[j] >= NUM * sizes[i]:
-                    verify(i, j)
-        return out
-    bitmaps = signatures(sets)
-    bits = ones(bitmaps)
-    for a, b in Tree(bitmaps, sizes).leaf_pairs():
-        i, j = np.arange(a * LEAF, min(len(ids), (a + 1) * LEAF)), np.arange(b * LEAF, min(len(ids), (b + 1) * LEAF))
-        shared = ones(bitmaps[i][:, None] & bitmaps[j][None])
-        best = np.minimum(sizes[i][:, None] - bits[i][:, None] + shared, sizes[j][None] - bits[j][None] + shared)
-        for p, q in np.argwhere(best >= overlap_needed(sizes[i][:, None], sizes[j][None])):
-            if i[p] != j[q]:
-                verify(int(i[p]), int(j[q]))
+    for rows, partners in possible_pairs(signatures(sets), np.array([len(s) for s in sets], np.int64)):
+        for i, j in zip(rows.tolist(), partners.tolist(), strict=True):
+            a, b = root(i), root(j)
+            if a == b:
+                continue
+            x, y = (sets[i], sets[j]) if len(sets[i]) <= len(sets[j]) else (sets[j], sets[i])
+            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+            both = int((y[at] == x).sum())
+            if DEN * both >= NUM * (len(x) + len(y) - both):
+                parent[max(a, b)] = min(a, b)
+                out.append((ids[i], ids[j]))
     return out
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows of each block from batches in order of (leader, block); blocks may go over batches."""
+    rows: list[tuple] = []
+    for batch in batches:
+        columns = [c.to_pylist() for c in batch.columns]
+        for row in zip(*columns, strict=True):
+            if rows and row[:2] != rows[-1][:2]:
+                yield rows
+                rows = []
+            rows.append(row)
+    if rows:
+        yield rows
+
+
+def _alive_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of (leader, block, rep, n_shingles, bits) to the members some other one could link with."""
+    found: list[tuple[int, int]] = []
+    for rows in _blocks(batches):
+        bitmaps = np.frombuffer(b"".join(r[4] for r in rows), "<u8").reshape(len(rows), -1)
+        keep = alive(np.array([r[3] for r in rows], np.int64), bitmaps)
+        found += [(r[0], r[2]) for r, k in zip(rows, keep.tolist(), strict=True) if k]
+        if len(found) > 10_000:
+            yield _edges(found, "leader", "rep")
+            found = []
+    yield _edges(found, "leader", "rep")
+
+
 def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (leader, block, rep, tokens, known) in order of leader and block; blocks may go over batches."""
-    at, ids, sets, known = None, [], [], []
+    """Blocks of (leader, block, rep, tokens, known) to links."""
+    found: list[tuple[int, int]] = []
+    for rows in _blocks(batches):
+        if len(rows) > 1:
+            found += links([r[2] for r in rows], [np.frombuffer(r[3], "<u8") for r in rows], [r[4] for r in rows])
+        if len(found) > 10_000:
+            yield _edges(found)
+            found = []
+    yield _edges(found)
 
-    def done() -> list[tuple[int, int]]:
-        return links(ids, sets, known) if len(ids) > 1 else []
 
-    for batch in batches:
-        found = []
-        leader, block, rep = (batch.column(k).to_pylist() for k in range(3))
-        seeds = batch.column(4).to_pylist()
-        for k in range(batch.num_rows):
-            if (leader[k], block[k]) != at:
-                found += done()
-                at, ids, sets, known = (leader[k], block[k]), [], [], []
-            ids.append(rep[k])
-            sets.append(np.frombuffer(batch.column(3)[k].as_py(), "<u8"))
-            known.append(seeds[k])
-        yield _edges(found)
-    yield _edges(done())
+def _edges(found: list[tuple[int, int]], *names: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=names or ("a", "b"))
 
 
-def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+def _by_block(rows: DataFrame) -> DataFrame:
+    return rows.repartition("leader", "block").sortWithinPartitions("leader", "block", "rep")
 
 
-def _joined(rows: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+def _linked(rows: DataFrame, sets: DataFrame) -> DataFrame:
     with_sets = rows.join(sets, "rep").select("leader", "block", "rep", "tokens", "known")
-    dealt = with_sets.repartition("leader", "block").sortWithinPartitions("leader", "block", "rep")
-    return written(dealt.mapInArrow(_join_blocks, "a long, b long"), name)
+    return _by_block(with_sets).mapInArrow(_join_blocks, "a long, b long")
 
 
 # --- the join ---------------------------------------------------------------------------------
@@ -260,38 +288,45 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     require(docs, "doc_id", "text")
     spark = docs.sparkSession
+    scratch = Scratch(spark, "near")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counts = spark.sparkContext.broadcast(shingle_counts(texts))
-    kinds = "doc_id long, n_shingles long, print string, weight double, prefix array<bigint>"
-    rows = written(texts.mapInArrow(partial(_prefixes, counts=counts), kinds), "shingles")
-    named = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = named.groupBy("print").agg(F.min("doc_id").alias("rep"))
-    reps = written(classes, "classes")
+    kinds = "doc_id long, n_shingles long, print string, weight double, prefix array<bigint>, bits binary"
+    full = scratch.write(texts.mapInArrow(partial(_prefixes, counts=counts), kinds), "shingles")
+    named = full.where("n_shingles > 0 and doc_id is not null")
+    reps = scratch.write(named.groupBy("print").agg(F.min("doc_id").alias("rep")), "classes")
+    rows = scratch.write(full.select("doc_id", "n_shingles", "print"), "rows")
 
     own = named.join(reps.withColumnRenamed("rep", "doc_id"), ["print", "doc_id"], "left_semi")
     tokens = own.select(F.col("doc_id").alias("rep"), "weight", F.explode("prefix").alias("token"))
     shared = tokens.groupBy("token").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a != b").select("token")
-    met = written(tokens.join(shared, "token", "left_semi"), "shared-tokens")
+    met = scratch.write(tokens.join(shared, "token", "left_semi"), "shared-tokens")
     leaders = met.groupBy("token").agg(F.max(F.struct("weight", F.negative("rep").alias("r"))).alias("top"))
     leaders = leaders.select("token", F.negative("top.r").alias("leader"))
-    members = met.join(leaders, "token").select("leader", "rep").distinct()
-    members = written(members, "members")
-
-    sets = texts.join(members.select("rep").distinct(), texts["doc_id"] == F.col("rep"), "left_semi")
-    sets = written(sets.mapInArrow(_sets, "rep long, tokens binary"), "sets")
+    members = scratch.write(met.join(leaders, "token").select("leader", "rep").distinct(), "members")
+    scratch.drop("shared-tokens")
 
     n_blocks = members.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
     members = members.join(n_blocks, "leader")
+    small = members.where("n_blocks = 1").withColumn("block", F.lit(0))
+    bits = own.select(F.col("doc_id").alias("rep"), "n_shingles", "bits").dropDuplicates(["rep"])
+    near = _by_block(small.join(bits, "rep").select("leader", "block", "rep", "n_shingles", "bits")).mapInArrow(_alive_members, "leader long, rep long")
+    large = members.where("n_blocks > 1")
+    members = scratch.write(near.withColumn("n_blocks", F.lit(1)).unionByName(large), "near-members")
+    scratch.drop("shingles", "members")
+
+    sets = texts.join(members.select("rep").distinct(), texts["doc_id"] == F.col("rep"), "left_semi")
+    sets = scratch.write(sets.mapInArrow(_sets, "rep long, tokens binary"), "sets")
     blocked = members.withColumn("block", F.pmod(F.xxhash64("rep"), "n_blocks").cast("int"))
     others = blocked.where("rep != leader").select("leader", "block", "rep")
-    led = n_blocks.select("leader", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"), F.col("leader").alias("rep"))
-    edges = _joined(others.unionByName(led).withColumn("known", F.col("rep")), sets, "links")
+    led = members.where("rep = leader").select("leader", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"), "rep")
+    edges = scratch.write(_linked(others.unionByName(led).withColumn("known", F.col("rep")), sets), "links")
 
     large = members.where("n_blocks > 1").select("leader", "rep", "n_blocks")
     if not large.isEmpty():
         known = components(edges)
         labelled = large.join(known.withColumnRenamed("node", "rep"), "rep", "left").withColumn("known", F.coalesce("component", "rep"))
-        labelled = written(labelled.select("leader", "rep", "n_blocks", "known"), "labelled")
+        labelled = scratch.write(labelled.select("leader", "rep", "n_blocks", "known"), "labelled")
         sizes = labelled.groupBy("leader", "known").agg(F.count("*").alias("n"))
         main = sizes.groupBy("leader").agg(F.max(F.struct("n", "known")).alias("top"), F.count("*").alias("n_known")).where("n_known > 1")
         main = main.select("leader", F.col("top.known").alias("main"))
@@ -303,9 +338,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         block = (F.col("u") * F.col("n_blocks") + F.col("m")).alias("block")
         outside = rest.withColumn("m", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select("leader", block, "rep", "known")
         inside = still.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("n_rest") - 1))).select("leader", block, "rep", "known")
-        edges = edges.unionByName(_joined(outside.unionByName(inside).distinct(), sets, "more-links"))
+        more = scratch.write(_linked(outside.unionByName(inside).distinct(), sets), "more-links")
+        edges = edges.unionByName(more)
 
+    scratch.drop("sets")
     linked = components(edges)
     of_class = reps.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("print", F.coalesce("component", "rep").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("print")).alias("print")).join(of_class, "print", "left")
+    out = rows.withColumn("print", F.when(F.col("doc_id").isNotNull(), F.col("print"))).join(of_class, "print", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
