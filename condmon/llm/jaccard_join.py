@@ -204,7 +204,7 @@ def alive(sizes: np.ndarray, bitmaps: np.ndarray) -> np.ndarray:
 
 
 def links(ids: list[int], sets: list[np.ndarray], known: list[int]) -> list[tuple[int, int]]:
-    """Links between the rows of a block that connect it; rows of one ``known`` component count as connected."""
+    """Pairs (id, smallest id of its connected rows), as verified links connect a block; rows of one ``known`` component count as connected."""
     order = sorted(range(len(ids)), key=lambda k: len(sets[k]))
     ids, sets, known = [ids[k] for k in order], [sets[k] for k in order], [known[k] for k in order]
     first: dict[int, int] = {}
@@ -216,7 +216,6 @@ def links(ids: list[int], sets: list[np.ndarray], known: list[int]) -> list[tupl
             k = parent[k]
         return k
 
-    out = []
     for rows, partners in possible_pairs(signatures(sets), np.array([len(s) for s in sets], np.int64)):
         for i, j in zip(rows.tolist(), partners.tolist(), strict=True):
             a, b = root(i), root(j)
@@ -227,8 +226,11 @@ def links(ids: list[int], sets: list[np.ndarray], known: list[int]) -> list[tupl
             both = int((y[at] == x).sum())
             if DEN * both >= NUM * (len(x) + len(y) - both):
                 parent[max(a, b)] = min(a, b)
-                out.append((ids[i], ids[j]))
-    return out
+    # Stars rather than the links themselves: the components of all blocks then settle in a few rounds.
+    least: dict[int, int] = {}
+    for k in first.values():
+        least[root(k)] = min(ids[k], least.get(root(k), ids[k]))
+    return [(ids[k], least[root(k)]) for k in first.values() if ids[k] != least[root(k)]]
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
