@@ -1,9 +1,9 @@
 """Near-duplicate join on word shingles: Jaccard similarity of 0.8 or more, exact, by signature trees.
 
-1. Texts with equal shingle sets are one class; only one row of each goes on.
+1. Texts with equal shingle sets are one class, named by a 64-bit hash of the set.
 2. A pair that reaches the threshold shares a shingle among the first ``n - ceil(t n) + 1`` of
-   either set in any common order. The order puts frequent shingles last, by counters of fixed
-   size over all texts; the counters only shape the order, so their collisions cost no link.
+   either set in any common order. The order puts shingles far above the mean frequency last, by
+   counters of fixed size over all texts; the counters only shape the order, so their collisions cost no link.
 3. Each shingle of those prefixes that two classes share gets a leader, the class with the most
    frequent shingles. Classes gather under the leaders of their shingles, so a pair that could
    link meets under a leader, and copies with many shared shingles meet under a few.
@@ -39,7 +39,7 @@ from . import rolling
 from .common import Scratch, require
 from .components import components
 
-SHINGLE, BLOCK, COUNTERS, PARTS, BITS = 5, 128, 1 << 20, 64, 2048
+SHINGLE, BLOCK, COUNTERS, PARTS, BITS, HEAVY = 5, 128, 1 << 20, 64, 2048, 8
 NUM, DEN = 80, 100  # the threshold as a ratio of integers
 LEAF, FAN = 16, 8
 
@@ -89,34 +89,44 @@ def shingle_counts(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], counts) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+def class_of(s: np.ndarray) -> int:
+    """Signed 64-bit hash of a whole set: texts of one class have equal sets."""
     import xxhash
 
+    h = xxhash.xxh3_64_intdigest(s.tobytes())
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], counts) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
     hashes = rolling.WordHashes()
+    seen_by = counts.value
+    # Only counters far above the mean tell frequent shingles; the others' differences are chance.
+    floor = HEAVY * max(1.0, float(seen_by.mean()))
     for batch in batches:
         rows = []
         for text in batch.column(1):
             s = shingle_set(text.as_py(), hashes)
             n = len(s)
-            seen = counts.value[(s % rolling.U(COUNTERS)).astype(np.int64)]
-            order = np.lexsort((s, seen))[: n - (NUM * n + DEN - 1) // DEN + 1] if n else []
-            print_ = xxhash.xxh3_128_hexdigest(s.tobytes()) if n else ""
-            rows.append((n, print_, float(seen.mean()) if n else 0.0, s[order].view(np.int64), signature(s, BITS).tobytes()))
-        n, prints, weight, prefix, bits = zip(*rows, strict=True) if rows else ([], [], [], [], [])
+            seen = seen_by[(s % rolling.U(COUNTERS)).astype(np.int64)]
+            order = np.lexsort((s, np.where(seen >= floor, seen, 0)))[: n - (NUM * n + DEN - 1) // DEN + 1] if n else []
+            rows.append((n, class_of(s), float(seen.mean()) if n else 0.0, s[order].view(np.int64), signature(s, BITS).tobytes()))
+        n, classes, weight, prefix, bits = zip(*rows, strict=True) if rows else ([], [], [], [], [])
         ends = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
         values = np.concatenate(prefix) if rows else np.zeros(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int64()))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.string()), pa.array(weight, pa.float64()), lists, pa.array(bits, pa.binary())],
-            names=["doc_id", "n_shingles", "print", "weight", "prefix", "bits"],
+            [batch.column(0), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), pa.array(weight, pa.float64()), lists, pa.array(bits, pa.binary())],
+            names=["doc_id", "n_shingles", "rep", "weight", "prefix", "bits"],
         )
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, text) to (rep, tokens); a text of another class under the same id is passed over."""
     hashes = rolling.WordHashes()
     for batch in batches:
-        sets = [shingle_set(t.as_py(), hashes).astype("<u8").tobytes() for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["rep", "tokens"])
+        sets = [shingle_set(t.as_py(), hashes) for t in batch.column(1)]
+        own = [k for k, (r, s) in enumerate(zip(batch.column(0).to_pylist(), sets, strict=True)) if class_of(s) == r]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int64())), pa.array([sets[k].astype("<u8").tobytes() for k in own], pa.binary())], names=["rep", "tokens"])
 
 
 # --- signature tree ---------------------------------------------------------------------------
@@ -293,32 +303,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "near")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counts = spark.sparkContext.broadcast(shingle_counts(texts))
-    kinds = "doc_id long, n_shingles long, print string, weight double, prefix array<bigint>, bits binary"
+    kinds = "doc_id long, n_shingles long, rep long, weight double, prefix array<bigint>, bits binary"
     full = scratch.write(texts.mapInArrow(partial(_prefixes, counts=counts), kinds), "shingles")
+    rows = scratch.write(full.select("doc_id", "n_shingles", "rep"), "rows")
     named = full.where("n_shingles > 0 and doc_id is not null")
-    reps = scratch.write(named.groupBy("print").agg(F.min("doc_id").alias("rep")), "classes")
-    rows = scratch.write(full.select("doc_id", "n_shingles", "print"), "rows")
 
-    own = named.join(reps.withColumnRenamed("rep", "doc_id"), ["print", "doc_id"], "left_semi")
-    tokens = own.select(F.col("doc_id").alias("rep"), "weight", F.explode("prefix").alias("token"))
+    # From here on a row is a class (rep); copies fall together wherever rows are counted or made distinct.
+    tokens = named.select("rep", F.explode("prefix").alias("token"))
     shared = tokens.groupBy("token").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a != b").select("token")
-    met = scratch.write(tokens.join(shared, "token", "left_semi"), "shared-tokens")
-    leaders = met.groupBy("token").agg(F.max(F.struct("weight", F.negative("rep").alias("r"))).alias("top"))
-    leaders = leaders.select("token", F.negative("top.r").alias("leader"))
+    met = scratch.write(tokens.join(shared, "token", "left_semi").distinct(), "shared-tokens")
+    weights = named.groupBy("rep").agg(F.max("weight").alias("weight"))
+    leaders = met.join(weights, "rep").groupBy("token").agg(F.max(F.struct("weight", "rep")).alias("top"))
+    leaders = leaders.select("token", F.col("top.rep").alias("leader"))
     members = scratch.write(met.join(leaders, "token").select("leader", "rep").distinct(), "members")
     scratch.drop("shared-tokens")
 
     n_blocks = members.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
     members = members.join(n_blocks, "leader")
     small = members.where("n_blocks = 1").withColumn("block", F.lit(0))
-    bits = own.select(F.col("doc_id").alias("rep"), "n_shingles", "bits").dropDuplicates(["rep"])
+    bits = named.select("rep", "n_shingles", "bits").dropDuplicates(["rep"])
     near = _by_block(small.join(bits, "rep").select("leader", "block", "rep", "n_shingles", "bits")).mapInArrow(_alive_members, "leader long, rep long")
-    large = members.where("n_blocks > 1")
-    members = scratch.write(near.withColumn("n_blocks", F.lit(1)).unionByName(large), "near-members")
+    members = scratch.write(near.withColumn("n_blocks", F.lit(1)).unionByName(members.where("n_blocks > 1")), "near-members")
     scratch.drop("shingles", "members")
 
-    sets = texts.join(members.select("rep").distinct(), texts["doc_id"] == F.col("rep"), "left_semi")
-    sets = scratch.write(sets.mapInArrow(_sets, "rep long, tokens binary"), "sets")
+    firsts = rows.where("n_shingles > 0 and doc_id is not null").groupBy("rep").agg(F.min("doc_id").alias("first"))
+    wanted = members.select("rep").distinct().join(firsts, "rep")
+    sets = texts.join(wanted, texts["doc_id"] == F.col("first")).select("rep", "text")
+    sets = scratch.write(sets.mapInArrow(_sets, "rep long, tokens binary").dropDuplicates(["rep"]), "sets")
     blocked = members.withColumn("block", F.pmod(F.xxhash64("rep"), "n_blocks").cast("int"))
     others = blocked.where("rep != leader").select("leader", "block", "rep")
     led = members.where("rep = leader").select("leader", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"), "rep")
@@ -344,7 +355,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         edges = edges.unionByName(more)
 
     scratch.drop("sets")
-    linked = components(edges)
-    of_class = reps.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("print", F.coalesce("component", "rep").alias("component_id"))
-    out = rows.withColumn("print", F.when(F.col("doc_id").isNotNull(), F.col("print"))).join(of_class, "print", "left")
+    ends = edges.join(firsts.select(F.col("rep").alias("a"), F.col("first").alias("x")), "a").join(firsts.select(F.col("rep").alias("b"), F.col("first").alias("y")), "b")
+    linked = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "first")
+    of_class = firsts.join(linked, "first", "left").select("rep", F.coalesce("component", "first").alias("component_id"))
+    out = rows.withColumn("rep", F.when(F.expr("doc_id is not null and n_shingles > 0"), F.col("rep"))).join(of_class, "rep", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
