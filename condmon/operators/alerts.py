@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import add_seconds, micros, seconds_between
 from .intervals import points_in_intervals
+from .models import unique_best
 
 KEY = ["asset", "policy"]
 
@@ -148,11 +149,7 @@ def policy_metrics(points: DataFrame, episode_rows: DataFrame, failures: DataFra
 
 def select_policy(metrics: DataFrame) -> DataFrame:
     """ALR8: among the policies with the most detected events the one with the fewest false alerts; no row for a tie."""
-    best = metrics.agg(F.max("detected").alias("_d"))
-    top = metrics.crossJoin(F.broadcast(best)).where("detected = _d").drop("_d")
-    least = top.agg(F.min("false_alerts").alias("_f"))
-    top = top.crossJoin(F.broadcast(least)).where("false_alerts = _f").drop("_f")
-    return top.crossJoin(F.broadcast(top.agg(F.count("*").alias("_n")))).where("_n = 1").drop("_n")
+    return unique_best(metrics, "struct(detected, -false_alerts)")
 
 
 def episode_order(episode_rows: DataFrame) -> DataFrame:

@@ -91,10 +91,15 @@ def compare(train: DataFrame, validation: DataFrame, candidates: list[Candidate]
 
 
 def select_best(evidence: DataFrame, metric: str, largest: bool = True) -> DataFrame:
-    """MOD6: the best candidate, no row if several share the best value."""
-    best = evidence.agg((F.max if largest else F.min)(metric).alias("_best"))
-    top = evidence.crossJoin(F.broadcast(best)).where(F.col(metric) == F.col("_best")).drop("_best")
-    return top.crossJoin(F.broadcast(top.agg(F.count("*").alias("_n")))).where("_n = 1").drop("_n")
+    """MOD6: the best candidate, no row if several share the best value. The table has a row per candidate."""
+    return unique_best(evidence, metric if largest else f"-{metric}")
+
+
+def unique_best(table: DataFrame, score: str) -> DataFrame:
+    """The row of a short table whose score (SQL) is alone the largest; the table is computed once."""
+    rows = table.agg(F.collect_list(F.struct(F.expr(score).alias("s"), F.struct(*table.columns).alias("row"))).alias("m"))
+    top = F.transform(F.array("m"), lambda m: F.filter(m, lambda x: x["s"] == F.array_max(F.transform(m, lambda y: y["s"]))))[0]
+    return rows.select(top.alias("top")).where(F.size("top") == 1).select(F.inline("top")).select("row.*")
 
 
 def cross_partition_keys(train: DataFrame, test: DataFrame, key: list[str]) -> DataFrame:
