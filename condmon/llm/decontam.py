@@ -51,35 +51,42 @@ MARKS = ("", "<num>", "<unit>", "<name>")
 
 
 class Words(dict):
-    """Raw word to a row of the tables: template hash, kind, ends a sentence, is capitalised."""
+    """Raw word to its row in ``columns``: template hash, kind, ends a sentence, is capitalised, is a word."""
 
     def __init__(self, most: int = 300_000) -> None:
         super().__init__()
         import xxhash
 
         self.most, self.hash = most, xxhash.xxh3_64_intdigest
-        self.rows: list[tuple[int, int, bool, bool, bool]] = []
-        self.core: list[str] = []
+        self.reset()
 
     def reset(self) -> None:
-        if len(self.rows) > self.most:
-            self.clear()
-            self.rows, self.core = [], []
+        self.clear()
+        self.fresh: list[tuple[int, int, bool, bool, bool]] = []
+        self.core: list[str] = []
+        self.columns = [np.zeros(0, t) for t in (rolling.U, np.int64, bool, bool, bool)]
 
     def __missing__(self, raw: str) -> int:
         core = raw.strip(OUTER)
         low = core.lower()
         kind = NUM if NUMBER.match(core) else UNIT if low in UNITS else PLAIN
         ends = raw == "\x01" or raw.rstrip("\"'”’)]»")[-1:] in tuple(".!?:;")
-        self.rows.append((self.hash(MARKS[kind] or low), kind, ends, len(core) > 1 and core[0].isupper() and core[1:].islower(), raw != "\x01" and bool(core)))
+        self.fresh.append((self.hash(MARKS[kind] or low), kind, ends, len(core) > 1 and core[0].isupper() and core[1:].islower(), raw != "\x01" and bool(core)))
         self.core.append(low)
-        self[raw] = len(self.rows) - 1
-        return len(self.rows) - 1
+        self[raw] = len(self.core) - 1
+        return len(self.core) - 1
+
+    def looked_up(self, at: np.ndarray) -> list[np.ndarray]:
+        if self.fresh:
+            self.columns = [np.concatenate([c, np.array(x, c.dtype)]) for c, x in zip(self.columns, zip(*self.fresh, strict=True), strict=True)]
+            self.fresh = []
+        return [c[at] for c in self.columns]
 
 
 def template(texts: list[str], words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
     """Of the joined texts: document of each template word, its hash, its kind and its lower-case core."""
-    words.reset()
+    if len(words.core) > words.most:
+        words.reset()
     doc: list[np.ndarray] = []
     ids: list[np.ndarray] = []
     for k, text in enumerate(texts):
@@ -89,8 +96,7 @@ def template(texts: list[str], words: Words) -> tuple[np.ndarray, np.ndarray, np
     at, doc_of = np.concatenate(ids) if ids else np.zeros(0, np.int64), np.concatenate(doc) if doc else np.zeros(0, np.int64)
     if not len(at):
         return doc_of, at.view(rolling.U), at, []
-    h = np.array([r[0] for r in words.rows], rolling.U)[at]
-    kind, ends, cap, real = (np.array([r[c] for r in words.rows])[at] for c in (1, 2, 3, 4))
+    h, kind, ends, cap, real = words.looked_up(at)
     after = np.ones(len(at), bool)
     after[1:] = ends[:-1] | (doc_of[1:] != doc_of[:-1])
     name = cap & ~after & (kind == PLAIN)
