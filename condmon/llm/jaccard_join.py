@@ -10,8 +10,8 @@
 4. Groups are cut into blocks of about ``BLOCK``, each with the leader. In a block a signature
    tree holds OR-combined bitmaps, size ranges and least bit counts; walking pairs of nodes, those
    whose greatest possible overlap is too small are dropped, and leaf pairs are bounded one by one.
-   A first walk over bitmaps of ``BITS`` bits drops the members that no partner could reach, so whole
-   sets move only for the rest; a second walk verifies on the sets. Pairs already connected are not
+   A first walk over bitmaps, with two to four bits for each shingle, drops the members that no partner
+   could reach, so whole sets move only for the rest; a second walk verifies on the sets. Pairs already connected are not
    verified, so a block yields at most as many links as rows.
 5. Groups of several blocks whose members are then in one component are done. In others the
    members outside the largest component meet all blocks in further blocks.
@@ -39,7 +39,7 @@ from . import rolling
 from .common import Scratch, require
 from .components import components
 
-SHINGLE, BLOCK, COUNTERS, PARTS, BITS, HEAVY = 5, 128, 1 << 20, 64, 2048, 8
+SHINGLE, BLOCK, COUNTERS, PARTS, HEAVY = 5, 128, 1 << 20, 64, 8
 NUM, DEN = 80, 100  # the threshold as a ratio of integers
 LEAF, FAN = 16, 8
 
@@ -109,7 +109,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], counts) -> Iterator[pa.RecordBa
             n = len(s)
             seen = seen_by[(s % rolling.U(COUNTERS)).astype(np.int64)]
             order = np.lexsort((s, np.where(seen >= floor, seen, 0)))[: n - (NUM * n + DEN - 1) // DEN + 1] if n else []
-            rows.append((n, class_of(s), float(seen.mean()) if n else 0.0, s[order].view(np.int64), signature(s, BITS).tobytes()))
+            rows.append((n, class_of(s), float(seen.mean()) if n else 0.0, s[order].view(np.int64), signature(s, width(n)).tobytes()))
         n, classes, weight, prefix, bits = zip(*rows, strict=True) if rows else ([], [], [], [], [])
         ends = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
         values = np.concatenate(prefix) if rows else np.zeros(0, np.int64)
@@ -143,12 +143,14 @@ def signature(s: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """Bitmaps of twice as many bits as the largest set has members, rounded up to a power of two."""
-    bits = 64
-    while bits < min(8192, 2 * max(map(len, sets))):
-        bits *= 2
-    return np.stack([signature(s, bits) for s in sets])
+def width(n: int) -> int:
+    """Bits of a set's bitmap: at least two for each member, a power of two. Sets that could link differ by one step at most."""
+    return max(256, 1 << max(0, 2 * n - 1).bit_length())
+
+
+def folded(bitmap: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap that the same set has with fewer bits."""
+    return np.bitwise_or.reduce(bitmap.reshape(-1, words), axis=0)
 
 
 def ones(x: np.ndarray) -> np.ndarray:
@@ -204,19 +206,27 @@ def possible_pairs(bitmaps: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.
         yield i[p], j[q]
 
 
-def alive(sizes: np.ndarray, bitmaps: np.ndarray) -> np.ndarray:
+def bands(bitmaps: list[np.ndarray], sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs as of ``possible_pairs`` among bitmaps of several widths: each width with the next one, folded to it."""
+    words = np.array([len(b) for b in bitmaps])
+    for w in np.unique(words).tolist():
+        rows = np.flatnonzero((words == w) | (words == 2 * w))
+        rows = rows[np.argsort(sizes[rows], kind="stable")]
+        if len(rows) > 1:
+            for i, j in possible_pairs(np.stack([folded(bitmaps[k], w) for k in rows]), sizes[rows]):
+                yield rows[i], rows[j]
+
+
+def alive(sizes: np.ndarray, bitmaps: list[np.ndarray]) -> np.ndarray:
     """Which rows of a block some other row could link with."""
-    order = np.argsort(sizes, kind="stable")
     out = np.zeros(len(sizes), bool)
-    for i, j in possible_pairs(bitmaps[order], sizes[order]):
-        out[order[i]] = out[order[j]] = True
+    for i, j in bands(bitmaps, sizes):
+        out[i] = out[j] = True
     return out
 
 
 def links(ids: list[int], sets: list[np.ndarray], known: list[int]) -> list[tuple[int, int]]:
     """Pairs (id, smallest id of its connected rows), as verified links connect a block; rows of one ``known`` component count as connected."""
-    order = sorted(range(len(ids)), key=lambda k: len(sets[k]))
-    ids, sets, known = [ids[k] for k in order], [sets[k] for k in order], [known[k] for k in order]
     first: dict[int, int] = {}
     parent = [first.setdefault(c, k) for k, c in enumerate(known)]
 
@@ -226,7 +236,7 @@ def links(ids: list[int], sets: list[np.ndarray], known: list[int]) -> list[tupl
             k = parent[k]
         return k
 
-    for rows, partners in possible_pairs(signatures(sets), np.array([len(s) for s in sets], np.int64)):
+    for rows, partners in bands([signature(s, width(len(s))) for s in sets], np.array([len(s) for s in sets], np.int64)):
         for i, j in zip(rows.tolist(), partners.tolist(), strict=True):
             a, b = root(i), root(j)
             if a == b:
@@ -261,8 +271,7 @@ def _alive_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """Blocks of (leader, block, rep, n_shingles, bits) to the members some other one could link with."""
     found: list[tuple[int, int]] = []
     for rows in _blocks(batches):
-        bitmaps = np.frombuffer(b"".join(r[4] for r in rows), "<u8").reshape(len(rows), -1)
-        keep = alive(np.array([r[3] for r in rows], np.int64), bitmaps)
+        keep = alive(np.array([r[3] for r in rows], np.int64), [np.frombuffer(r[4], "<u8") for r in rows])
         found += [(r[0], r[2]) for r, k in zip(rows, keep.tolist(), strict=True) if k]
         if len(found) > 10_000:
             yield _edges(found, "leader", "rep")
@@ -329,7 +338,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     firsts = rows.where("n_shingles > 0 and doc_id is not null").groupBy("rep").agg(F.min("doc_id").alias("first"))
     wanted = members.select("rep").distinct().join(firsts, "rep")
     sets = texts.join(wanted, texts["doc_id"] == F.col("first")).select("rep", "text")
-    sets = scratch.write(sets.mapInArrow(_sets, "rep long, tokens binary").dropDuplicates(["rep"]), "sets")
+    sets = scratch.write(sets.mapInArrow(_sets, "rep long, tokens binary"), "sets")
     blocked = members.withColumn("block", F.pmod(F.xxhash64("rep"), "n_blocks").cast("int"))
     others = blocked.where("rep != leader").select("leader", "block", "rep")
     led = members.where("rep = leader").select("leader", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"), "rep")
