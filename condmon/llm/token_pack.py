@@ -10,8 +10,8 @@ The container is Parquet, which Spark commits and reads on any store.
 Payload: magic ``PFOR``, u32 ids, u32 blocks, u32 offsets; each block: u32 smallest id, u16 ids,
 u8 width, u16 exceptions, packed values, u16 places, u32 values. All little-endian.
 
-Texts are cut where a non-space meets a space, which is always an edge of the byte-level
-pre-tokenizer, so a piece's ids don't depend on its surroundings; repeated pieces are encoded once
+Texts are cut where a non-space meets a space, and where a letter that follows nothing but letters
+since the last cut meets a sign, which are always edges of the byte-level pre-tokenizer, so a piece's ids don't depend on its surroundings; repeated pieces are encoded once
 per task. Texts with U+001C to U+001F, where Python's and the library's white space differ, are
 encoded whole. A tokenizer with another pre-tokenizer or a normalizer is given whole texts only.
 
@@ -26,6 +26,7 @@ import json
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import partial
 
@@ -36,9 +37,10 @@ from pyspark.sql import functions as F
 
 from .common import require, written
 
-BLOCK, PERCENTILE, SEGMENT_IDS, CACHE = 4096, 98.0, 1 << 18, 200_000
+BLOCK, PERCENTILE, SEGMENT_IDS, CACHE = 4096, 98.0, 1 << 18, 450_000
 SCHEMA = "shard int, segment int, before long, n_ids long, doc_ids binary, null_id boolean, doc_lens binary, payload binary"
-PIECES = re.compile(r"\s*\S+|\s+")
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+PIECES = re.compile(rf"\s*[{LETTERS}]+(?=[\s.,;:!?|#$%&*]|\Z)|\s*\S+|\s+")
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
@@ -116,13 +118,12 @@ def encoder(tokenizer_json: str) -> Callable[[str], bytes]:
         if ODD_SPACE.search(text):
             return raw(text)
         pieces = PIECES.findall(text)
-        new = [p for p in dict.fromkeys(pieces) if p not in known]
-        if new:
+        if new := list(set(pieces).difference(known)):
             if len(known) > CACHE:
                 known.clear()
-                new = list(dict.fromkeys(pieces))
+                new = list(set(pieces))
             for p, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, "<u4").tobytes()
+                known[p] = array("I", e.ids).tobytes()
         return b"".join(map(known.__getitem__, pieces))
 
     return encode

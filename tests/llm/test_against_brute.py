@@ -98,7 +98,7 @@ def test_pieces_encode_like_whole_texts():
 
     conf = Q.tokenizer_json()
     tok, encode, rng = Tokenizer.from_str(conf), token_pack.encoder(conf), random.Random(5)
-    parts = [" ", "  ", "\n", "\t", "\u00a0", "\u2003", "\x1c", "\x85", "a", "Zé", "'s", "don't", "12", "!?", "<|endoftext|>", "<|end", "\ufeff", "日本", "\x00"]
+    parts = [" ", "  ", "\n", "\t", "\u00a0", "\u2003", "\x1c", "\x85", "a", "Zé", "'s", "don't", "12", "!?", ".", ",", "|", "word", "é", "ß", "_", "'ll", "<|endoftext|>", "<|end", "\ufeff", "日本", "\x00"]
     for _ in range(3000):
         text = "".join(rng.choices(parts, k=rng.randint(0, 14)))
         ids = tok.encode(text, add_special_tokens=False).ids
