@@ -42,6 +42,7 @@ SCHEMA = "shard int, segment int, before long, n_ids long, doc_ids binary, null_
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 PIECES = re.compile(rf"\s*[{LETTERS}]+(?=[\s.,;:!?|#$%&*]|\Z)|\s*\S+|\s+")
 ODD_SPACE = re.compile("[\x1c-\x1f]")
+SIMPLE = re.compile(rf" ?[{LETTERS}]+")
 
 
 # --- blocks -----------------------------------------------------------------------------------
@@ -113,6 +114,22 @@ def encoder(tokenizer_json: str) -> Callable[[str], bytes]:
     if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or re.search(r"\s", t["content"]) for t in conf.get("added_tokens", ())):
         return raw
     known: dict[str, bytes] = {}
+    line = tok.encode("\n", add_special_tokens=False).ids
+
+    def learn(new: list[str]) -> None:
+        """Encode new pieces. Those of letters go as the lines of one text, whose line feeds are tokens of their own."""
+        lines = [p for p in new if SIMPLE.fullmatch(p)] if len(line) == 1 else []
+        others = [p for p in new if not SIMPLE.fullmatch(p)] if lines else new
+        if lines:
+            ids = np.array(tok.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids, "<u4")
+            ends = [*np.flatnonzero(ids == line[0]).tolist(), len(ids)]
+            data, at = ids.tobytes(), 0
+            for p, end in zip(lines, ends, strict=True):
+                known[p] = data[4 * at : 4 * end]
+                at = end + 1
+        if others:
+            for p, e in zip(others, tok.encode_batch_fast(others, add_special_tokens=False), strict=True):
+                known[p] = array("I", e.ids).tobytes()
 
     def encode(text: str) -> bytes:
         if ODD_SPACE.search(text):
@@ -122,8 +139,7 @@ def encoder(tokenizer_json: str) -> Callable[[str], bytes]:
             if len(known) > CACHE:
                 known.clear()
                 new = list(set(pieces))
-            for p, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[p] = array("I", e.ids).tobytes()
+            learn(new)
         return b"".join(map(known.__getitem__, pieces))
 
     return encode
