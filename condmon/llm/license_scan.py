@@ -18,13 +18,16 @@ texts stay apart; a null id stays null; further columns are ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let, require, words
+from .common import require, words
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same for texts whose capitals still stand.
+MIXED_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BROADCAST_ROWS = 100_000
 K = 2
 
@@ -56,25 +59,25 @@ TEMPLATES = (
 
 
 def tokens(text: Column) -> Column:
-    return words(ascii_lower(text), SEPARATORS)
+    """Words of a text. Only A-Z differ from a-z in templates, so letters beyond ASCII may be lower-cased as well."""
+    return words(F.lower(text), SEPARATORS)
 
 
 def kgrams(w: Column, k: int) -> Column:
-    """Texts of all rolling k-grams, in order."""
-    return let(
-        w,
-        lambda x: F.when(
-            F.size(x) >= k, F.transform(F.sequence(F.lit(1), F.size(x) - (k - 1)), lambda i: F.concat_ws(" ", F.slice(x, i, k)))
-        ).otherwise(F.expr("cast(array() as array<string>)")),
-    )
+    """Structs (w0, w1, ...) of all rolling k-grams; the last k - 1 hold a null."""
+    return F.arrays_zip(*[F.slice(w, i + 1, F.greatest(F.size(w), F.lit(1))).alias(f"w{i}") for i in range(k)])
 
 
 def template_positions(spark: SparkSession, templates: tuple[Template, ...], k: int) -> DataFrame:
     rows = [(t.label, t.text, t.base, float(t.least)) for t in templates]
     df = spark.createDataFrame(rows, "label string, phrase string, base boolean, least double")
-    df = df.select("label", "base", "least", kgrams(tokens(F.col("phrase")), k).alias("grams"))
-    df = df.withColumn("n_grams", F.size("grams"))
-    return df.select("label", "base", "least", "n_grams", F.posexplode("grams").alias("tpos", "gram")).withColumn("h", F.xxhash64("gram"))
+    df = df.select("label", "base", "least", tokens(F.col("phrase")).alias("w")).withColumn("n_grams", F.size("w") - (k - 1))
+    df = df.select("label", "base", "least", "n_grams", F.posexplode(kgrams(F.col("w"), k)).alias("tpos", "g")).where(F.col("tpos") < F.col("n_grams"))
+    return df.select("label", "base", "least", "n_grams", "tpos", F.col("g").alias("template_gram"), _hash("g", k).alias("h"))
+
+
+def _hash(gram: str, k: int) -> Column:
+    return F.xxhash64(*[F.col(f"{gram}.w{i}") for i in range(k)])
 
 
 def spans(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, k: int = K, shift: int = 3) -> DataFrame:
@@ -83,8 +86,11 @@ def spans(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, k: int =
     positions = template_positions(docs.sparkSession, templates, k)
     if sum(len(t.text.split()) for t in templates) <= BROADCAST_ROWS:
         positions = F.broadcast(positions)
-    grams = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(kgrams(tokens(F.col("text")), k)).alias("pos", "gram"))
-    votes = grams.withColumn("h", F.xxhash64("gram")).join(positions, ["h", "gram"])
+    # The words are a column of their own below the explode, so no exploded row carries the text.
+    base = docs.select("doc_id", F.xxhash64("text").alias("text_key"), tokens(F.col("text")).alias("w"))
+    grams = base.select("doc_id", "text_key", F.posexplode(kgrams(F.col("w"), k)).alias("pos", "g"))
+    same = [F.col(f"g.w{i}") == F.col(f"template_gram.w{i}") for i in range(k)]
+    votes = grams.withColumn("h", _hash("g", k)).join(positions, "h").where(reduce(Column.__and__, same))
     key = ["doc_id", "text_key", "label", "base", "least", "n_grams"]
     lines = votes.groupBy(*key, (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.collect_set("tpos").alias("held"))
     exact = lines.where((F.col("least") >= 1) & (F.size("held") == F.col("n_grams")))
@@ -110,7 +116,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, k: int =
         F.collect_set("label").alias("labels"),
         F.max("coverage").alias("score"),
     )
-    every = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.size(tokens(F.col("text"))).cast("long").alias("n_words"))
+    every = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.size(words(F.col("text"), MIXED_SEPARATORS)).cast("long").alias("n_words"))
     on = every["doc_id"].eqNullSafe(found["doc_id"]) & (every["text_key"] == found["text_key"])
     joined = every.join(found, on, "left")
     text = lambda c: F.coalesce(F.array_join(F.sort_array(c), ","), F.lit(""))
