@@ -83,8 +83,8 @@ class Words(dict):
         return [c[at] for c in self.columns]
 
 
-def template(texts: list[str], words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-    """Of the joined texts: document of each template word, its hash, its kind and its lower-case core."""
+def template(texts: list[str], words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the joined texts: document of each template word, its hash, its kind and its row in ``words``."""
     if len(words.core) > words.most:
         words.reset()
     doc: list[np.ndarray] = []
@@ -95,19 +95,19 @@ def template(texts: list[str], words: Words) -> tuple[np.ndarray, np.ndarray, np
         doc.append(np.full(len(raw), k))
     at, doc_of = np.concatenate(ids) if ids else np.zeros(0, np.int64), np.concatenate(doc) if doc else np.zeros(0, np.int64)
     if not len(at):
-        return doc_of, at.view(rolling.U), at, []
+        return doc_of, at.view(rolling.U), at, at
     h, kind, ends, cap, real = words.looked_up(at)
     after = np.ones(len(at), bool)
     after[1:] = ends[:-1] | (doc_of[1:] != doc_of[:-1])
     name = cap & ~after & (kind == PLAIN)
     kind = np.where(name, NAME, kind)
     h = np.where(name, rolling.U(words.hash(MARKS[NAME])), h)
-    return doc_of[real], h[real], kind[real], [words.core[k] for k in at[real]]
+    return doc_of[real], h[real], kind[real], at[real]
 
 
 def _rows(texts: list[str], words: Words, lengths: list[int], known: np.ndarray | None, whole: bool) -> list[tuple]:
     """(text number, place, n, hash, template text, slot values, words of the text) of each window; ``whole`` takes one length per text."""
-    doc, h, kind, core = template(texts, words)
+    doc, h, kind, row = template(texts, words)
     sizes = np.bincount(doc, minlength=len(texts)) if len(doc) else np.zeros(len(texts), int)
     begin = np.concatenate([[0], np.cumsum(sizes)])
     out = []
@@ -132,8 +132,9 @@ def _rows(texts: list[str], words: Words, lengths: list[int], known: np.ndarray
             kinds = kind[p : p + n].tolist()
             if sum(k == PLAIN for k in kinds) < max(2, n - 3):
                 continue
-            text = " ".join(MARKS[k] or c for k, c in zip(kinds, core[p : p + n], strict=True))
-            slots = [c for k, c in zip(kinds, core[p : p + n], strict=True) if k != PLAIN]
+            core = [words.core[k] for k in row[p : p + n]]
+            text = " ".join(MARKS[k] or c for k, c in zip(kinds, core, strict=True))
+            slots = [c for k, c in zip(kinds, core, strict=True) if k != PLAIN]
             d = int(doc[p])
             out.append((d, p - int(begin[d]), n, int(w[p].view(np.int64)), text, slots, int(sizes[d])))
     return out
