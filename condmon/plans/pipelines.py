@@ -12,9 +12,12 @@ KEY = ["asset", "cycle_id"]
 
 
 def land(spark: SparkSession, log_csv: str, names: list[str], key: str, sha256: str, version: str, path: str) -> DataFrame:
-    """PIPE1: raw file to the raw table; a rerun adds no row."""
+    """PIPE1: raw file to the raw table; a rerun adds no row, and repeated or missing keys are refused."""
     raw = landing.read_log(spark, log_csv, names, key, sha256, version)
-    merging.append_new(raw.dropDuplicates(["record_id"]), path, ["record_id"])
+    safe = quality.key_safety(raw, "record_id").first()
+    if safe["null_keys"] or safe["blank_keys"] or safe["repeated_keys"]:
+        raise ValueError(f"unsafe keys: {safe.asDict()}")
+    merging.append_new(raw, path, ["record_id"])
     return spark.read.parquet(path)
 
 

@@ -50,14 +50,18 @@ def test_files_against_a_manifest(spark, csv, tmp_path):
 
 
 def test_pipeline_reruns_add_nothing(spark, csv, tmp_path):
-    for _ in range(2):
-        raw = pipelines.land(spark, csv, NAMES, "idx_raw", "abc", "v1", f"{tmp_path}/raw").withColumn("asset", F.lit(1))
-        assert raw.count() == 5  # two rows share a key
-        accepted = pipelines.validate(raw, quality.Contract(), f"{tmp_path}/silver-{_}", 20, ["source_sha256"])
+    with pytest.raises(ValueError, match="repeated_keys': 1"):
+        pipelines.land(spark, csv, NAMES, "idx_raw", "abc", "v1", f"{tmp_path}/refused")
+    good = "".join(x for x in CSV.splitlines(keepends=True) if not x.endswith("3,7\n"))
+    (tmp_path / "good.csv").write_text(good)
+    for n in range(2):
+        raw = pipelines.land(spark, f"{tmp_path}/good.csv", NAMES, "idx_raw", "abc", "v1", f"{tmp_path}/raw").withColumn("asset", F.lit(1))
+        assert raw.count() == 5
+        accepted = pipelines.validate(raw, quality.Contract(), f"{tmp_path}/silver-{n}", 20, ["source_sha256"])
         found = pipelines.derive_cycles(accepted, f"{tmp_path}/cycles")
         assert found.count() == accepted.where("active = 1").count() == 2
     assert merging.versions(spark, f"{tmp_path}/cycles") == [1, 2]
-    with pytest.raises(Exception, match="exist"):
+    with pytest.raises(Exception, match="(?i)exist"):
         merging.create(raw, f"{tmp_path}/raw")
 
 
