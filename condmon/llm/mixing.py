@@ -26,6 +26,8 @@ from .common import require
 
 BROADCAST_SOURCES = 100_000
 BITS = 52
+#: Beyond this mean the distribution's first term is no longer a normal double.
+MOST_RATE = 700
 
 
 def uniform(seed: int, *columns: Column) -> Column:
@@ -73,6 +75,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
         raise ValueError(f"columns {sorted(clash)} are taken")
     table = rates(docs, weights, temperature, size, by)
     found = table.agg(F.count("*").alias("n"), F.max("rate").alias("most")).first()
+    if (found["most"] or 0.0) > MOST_RATE:
+        raise ValueError(f"a source would be repeated {found['most']:.0f} times on average; the most is {MOST_RATE}")
     rated = table.select(F.col(by).alias("_by"), "rate")
     rated = F.broadcast(rated) if found["n"] <= BROADCAST_SOURCES else rated
     joined = docs.join(rated, docs[by].eqNullSafe(F.col("_by"))).drop("_by")
