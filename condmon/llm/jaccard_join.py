@@ -100,8 +100,9 @@ def class_of(s: np.ndarray) -> int:
 def _prefixes(batches: Iterator[pa.RecordBatch], counts) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
     hashes = rolling.WordHashes()
     seen_by = counts.value
-    # Only counters far above the mean tell frequent shingles; the others' differences are chance.
-    floor = HEAVY * max(1.0, float(seen_by.mean()))
+    # Only counters some deviations above the mean tell frequent shingles; the others' differences are chance.
+    mean = max(1.0, float(seen_by.mean()))
+    floor = mean + HEAVY * mean**0.5
     for batch in batches:
         rows = []
         for text in batch.column(1):
