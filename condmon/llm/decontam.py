@@ -8,7 +8,9 @@ On one diagonal each value of a slot must stand for one value throughout; window
 touch a slot value with two readings are dropped. What is left of an item's words must reach
 ``least_words`` or the share ``least_share`` of the item.
 
-A window needs ``n - 3`` plain words, so placeholders alone match nothing. Items shorter than
+Beside its template a window with placeholders is also joined as its literal words, case folded. A literal
+hit needs no plain words and no names marked, and stays whatever its slots; a template window, whose slot
+values may differ, needs ``n - 3`` plain words, so placeholders alone match nothing. Items shorter than
 ``n`` words are searched as one window of their own length, down to ``MIN_WORDS``; shorter ones
 cannot be told from chance and are left out.
 
@@ -51,7 +53,7 @@ MARKS = ("", "<num>", "<unit>", "<name>")
 
 
 class Words(dict):
-    """Raw word to its row in ``columns``: template hash, kind, ends a sentence, is capitalised, is a word."""
+    """Raw word to its row in ``columns``: template hash, literal hash, kind, ends a sentence, is capitalised, is a word."""
 
     def __init__(self, most: int = 300_000) -> None:
         super().__init__()
@@ -62,16 +64,16 @@ class Words(dict):
 
     def reset(self) -> None:
         self.clear()
-        self.fresh: list[tuple[int, int, bool, bool, bool]] = []
+        self.fresh: list[tuple[int, int, int, bool, bool, bool]] = []
         self.core: list[str] = []
-        self.columns = [np.zeros(0, t) for t in (rolling.U, np.int64, bool, bool, bool)]
+        self.columns = [np.zeros(0, t) for t in (rolling.U, rolling.U, np.int64, bool, bool, bool)]
 
     def __missing__(self, raw: str) -> int:
         core = raw.strip(OUTER)
-        low = core.lower()
+        low = core.casefold()
         kind = NUM if NUMBER.match(core) else UNIT if low in UNITS else PLAIN
         ends = raw == "\x01" or raw.rstrip("\"'”’)]»")[-1:] in tuple(".!?:;")
-        self.fresh.append((self.hash(MARKS[kind] or low), kind, ends, len(core) > 1 and core[0].isupper() and core[1:].islower(), raw != "\x01" and bool(core)))
+        self.fresh.append((self.hash(MARKS[kind] or low), self.hash(low), kind, ends, len(core) > 1 and core[0].isupper() and core[1:].islower(), raw != "\x01" and bool(core)))
         self.core.append(low)
         self[raw] = len(self.core) - 1
         return len(self.core) - 1
@@ -83,8 +85,8 @@ class Words(dict):
         return [c[at] for c in self.columns]
 
 
-def template(texts: list[str], words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the joined texts: document of each template word, its hash, its kind and its row in ``words``."""
+def template(texts: list[str], words: Words) -> tuple[np.ndarray, ...]:
+    """Of the joined texts: document of each template word, its hash, its literal hash, its kind and its row in ``words``."""
     if len(words.core) > words.most:
         words.reset()
     doc: list[np.ndarray] = []
@@ -95,19 +97,31 @@ def template(texts: list[str], words: Words) -> tuple[np.ndarray, np.ndarray, np
         doc.append(np.full(len(raw), k))
     at, doc_of = np.concatenate(ids) if ids else np.zeros(0, np.int64), np.concatenate(doc) if doc else np.zeros(0, np.int64)
     if not len(at):
-        return doc_of, at.view(rolling.U), at, at
-    h, kind, ends, cap, real = words.looked_up(at)
+        return doc_of, at.view(rolling.U), at.view(rolling.U), at, at
+    h, literal, kind, ends, cap, real = words.looked_up(at)
     after = np.ones(len(at), bool)
     after[1:] = ends[:-1] | (doc_of[1:] != doc_of[:-1])
     name = cap & ~after & (kind == PLAIN)
     kind = np.where(name, NAME, kind)
     h = np.where(name, rolling.U(words.hash(MARKS[NAME])), h)
-    return doc_of[real], h[real], kind[real], at[real]
+    return doc_of[real], h[real], literal[real], kind[real], at[real]
+
+
+def _windows(h: np.ndarray, lengths: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """Each length with its ``rolling.windows``, all in one pass."""
+    out = np.zeros(len(h), rolling.U)
+    for k in range(min(max(lengths), len(h))):
+        out = out[: len(h) - k] * rolling.U(rolling.BASE) + rolling.mix(h[k:] + rolling.U(k + 1))
+        if k + 1 in lengths:
+            yield k + 1, rolling.mix(out)
 
 
 def _rows(texts: list[str], words: Words, lengths: list[int], known: np.ndarray | None, whole: bool) -> list[tuple]:
-    """(text number, place, n, hash, template text, slot values, words of the text) of each window; ``whole`` takes one length per text."""
-    doc, h, kind, row = template(texts, words)
+    """(text number, place, n, hash, template or literal text, slot values, words of the text) of each window; ``whole`` takes one length per text.
+
+    A window without placeholders is given once, as its template is its literal text; literal windows have no slots.
+    """
+    doc, h, folded, kind, row = template(texts, words)
     sizes = np.bincount(doc, minlength=len(texts)) if len(doc) else np.zeros(len(texts), int)
     begin = np.concatenate([[0], np.cumsum(sizes)])
     out = []
@@ -115,10 +129,7 @@ def _rows(texts: list[str], words: Words, lengths: list[int], known: np.ndarray
     if known is not None:
         table = np.zeros(1 << 20, bool)
         table[known.view(rolling.U) & rolling.U((1 << 20) - 1)] = True
-    for n in lengths:
-        w = rolling.windows(h, n)
-        if not len(w):
-            continue
+    for n, w, literal in ((n, w, literal) for literal, x in ((False, h), (True, folded)) for n, w in _windows(x, lengths)):
         ok = doc[: len(w)] == doc[n - 1 :]
         if whole:
             ok &= np.minimum(sizes, max(lengths))[doc[: len(w)]] == n
@@ -130,11 +141,12 @@ def _rows(texts: list[str], words: Words, lengths: list[int], known: np.ndarray
             at = np.flatnonzero(ok)
         for p in at.tolist():
             kinds = kind[p : p + n].tolist()
-            if sum(k == PLAIN for k in kinds) < max(2, n - 3):
+            plain = sum(k == PLAIN for k in kinds)
+            if plain == n if literal else plain < max(2, n - 3):
                 continue
             core = [words.core[k] for k in row[p : p + n]]
-            text = " ".join(MARKS[k] or c for k, c in zip(kinds, core, strict=True))
-            slots = [c for k, c in zip(kinds, core, strict=True) if k != PLAIN]
+            text = " ".join(core if literal else (MARKS[k] or c for k, c in zip(kinds, core, strict=True)))
+            slots = [] if literal else [c for k, c in zip(kinds, core, strict=True) if k != PLAIN]
             d = int(doc[p])
             out.append((d, p - int(begin[d]), n, int(w[p].view(np.int64)), text, slots, int(sizes[d])))
     return out
@@ -201,7 +213,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, least_words: int =
     places = F.flatten(F.transform("w", lambda x: F.sequence(x["ipos"], x["ipos"] + x["n"] - 1)))
     lines = lines.withColumns({"places": F.array_distinct(places), "reworded": F.exists("w", lambda x: x["islots"] != x["dslots"])})
     out = lines.groupBy("doc_id", "item_id", "n_item").agg(
-        F.sum(F.size("w")).alias("n_windows"), F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("item_words"), F.max("reworded").alias("reworded")
+        F.sum(F.size(F.array_distinct(F.transform("w", lambda x: F.struct(x["ipos"], x["n"]))))).alias("n_windows"), F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("item_words"), F.max("reworded").alias("reworded")
     )
     out = out.withColumn("share", F.col("item_words") / F.col("n_item"))
     out = out.where((F.col("item_words") >= least_words) | (F.col("share") >= least_share))

@@ -196,6 +196,17 @@ def test_decontamination(spark):
     assert kept == expect([(13,), (14,), (15,), (17,)])
 
 
+def test_literal_copies_without_plain_words_or_names(spark):
+    tank = "A tank holds 40 kg, 12 cm by 30 cm by 45 cm, and drains 5 kg in 3 hours."
+    names = "Anna gave Ben 5 apples, and then Ben gave Carl 3 pears before Anna left the market for Paris with Dora."
+    bench = spark.createDataFrame([(1, tank), (2, names)], "item_id long, text string")
+    rows = [(10, "Before it. " + tank + " After it."), (11, tank.lower()), (12, tank.upper()), (20, names.lower()), (21, "so " + names.upper()), (22, names)]
+    rows += [(30, "A box holds 41 g, 13 mm by 31 mm by 46 mm, or loses 6 g in 4 days."), (31, "12 cm by 30 cm by 45 cm of cloth")]
+    got = {(r["doc_id"], r["item_id"]): r for r in decontam.leaks(frame(spark, rows), bench).collect()}
+    assert set(got) == {(10, 1), (11, 1), (12, 1), (20, 2), (21, 2), (22, 2)}
+    assert all(r["share"] == 1 and not r["reworded"] and r["n_windows"] == r["item_words"] - 7 for r in got.values())
+
+
 def test_decontamination_without_filter(spark, sf_dir, monkeypatch):
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     a = rows_of(decontam.leaks(docs, bench), "doc_id", "item_id", "n_windows", "item_words")
