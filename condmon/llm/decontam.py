@@ -17,8 +17,9 @@ cannot be told from chance and are left out.
 While the benchmark has at most ``FILTER_WINDOWS`` windows, their hashes go to the tasks, so only
 matching windows leave the document scan; beyond it all windows are joined by shuffle.
 
-Defined cases: null and empty texts match nothing; repeated rows with one id and text count once; an id with
-several texts is judged by all of them; null ids are kept in ``leaks`` and dropped by ``clean`` like any other; repeated
+Defined cases: null and empty texts match nothing; repeated rows with one id and text count once; rows
+that share an id, or have none, are judged text by text (id and 64-bit hash of the text), and ``leaks`` gives
+the text of an id that covers most of an item; repeated
 items match on their own; further columns are ignored by ``leaks`` and kept by ``clean``.
 """
 
@@ -158,14 +159,14 @@ def _scan(batches: Iterator[pa.RecordBatch], lengths: list[int], known, whole: b
     for batch in batches:
         at, texts, size = 0, [], 0
         for k in range(batch.num_rows):
-            texts.append(batch.column(1)[k].as_py() or "")
+            texts.append(batch.column(batch.num_columns - 1)[k].as_py() or "")
             size += len(texts[-1])
             if size >= BATCH_CHARS or k == batch.num_rows - 1:
                 if found := _rows(texts, words, lengths, hashes, whole):
                     d, place, n, h, text, slots, total = zip(*found, strict=True)
                     rows = pa.array([x + at for x in d])
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(rows), pa.array(place, pa.int32()), pa.array(n, pa.int32()), pa.array(h, pa.int64()), pa.array(text, pa.string()), pa.array(slots, pa.list_(pa.string())), pa.array(total, pa.int32())],
+                        [*(c.take(rows) for c in batch.columns[:-1]), pa.array(place, pa.int32()), pa.array(n, pa.int32()), pa.array(h, pa.int64()), pa.array(text, pa.string()), pa.array(slots, pa.list_(pa.string())), pa.array(total, pa.int32())],
                         names=names,
                     )
                 at, texts, size = k + 1, [], 0
@@ -192,8 +193,8 @@ def consistent(hits: Column) -> Column:
     return let(hits, lambda w: let(F.array_distinct(F.flatten(F.transform(w, pair))), lambda p: keep(w, p)))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
-    """doc_id, item_id, n_windows, item_words (covered), share, reworded (whether a slot's value differs)."""
+def hits(docs: DataFrame, benchmark: DataFrame, n: int = N, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
+    """The rows of ``leaks`` for each text (``tk``, its hash) of an id."""
     require(docs, "doc_id", "text")
     items = item_windows(benchmark, n).persist()
     bounds = items.agg(F.count("*").alias("c"), F.sort_array(F.collect_set("n")).alias("lengths")).first()
@@ -203,24 +204,31 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, least_words: int =
         hashes = np.array([r["h"] for r in items.select("h").distinct().collect()], np.int64)
         known = docs.sparkSession.sparkContext.broadcast(hashes)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "dpos", "n", "h", "template", "dslots", "n_doc"]
+    names = ["doc_id", "tk", "dpos", "n", "h", "template", "dslots", "n_doc"]
     scan = partial(_scan, lengths=lengths, known=known, whole=False, names=names)
-    found = docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, dpos int, n int, h long, template string, dslots array<string>, n_doc int")
-    hits = found.join(F.broadcast(items) if small else items, ["h", "n", "template"])
+    found = docs.select("doc_id", F.xxhash64("text").alias("tk"), "text").mapInArrow(scan, f"doc_id {kind}, tk long, dpos int, n int, h long, template string, dslots array<string>, n_doc int")
+    joined = found.join(F.broadcast(items) if small else items, ["h", "n", "template"])
     window = F.struct("ipos", "n", "islots", "dslots")
-    lines = hits.groupBy("doc_id", "item_id", "n_item", (F.col("dpos") - F.col("ipos")).alias("diagonal")).agg(F.collect_set(window).alias("w"))
+    lines = joined.groupBy("doc_id", "tk", "item_id", "n_item", (F.col("dpos") - F.col("ipos")).alias("diagonal")).agg(F.collect_set(window).alias("w"))
     lines = lines.withColumn("w", consistent(F.col("w"))).where(F.size("w") > 0)
     places = F.flatten(F.transform("w", lambda x: F.sequence(x["ipos"], x["ipos"] + x["n"] - 1)))
     lines = lines.withColumns({"places": F.array_distinct(places), "reworded": F.exists("w", lambda x: x["islots"] != x["dslots"])})
-    out = lines.groupBy("doc_id", "item_id", "n_item").agg(
+    out = lines.groupBy("doc_id", "tk", "item_id", "n_item").agg(
         F.sum(F.size(F.array_distinct(F.transform("w", lambda x: F.struct(x["ipos"], x["n"]))))).alias("n_windows"), F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("item_words"), F.max("reworded").alias("reworded")
     )
     out = out.withColumn("share", F.col("item_words") / F.col("n_item"))
     out = out.where((F.col("item_words") >= least_words) | (F.col("share") >= least_share))
-    return out.select("doc_id", "item_id", "n_windows", "item_words", "share", "reworded")
+    return out.select("doc_id", "tk", "item_id", "n_windows", "item_words", "share", "reworded")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
+    """doc_id, item_id, n_windows, item_words (covered), share, reworded (whether a slot's value differs)."""
+    most = F.max(F.struct("share", "item_words", "n_windows", "reworded")).alias("most")
+    out = hits(docs, benchmark, n, least_words, least_share).groupBy("doc_id", "item_id").agg(most)
+    return out.select("doc_id", "item_id", "most.n_windows", "most.item_words", "most.share", "most.reworded")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     """The rows of ``docs`` without a leak; all columns stay."""
-    found = leaks(docs, benchmark, n).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("_leaked")), "left_anti")
+    found = hits(docs, benchmark, n).select(F.col("doc_id").alias("_leaked"), F.col("tk").alias("_tk")).distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("_leaked")) & (F.xxhash64(docs["text"]) == F.col("_tk")), "left_anti")

@@ -207,6 +207,17 @@ def test_literal_copies_without_plain_words_or_names(spark):
     assert all(r["share"] == 1 and not r["reworded"] and r["n_windows"] == r["item_words"] - 7 for r in got.values())
 
 
+def test_clean_texts_of_shared_and_null_ids_stay(spark):
+    item = "Every garden has seven trees in five rows and nobody knows which of them will bear fruit first, so the owner waits until late in autumn"
+    words, fine = item.split(), "Nothing here at all, only some plain words in a row to read."
+    halves = [" ".join(["start of it", *words[:8], "then else"]), " ".join(["other one", *words[12:20], "and out"])]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(None, item), (None, fine), (None, halves[0]), (None, halves[1]), (7, fine), (7, "copied: " + item), (8, halves[0]), (8, halves[1]), (9, None)]
+    assert rows_of(decontam.leaks(frame(spark, rows), bench), "doc_id", "item_words") == [(None, len(words)), (7, len(words))]
+    kept = rows_of(decontam.clean(frame(spark, rows + rows[:2]), bench), "doc_id", "text")
+    assert kept == expect([(None, fine), (None, fine), (None, halves[0]), (None, halves[1]), (7, fine), (8, halves[0]), (8, halves[1]), (9, None)])
+
+
 def test_decontamination_without_filter(spark, sf_dir, monkeypatch):
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     a = rows_of(decontam.leaks(docs, bench), "doc_id", "item_id", "n_windows", "item_words")
