@@ -2,8 +2,9 @@
 
 A source with share s of the corpus and target weight w is repeated w / s times on average (times
 ``size``, the output's size over the input's). Each row's count is the inverse Poisson
-distribution, with that mean, of a uniform number hashed from seed, id and text; the row is
-exploded by its count, and every copy gets a hashed place in one global order.
+distribution, with that mean, of a uniform number hashed from seed and id; the row is
+exploded by its count, and every copy gets a hashed place in one global order. No mean is too large:
+beyond ``DIRECT_RATE`` the terms start some deviations below the mean, the first by Stirling's series.
 
 Counts depend on a row's content and the rates alone, so the result is the same however the rows
 are partitioned, and a lost task recomputes its own rows. Sources are counted over all rows; the
@@ -22,12 +23,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import require
+from .common import let, require
 
 BROADCAST_SOURCES = 100_000
 BITS = 52
-#: Beyond this mean the distribution's first term is no longer a normal double.
-MOST_RATE = 700
+#: Up to this mean terms are summed from 0, where exp(-mean) is a normal double.
+DIRECT_RATE = 500
+#: Copies of a row are exploded by this many at a time.
+RUN = 1 << 16
 
 
 def uniform(seed: int, *columns: Column) -> Column:
@@ -37,22 +40,33 @@ def uniform(seed: int, *columns: Column) -> Column:
     return F.conv(digits, 16, 10).cast("double") / float(1 << BITS)
 
 
-def poisson_count(u: Column, rate: Column, most_rate: float) -> Column:
+def poisson_count(u: Column, rate: Column) -> Column:
     """Least k whose cumulative probability exceeds ``u``, found term by term.
 
-    The terms up to ``most_rate`` + 12 deviations + 24 hold all but 1e-16 of the probability.
+    The terms within 12 deviations + 24 of the mean hold all but 1e-16 of the probability.
     """
-    last = math.ceil(most_rate + 12 * math.sqrt(most_rate) + 24)
-    zero = F.struct(F.lit(0).alias("k"), F.exp(-rate).alias("term"), F.exp(-rate).alias("below"))
+    far = F.lit(12.0) * F.sqrt(rate) + 24
+    first = F.when(rate > DIRECT_RATE, F.floor(rate - far)).otherwise(0).cast("int")
+    given = F.struct(u.alias("u"), rate.alias("rate"), first.alias("first"), F.ceil(rate + far).cast("int").alias("last"))
 
-    def step(s: Column, k: Column) -> Column:
-        term = s["term"] * rate / k
-        more = u >= s["below"]
-        return F.struct(
-            F.when(more, k).otherwise(s["k"]).alias("k"), term.alias("term"), F.when(more, s["below"] + term).otherwise(s["below"]).alias("below")
-        )
+    def start(g: Column) -> Column:
+        k = g["first"].cast("double")
+        d = g["rate"] - k
+        stirling = k * F.log1p(d / k) - d - F.log(2 * math.pi * k) / 2 - 1 / (12 * k) + 1 / (360 * k * k * k)
+        return F.exp(F.when(g["first"] > 0, stirling).otherwise(-g["rate"]))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(last)), zero, step, lambda s: s["k"])
+    def count(g: Column) -> Column:
+        def step(s: Column, k: Column) -> Column:
+            term = s["term"] * g["rate"] / k
+            more = g["u"] >= s["below"]
+            return F.struct(
+                F.when(more, k).otherwise(s["k"]).alias("k"), term.alias("term"), F.when(more, s["below"] + term).otherwise(s["below"]).alias("below")
+            )
+
+        zero = let(start(g), lambda t: F.struct(g["first"].alias("k"), t.alias("term"), t.alias("below")))
+        return F.aggregate(F.sequence(g["first"] + 1, g["last"]), zero, step, lambda s: s["k"])
+
+    return let(given, count)
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, size: float = 1.0, by: str = "source") -> DataFrame:
@@ -75,12 +89,16 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
         raise ValueError(f"columns {sorted(clash)} are taken")
     table = rates(docs, weights, temperature, size, by)
     found = table.agg(F.count("*").alias("n"), F.max("rate").alias("most")).first()
-    if (found["most"] or 0.0) > MOST_RATE:
-        raise ValueError(f"a source would be repeated {found['most']:.0f} times on average; the most is {MOST_RATE}")
     rated = table.select(F.col(by).alias("_by"), "rate")
     rated = F.broadcast(rated) if found["n"] <= BROADCAST_SOURCES else rated
     joined = docs.join(rated, docs[by].eqNullSafe(F.col("_by"))).drop("_by")
-    count = poisson_count(uniform(seed, F.col("doc_id")), F.col("rate"), float(found["most"] or 0.0))
-    copies = joined.withColumn("replica", F.explode(F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.expr("cast(array() as array<int>)"))))
+    counted = joined.withColumn("replica", poisson_count(uniform(seed, F.col("doc_id")), F.col("rate"))).where("replica > 0")
+    if (found["most"] or 0.0) > RUN / 2:
+        # One array of all copies of a row would not fit a task, so a row is exploded run by run.
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.col("replica") - 1) / RUN).cast("int")), lambda r: F.struct((r * RUN + 1).alias("a"), F.least((r + 1) * RUN, F.col("replica")).alias("b")))
+        counted = counted.withColumn("replica", F.explode(runs))
+        copies = counted.withColumn("replica", F.explode(F.sequence("replica.a", "replica.b")))
+    else:
+        copies = counted.withColumn("replica", F.explode(F.sequence(F.lit(1), "replica")))
     copies = copies.withColumn("mix_key", uniform(seed + 1, F.col("doc_id"), F.col("replica")))
     return copies.repartitionByRange("mix_key").sortWithinPartitions("mix_key")

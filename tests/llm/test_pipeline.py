@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import zlib
 
 import corpus_pipeline as P
@@ -82,6 +83,28 @@ def test_mixing_reaches_the_weights(spark):
     assert one != sorted(one)
 
 
+def test_mixing_of_any_rate(spark):
+    from condmon.llm import mixing
+
+    rates = [0.0, 0.3, 40.0, 499.0, 501.0, 774.0, 5000.0, 1e6]
+    places = [1e-6, 0.001, 0.3, 0.5, 0.9, 0.999]
+    rows = spark.createDataFrame([(u, r) for r in rates for u in places], "u double, rate double")
+    for r in rows.withColumn("k", mixing.poisson_count(F.col("u"), F.col("rate"))).collect():
+        u, rate, k = r
+        logs = [-rate + j * math.log(rate) - math.lgamma(j + 1) for j in range(max(0, int(rate - 9 * rate**0.5)), k + 1)] if rate else [0.0]
+        below = math.fsum(map(math.exp, logs))
+        last = math.exp(logs[-1])
+        assert below - last <= u + 1e-7 and u <= below + 1e-7, (u, rate, k)
+
+    # One row beside a dominant source, as in 600,000 documents.
+    docs = spark.range(600_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") > 0, "big").alias("source"))
+    n = mixing.mix(docs).where("source is null").agg(F.count("*"), F.countDistinct("replica"), F.max("replica"), F.countDistinct("mix_key")).first()
+    assert n[0] == n[1] == n[2] == n[3] and 774 - 6 * 28 < n[0] < 774 + 6 * 28
+    named = docs.where("doc_id < 200000").withColumn("source", F.coalesce("source", F.lit("rare")))
+    n = mixing.mix(named, weights={"rare": 1.0}).agg(F.count("*"), F.countDistinct("replica"), F.max("replica")).first()
+    assert n[0] == n[1] == n[2] and abs(n[0] - 200_000) < 6 * 200_000**0.5
+
+
 def test_chat_round_trip(spark):
     from condmon.llm import chat_format as C
 
