@@ -7,8 +7,9 @@ the good dictionary. A logistic curve, fitted on labelled rows that no dictionar
 turns the raw score into the probability of the good label.
 
 Training takes at most ``max_rows`` rows of each label and at most ``max_bytes`` of text of each,
-from the rows with the smallest hash of their id; both bounds are parameters. Scoring compresses
-every whole text, chunk by chunk, in bounded memory.
+from the rows with the smallest hash of their id; both bounds are parameters. Both labels are counted
+over all usable rows, and calibration weights each label's rows to its count, so the prior does not depend
+on the bounds. Scoring compresses every whole text, chunk by chunk, in bounded memory.
 
 Defined cases: a null or empty text gets the score of a typical good text; repeated rows
 get equal scores; where one label has no training rows, the score is the share of good labels;
@@ -69,30 +70,30 @@ def chunks(text: str | None) -> list[bytes]:
     return [data[k : k + CHUNK] for k in range(0, len(data), CHUNK)]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
-    """Slope and intercept by Newton's method; ``ridge`` keeps separable data finite."""
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
+    """Slope and intercept by Newton's method; ``ridge`` keeps separable data finite. The weights' mean is 1."""
     scale = x.std() or 1.0
     a = np.stack([x / scale, np.ones_like(x)], 1)
     w = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        hess = (a * (p * (1 - p) + 1e-9)[:, None]).T @ a + len(x) * ridge * np.diag([1.0, 1e-3])
-        step = np.linalg.solve(hess, a.T @ (p - y) + len(x) * ridge * w * np.array([1.0, 1e-3]))
+        hess = (a * (weight * (p * (1 - p) + 1e-9))[:, None]).T @ a + len(x) * ridge * np.diag([1.0, 1e-3])
+        step = np.linalg.solve(hess, a.T @ (weight * (p - y)) + len(x) * ridge * w * np.array([1.0, 1e-3]))
         w = w - step
         if np.abs(step).max() < 1e-9:
             break
     return float(w[0] / scale), float(w[1])
 
 
-def fit(texts: list[str], labels: list[int]) -> Model:
-    """Dictionaries from the even rows of each label, the curve from the odd ones."""
+def fit(texts: list[str], labels: list[int], counts: dict[int, int]) -> Model:
+    """Dictionaries from the even rows of each label, the curve from the odd ones; ``counts`` of the labels give the prior."""
     import zstandard
 
     halves: dict[int, list[list[str]]] = {y: [[], []] for y in (0, 1)}
     for t, y in zip(texts, labels, strict=True):
         own = halves[int(y == 1)]
         own[len(own[0]) > len(own[1])].append(t)
-    prior = (sum(y == 1 for y in labels) + 1) / (len(labels) + 2)
+    prior = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
     flat = Model(b"", b"", 0.0, float(np.log(prior / (1 - prior))))
     raws = []
     for y in (1, 0):
@@ -108,7 +109,8 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     raw = Model(*raws, 1.0, 0.0).scorer()
     typical = float(np.mean([raw(t) for t, y in shown if y]))
     raw = Model(*raws, 1.0, 0.0, typical).scorer()
-    return Model(*raws, *logistic(np.array([raw(t) for t, _ in shown]), np.array([float(y) for _, y in shown])), typical)
+    weight = np.array([counts[y] / len(halves[y][1]) for _, y in shown])
+    return Model(*raws, *logistic(np.array([raw(t) for t, _ in shown]), np.array([float(y) for _, y in shown]), weight / weight.mean()), typical)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", usable: Column | None = None, max_rows: int = 2000, max_bytes: int = 16 << 20) -> Model:
@@ -117,6 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", usable: Co
     require(labels, "doc_id", label)
     given = labels.select("doc_id", F.col(label).alias("y")).where("y in (0, 1)").dropDuplicates(["doc_id"])
     given = given.where(usable) if usable is not None else given
+    counts = {r["y"]: r["count"] for r in given.groupBy("y").count().collect()}
     key = F.xxhash64("doc_id", F.lit("train"))
     # max_rows rows of each label at most, picked on the labels alone: no text moves for the others.
     some = given.where("y = 1").orderBy(key, "doc_id").limit(max_rows).unionByName(given.where("y = 0").orderBy(key, "doc_id").limit(max_rows))
@@ -129,7 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", usable: Co
             taken[r["y"]] += len(r["text"])
             texts.append(r["text"])
             ys.append(r["y"])
-    return fit(texts, ys)
+    return fit(texts, ys, counts)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.7) -> DataFrame:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 import zlib
 
 import corpus_pipeline as P
@@ -62,6 +63,18 @@ def test_classifier_on_held_out_rows(spark, sf_dir):
     assert again == model
 
 
+def test_classifier_prior_does_not_depend_on_the_bounds(spark):
+    rng = random.Random(3)
+    common, own = [f"word{k}" for k in range(300)], {1: [f"fine{k}" for k in range(60)], 0: [f"poor{k}" for k in range(60)]}
+    labels = [(k, int(k % 7 > 0)) for k in range(1400)]
+    texts = [(k, " ".join(rng.choices(common, k=40) + rng.choices(own[y if rng.random() < 0.8 else 1 - y], k=4))) for k, y in labels]
+    docs, given = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    for most in (2000, 150):
+        model = quality_clf.train(docs, given, max_rows=most)
+        mean = quality_clf.score(docs, model).agg(F.avg("score")).first()[0]
+        assert model.slope > 0 and abs(mean - 6 / 7) < 0.06, (most, mean)
+
+
 def test_classifier_without_labels_or_texts(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "some words")], "doc_id long, text string")
     model = quality_clf.train(docs, spark.createDataFrame([], "doc_id long, quality int"))
