@@ -42,7 +42,7 @@ from .common import Scratch, require
 
 LENGTH, GRAM, SPREAD, RUN = 400, 12, 256, 16
 BATCH_BYTES = 1 << 20
-PLACE = 24  # bits of a place in a batch beside the trigger's hash
+PLACE = 24  # bits of a place beside the trigger's hash; longer batches take the minimum piece by piece
 KEY = ["doc_id", "tk"]
 
 
@@ -79,11 +79,14 @@ def _phrases(data: np.ndarray, ends: np.ndarray, hashes: _Hashes, length: int, s
     if n < length:
         return empty, empty, empty, empty.view(rolling.U), empty.view(rolling.U)
     h = hashes(data)
-    grams = np.arange(n - GRAM + 1)
-    hashed = h.of(grams, grams + GRAM)
     low = rolling.U((1 << PLACE) - 1)
-    least = rolling.sliding_min((hashed & ~low) | grams.astype(rolling.U), spread)[: n - length + 1]
-    trigger = (least & low).astype(np.int64)
+    trigger = np.empty(n - length + 1, np.int64)
+    step = (1 << PLACE) - spread
+    for begin in range(0, len(trigger), step):
+        grams = np.arange(begin, min(begin + (1 << PLACE), n - GRAM + 1))
+        hashed = (h.of(grams, grams + GRAM) & ~low) | (grams - begin).astype(rolling.U)
+        least = rolling.sliding_min(hashed, spread)[: min(step, len(trigger) - begin)]
+        trigger[begin : begin + len(least)] = begin + (least & low).astype(np.int64)
     place = np.arange(len(trigger))
     inside = place + length <= ends[np.searchsorted(ends, place, side="right")]
     start = inside.copy()

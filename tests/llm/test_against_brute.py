@@ -157,6 +157,16 @@ def test_repeats(spark, docs, length):
     assert rows_of(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
 
 
+def test_repeats_far_into_a_long_text(spark):
+    rng = random.Random(9)
+    passage = "".join(rng.choices("abcdefgh ", k=600))
+    filler = rng.randbytes(9_000_000).hex()[:17_500_000]
+    long = filler[:17_000_000] + passage + filler[17_000_000:]
+    df = spark.createDataFrame([(1, long), (2, "Before it. " + passage + "zzz")], "doc_id long, text string")
+    got = rows_of(pfp_dedup.remove_repeats(df), "doc_id", "n_bytes", "n_removed", "n_spans")
+    assert got == [(1, len(long), 600, 1), (2, 614, 600, 1)]
+
+
 def edited(text: str, share: float, rng: random.Random) -> str:
     return " ".join(f"w{rng.randint(0, 10**9)}" if rng.random() < share else w for w in text.split())
 
