@@ -365,8 +365,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         edges = edges.unionByName(more)
 
     scratch.drop("sets")
-    ends = edges.join(firsts.select(F.col("rep").alias("a"), F.col("first").alias("x")), "a").join(firsts.select(F.col("rep").alias("b"), F.col("first").alias("y")), "b")
-    linked = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "first")
-    of_class = firsts.join(linked, "first", "left").select("rep", F.coalesce("component", "first").alias("component_id"))
+    # Components of classes; texts that share an id may be in different ones.
+    linked = components(edges).withColumnRenamed("node", "rep").join(firsts, "rep")
+    least = linked.groupBy("component").agg(F.min("first").alias("least"))
+    of_linked = linked.join(least, "component").select("rep", "least")
+    of_class = firsts.join(of_linked, "rep", "left").select("rep", F.coalesce("least", "first").alias("component_id"))
     out = rows.withColumn("rep", F.when(F.expr("doc_id is not null and n_shingles > 0"), F.col("rep"))).join(of_class, "rep", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

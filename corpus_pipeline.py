@@ -20,10 +20,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component; rows without an id stay."""
-    kept = jaccard_join.near_duplicates(docs).where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    kept = kept.withColumnRenamed("doc_id", "kept_id")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi").select(COLUMNS)
+    """One row of each component, that with the smallest id; rows without an id come last.
+
+    Rows are told apart by id and text, so texts that share an id or have none are judged one by one.
+    """
+    keyed = docs.withColumn("key", F.xxhash64("doc_id", "text"))
+    found = jaccard_join.near_duplicates(keyed.select(F.col("key").alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "component_id")
+    ids = keyed.select("key", "doc_id").distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    kept = found.distinct().join(ids, "key").groupBy("component_id").agg(F.min(order).alias("row")).select("row.key")
+    return keyed.join(kept, "key", "left_semi").dropDuplicates(["key"]).select(COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

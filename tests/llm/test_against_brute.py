@@ -191,6 +191,13 @@ def test_near_duplicates_of_null_ids(spark):
     assert got == expect([(None, 3, None), (None, 3, None), (3, 3, 3), (4, 0, 4), (5, 3, 3)])
 
 
+def test_near_duplicates_of_shared_ids(spark):
+    x, y = "alone a b c d e f g h", " ".join(f"y{k}" for k in range(60))
+    rows = [(5, x), (5, y), (3, y + " more"), (9, y.upper()), (5, x)]
+    got = rows_of(jaccard_join.near_duplicates(frame(spark, rows)), "doc_id", "n_shingles", "component_id")
+    assert got == expect([(5, 5, 5), (5, 56, 3), (3, 57, 3), (9, 56, 3), (5, 5, 5)])
+
+
 def test_decontamination(spark):
     q1 = "A train leaves Boston at 9 am with 120 people and Anna counts 40 of them while the train runs at 60 mph for 3 hours."
     q2 = "Every garden has seven trees in five rows and nobody knows which of them will bear fruit first"

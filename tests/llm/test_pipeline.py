@@ -46,6 +46,16 @@ def test_stages_against_brute_force(spark, sf_dir, tmp_path):
     assert sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in tokens) == sorted(want)
 
 
+def test_near_duplicates_stage_keeps_one_row_of_each_group(spark, sf_dir):
+    x, y, z, lone = (" ".join(f"{c}{k}" for k in range(60)) for c in "xyzw")
+    rows = [(5, x), (5, x), (5, y), (3, y + " more"), (8, x.upper()), (None, z), (None, z), (None, z + " end"), (None, lone), (None, y), (7, None), (7, None), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.lit(1)})
+    out = [(r["doc_id"], r["text"]) for r in P.near_duplicates(spark, docs.repartition(3), sf_dir).collect()]
+    ends = [t for i, t in out if i is None and t != lone]
+    assert len(ends) == 1 and ends[0] in (z, z + " end")
+    assert sorted((str(i), str(t)) for i, t in out if t not in ends) == sorted((str(i), str(t)) for i, t in [(5, x), (3, y + " more"), (None, lone), (7, None), (6, "")])
+
+
 def test_run_equals_the_stages(spark, sf_dir):
     rows = P.run(spark, sf_dir)
     assert rows.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and rows.count() > 50
