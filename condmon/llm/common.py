@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the word definitions below: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Spark deletes the shuffle files of a finished query where this is set.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -33,12 +35,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the driver and all executors share.
+    """A new path in the folder that the driver and all executors share, the one named by ``spark.checkpoint.dir``.
 
-    It is the one named by ``spark.checkpoint.dir``; where that is unset, as in local tests,
-    the session's warehouse folder.
+    Where that is unset, a local session (as in tests) takes its warehouse folder; any other session is refused.
     """
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = spark.conf.get("spark.sql.warehouse.dir")
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -46,21 +51,21 @@ class Scratch:
     """Tables of one run in a folder of their own below the shared folder.
 
     Writing a table and reading it back cuts lineage, so lost executors cost no more than the step
-    at hand. Spark keeps a finished plan's shuffle files until the driver collects the plan as
-    garbage; that is asked for after each write, and ``drop`` deletes a table that no later step
-    reads, as otherwise the files of all steps of a long operator add up on disk.
+    at hand. Each step's shuffle files go when it has been written, and ``drop`` deletes a table that
+    no later step reads, so the files of a long operator don't add up on disk.
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.top = spark, shared_path(spark, name)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        schema = df.schema
-        df.write.parquet(f"{self.top}/{name}")
-        del df
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-        return self.spark.read.schema(schema).parquet(f"{self.top}/{name}")
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(f"{self.top}/{name}")
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
+        return self.spark.read.schema(df.schema).parquet(f"{self.top}/{name}")
 
     def drop(self, *names: str) -> None:
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
@@ -77,3 +82,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def require(df: DataFrame, *names: str) -> None:
     if missing := [n for n in names if n not in df.columns]:
         raise ValueError(f"missing columns: {', '.join(missing)}")
+
+
+def slices(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """Texts as UTF-8 in groups of about ``size`` bytes, with the first one's row; null is empty."""
+    at, group, held = 0, [], 0
+    for k, x in enumerate(column):
+        group.append((x.as_py() or "").encode())
+        held += len(group[-1])
+        if held >= size:
+            yield at, group
+            at, group, held = k + 1, [], 0
+    if group:
+        yield at, group

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch
 
 
 def components(edges: DataFrame, most_steps: int = 50) -> DataFrame:
@@ -14,10 +14,11 @@ def components(edges: DataFrame, most_steps: int = 50) -> DataFrame:
     Each round points every node to its smallest known neighbour and then joins the neighbours'
     own targets, so a chain of n nodes takes about log n rounds; the edges stay linear in number.
     """
+    scratch = Scratch(edges.sparkSession, "components")
     pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
-    pairs = written(pairs, "edges")
+    pairs = scratch.write(pairs, "round-0")
     before = None
-    for _ in range(most_steps):
+    for step in range(1, most_steps + 1):
         # Large star: the larger neighbours of a node point to its smallest neighbour.
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -25,7 +26,8 @@ def components(edges: DataFrame, most_steps: int = 50) -> DataFrame:
         # Small star: a node and its smaller neighbours point to the smallest of them.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").unionByName(least.select("a", F.col("m").alias("b")))
-        pairs = written(small.distinct(), "small-star")
+        pairs = scratch.write(small.distinct(), f"round-{step}")
+        scratch.drop(f"round-{step - 1}")
         state = pairs.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first()
         if state == before:
             break

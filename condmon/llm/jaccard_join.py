@@ -1,20 +1,24 @@
 """Near-duplicate join on word shingles: Jaccard similarity of 0.8 or more, exact, by signature trees.
 
-1. Texts with equal shingle sets are one class, named by a 64-bit hash of the set.
+1. Texts with equal shingle sets are one class, named by a 64-bit hash of the set; from there on
+   a row is a class, so groups of copies cost one row.
 2. A pair that reaches the threshold shares a shingle among the first ``n - ceil(t n) + 1`` of
-   either set in any common order. The order puts shingles far above the mean frequency last, by
-   counters of fixed size over all texts; the counters only shape the order, so their collisions cost no link.
-3. Each shingle of those prefixes that two classes share gets a leader, the class with the most
-   frequent shingles. Classes gather under the leaders of their shingles, so a pair that could
-   link meets under a leader, and copies with many shared shingles meet under a few.
+   either set in any common order. The order puts shingles last that are frequent in one of ``SAMPLE``
+   documents. The sample shapes the order alone: no link depends on it.
+3. Each shingle of those prefixes that two classes share is led by the class with the largest hash;
+   classes gather under the leaders of their shingles, so a pair that could link meets under a
+   leader, and copies with many shared shingles meet under a few.
 4. Groups are cut into blocks of about ``BLOCK``, each with the leader. In a block a signature
-   tree holds OR-combined bitmaps, size ranges and least bit counts; walking pairs of nodes, those
-   whose greatest possible overlap is too small are dropped, and leaf pairs are bounded one by one.
-   A first walk over bitmaps, with two to four bits for each shingle, drops the members that no partner
-   could reach, so whole sets move only for the rest; a second walk verifies on the sets. Pairs already connected are not
-   verified, so a block yields at most as many links as rows.
-5. Groups of several blocks whose members are then in one component are done. In others the
-   members outside the largest component meet all blocks in further blocks.
+   tree over rows in order of their bitmaps holds OR-combined bitmaps, size ranges and least bit
+   counts; walking pairs of nodes from the root, those whose greatest possible overlap is too small
+   are dropped, down to pairs of rows. A first walk, over bitmaps of four to eight bits for each shingle,
+   drops the members that no partner could reach, so whole sets move only for the rest; a second
+   walk verifies on the sets. Pairs already connected are not verified, so a block yields at most as
+   many links as rows.
+5. Groups of several blocks whose members are then in one component are done. The members of the
+   others are cut into blocks by size band; a tree over the *blocks* of each two neighbouring bands
+   walks pairs of blocks in the same way, and only the pairs left meet, as blocks of step 4. Blocks
+   that lie in the group's largest component don't meet each other.
 6. Components of all links.
 
 No step lists the pairs of a group, and no cap drops a candidate.
@@ -22,7 +26,8 @@ No step lists the pairs of a group, and no cap drops a candidate.
 Defined cases: words are pieces between U+0020 and U+0009 to U+000D after A-Z are lower-cased;
 a text with fewer than five words is one shingle; without words its set is empty and links with
 nothing; rows that share an id stay rows of their own and each gets its text's component; rows
-with a null id link with nothing and get a null component; further columns are ignored.
+with a null id link with nothing and get a null component; ids may be of any type with an order;
+texts of any length are taken whole; further columns are ignored; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -32,60 +37,38 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import Scratch, require
+from .common import Scratch, require, slices
 from .components import components
 
-SHINGLE, BLOCK, COUNTERS, PARTS, HEAVY = 5, 128, 1 << 20, 64, 8
+SHINGLE, BLOCK = 5, 128
 NUM, DEN = 80, 100  # the threshold as a ratio of integers
-LEAF, FAN = 16, 8
+#: Rows of a lowest node and children of the others.
+LEAF, FAN = 2, 4
+#: One of so many documents tells which shingles are frequent: those in at least OFTEN of them, MOST_FREQUENT at most (16 bytes each).
+SAMPLE, OFTEN, MOST_FREQUENT = 8, 3, 1_000_000
+#: Sizes of sets in neighbouring bands differ by 1.25 at least from band start to band start, as those of a pair do at most.
+BAND = 1.25
 
 
 # --- sets -------------------------------------------------------------------------------------
-def shingle_set(text: str | None, hashes: rolling.WordHashes, n: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct shingle hashes (uint64)."""
-    words = (text or "").encode().translate(rolling.LOWER).split()
-    if not words:
-        return np.zeros(0, rolling.U)
-    h = hashes.of(words)
-    if len(words) < n:
-        return rolling.mix(rolling.windows(h, len(words)) + rolling.U(len(words)))
-    return np.unique(rolling.windows(h, n))
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes, counts = rolling.WordHashes(), np.zeros(COUNTERS, np.uint32)
-    for batch in batches:
-        for text in batch.column(0):
-            s = shingle_set(text.as_py(), hashes)
-            np.add.at(counts, (s % rolling.U(COUNTERS)).astype(np.int64), 1)
-    size = COUNTERS // PARTS
-    parts = [counts[k * size : (k + 1) * size].astype("<u4").tobytes() for k in range(PARTS)]
-    yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], names=["part", "counts"])
-
-
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for part, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            more = np.frombuffer(counts.as_py(), "<u4").astype(np.int64)
-            sums[part] = sums[part] + more if part in sums else more
-    if sums:
-        parts = [np.minimum(v, 2**32 - 1).astype("<u4").tobytes() for v in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(parts, pa.binary())], names=["part", "counts"])
-
-
-def shingle_counts(docs: DataFrame) -> np.ndarray:
-    """Counters over all texts: always COUNTERS numbers, 4 MB, whatever the corpus's size."""
-    kind = "part int, counts binary"
-    sums = docs.select("text").mapInArrow(_count, kind).repartition(PARTS, "part").mapInArrow(_add, kind)
-    out = np.zeros(COUNTERS, np.uint32)
-    for r in sums.collect():
-        size = COUNTERS // PARTS
-        out[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["counts"], "<u4")
+def shingle_sets(texts: list[bytes], tables: rolling.Powers, n: int = SHINGLE) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes (uint64) of each text."""
+    low = [t.translate(rolling.LOWER) for t in texts]
+    begins = np.cumsum([0, *(len(t) + 1 for t in low)])
+    starts, h = rolling.words(b"\n".join(low), tables)
+    at = np.searchsorted(starts, begins).tolist()
+    w = rolling.windows(h, n)
+    out = []
+    for a, b in zip(at, at[1:], strict=False):
+        if b - a < n:
+            out.append(rolling.mix(rolling.windows(h[a:b], b - a) + rolling.U(b - a)) if b > a else h[:0])
+            continue
+        s = np.sort(w[a : b - n + 1])
+        out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
     return out
 
 
@@ -97,56 +80,113 @@ def class_of(s: np.ndarray) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], counts) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-    hashes = rolling.WordHashes()
-    seen_by = counts.value
-    # Only counters some deviations above the mean tell frequent shingles; the others' differences are chance.
-    mean = max(1.0, float(seen_by.mean()))
-    floor = mean + HEAVY * mean**0.5
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts to (token, n), added up within about a megabyte of text."""
+    tables = rolling.Powers()
+    for batch in batches:
+        for _, texts in slices(batch.column(0)):
+            tokens, n = np.unique(np.concatenate(shingle_sets(texts, tables)), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n)], names=["token", "n"])
+
+
+def frequent_shingles(texts: DataFrame, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the sample's frequent shingles with their counts, MOST_FREQUENT at most."""
+    some = texts.where(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(SAMPLE)) == 0).select("text")
+    counts = some.mapInArrow(_tokens, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
+    counts = scratch.write(counts, "frequent")
+    # Rows by count, capped so that the list stays short: the least count from which on all fit.
+    sizes = sorted(counts.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count("*").alias("rows")).collect(), reverse=True)
+    total, least = 0, 10_001
+    for n, rows in sizes:
+        if total + rows > MOST_FREQUENT:
+            break
+        total, least = total + rows, n
+    found = counts.where(F.col("n") >= least).toPandas()
+    scratch.drop("frequent")
+    tokens = found["token"].to_numpy(np.int64).view(rolling.U)
+    order = np.argsort(tokens)
+    return tokens[order], found["n"].to_numpy(np.int64)[order]
+
+
+class Frequency:
+    """Counts of shingles in the sample; 0 for those that are not frequent."""
+
+    def __init__(self, tokens: np.ndarray, counts: np.ndarray) -> None:
+        self.tokens, self.counts = tokens, counts
+        self.maybe = np.zeros(1 << 22, bool)
+        self.maybe[self._slot(tokens)] = True
+
+    @staticmethod
+    def _slot(s: np.ndarray) -> np.ndarray:
+        return (s >> rolling.U(42)).astype(np.int64)
+
+    def of(self, s: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(s), np.int64)
+        at = np.flatnonzero(self.maybe[self._slot(s)])
+        if len(at):
+            place = np.minimum(np.searchsorted(self.tokens, s[at]), len(self.tokens) - 1)
+            out[at] = np.where(self.tokens[place] == s[at], self.counts[place], 0)
+        return out
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], frequent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+    """doc_id, tk, text to doc_id, tk, n_shingles, rep (class), prefix, bits."""
+    tables, frequency = rolling.Powers(), Frequency(*frequent.value)
     for batch in batches:
-        rows = []
-        for text in batch.column(1):
-            s = shingle_set(text.as_py(), hashes)
-            n = len(s)
-            seen = seen_by[(s % rolling.U(COUNTERS)).astype(np.int64)]
-            order = np.lexsort((s, np.where(seen >= floor, seen, 0)))[: n - (NUM * n + DEN - 1) // DEN + 1] if n else []
-            rows.append((n, class_of(s), float(seen.mean()) if n else 0.0, s[order].view(np.int64), signature(s, width(n)).tobytes()))
-        n, classes, weight, prefix, bits = zip(*rows, strict=True) if rows else ([], [], [], [], [])
-        ends = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
-        values = np.concatenate(prefix) if rows else np.zeros(0, np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int64()))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), pa.array(weight, pa.float64()), lists, pa.array(bits, pa.binary())],
-            names=["doc_id", "n_shingles", "rep", "weight", "prefix", "bits"],
-        )
+        for at, texts in slices(batch.column(2)):
+            sets = shingle_sets(texts, tables)
+            sizes = np.array([len(s) for s in sets])
+            ends = np.cumsum(sizes)
+            every = np.concatenate(sets)
+            seen, prefix = frequency.of(every), []
+            for s, n, end in zip(sets, sizes.tolist(), ends.tolist(), strict=True):
+                k = n - (NUM * n + DEN - 1) // DEN + 1 if n else 0
+                mine = seen[end - n : end]
+                # Sets are sorted by hash, so the rare ones' order is theirs already; frequent ones follow by count.
+                rare = s[mine == 0]
+                if len(rare) < k:
+                    rest = np.flatnonzero(mine)
+                    rare = np.concatenate([rare, s[rest[np.argsort(mine[rest], kind="stable")]]])
+                prefix.append(rare[:k].view(np.int64))
+            starts = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate(prefix), pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(c.slice(at, len(texts)) for c in batch.columns[:2]),
+                    pa.array(sizes, pa.int64()),
+                    pa.array([class_of(s) for s in sets], pa.int64()),
+                    lists,
+                    pa.array([signature(s, width(len(s))).tobytes() for s in sets], pa.binary()),
+                ],
+                names=["doc_id", "tk", "n_shingles", "rep", "prefix", "bits"],
+            )
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rep, text) to (rep, tokens); a text of another class under the same id is passed over."""
-    hashes = rolling.WordHashes()
+    """(rep, text) to (rep, tokens)."""
+    tables = rolling.Powers()
     for batch in batches:
-        sets = [shingle_set(t.as_py(), hashes) for t in batch.column(1)]
-        own = [k for k, (r, s) in enumerate(zip(batch.column(0).to_pylist(), sets, strict=True)) if class_of(s) == r]
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int64())), pa.array([sets[k].astype("<u8").tobytes() for k in own], pa.binary())], names=["rep", "tokens"])
+        for at, texts in slices(batch.column(1)):
+            sets = [s.astype("<u8").tobytes() for s in shingle_sets(texts, tables)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(sets, pa.binary())], names=["rep", "tokens"])
 
 
 # --- signature tree ---------------------------------------------------------------------------
-def overlap_needed(x: np.ndarray | int, y: np.ndarray | int) -> np.ndarray | int:
+def overlap_needed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Least intersection of sets of sizes x and y at the threshold."""
     return -((-NUM * (x + y)) // (NUM + DEN))
 
 
 def signature(s: np.ndarray, bits: int) -> np.ndarray:
     """Bitmap of a set as uint64 words."""
-    out = np.zeros(bits // 64, rolling.U)
-    b = rolling.mix(s) % rolling.U(bits)
-    np.bitwise_or.at(out, (b >> rolling.U(6)).astype(np.int64), rolling.U(1) << (b & rolling.U(63)))
-    return out
+    flags = np.zeros(bits, np.uint8)
+    flags[((s >> rolling.U(8)) & rolling.U(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(flags, bitorder="little").view("<u8")
 
 
 def width(n: int) -> int:
-    """Bits of a set's bitmap: at least two for each member, a power of two. Sets that could link differ by one step at most."""
-    return max(256, 1 << max(0, 2 * n - 1).bit_length())
+    """Bits of a set's bitmap: four to eight for each member, a power of two. Sets that could link differ by one step at most."""
+    return max(256, 1 << max(0, 4 * n - 1).bit_length())
 
 
 def folded(bitmap: np.ndarray, words: int) -> np.ndarray:
@@ -159,70 +199,80 @@ def ones(x: np.ndarray) -> np.ndarray:
 
 
 class Tree:
-    """Levels of nodes over rows in order of size: OR of bitmaps, least and greatest size, least bit count."""
-
-    def __init__(self, bitmaps: np.ndarray, sizes: np.ndarray) -> None:
-        self.levels = []
-        nodes, fan = (bitmaps, sizes, sizes, ones(bitmaps)), LEAF
-        while len(nodes[0]) > 1 or not self.levels:
-            at = np.arange(0, len(nodes[0]), fan)
+    """Levels of nodes over rows: OR of bitmaps, least and greatest size, least bit count. Level 0 holds the rows.
+
+    Rows lie in order of their bitmaps, so that like sets share nodes and a node has few bits more than one of its rows.
+    """
+
+    def __init__(self, bitmaps: np.ndarray, least: np.ndarray, most: np.ndarray, few: np.ndarray) -> None:
+        self.order = np.lexsort((least, *bitmaps[:, :2].T[::-1]))
+        nodes = tuple(x[self.order] for x in (bitmaps, least, most, few))
+        self.levels, self.fans = [nodes], []
+        #: Pairs of nodes tested and kept at each level, for tests and tuning.
+        self.walked: dict[int, tuple[int, int]] = {}
+        while len(nodes[0]) > 1:
+            self.fans.append(FAN if self.fans else LEAF)
+            at = np.arange(0, len(nodes[0]), self.fans[-1])
             cut = (np.bitwise_or.reduceat, np.minimum.reduceat, np.maximum.reduceat, np.minimum.reduceat)
             nodes = tuple(f(x, at, axis=0) for f, x in zip(cut, nodes, strict=True))
             self.levels.append(nodes)
-            fan = FAN
 
-    def could(self, level: int, i: int, j: int) -> bool:
+    def could(self, level: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Whether any rows below nodes i and j could reach the threshold."""
         bits, least, most, few = self.levels[level]
-        if DEN * min(most[i], most[j]) < NUM * max(least[i], least[j]):
-            return False
-        shared = int(ones(bits[i] & bits[j]))
+        fits = DEN * np.minimum(most[i], most[j]) >= NUM * np.maximum(least[i], least[j])
+        i, j, out = i[fits], j[fits], fits
+        step = max(1, (1 << 22) // bits.shape[1])
+        shared = np.concatenate([ones(bits[i[k : k + step]] & bits[j[k : k + step]]) for k in range(0, len(i), step)] or [np.zeros(0, np.int64)])
         # A set has at least as many members outside the shared bits as it has bits outside them.
-        best = min(int(most[i]) - max(0, int(few[i]) - shared), int(most[j]) - max(0, int(few[j]) - shared))
-        return best >= overlap_needed(int(least[i]), int(least[j]))
-
-    def leaf_pairs(self) -> Iterator[tuple[int, int]]:
-        top = len(self.levels) - 1
-        stack = [(top, 0, 0)]
-        while stack:
-            level, i, j = stack.pop()
-            if not self.could(level, i, j):
-                continue
-            if not level:
-                yield i, j
-                continue
-            n = len(self.levels[level - 1][0])
-            for a in range(i * FAN, min(n, (i + 1) * FAN)):
-                stack += [(level - 1, a, b) for b in range(a if i == j else j * FAN, min(n, (j + 1) * FAN))]
-
-
-def possible_pairs(bitmaps: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows (ordered by size) whose greatest possible overlap reaches the threshold, leaf pair by leaf pair."""
-    bits = ones(bitmaps)
-    for a, b in Tree(bitmaps, sizes).leaf_pairs():
-        i, j = np.arange(a * LEAF, min(len(sizes), (a + 1) * LEAF)), np.arange(b * LEAF, min(len(sizes), (b + 1) * LEAF))
-        shared = ones(bitmaps[i][:, None] & bitmaps[j][None])
-        best = np.minimum(sizes[i][:, None] - bits[i][:, None] + shared, sizes[j][None] - bits[j][None] + shared)
-        p, q = np.nonzero((best >= overlap_needed(sizes[i][:, None], sizes[j][None])) & (i[:, None] != j[None]))
-        yield i[p], j[q]
-
-
-def bands(bitmaps: list[np.ndarray], sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs as of ``possible_pairs`` among bitmaps of several widths: each width with the next one, folded to it."""
+        best = np.minimum(most[i] - np.maximum(0, few[i] - shared), most[j] - np.maximum(0, few[j] - shared))
+        out[fits] = best >= overlap_needed(least[i], least[j])
+        return out
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of rows, by their places in the input, that the walk from the root leaves."""
+        i = j = np.zeros(1, np.int64)
+        for level in range(len(self.levels) - 1, -1, -1):
+            keep = self.could(level, i, j) & ((i != j) | (level > 0))
+            self.walked[level] = (len(i), int(keep.sum()))
+            i, j = i[keep], j[keep]
+            if level:
+                fan, n = self.fans[level - 1], len(self.levels[level - 1][0])
+                a, b = (x.ravel() for x in np.meshgrid(np.arange(fan), np.arange(fan), indexing="ij"))
+                i, j = ((x[:, None] * fan + y[None]).ravel() for x, y in ((i, a), (j, b)))
+                inside = (i <= j) & (j < n)
+                i, j = i[inside], j[inside]
+        return self.order[i], self.order[j]
+
+
+def trees(bitmaps: list[np.ndarray], sizes: np.ndarray) -> Iterator[tuple[np.ndarray, Tree, np.ndarray]]:
+    """Rows, tree and width of each row: a tree for each width, and one for the sizes near the border of two widths, folded to the smaller."""
     words = np.array([len(b) for b in bitmaps])
     for w in np.unique(words).tolist():
-        rows = np.flatnonzero((words == w) | (words == 2 * w))
-        rows = rows[np.argsort(sizes[rows], kind="stable")]
-        if len(rows) > 1:
-            for i, j in possible_pairs(np.stack([folded(bitmaps[k], w) for k in rows]), sizes[rows]):
-                yield rows[i], rows[j]
-
-
-def alive(sizes: np.ndarray, bitmaps: list[np.ndarray]) -> np.ndarray:
-    """Which rows of a block some other row could link with."""
+        border = 16 * w  # the largest set of this width
+        near = (words == w) & (DEN * sizes >= NUM * border) | (words == 2 * w) & (NUM * sizes <= DEN * border)
+        for own in (words == w, near if (words[near] > w).any() else words < 0):
+            rows = np.flatnonzero(own)
+            if len(rows) > 1:
+                cut = np.stack([folded(bitmaps[k], w) for k in rows])
+                yield rows, Tree(cut, sizes[rows], sizes[rows], ones(cut)), words[rows]
+
+
+def pairs(bitmaps: list[np.ndarray], sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows that could link."""
+    for rows, tree, words in trees(bitmaps, sizes):
+        i, j = tree.pairs()
+        # The border's tree gives the pairs of unlike widths; those of like widths come from their own.
+        new = slice(None) if words.min() == words.max() else words[i] != words[j]
+        yield rows[i[new]], rows[j[new]]
+
+
+def alive(sizes: np.ndarray, bitmaps: list[np.ndarray], known: np.ndarray) -> np.ndarray:
+    """Which rows of a block could link with a row of another known component."""
     out = np.zeros(len(sizes), bool)
-    for i, j in bands(bitmaps, sizes):
-        out[i] = out[j] = True
+    for i, j in pairs(bitmaps, sizes):
+        new = known[i] != known[j]
+        out[i[new]] = out[j[new]] = True
     return out
 
 
@@ -237,7 +287,7 @@ def links(ids: list[int], sets: list[np.ndarray], known: list[int]) -> list[tupl
             k = parent[k]
         return k
 
-    for rows, partners in bands([signature(s, width(len(s))) for s in sets], np.array([len(s) for s in sets], np.int64)):
+    for rows, partners in pairs([signature(s, width(len(s))) for s in sets], np.array([len(s) for s in sets], np.int64)):
         for i, j in zip(rows.tolist(), partners.tolist(), strict=True):
             a, b = root(i), root(j)
             if a == b:
@@ -254,13 +304,13 @@ def links(ids: list[int], sets: list[np.ndarray], known: list[int]) -> list[tupl
     return [(ids[k], least[root(k)]) for k in first.values() if ids[k] != least[root(k)]]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Rows of each block from batches in order of (leader, block); blocks may go over batches."""
+# --- blocks -----------------------------------------------------------------------------------
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
+    """Rows that agree in the first ``keys`` columns, from batches in their order; a group may go over batches."""
     rows: list[tuple] = []
     for batch in batches:
-        columns = [c.to_pylist() for c in batch.columns]
-        for row in zip(*columns, strict=True):
-            if rows and row[:2] != rows[-1][:2]:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if rows and row[:keys] != rows[-1][:keys]:
                 yield rows
                 rows = []
             rows.append(row)
@@ -268,107 +318,156 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield rows
 
 
-def _alive_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of (leader, block, rep, n_shingles, bits) to the members some other one could link with."""
-    found: list[tuple[int, int]] = []
-    for rows in _blocks(batches):
-        keep = alive(np.array([r[3] for r in rows], np.int64), [np.frombuffer(r[4], "<u8") for r in rows])
-        found += [(r[0], r[2]) for r, k in zip(rows, keep.tolist(), strict=True) if k]
-        if len(found) > 10_000:
-            yield _edges(found, "leader", "rep")
-            found = []
-    yield _edges(found, "leader", "rep")
+def _batches(found: Iterator[tuple], names: str) -> Iterator[pa.RecordBatch]:
+    """Tuples of integers as batches."""
+    columns, rows = [n.split()[0] for n in names.split(", ")], []
+    for row in found:
+        rows.append(row)
+        if len(rows) == 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=columns)
+            rows = []
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=columns)
 
 
-def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of (leader, block, rep, tokens, known) to links."""
-    found: list[tuple[int, int]] = []
-    for rows in _blocks(batches):
-        if len(rows) > 1:
-            found += links([r[2] for r in rows], [np.frombuffer(r[3], "<u8") for r in rows], [r[4] for r in rows])
-        if len(found) > 10_000:
-            yield _edges(found)
-            found = []
-    yield _edges(found)
+MEMBER, LINK, MEETING = "leader long, block long, rep long, known long", "a long, b long", "leader long, x long, y long"
 
 
-def _edges(found: list[tuple[int, int]], *names: str) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=names or ("a", "b"))
+def _alive_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of (leader, block, rep, known, n_shingles, bits) to the members that some other one could link with."""
+
+    def found() -> Iterator[tuple]:
+        for rows in _groups(batches, 2):
+            if len(rows) > 1:
+                keep = alive(np.array([r[4] for r in rows], np.int64), [np.frombuffer(r[5], "<u8") for r in rows], np.array([r[3] for r in rows], np.int64))
+                yield from (r[:4] for r, k in zip(rows, keep.tolist(), strict=True) if k)
+
+    return _batches(found(), MEMBER)
 
 
-def _by_block(rows: DataFrame) -> DataFrame:
-    return rows.repartition("leader", "block").sortWithinPartitions("leader", "block", "rep")
+def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of (leader, block, rep, known, tokens) to links."""
+
+    def found() -> Iterator[tuple]:
+        for rows in _groups(batches, 2):
+            if len(rows) > 1:
+                yield from links([r[2] for r in rows], [np.frombuffer(r[4], "<u8") for r in rows], [r[3] for r in rows])
+
+    return _batches(found(), LINK)
+
+
+def _summaries(batches: Iterator[pa.RecordBatch], words: int = 64) -> Iterator[pa.RecordBatch]:
+    """Blocks of (leader, band, block, main, n_shingles, bits) to one node each: OR of the bitmaps in ``words`` words, sizes, least bit count."""
+    names = ["leader", "band", "block", "main", "bits", "least", "most", "few"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    out = []
+    for rows in _groups(batches, 3):
+        # Short bitmaps are repeated rather than folded, which keeps a bit of every member.
+        cut = np.stack([folded(b, words) if len(b) > words else np.resize(b, words) for b in (np.frombuffer(r[5], "<u8") for r in rows)])
+        few = min(int(ones(np.frombuffer(r[5], "<u8"))) if len(r[5]) <= 8 * words else int(ones(c)) for r, c in zip(rows, cut, strict=True))
+        sizes = [r[4] for r in rows]
+        out.append((*rows[0][:3], all(r[3] for r in rows), np.bitwise_or.reduce(cut, axis=0).tobytes(), min(sizes), max(sizes), few))
+    for k in range(0, len(out), 1000):
+        columns = zip(*out[k : k + 1000], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes of two neighbouring bands of one leader (leader, at, band, block, main, bits, least, most, few) to the pairs of blocks that meet."""
+
+    def found() -> Iterator[tuple]:
+        for rows in _groups(batches, 2):
+            bits = np.stack([np.frombuffer(r[5], "<u8") for r in rows])
+            tree = Tree(bits, *(np.array([r[k] for r in rows], np.int64) for k in (6, 7, 8)))
+            i, j = tree.pairs()
+            for a, b in [*zip(i.tolist(), j.tolist(), strict=True), *((k, k) for k in range(len(rows)))]:
+                # Two blocks of the lower band, or one of each, meet here; those of the upper band among themselves meet in theirs.
+                if min(rows[a][2], rows[b][2]) == rows[a][1] and not (rows[a][4] and rows[b][4]):
+                    yield rows[a][0], min(rows[a][3], rows[b][3]), max(rows[a][3], rows[b][3])
+
+    return _batches(found(), MEETING)
+
+
+def _by(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.repartition(*keys).sortWithinPartitions(*keys)
+
+
+def _linked(members: DataFrame, classes: DataFrame, texts: DataFrame, firsts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Links of members (leader, block, rep, known): first on bitmaps, then on the sets of those left."""
+    full = members.join(classes.select("rep", "n_shingles", "bits"), "rep").select("leader", "block", "rep", "known", "n_shingles", "bits")
+    left = scratch.write(_by(full, "leader", "block").mapInArrow(_alive_members, MEMBER), f"{name}-alive")
+    wanted = left.select("rep").distinct().join(firsts, "rep")
+    same = texts["doc_id"].eqNullSafe(wanted["first.doc_id"]) & (texts["tk"] == wanted["first.tk"])
+    # Repeated rows have one id and text; one of them is enough.
+    chosen = texts.join(wanted, same).select("rep", "text").dropDuplicates(["rep"])
+    sets = scratch.write(chosen.mapInArrow(_sets, "rep long, tokens binary"), f"{name}-sets")
+    found = left.join(sets, "rep").select("leader", "block", "rep", "known", "tokens")
+    out = scratch.write(_by(found, "leader", "block").mapInArrow(_join_blocks, LINK), f"{name}-links")
+    scratch.drop(f"{name}-alive", f"{name}-sets")
+    return out
 
 
-def _linked(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    with_sets = rows.join(sets, "rep").select("leader", "block", "rep", "tokens", "known")
-    return _by_block(with_sets).mapInArrow(_join_blocks, "a long, b long")
+def _pmod(x: Column, n: Column) -> Column:
+    return F.pmod(F.xxhash64(x), n).cast("long")
+
+
+def _remaining(large: DataFrame, edges: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Members (leader, block, rep, known) of the pairs of blocks that could still hold links of large groups (leader, rep)."""
+    known = components(edges).withColumnRenamed("node", "rep")
+    labelled = large.join(known, "rep", "left").withColumn("known", F.coalesce("component", "rep")).drop("component")
+    labelled = scratch.write(labelled.join(classes.select("rep", "n_shingles"), "rep"), "labelled")
+    sizes = labelled.groupBy("leader", "known").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("leader").agg(F.max(F.struct("n", "known")).alias("top"), F.count("*").alias("n_known")).where("n_known > 1")
+    still = labelled.join(main.select("leader", F.col("top.known").alias("largest")), "leader").withColumn("main", F.col("known") == F.col("largest"))
+    still = still.withColumn("band", F.floor(F.log(F.col("n_shingles")) / float(np.log(BAND))).cast("long"))
+    part = ["leader", "band", "main"]
+    n_blocks = still.groupBy(*part).agg(F.ceil(F.count("*") / BLOCK).alias("n_blocks"))
+    blocked = still.join(n_blocks, part).withColumn("block", F.xxhash64("band", "main", _pmod(F.col("rep"), F.col("n_blocks"))))
+    blocked = scratch.write(blocked.select("leader", "band", "block", "main", "rep", "known", "n_shingles"), "size-blocks")
+    full = blocked.join(classes.select("rep", "bits"), "rep").select("leader", "band", "block", "main", "n_shingles", "bits")
+    nodes = _by(full, "leader", "band", "block").mapInArrow(_summaries, "leader long, band long, block long, main boolean, bits binary, least long, most long, few long")
+    # Logarithms may err in the last digit, so neighbours are taken one band further.
+    near = nodes.withColumn("at", F.explode(F.array("band", F.col("band") - 1, F.col("band") - 2))).select("leader", "at", "band", "block", "main", "bits", "least", "most", "few")
+    met = _by(near, "leader", "at").mapInArrow(_meetings, MEETING)
+    met = scratch.write(met.select("leader", F.xxhash64("x", "y").alias("meeting"), F.explode(F.array_distinct(F.array("x", "y"))).alias("block")), "meetings")
+    out = blocked.join(met, ["leader", "block"]).select("leader", F.col("meeting").alias("block"), "rep", "known")
+    return scratch.write(out, "remaining")
 
 
 # --- the join ---------------------------------------------------------------------------------
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     require(docs, "doc_id", "text")
-    spark = docs.sparkSession
+    spark, id_type = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     scratch = Scratch(spark, "near")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counts = spark.sparkContext.broadcast(shingle_counts(texts))
-    kinds = "doc_id long, n_shingles long, rep long, weight double, prefix array<bigint>, bits binary"
-    full = scratch.write(texts.mapInArrow(partial(_prefixes, counts=counts), kinds), "shingles")
-    rows = scratch.write(full.select("doc_id", "n_shingles", "rep"), "rows")
-    named = full.where("n_shingles > 0 and doc_id is not null")
-
-    # From here on a row is a class (rep); copies fall together wherever rows are counted or made distinct.
-    tokens = named.select("rep", F.explode("prefix").alias("token"))
-    shared = tokens.groupBy("token").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a != b").select("token")
-    met = scratch.write(tokens.join(shared, "token", "left_semi").distinct(), "shared-tokens")
-    weights = named.groupBy("rep").agg(F.max("weight").alias("weight"))
-    leaders = met.join(weights, "rep").groupBy("token").agg(F.max(F.struct("weight", "rep")).alias("top"))
-    leaders = leaders.select("token", F.col("top.rep").alias("leader"))
-    members = scratch.write(met.join(leaders, "token").select("leader", "rep").distinct(), "members")
-    scratch.drop("shared-tokens")
-
-    n_blocks = members.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
-    members = members.join(n_blocks, "leader")
-    small = members.where("n_blocks = 1").withColumn("block", F.lit(0))
-    bits = named.select("rep", "n_shingles", "bits").dropDuplicates(["rep"])
-    near = _by_block(small.join(bits, "rep").select("leader", "block", "rep", "n_shingles", "bits")).mapInArrow(_alive_members, "leader long, rep long")
-    members = scratch.write(near.withColumn("n_blocks", F.lit(1)).unionByName(members.where("n_blocks > 1")), "near-members")
-    scratch.drop("shingles", "members")
-
-    firsts = rows.where("n_shingles > 0 and doc_id is not null").groupBy("rep").agg(F.min("doc_id").alias("first"))
-    wanted = members.select("rep").distinct().join(firsts, "rep")
-    sets = texts.join(wanted, texts["doc_id"] == F.col("first")).select("rep", "text")
-    sets = scratch.write(sets.mapInArrow(_sets, "rep long, tokens binary"), "sets")
-    blocked = members.withColumn("block", F.pmod(F.xxhash64("rep"), "n_blocks").cast("int"))
-    others = blocked.where("rep != leader").select("leader", "block", "rep")
-    led = members.where("rep = leader").select("leader", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"), "rep")
-    edges = scratch.write(_linked(others.unionByName(led).withColumn("known", F.col("rep")), sets), "links")
-
-    large = members.where("n_blocks > 1").select("leader", "rep", "n_blocks")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("tk"), "text")
+    frequent = spark.sparkContext.broadcast(frequent_shingles(texts, scratch))
+    kinds = f"doc_id {id_type}, tk long, n_shingles long, rep long, prefix array<bigint>, bits binary"
+    full = scratch.write(texts.mapInArrow(partial(_prefixes, frequent=frequent), kinds), "shingles")
+    rows = scratch.write(full.select("doc_id", "tk", "n_shingles", "rep"), "rows")
+    linkable = F.expr("n_shingles > 0 and doc_id is not null")
+    classes = scratch.write(full.where(linkable).select("rep", "n_shingles", "prefix", "bits").dropDuplicates(["rep"]), "classes")
+    scratch.drop("shingles")
+    firsts = rows.where(linkable).groupBy("rep").agg(F.min(F.struct("doc_id", "tk")).alias("first"))
+
+    # One shuffle by token serves both the leaders and the join with them.
+    tokens = classes.select("rep", F.explode("prefix").alias("token")).repartition("token")
+    leaders = tokens.groupBy("token").agg(F.max("rep").alias("leader"), F.count("*").alias("n")).where("n > 1").select("token", "leader")
+    members = scratch.write(tokens.join(leaders, "token").select("leader", "rep").distinct(), "members")
+    n_blocks = members.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).alias("n_blocks"))
+    sized = members.join(n_blocks, "leader")
+    others = sized.where("rep != leader").select("leader", _pmod(F.col("rep"), F.col("n_blocks")).alias("block"), "rep")
+    led = n_blocks.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"), F.col("leader").alias("rep"))
+    edges = _linked(others.unionByName(led).withColumn("known", F.col("rep")), classes, texts, firsts, scratch, "first")
+
+    large = sized.where("n_blocks > 1").select("leader", "rep")
     if not large.isEmpty():
-        known = components(edges)
-        labelled = large.join(known.withColumnRenamed("node", "rep"), "rep", "left").withColumn("known", F.coalesce("component", "rep"))
-        labelled = scratch.write(labelled.select("leader", "rep", "n_blocks", "known"), "labelled")
-        sizes = labelled.groupBy("leader", "known").agg(F.count("*").alias("n"))
-        main = sizes.groupBy("leader").agg(F.max(F.struct("n", "known")).alias("top"), F.count("*").alias("n_known")).where("n_known > 1")
-        main = main.select("leader", F.col("top.known").alias("main"))
-        still = labelled.join(main, "leader")
-        rest = still.where("known != main")
-        n_rest = rest.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_rest"))
-        rest = rest.join(n_rest, "leader").withColumn("u", F.pmod(F.xxhash64("rep", F.lit(1)), "n_rest").cast("int"))
-        still = still.join(n_rest, "leader").withColumn("m", F.pmod(F.xxhash64("rep"), "n_blocks").cast("int"))
-        block = (F.col("u") * F.col("n_blocks") + F.col("m")).alias("block")
-        outside = rest.withColumn("m", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select("leader", block, "rep", "known")
-        inside = still.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("n_rest") - 1))).select("leader", block, "rep", "known")
-        more = scratch.write(_linked(outside.unionByName(inside).distinct(), sets), "more-links")
-        edges = edges.unionByName(more)
-
-    scratch.drop("sets")
+        edges = edges.unionByName(_linked(_remaining(large, edges, classes, scratch), classes, texts, firsts, scratch, "second"))
     # Components of classes; texts that share an id may be in different ones.
-    linked = components(edges).withColumnRenamed("node", "rep").join(firsts, "rep")
-    least = linked.groupBy("component").agg(F.min("first").alias("least"))
+    linked = components(edges).withColumnRenamed("node", "rep").join(firsts, "rep").select("rep", "component", "first.doc_id")
+    least = linked.groupBy("component").agg(F.min("doc_id").alias("least"))
     of_linked = linked.join(least, "component").select("rep", "least")
-    of_class = firsts.join(of_linked, "rep", "left").select("rep", F.coalesce("least", "first").alias("component_id"))
-    out = rows.withColumn("rep", F.when(F.expr("doc_id is not null and n_shingles > 0"), F.col("rep"))).join(of_class, "rep", "left")
+    of_class = firsts.join(of_linked, "rep", "left").select("rep", F.coalesce("least", "first.doc_id").alias("component_id"))
+    out = rows.withColumn("rep", F.when(linkable, F.col("rep"))).join(of_class, "rep", "left")
+    scratch.drop("classes", "members", "labelled", "size-blocks", "meetings", "remaining")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

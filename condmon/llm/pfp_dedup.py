@@ -38,47 +38,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import Scratch, require
+from .common import Scratch, require, slices
 
 LENGTH, GRAM, SPREAD, RUN = 400, 12, 256, 16
-BATCH_BYTES = 1 << 20
 PLACE = 24  # bits of a place beside the trigger's hash; longer batches take the minimum piece by piece
 KEY = ["doc_id", "tk"]
 
 
-def _slices(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
-    """Texts in groups of about BATCH_BYTES, with the first one's row."""
-    at, group, size = 0, [], 0
-    for k, x in enumerate(column):
-        group.append((x.as_py() or "").encode())
-        size += len(group[-1])
-        if size >= BATCH_BYTES:
-            yield at, group
-            at, group, size = k + 1, [], 0
-    if group:
-        yield at, group
-
-
-class _Hashes:
-    """Keeps the power tables between batches."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.zeros(0, rolling.U)
-
-    def __call__(self, data: np.ndarray) -> rolling.Bytes:
-        if len(data) > len(self.up) - 1:
-            n = max(len(data), 2 * BATCH_BYTES)
-            self.up, self.down = rolling.powers(n, rolling.BASE), rolling.powers(n, rolling.INVERSE)
-        return rolling.Bytes(data, self.up, self.down)
-
-
-def _phrases(data: np.ndarray, ends: np.ndarray, hashes: _Hashes, length: int, spread: int) -> tuple[np.ndarray, ...]:
+def _phrases(data: np.ndarray, ends: np.ndarray, tables: rolling.Powers, length: int, spread: int) -> tuple[np.ndarray, ...]:
     """For joined documents that end at ``ends``: trigger, first and last window start of each phrase, K and C."""
     n = len(data)
     empty = np.zeros(0, np.int64)
     if n < length:
         return empty, empty, empty, empty.view(rolling.U), empty.view(rolling.U)
-    h = hashes(data)
+    h = rolling.Bytes(data, tables)
     low = rolling.U((1 << PLACE) - 1)
     trigger = np.empty(n - length + 1, np.int64)
     step = (1 << PLACE) - spread
@@ -102,11 +75,11 @@ def _phrases(data: np.ndarray, ends: np.ndarray, hashes: _Hashes, length: int, s
 
 def _first_pass(batches: Iterator[pa.RecordBatch], length: int, spread: int) -> Iterator[pa.RecordBatch]:
     """doc_id, tk, text to one row for each phrase; places count from the document's start."""
-    hashes = _Hashes()
+    tables = rolling.Powers()
     for batch in batches:
-        for at, texts in _slices(batch.column(2)):
+        for at, texts in slices(batch.column(2)):
             ends = np.cumsum([len(t) for t in texts])
-            t, first, last, k, c = _phrases(np.frombuffer(b"".join(texts), np.uint8), ends, hashes, length, spread)
+            t, first, last, k, c = _phrases(np.frombuffer(b"".join(texts), np.uint8), ends, tables, length, spread)
             doc = np.searchsorted(ends, first, side="right")
             begin = ends[doc] - np.array([len(x) for x in texts], np.int64)[doc] if len(doc) else first
             rows = pa.array(doc + at)
@@ -118,12 +91,12 @@ def _first_pass(batches: Iterator[pa.RecordBatch], length: int, spread: int) ->
 
 def _run_pass(batches: Iterator[pa.RecordBatch], length: int, run: int) -> Iterator[pa.RecordBatch]:
     """doc_id, tk, text, open (t, first, last) to one row for each run of windows, with the windows' hashes."""
-    hashes = _Hashes()
+    tables = rolling.Powers()
     for batch in batches:
         out: list[list] = [[] for _ in range(6)]
         for row in range(batch.num_rows):
             data = np.frombuffer((batch.column(2)[row].as_py() or "").encode(), np.uint8)
-            h = hashes(data)
+            h = rolling.Bytes(data, tables)
             for x in batch.column(3)[row].as_py():
                 t, first, last = x["t"], x["first"], x["last"]
                 p = np.arange(first, last + 1)

@@ -185,6 +185,44 @@ def test_near_duplicates(spark, docs, block, monkeypatch):
     assert got == want
 
 
+def test_trees_prune_unrelated_nodes():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    draw = lambda n: np.unique(rng.integers(0, 1 << 63, n).astype("u8"))
+    shared = draw(50)
+    for sets in (
+        [draw(n) for n in [*rng.integers(200, 211, 64), *rng.integers(500, 521, 64)]],
+        [np.unique(np.r_[shared, draw(n)]) for n in rng.integers(100, 401, 128)],
+    ):
+        sizes = np.array([len(s) for s in sets])
+        found = list(jaccard_join.trees([jaccard_join.signature(s, jaccard_join.width(len(s))) for s in sets], sizes))
+        assert not any(len(tree.pairs()[0]) for _, tree, _ in found)
+        tested, kept = (sum(tree.walked[1][k] for _, tree, _ in found) for k in (0, 1))
+        assert tested > 500 and kept < tested / 3, (tested, kept)
+    # Clusters of near copies: nodes above the lowest are pruned as well.
+    sets = [np.unique(np.r_[base, draw(4)]) for base in [draw(300) for _ in range(8)] for _ in range(16)]
+    sizes = np.array([len(s) for s in sets])
+    cut = np.stack([jaccard_join.signature(s, 2048) for s in sets])
+    tree = jaccard_join.Tree(cut, sizes, sizes, jaccard_join.ones(cut))
+    i, j = tree.pairs()
+    assert {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist())} == {(a, b) for a in range(128) for b in range(a + 1, a // 16 * 16 + 16)}
+    assert tree.walked[2][1] < tree.walked[2][0] / 2 and tree.walked[1][1] < tree.walked[1][0] / 2, tree.walked
+
+
+def test_near_duplicates_of_other_ids_and_long_texts(spark):
+    rng = random.Random(8)
+    long = " ".join(f"w{rng.randint(0, 10**7)}" for _ in range(300_000))
+    rows = [("b", long), ("a", long.replace("w1", "w2", 3)), ("c", "x" * 3_000_000 + " y"), ("d", "x" * 3_000_000 + " z")]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {"a": "a", "b": "a", "c": "c", "d": "d"}
+
+
+def test_near_duplicates_of_many_repeated_rows(spark):
+    docs = spark.range(3000).select((F.col("id") % 3).alias("doc_id"), F.lit("one text that many rows repeat under the same few ids").alias("text"))
+    assert {tuple(r) for r in jaccard_join.near_duplicates(docs).collect()} == {(k, 7, 0) for k in range(3)}
+
+
 def test_near_duplicates_of_null_ids(spark):
     rows = [(None, "a b c d e f g"), (None, "a b c d e f g"), (3, "a b c d e f g"), (4, None), (5, "A B C D E F G")]
     got = rows_of(jaccard_join.near_duplicates(frame(spark, rows)), "doc_id", "n_shingles", "component_id")
