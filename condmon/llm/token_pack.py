@@ -10,14 +10,17 @@ The container is Parquet, which Spark commits and reads on any store.
 Payload: magic ``PFOR``, u32 ids, u32 blocks, u32 offsets; each block: u32 smallest id, u16 ids,
 u8 width, u16 exceptions, packed values, u16 places, u32 values. All little-endian.
 
-Texts are cut where a non-space meets a space, and where a letter that follows nothing but letters
-since the last cut meets a sign, which are always edges of the byte-level pre-tokenizer, so a piece's ids don't depend on its surroundings; repeated pieces are encoded once
-per task. Texts with U+001C to U+001F, where Python's and the library's white space differ, are
-encoded whole. A tokenizer with another pre-tokenizer or a normalizer is given whole texts only.
+Texts are cut before a space that stands between two non-spaces and before a line feed after a
+non-space, which are always edges of the byte-level pre-tokenizer, so a chunk's ids don't depend on
+its surroundings. Chunks known to the Python worker are looked up; new ones are cut further, where
+letters meet a sign, and only pieces new to the worker are encoded. Texts with other white space are
+cut by a slower pattern, those with U+001C to U+001F, where Python's and the library's white space
+differ, are encoded whole. A tokenizer with another pre-tokenizer or a normalizer is given whole texts only.
 
 Defined cases: a null text counts as empty and holds the end id alone; documents go by ascending
-doc_id, null first, and equal ids by text; repeated rows are written once each; further columns
-are ignored; an empty table gives no file rows.
+doc_id (of any type with an order), null first, and equal ids by the 64-bit hash of the text, so
+rows of one id spread over tasks; repeated rows are written once each; texts of any length are
+written whole; further columns are ignored; an empty table gives no file rows.
 """
 
 from __future__ import annotations
@@ -27,22 +30,31 @@ import re
 import struct
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
-from functools import partial
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import require, written
 
-BLOCK, PERCENTILE, SEGMENT_IDS, CACHE = 4096, 98.0, 1 << 18, 450_000
-SCHEMA = "shard int, segment int, before long, n_ids long, doc_ids binary, null_id boolean, doc_lens binary, payload binary"
+BLOCK, PERCENTILE, SEGMENT_IDS = 4096, 98.0, 1 << 18
+#: Pieces that each of a worker's two caches keeps, twice at most.
+CACHE = 300_000
+#: Shards that are added up in one window.
+SHARDS = 512
+SCHEMA = "shard int, segment int, before long, n_ids long, doc_ids array<{kind}>, doc_lens binary, payload binary"
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 PIECES = re.compile(rf"\s*[{LETTERS}]+(?=[\s.,;:!?|#$%&*]|\Z)|\s*\S+|\s+")
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 SIMPLE = re.compile(rf" ?[{LETTERS}]+")
+#: White space in a row, other than one empty line, and white space inside a chunk.
+IRREGULAR = ("  ", "\n ", " \n", "\n\n\n")
+INNER = re.compile(r"\s")
+#: In place of the ids of a chunk with white space inside.
+ODD = b"?"
 
 
 # --- blocks -----------------------------------------------------------------------------------
@@ -99,8 +111,9 @@ def unpack(payload: bytes, first: int = 0, last: int | None = None) -> np.ndarra
 
 
 # --- encoding ---------------------------------------------------------------------------------
+@lru_cache(2)
 def encoder(tokenizer_json: str) -> Callable[[str], bytes]:
-    """Text to little-endian uint32 ids, through the tokenizers library."""
+    """Text to little-endian uint32 ids, through the tokenizers library; one for all tasks of a worker."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -113,10 +126,11 @@ def encoder(tokenizer_json: str) -> Callable[[str], bytes]:
         return raw
     if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or re.search(r"\s", t["content"]) for t in conf.get("added_tokens", ())):
         return raw
-    known: dict[str, bytes] = {}
     line = tok.encode("\n", add_special_tokens=False).ids
+    irregular = (*IRREGULAR, *(t["content"] for t in conf.get("added_tokens", ())))
+    pieces, chunks = Recent(CACHE), Recent(CACHE)
 
-    def learn(new: list[str]) -> None:
+    def learn(new: list[str]) -> Iterable[tuple[str, bytes]]:
         """Encode new pieces. Those of letters go as the lines of one text, whose line feeds are tokens of their own."""
         lines = [p for p in new if SIMPLE.fullmatch(p)] if len(line) == 1 else []
         others = [p for p in new if not SIMPLE.fullmatch(p)] if lines else new
@@ -125,53 +139,84 @@ def encoder(tokenizer_json: str) -> Callable[[str], bytes]:
             ends = [*np.flatnonzero(ids == line[0]).tolist(), len(ids)]
             data, at = ids.tobytes(), 0
             for p, end in zip(lines, ends, strict=True):
-                known[p] = data[4 * at : 4 * end]
+                yield p, data[4 * at : 4 * end]
                 at = end + 1
         if others:
             for p, e in zip(others, tok.encode_batch_fast(others, add_special_tokens=False), strict=True):
-                known[p] = array("I", e.ids).tobytes()
+                yield p, array("I", e.ids).tobytes()
+
+    def cut(new: list[str]) -> Iterable[tuple[str, bytes]]:
+        """Encode new chunks piece by piece. A chunk without a line feed stands after a space."""
+        parts = [PIECES.findall(c if c[0] == "\n" else " " + c) for c in new]
+        ids = iter(pieces.of([p for part in parts for p in part], learn))
+        for c, part in zip(new, parts, strict=True):
+            own = b"".join([next(ids) for _ in part])
+            yield c, own if not INNER.search(c, c[0] == "\n") else ODD
 
     def encode(text: str) -> bytes:
         if ODD_SPACE.search(text):
             return raw(text)
-        pieces = PIECES.findall(text)
-        if new := list(set(pieces).difference(known)):
-            if len(known) > CACHE:
-                known.clear()
-                new = list(set(pieces))
-            learn(new)
-        return b"".join(map(known.__getitem__, pieces))
+        if not text or text[-1].isspace() or text[0].isspace() or any(x in text for x in irregular):
+            return b"".join(pieces.of(PIECES.findall(text), learn))
+        first, *rest = text.replace("\n", " \n").split(" ")
+        found = chunks.of(rest, cut)
+        if ODD in found:
+            return b"".join(pieces.of(PIECES.findall(text), learn))
+        return b"".join(pieces.of(PIECES.findall(first), learn)) + b"".join(found)
 
     return encode
 
 
+class Recent(dict):
+    """Ids of the pieces met last: when ``most`` are held they become the older half, whose pieces come back when met again."""
+
+    def __init__(self, most: int) -> None:
+        super().__init__()
+        self.most, self.older = most, {}
+
+    def of(self, keys: list[str], learn: Callable[[list[str]], Iterable[tuple[str, bytes]]]) -> list[bytes]:
+        found = list(map(self.get, keys))
+        if None in found:
+            lacking = {k for k, v in zip(keys, found, strict=True) if v is None}
+            back = {k: self.older[k] for k in lacking if k in self.older}
+            back.update(learn([k for k in lacking if k not in back]))
+            if len(self) + len(back) > self.most:
+                self.older = dict(self)
+                self.clear()
+            self.update(back)
+            found = [v if v is not None else back[k] for k, v in zip(keys, found, strict=True)]
+        return found
+
+
 def _segments(batches: Iterator[pa.RecordBatch], tokenizer_json: str, end_id: int, segment_ids: int) -> Iterator[pa.RecordBatch]:
+    """Documents in their order (doc_id, text) to rows of SCHEMA."""
     from pyspark import TaskContext
 
     encode, end = encoder(tokenizer_json), np.array([end_id], "<u4").tobytes()
     shard, segment, before = TaskContext.get().partitionId(), 0, 0
-    ids: list[int] = []
+    ids: list[pa.Array] = []
     texts: list[bytes] = []
-    size, null = 0, False
+    size = 0
 
     def row() -> pa.RecordBatch:
         flat = np.frombuffer(b"".join(texts), "<u4")
         lens = np.array([len(t) // 4 for t in texts], "<u4").tobytes()
-        values = [shard, segment, before, len(flat), np.array(ids, "<i8").tobytes(), null, lens, pack(flat)]
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.binary(), pa.binary()]
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names)
+        every = pa.concat_arrays(ids)
+        values = [pa.array([shard], pa.int32()), pa.array([segment], pa.int32()), pa.array([before]), pa.array([len(flat)]), pa.ListArray.from_arrays(pa.array([0, len(every)], pa.int32()), every)]
+        values += [pa.array([lens], pa.binary()), pa.array([pack(flat)], pa.binary())]
+        return pa.RecordBatch.from_arrays(values, names=["shard", "segment", "before", "n_ids", "doc_ids", "doc_lens", "payload"])
 
     for batch in batches:
-        for i, text in zip(batch.column(0), batch.column(1), strict=True):
-            i = i.as_py()
-            if texts and (size >= segment_ids or null != (i is None)):
-                yield row()
-                before, segment, size, ids, texts = before + size, segment + 1, 0, [], []
-            null = i is None
-            ids.append(i or 0)
+        at = 0
+        for k, text in enumerate(batch.column(1)):
             texts.append(encode(text.as_py() or "") + end)
             size += len(texts[-1]) // 4
+            if size >= segment_ids:
+                ids.append(batch.column(0).slice(at, k + 1 - at))
+                yield row()
+                before, segment, size, ids, texts, at = before + size, segment + 1, 0, [], [], k + 1
+        if at < batch.num_rows:
+            ids.append(batch.column(0).slice(at))
     if texts:
         yield row()
 
@@ -179,35 +224,41 @@ def _segments(batches: Iterator[pa.RecordBatch], tokenizer_json: str, end_id: in
 def write_tokens(docs: DataFrame, tokenizer_json: str, end_id: int, name: str = "tokens", segment_ids: int = SEGMENT_IDS) -> DataFrame:
     """Write the files below the shared folder; return the frame that reads them."""
     require(docs, "doc_id", "text")
-    order = ["doc_id", "text"]
-    sorted_docs = docs.select(*order).repartitionByRange("doc_id").sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
-    rows = sorted_docs.mapInArrow(partial(_segments, tokenizer_json=tokenizer_json, end_id=end_id, segment_ids=segment_ids), SCHEMA)
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("tk"), "text").repartitionByRange("doc_id", "tk")
+    in_order = keyed.sortWithinPartitions(F.asc_nulls_first("doc_id"), "tk", "text").select("doc_id", "text")
+    schema = SCHEMA.format(kind=docs.schema["doc_id"].dataType.simpleString())
+    rows = in_order.mapInArrow(partial(_segments, tokenizer_json=tokenizer_json, end_id=end_id, segment_ids=segment_ids), schema)
     return written(rows, name)
 
 
+def shard_starts(files: DataFrame) -> DataFrame:
+    """shard, shard_start: ids in all shards before. A shard is a task that wrote, so there are as many rows as there were partitions."""
+    sizes = files.groupBy("shard").agg(F.sum("n_ids").alias("n")).withColumn("part", F.floor(F.col("shard") / SHARDS))
+    earlier = F.sum("n").over(Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
+    parts = sizes.groupBy("part").agg(F.sum("n").alias("n"))
+    # One row for SHARDS tasks.
+    parts = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("part_start"))
+    return sizes.withColumn("earlier", F.coalesce(earlier, F.lit(0))).join(parts, "part").select("shard", (F.col("earlier") + F.col("part_start")).alias("shard_start"))
+
+
 def read_tokens(files: DataFrame) -> DataFrame:
     """Every document of the files: doc_id, start, n_tokens, ids_crc32."""
-    sizes = files.groupBy("shard").agg(F.sum("n_ids").alias("n"))
-    # One row per task that wrote: as many as there were partitions, whatever the documents' number.
-    earlier = sizes.alias("a").join(F.broadcast(sizes.alias("b")), F.expr("b.shard < a.shard"), "left")
-    earlier = earlier.groupBy("a.shard").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("shard_start"))
-    placed = files.join(F.broadcast(earlier), "shard").withColumn("before", F.col("before") + F.col("shard_start"))
-    columns = placed.select("before", "doc_ids", "null_id", "doc_lens", "payload")
-    return columns.mapInArrow(_documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    placed = files.join(shard_starts(files), "shard").withColumn("before", F.col("before") + F.col("shard_start"))
+    kind = files.schema["doc_ids"].dataType.elementType.simpleString()
+    return placed.select("before", "doc_ids", "doc_lens", "payload").mapInArrow(_documents, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for before, doc_ids, null, lens, payload in zip(*(batch.column(k) for k in range(5)), strict=True):
+        for k in range(batch.num_rows):
+            before, ids, lens, payload = (c[k] for c in batch.columns)
             n = np.frombuffer(lens.as_py(), "<u4").astype(np.int64)
             flat = unpack(payload.as_py()).astype("<u4")
             ends = np.cumsum(n)
             starts = ends - n
             crc = [zlib.crc32(flat[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-            ids = np.frombuffer(doc_ids.as_py(), "<i8")
-            ids = pa.nulls(len(n), pa.int64()) if null.as_py() else pa.array(ids, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(starts + before.as_py()), pa.array(n), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"]
+                [ids.values, pa.array(starts + before.as_py()), pa.array(n), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"]
             )
 
 
