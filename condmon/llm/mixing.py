@@ -2,18 +2,20 @@
 
 A source with share s of the corpus and target weight w is repeated w / s times on average (times
 ``size``, the output's size over the input's). Each row's count is the inverse Poisson
-distribution, with that mean, of a uniform number hashed from seed and id; the row is
+distribution, with that mean, of a uniform number hashed from seed, id and text; the row is
 exploded by its count, and every copy gets a hashed place in one global order. No mean is too large:
 beyond ``DIRECT_RATE`` the terms start some deviations below the mean, the first by Stirling's series.
 
 Counts depend on a row's content and the rates alone, so the result is the same however the rows
 are partitioned, and a lost task recomputes its own rows. Sources are counted over all rows; the
-table of rates is broadcast only up to ``BROADCAST_SOURCES`` rows and joined by shuffle beyond.
+table of rates, one row for each source, is written, so its size decides how Spark joins it. Places are uniform, so
+the k-th of p partitions takes the places from k / p on, and no pass over the rows is needed to find borders.
 
 Defined cases: a null source is a source of its own; a source without a target weight takes the
-weight 0 (no copies) if weights are given; a null text is mixed like any other; repeated rows
-get equal counts, as they are equal in all that is hashed; further columns are kept, but columns
-named replica, rate or mix_key are refused; an empty table gives none.
+weight 0 (no copies) if weights are given; null ids and texts are hashed as empty ones; repeated rows
+get equal counts and places, as they are equal in all that is hashed; rows of one place go by id and replica;
+texts of any length are kept whole; further columns are kept, but columns named replica, rate or mix_key are
+refused; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -23,9 +25,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, require
+from .common import let, require, written
 
-BROADCAST_SOURCES = 100_000
 BITS = 52
 #: Up to this mean terms are summed from 0, where exp(-mean) is a normal double.
 DIRECT_RATE = 500
@@ -82,23 +83,23 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
     return given.crossJoin(F.broadcast(total)).select(by, "n", (size * F.col("weight") / F.col("weights") * F.col("all") / F.col("n")).alias("rate"))
 
 
+def copies(count: Column) -> Column:
+    """Arrays of at most RUN replica numbers, 1 to ``count`` in all; null for none. The count is evaluated once."""
+    last = lambda r, n: F.least((r + 1) * RUN, n)
+    runs = lambda n: F.transform(F.sequence(F.lit(0), F.floor((n - 1) / RUN).cast("int")), lambda r: F.struct((r * RUN + 1).alias("a"), last(r, n).alias("b")))
+    return let(count, lambda n: F.when(n > 0, runs(n)))
+
+
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, size: float = 1.0, seed: int = 17, by: str = "source") -> DataFrame:
     """The columns of ``docs`` with rate, replica (from 1) and mix_key; the partitions' order and their rows' order follow mix_key."""
-    require(docs, "doc_id", by)
+    require(docs, "doc_id", "text", by)
     if clash := {"replica", "rate", "mix_key"} & set(docs.columns):
         raise ValueError(f"columns {sorted(clash)} are taken")
-    table = rates(docs, weights, temperature, size, by)
-    found = table.agg(F.count("*").alias("n"), F.max("rate").alias("most")).first()
-    rated = table.select(F.col(by).alias("_by"), "rate")
-    rated = F.broadcast(rated) if found["n"] <= BROADCAST_SOURCES else rated
-    joined = docs.join(rated, docs[by].eqNullSafe(F.col("_by"))).drop("_by")
-    counted = joined.withColumn("replica", poisson_count(uniform(seed, F.col("doc_id")), F.col("rate"))).where("replica > 0")
-    if (found["most"] or 0.0) > RUN / 2:
-        # One array of all copies of a row would not fit a task, so a row is exploded run by run.
-        runs = F.transform(F.sequence(F.lit(0), F.floor((F.col("replica") - 1) / RUN).cast("int")), lambda r: F.struct((r * RUN + 1).alias("a"), F.least((r + 1) * RUN, F.col("replica")).alias("b")))
-        counted = counted.withColumn("replica", F.explode(runs))
-        copies = counted.withColumn("replica", F.explode(F.sequence("replica.a", "replica.b")))
-    else:
-        copies = counted.withColumn("replica", F.explode(F.sequence(F.lit(1), "replica")))
-    copies = copies.withColumn("mix_key", uniform(seed + 1, F.col("doc_id"), F.col("replica")))
-    return copies.repartitionByRange("mix_key").sortWithinPartitions("mix_key")
+    rated = written(rates(docs, weights, temperature, size, by).select(F.col(by).alias("_by"), "rate"), "rates")
+    key = F.md5(F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary"))
+    joined = docs.withColumn("_text", key).join(rated, docs[by].eqNullSafe(F.col("_by"))).drop("_by")
+    runs = joined.withColumn("_run", F.explode(copies(poisson_count(uniform(seed, F.col("doc_id"), F.col("_text")), F.col("rate")))))
+    each = runs.withColumn("replica", F.explode(F.sequence("_run.a", "_run.b"))).drop("_run")
+    placed = each.withColumn("mix_key", uniform(seed + 1, F.col("doc_id"), F.col("_text"), F.col("replica"))).drop("_text")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed.repartitionById(parts, F.floor(F.col("mix_key") * parts).cast("int")).sortWithinPartitions("mix_key", "doc_id", "replica")

@@ -69,11 +69,11 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pfp_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+    return pfp_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents").drop("text")).select("doc_id", "source", "replica", "rate", "mix_key")
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "replica", "rate", "mix_key", "text")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,10 +145,10 @@ FROM f""",
 WITH s AS (SELECT source, count(*) AS n, pow(count(*), 0.5) AS weight FROM documents GROUP BY source),
 t AS (SELECT sum(n) AS n_all, sum(weight) AS weights FROM s),
 r AS (SELECT source, weight / weights * n_all / n AS rate FROM s, t),
-d AS (SELECT doc_id, d.source, rate, ('0x' || md5('17|' || coalesce(doc_id::VARCHAR, ''))[1:13])::BIGINT / pow(2, 52) AS u
+d AS (SELECT doc_id, text, d.source, rate, coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, '')) AS key,
+             ('0x' || md5('17|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, '')))[1:13])::BIGINT / pow(2, 52) AS u
       FROM documents d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
-k AS (SELECT *, list_filter(range(0, 60), lambda j: u >= list_sum(list_transform(range(0, j + 1), lambda i: exp(-rate) * pow(rate, i) / gamma(i + 1)))) AS below FROM d)
-SELECT doc_id, source, replica::INT AS replica, rate,
-       ('0x' || md5('18|' || coalesce(doc_id::VARCHAR, '') || '|' || replica)[1:13])::BIGINT / pow(2, 52) AS mix_key
+k AS (SELECT *, list_filter(range(0, ceil(rate + 12 * sqrt(rate) + 24)::BIGINT), lambda j: u >= list_sum(list_transform(range(0, j + 1), lambda i: exp(-rate) * pow(rate, i) / gamma(i + 1)))) AS below FROM d)
+SELECT doc_id, source, text, replica::INT AS replica, rate, ('0x' || md5('18|' || key || '|' || replica)[1:13])::BIGINT / pow(2, 52) AS mix_key
 FROM (SELECT *, unnest(range(1, len(below) + 1)) AS replica FROM k)""",
 }

@@ -95,7 +95,7 @@ def test_mixing_reaches_the_weights(spark):
     from condmon.llm import mixing
 
     rows = [(k, "big" if k % 4 else None) for k in range(8000)]
-    docs = spark.createDataFrame(rows, "doc_id long, source string").withColumn("n", F.lit("clash"))
+    docs = spark.createDataFrame(rows, "doc_id long, source string").withColumns({"n": F.lit("clash"), "text": F.lit("t")})
     out = mixing.mix(docs, weights={"big": 1.0}, size=0.5)
     assert 3700 < out.count() < 4300 and out.where("source is null").count() == 0
     even = mixing.mix(docs, temperature=0.0)
@@ -106,6 +106,25 @@ def test_mixing_reaches_the_weights(spark):
     assert one != sorted(one)
 
 
+def test_mixing_of_odd_rows(spark):
+    from condmon.llm import mixing
+
+    rows = [(None, f"text {k}", "a") for k in range(400)] + [(7, None, None), (7, None, None), (8, "", "b"), (9, "x" * 2_000_000, "b")] * 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("key", F.lit("clash"))
+    out = mixing.mix(docs.repartition(5), size=2.0)
+    assert out.columns == ["doc_id", "text", "source", "key", "rate", "replica", "mix_key"]
+    got = out.withColumn("part", F.spark_partition_id()).select("doc_id", F.md5("text").alias("t"), "source", "replica", "mix_key", "part").collect()
+    # Texts without an id are drawn one by one.
+    assert len({r["t"] for r in got if r["source"] == "a"}) > 200 and len({r["replica"] for r in got if r["source"] == "a"}) > 1
+    assert len({r["mix_key"] for r in got if r["source"] == "a"}) == sum(r["source"] == "a" for r in got)
+    # The global order follows mix_key, ties included.
+    order = [(r["mix_key"], str(r["doc_id"]), r["replica"]) for r in sorted(got, key=lambda r: r["part"])]
+    assert [x[0] for x in order] == sorted(x[0] for x in order)
+    equal = [r for r in got if r["doc_id"] == 7]
+    assert len(equal) % 40 == 0
+    assert mixing.mix(docs.limit(0)).count() == 0
+
+
 def test_mixing_of_any_rate(spark):
     from condmon.llm import mixing
 
@@ -120,7 +139,7 @@ def test_mixing_of_any_rate(spark):
         assert below - last <= u + 1e-7 and u <= below + 1e-7, (u, rate, k)
 
     # One row beside a dominant source, as in 600,000 documents.
-    docs = spark.range(600_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") > 0, "big").alias("source"))
+    docs = spark.range(600_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") > 0, "big").alias("source"), F.lit("t").alias("text"))
     n = mixing.mix(docs).where("source is null").agg(F.count("*"), F.countDistinct("replica"), F.max("replica"), F.countDistinct("mix_key")).first()
     assert n[0] == n[1] == n[2] == n[3] and 774 - 6 * 28 < n[0] < 774 + 6 * 28
     named = docs.where("doc_id < 200000").withColumn("source", F.coalesce("source", F.lit("rare")))
