@@ -13,7 +13,8 @@ group, as a conversation's length is bounded by what a model reads.
 
 Defined cases: null texts and roles count as empty; turns are ordered by turn, then role and
 text, null turns first; repeated rows are repeated turns; a null conv_id is a conversation of its
-own; a conversation that breaks the turn order is formatted, and ``violation`` says where.
+own; a conversation that breaks the turn order is formatted, and ``violation`` says where; texts of any
+length are kept whole; further columns are ignored; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -52,21 +53,32 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"<~(~*)\|", "<$1|")
 
 
-def walk(roles: Column, template: Template) -> Column:
-    """The machine's state after all turns; ``violation:N`` names the first turn that may not follow."""
+def machine(turns: Column, template: Template) -> Column:
+    """Run the machine over (turn, role, text) structs: segments (text, loss), and ``violation``.
+
+    The state is the role last seen. Each step emits the turn's three segments and checks that the turn may follow;
+    ``violation:N`` names the first turn that may not, ``violation:end`` a state that may not be the last.
+    """
     steps = F.array(*[F.lit(f"{a}\n{b}") for a, after in template.steps.items() for b in after])
+    segment = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
+
+    def emitted(turn: Column) -> Column:
+        head = F.concat(F.lit(template.start), F.replace(escape(turn["role"]), F.lit("\n"), F.lit("<|nl|>")), F.lit(template.separator))
+        return F.array(segment(head, F.lit(False)), segment(escape(turn["text"]), turn["role"].isin(*template.loss_roles)), segment(F.lit(template.end), F.lit(False)))
 
     def step(state: Column, turn: Column) -> Column:
-        ok = F.array_contains(steps, F.concat(state["at"], F.lit("\n"), turn))
+        ok = F.array_contains(steps, F.concat(state["at"], F.lit("\n"), turn["role"]))
         bad = F.when(state["bad"] >= 0, state["bad"]).when(ok, F.lit(-1)).otherwise(state["n"])
-        return F.struct((state["n"] + 1).alias("n"), turn.alias("at"), bad.alias("bad"))
+        return F.struct((state["n"] + 1).alias("n"), turn["role"].alias("at"), bad.alias("bad"), F.concat(state["segments"], emitted(turn)).alias("segments"))
 
     def finish(state: Column) -> Column:
-        out = F.when(state["bad"] >= 0, F.concat(F.lit("violation:"), state["bad"].cast("string")))
-        return out.when(~state["at"].isin(*template.final), F.lit("violation:end")) if template.final else out
+        wrong = F.when(state["bad"] >= 0, F.concat(F.lit("violation:"), state["bad"].cast("string")))
+        wrong = wrong.when(~state["at"].isin(*template.final), F.lit("violation:end")) if template.final else wrong
+        return F.struct(state["segments"].alias("segments"), wrong.alias("violation"))
 
-    zero = F.struct(F.lit(0).alias("n"), F.lit(template.begin).alias("at"), F.lit(-1).alias("bad"))
-    return F.aggregate(roles, zero, step, finish)
+    none = F.expr("cast(array() as array<struct<text:string,loss:boolean>>)")
+    zero = F.struct(F.lit(0).alias("n"), F.lit(template.begin).alias("at"), F.lit(-1).alias("bad"), none.alias("segments"))
+    return F.aggregate(turns, zero, step, finish)
 
 
 def format_chats(rows: DataFrame, template: Template = CHATML) -> DataFrame:
@@ -74,16 +86,8 @@ def format_chats(rows: DataFrame, template: Template = CHATML) -> DataFrame:
     require(rows, "conv_id", "turn", "role", "text")
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    plain = lambda c: F.struct(c.alias("text"), F.lit(False).alias("loss"))
-
-    def of_turn(t: Column) -> Column:
-        head = F.concat(F.lit(template.start), F.replace(escape(t["role"]), F.lit("\n"), F.lit("<|nl|>")), F.lit(template.separator))
-        body = F.struct(escape(t["text"]).alias("text"), t["role"].isin(*template.loss_roles).alias("loss"))
-        return F.array(plain(head), body, plain(F.lit(template.end)))
-
-    chats = chats.select(
-        "conv_id", F.flatten(F.transform("turns", of_turn)).alias("segments"), walk(F.col("turns.role"), template).alias("violation")
-    )
+    # One struct in an array of its own, so that the machine runs once for both of its results.
+    chats = chats.select("conv_id", F.inline(F.array(machine(F.col("turns"), template))))
     span = "struct<start:bigint,length:bigint>"
 
     def place(state: Column, s: Column) -> Column:
@@ -102,7 +106,7 @@ def format_chats(rows: DataFrame, template: Template = CHATML) -> DataFrame:
 
 
 def read_back(formatted: DataFrame, template: Template = CHATML) -> DataFrame:
-    """conv_id, turns (role, text) parsed from the formatted text, loss_texts cut at the spans, formatted."""
+    """conv_id, turns (role, text) parsed from the formatted text, loss_texts cut at the spans, formatted, violation."""
     pieces = F.slice(F.split("formatted", _literal(template.start)), 2, 2**30)
 
     def parse(p: Column) -> Column:
@@ -112,7 +116,7 @@ def read_back(formatted: DataFrame, template: Template = CHATML) -> DataFrame:
         return F.struct(unescape(role).alias("role"), unescape(text).alias("text"))
 
     cut = let(F.col("formatted"), lambda f: F.transform("loss_spans", lambda s: unescape(F.substring(f, s["start"].cast("int"), s["length"].cast("int")))))
-    return formatted.select("conv_id", F.transform(pieces, parse).alias("turns"), cut.alias("loss_texts"), "formatted")
+    return formatted.select("conv_id", F.transform(pieces, parse).alias("turns"), cut.alias("loss_texts"), "formatted", "violation")
 
 
 def _literal(text: str) -> str:
