@@ -68,7 +68,7 @@ def test_classifier_on_held_out_rows(spark, sf_dir):
     found = quality_clf.score(docs.select("doc_id", "text"), model).join(labels, "doc_id").where(quality_clf.held_out(F.col("doc_id"))).collect()
     good, bad = ([r["score"] for r in found if r["quality"] == y] for y in (1, 0))
     wins = sum((g > b) + (g == b) / 2 for g in good for b in bad)
-    assert len(bad) >= 5 and wins / (len(good) * len(bad)) > 0.97
+    assert len(bad) >= 5 and wins / (len(good) * len(bad)) > 0.99
     again = quality_clf.train(docs, labels, usable=~quality_clf.held_out(F.col("doc_id")))
     assert again == model
 
@@ -85,6 +85,44 @@ def test_classifier_prior_does_not_depend_on_the_bounds(spark):
         assert model.slope > 0 and abs(mean - 6 / 7) < 0.06, (most, mean)
 
 
+def test_classifier_of_odd_rows(spark):
+    rng = random.Random(4)
+    make = lambda k, y: " ".join(rng.choices(["fine", "well", "clear", "sound"] if y else ["zap", "buy", "win", "now"], k=40)) + f" {k}"
+    rows = [(k, make(k, k % 4 > 0)) for k in range(200)]
+    given = [(k, int(k % 4 > 0)) for k in range(200)]
+    docs = spark.createDataFrame([*rows, (None, None), (None, make(0, True)), (300, ""), (301, None), (302, " ".join([make(0, False)] * 20_000)), (5, make(5, True))], "doc_id long, text string")
+    # Ids with both labels, ids without a row, and null ids leave the model as it is.
+    labels = spark.createDataFrame([*given, *given[:20], (900, 0), (900, 1), (None, 0), (3, None)], "doc_id long, quality int")
+    model = quality_clf.train(docs, labels)
+    assert model == quality_clf.train(docs.repartition(7), labels.repartition(3)) and abs(model.prior - 151 / 202) < 1e-9
+    out = quality_clf.score(docs.withColumns({"score": F.lit("clash"), "predicted": F.lit("clash")}), model).collect()
+    got = {r["doc_id"]: r["score"] for r in out}
+    assert len(out) == docs.count() and abs(got[300] - model.prior) < 1e-9 and abs(got[301] - model.prior) < 1e-9
+    assert got[302] < 0.3 and got[3] > 0.7 > got[4]
+    assert quality_clf.score(docs.limit(0), model).count() == 0
+
+
+def test_workers_need_no_copy_of_the_repository(sf_dir, tmp_path):
+    """In a session of its own whose workers cannot import the library."""
+    import os
+    import subprocess
+    import sys
+
+    code = f"""
+import sys
+sys.path.insert(0, {os.path.dirname(os.path.abspath(P.__file__))!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.sql.warehouse.dir", {str(tmp_path)!r}).getOrCreate()
+from condmon.llm import queries as Q
+print("rows", Q.op7_quality_classifier(spark, {sf_dir!r}).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH" and not k.startswith("PYSPARK")}
+    kept = [x for x in os.environ.get("PYTHONPATH", "").split(os.pathsep) if x and not os.path.isdir(f"{x}/condmon")]
+    env |= {"PYTHONPATH": os.pathsep.join(kept)} if kept else {}
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=tmp_path, env=env, timeout=300)
+    assert "rows " in done.stdout, done.stderr[-2000:]
+
+
 def test_classifier_without_labels_or_texts(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "some words")], "doc_id long, text string")
     model = quality_clf.train(docs, spark.createDataFrame([], "doc_id long, quality int"))
