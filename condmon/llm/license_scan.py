@@ -3,16 +3,17 @@
 The hashes of all rolling word k-grams of a document are joined with the positions of the same
 k-grams in the license templates. A hit votes for the diagonal ``place in document - place in
 template``. Votes are gathered by document, template and diagonal; neighbouring diagonals (text
-with a word put in or left out) merge to one span; a span counts when it holds enough of its
-template. A *phrase* must stand word for word: all its k-grams on one diagonal.
+with a word put in or left out) merge to one span within a window of about twice the template's length, so
+spans cannot chain along a document. A span is verified: the longest run of its k-grams in the template's
+order must hold enough of the template, and the k-grams that tell a license from its like (a version, ``nc`` or
+``sa``) must be among its votes. A *phrase* must stand word for word: all its k-grams on one diagonal.
 
 Votes compare the words themselves beside the hash, so a span never rests on a hash collision.
-The templates are a parameter; their number is checked before they are broadcast, and beyond
-``BROADCAST_ROWS`` positions Spark picks a shuffle join.
+The templates are a parameter; they are broadcast up to ``BROADCAST_ROWS`` words, and joined by shuffle beyond.
 
 Defined cases: a null or empty text has no words and no labels; a text shorter than a template
-can hold no phrase of it; repeated rows give equal rows; documents with one id and different
-texts stay apart; a null id stays null; further columns are ignored.
+can hold no phrase of it; texts of any length are searched whole; repeated rows give equal rows; documents
+with one id and different texts stay apart; a null id stays null; further columns are ignored; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ class Template:
     base: bool = False
     #: Least part of the template's k-grams that a span must hold; 1.0 asks for the very words.
     least: float = 0.75
+    #: Runs of words that a span must hold whatever else it lacks.
+    must: tuple[str, ...] = ()
 
 
 #: The base phrases and common licence lines.
@@ -46,18 +49,27 @@ TEMPLATES = (
     Template("cc-by", "cc by", True, 1.0),
     Template("gpl", "general public license", True, 1.0),
     Template("reserved", "all rights reserved", True, 1.0),
-    Template("apache", "licensed under the apache license version 2 0"),
-    Template("cc-by-nc", "licensed under cc by nc 4 0"),
-    Template("cc-by-sa", "licensed under cc by sa 4 0"),
-    Template("gpl-3", "this work is licensed under the gnu general public license version 3"),
-    Template("mit", "released under the mit license"),
+    Template("apache", "licensed under the apache license version 2 0", must=("apache license", "version 2")),
+    Template("cc-by-nc", "licensed under cc by nc 4 0", must=("by nc",)),
+    Template("cc-by-sa", "licensed under cc by sa 4 0", must=("by sa",)),
+    Template("gpl-2", "this work is licensed under the gnu general public license version 2", must=("public license", "version 2")),
+    Template("gpl-3", "this work is licensed under the gnu general public license version 3", must=("public license", "version 3")),
+    Template("mit", "released under the mit license", must=("mit license",)),
     Template("mit-grant", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
-    Template("mpl", "this source code form is subject to the terms of the mozilla public license"),
-    Template("cc", "licensed under a creative commons attribution"),
+    Template("mpl", "this source code form is subject to the terms of the mozilla public license", must=("mozilla public",)),
+    Template("cc", "licensed under a creative commons attribution", must=("creative commons",)),
 )
 
 
+def compulsory(template: Template, k: int = K) -> list[int]:
+    """Places of the k-grams that ``must`` names."""
+    words = template.text.split()
+    grams = [words[i : i + k] for i in range(len(words) - k + 1)]
+    asked = [m.split()[i : i + k] for m in template.must for i in range(len(m.split()) - k + 1)]
+    return sorted({grams.index(g) for g in asked})
+
+
 def tokens(text: Column) -> Column:
     """Words of a text. Only A-Z differ from a-z in templates, so letters beyond ASCII may be lower-cased as well."""
     return words(F.lower(text), SEPARATORS)
@@ -69,11 +81,11 @@ def kgrams(w: Column, k: int) -> Column:
 
 
 def template_positions(spark: SparkSession, templates: tuple[Template, ...], k: int) -> DataFrame:
-    rows = [(t.label, t.text, t.base, float(t.least)) for t in templates]
-    df = spark.createDataFrame(rows, "label string, phrase string, base boolean, least double")
-    df = df.select("label", "base", "least", tokens(F.col("phrase")).alias("w")).withColumn("n_grams", F.size("w") - (k - 1))
-    df = df.select("label", "base", "least", "n_grams", F.posexplode(kgrams(F.col("w"), k)).alias("tpos", "g")).where(F.col("tpos") < F.col("n_grams"))
-    return df.select("label", "base", "least", "n_grams", "tpos", F.col("g").alias("template_gram"), _hash("g", k).alias("h"))
+    rows = [(t.label, t.text, t.base, float(t.least), compulsory(t, k)) for t in templates]
+    df = spark.createDataFrame(rows, "label string, phrase string, base boolean, least double, must array<int>")
+    df = df.select("label", "base", "least", "must", tokens(F.col("phrase")).alias("w")).withColumn("n_grams", F.size("w") - (k - 1))
+    df = df.select("label", "base", "least", "must", "n_grams", F.posexplode(kgrams(F.col("w"), k)).alias("tpos", "g")).where(F.col("tpos") < F.col("n_grams"))
+    return df.select("label", "base", "least", "must", "n_grams", "tpos", F.col("g").alias("template_gram"), _hash("g", k).alias("h"))
 
 
 def _hash(gram: str, k: int) -> Column:
@@ -91,19 +103,35 @@ def spans(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, k: int =
     grams = base.select("doc_id", "text_key", F.posexplode(kgrams(F.col("w"), k)).alias("pos", "g"))
     same = [F.col(f"g.w{i}") == F.col(f"template_gram.w{i}") for i in range(k)]
     votes = grams.withColumn("h", _hash("g", k)).join(positions, "h").where(reduce(Column.__and__, same))
-    key = ["doc_id", "text_key", "label", "base", "least", "n_grams"]
-    lines = votes.groupBy(*key, (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.collect_set("tpos").alias("held"))
-    exact = lines.where((F.col("least") >= 1) & (F.size("held") == F.col("n_grams")))
+    key = ["doc_id", "text_key", "label", "base", "least", "must", "n_grams"]
+    diagonal = (F.col("pos") - F.col("tpos")).alias("diagonal")
+    exact = votes.where("least >= 1").groupBy(*key, diagonal).agg(F.collect_set("tpos").alias("held")).where(F.size("held") == F.col("n_grams"))
     exact = exact.withColumns({"first_word": F.col("diagonal"), "last_word": F.col("diagonal"), "coverage": F.lit(1.0)})
-    by_text = Window.partitionBy(*key).orderBy("diagonal")
+    # A span reaches over less than one length, so one of two neighbouring windows holds it whole.
+    length = 2 * F.col("n_grams") + shift
+    home = F.floor(F.col("pos") / length)
+    loose = votes.where("least < 1").withColumn("window", F.explode(F.array(home, home - 1)))
+    loose = loose.groupBy(*key, "window", diagonal).agg(F.collect_set(F.struct("pos", (-F.col("tpos")).alias("back"))).alias("votes"))
+    by_text = Window.partitionBy("doc_id", "text_key", "label", "window").orderBy("diagonal")
     far = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by_text) > shift, F.lit(True))
-    loose = lines.where("least < 1").withColumn("far", far.cast("int")).withColumn("span", F.sum("far").over(by_text))
-    loose = loose.groupBy(*key, "span").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("held")))).alias("n_held"), F.min("diagonal").alias("first_word"), F.max("diagonal").alias("last_word")
-    )
-    loose = loose.withColumn("coverage", F.col("n_held") / F.col("n_grams")).where("coverage >= least")
+    loose = loose.withColumn("far", far.cast("int")).withColumn("span", F.sum("far").over(by_text))
+    merged = loose.groupBy(*key, "window", "span").agg(F.flatten(F.collect_list("votes")).alias("votes"), F.min("diagonal").alias("first_word"), F.max("diagonal").alias("last_word"))
+    held = F.transform("votes", lambda v: -v["back"])
+    merged = merged.where(F.forall("must", lambda m: F.array_contains(held, m)))
+    merged = merged.withColumn("coverage", longest_run(F.col("votes"), F.col("n_grams")) / F.col("n_grams")).where("coverage >= least")
     names = ["doc_id", "text_key", "label", "base", "first_word", "last_word", "coverage"]
-    return exact.select(names).unionByName(loose.select(names))
+    return exact.select(names).unionByName(merged.select(names).distinct())
+
+
+def longest_run(votes: Column, n_grams: Column) -> Column:
+    """Most votes (pos, -tpos) whose places rise in document and template alike."""
+
+    def step(best: Column, v: Column) -> Column:
+        at = -v["back"]
+        value = F.coalesce(F.array_max(F.slice(best, F.lit(1), at)), F.lit(0)) + 1
+        return F.transform(best, lambda b, i: F.when(i == at, F.greatest(b, value)).otherwise(b))
+
+    return F.aggregate(F.sort_array(votes), F.transform(F.sequence(F.lit(1), n_grams), lambda _: F.lit(0)), step, lambda best: F.array_max(best))
 
 
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, k: int = K, shift: int = 3) -> DataFrame:

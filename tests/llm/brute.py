@@ -90,3 +90,41 @@ def url(text: str | None) -> tuple[str, str, str | None, str | None]:
     fits = [(len(h + p), h + p, v) for h, p, v in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
     best = max(fits, default=(0, None, None))
     return host, path, best[1], best[2]
+
+
+def licenses(text: str | None, templates, shift: int = 3) -> tuple[str, float]:  # noqa: ANN001
+    """Labels and score of a license scan, template by template and window by window."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(text or ""))
+    grams = lambda w: [tuple(w[k : k + 2]) for k in range(len(w) - 1)]
+    places: dict[tuple[str, str], list[int]] = {}
+    for k, g in enumerate(grams(words)):
+        places.setdefault(g, []).append(k)
+    labels, score = set(), 0.0
+    for t in templates:
+        own = grams(t.text.split())
+        votes = [(p, k) for k, g in enumerate(own) for p in places.get(g, ())]
+        best = 0.0
+        if t.least >= 1:
+            lines = Counter(p - k for p, k in set(votes))
+            best = float(any(n == len(own) for n in lines.values()))
+        else:
+            length = 2 * len(own) + shift
+            for w in {p // length - d for p, _ in votes for d in (0, 1)}:
+                inside = sorted({v for v in votes if v[0] // length in (w, w + 1)}, key=lambda v: v[0] - v[1])
+                spans: list[list[tuple[int, int]]] = []
+                for v in inside:
+                    if spans and v[0] - v[1] - (spans[-1][-1][0] - spans[-1][-1][1]) <= shift:
+                        spans[-1].append(v)
+                    else:
+                        spans.append([v])
+                for span in spans:
+                    run = {}
+                    for p, k in sorted(span):
+                        run[p, k] = 1 + max((n for (q, j), n in run.items() if q < p and j < k), default=0)
+                    must = {own.index(g) for m in t.must for g in grams(m.split())}
+                    if must <= {k for _, k in span} and max(run.values()) / len(own) >= t.least:
+                        best = max(best, max(run.values()) / len(own))
+        if best:
+            labels.add(t.label)
+            score = max(score, best)
+    return ",".join(sorted(labels)), score

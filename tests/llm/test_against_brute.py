@@ -66,10 +66,23 @@ def test_rule_order_does_not_change_verdicts(spark, docs):
     assert [r.rejects / r.cost for r in ordered] == sorted((r.rejects / r.cost for r in ordered), reverse=True)
 
 
-def test_license_scan(spark, docs):
-    data = docs + ODD
-    got = rows_of(license_scan.scan(frame(spark, data).repartition(5)), "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
-    assert got == expect([(i, *brute.phrases(t)) for i, t in data])
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_license_scan(spark, docs, most, monkeypatch):
+    monkeypatch.setattr(license_scan, "BROADCAST_ROWS", most)
+    lines = ["This work is licensed under the GNU General Public License version 2 only", "This work is licensed under the GNU General Public License version 3."]
+    lines += ["licensed under the license apache version 2 0", "Licensed under the Apache License, Version 2.0", "under licensed the version 2 apache license 0 the apache license"]
+    lines += ["licensed under cc by nc 4 0 " * 40, "the mit license released under " * 9, "this source code form so is subject to these terms of the mozilla public license", "license " * 3000, "cc by " * 3000]
+    data = docs + ODD + [(6000 + k, x) for k, x in enumerate(lines)]
+    found = license_scan.scan(frame(spark, data).repartition(5)).collect()
+    key = lambda rows: sorted(rows, key=lambda r: tuple((x is not None, str(x)) for x in r))
+    names = ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    want = []
+    for i, t in data:
+        labels, score = brute.licenses(t, license_scan.TEMPLATES)
+        want.append((i, *brute.phrases(t), labels, round(score, 9)))
+    assert key([(*(r[n] for n in names[:-1]), round(r["score"], 9)) for r in found]) == key(want)
+    got = {r["doc_id"]: r["labels"].split(",") for r in found}
+    assert "gpl-2" in got[6000] and "gpl-3" not in got[6000] and "gpl-3" in got[6001] and "apache" not in got[6002] and "apache" in got[6003]
 
 
 def test_license_line_with_a_word_put_in(spark):
