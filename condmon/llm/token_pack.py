@@ -10,12 +10,13 @@ The container is Parquet, which Spark commits and reads on any store.
 Payload: magic ``PFOR``, u32 ids, u32 blocks, u32 offsets; each block: u32 smallest id, u16 ids,
 u8 width, u16 exceptions, packed values, u16 places, u32 values. All little-endian.
 
-Texts are cut before a space that stands between two non-spaces and before a line feed after a
-non-space, which are always edges of the byte-level pre-tokenizer, so a chunk's ids don't depend on
-its surroundings. Chunks known to the Python worker are looked up; new ones are cut further, where
-letters meet a sign, and only pieces new to the worker are encoded. Texts with other white space are
-cut by a slower pattern, those with U+001C to U+001F, where Python's and the library's white space
-differ, are encoded whole. A tokenizer with another pre-tokenizer or a normalizer is given whole texts only.
+Texts are cut before a space or line feed that stands between two non-spaces and between a letter
+and a sign, which are always edges of the byte-level pre-tokenizer, so a piece's ids don't depend on
+its surroundings. All of this runs on whole Arrow columns: the distinct pieces of some megabytes of text are
+looked up among those that the Python worker has met, and only new ones are encoded. Texts with other
+white space are cut by a slower pattern; those with U+0001 or U+001C to U+001F, where Python's and the
+library's white space differ, are encoded whole, as are all texts where the tokenizer has another
+pre-tokenizer or a normalizer.
 
 Defined cases: a null text counts as empty and holds the end id alone; documents go by ascending
 doc_id (of any type with an order), null first, and equal ids by the 64-bit hash of the text, so
@@ -29,32 +30,30 @@ import json
 import re
 import struct
 import zlib
-from array import array
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import require, written
 
 BLOCK, PERCENTILE, SEGMENT_IDS = 4096, 98.0, 1 << 18
-#: Pieces that each of a worker's two caches keeps, twice at most.
-CACHE = 300_000
+#: Pieces that a worker keeps, and bytes of text that it cuts at once.
+KNOWN, SLICE = 1_500_000, 8 << 20
 #: Shards that are added up in one window.
 SHARDS = 512
 SCHEMA = "shard int, segment int, before long, n_ids long, doc_ids array<{kind}>, doc_lens binary, payload binary"
-LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-PIECES = re.compile(rf"\s*[{LETTERS}]+(?=[\s.,;:!?|#$%&*]|\Z)|\s*\S+|\s+")
-ODD_SPACE = re.compile("[\x1c-\x1f]")
-SIMPLE = re.compile(rf" ?[{LETTERS}]+")
-#: White space in a row, other than one empty line, and white space inside a chunk.
-IRREGULAR = ("  ", "\n ", " \n", "\n\n\n")
-INNER = re.compile(r"\s")
-#: In place of the ids of a chunk with white space inside.
-ODD = b"?"
+LETTERS, SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?"
+CUT = "\x01"
+#: Pieces of texts with white space in a row or other than space and line feed.
+PIECES = re.compile(rf"\s*[{LETTERS}]+(?=[\s{SIGNS}|#$%&*]|\Z)|\s*\S+|\s+")
+IRREGULAR = r"  |\n | \n|\n\n\n|^[ \n]|[ \n]$|[\t\x0b\f\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+ODD = "[\x01\x1c-\x1f]"
+LINE = re.compile(r"[ \n]?\S+")
 
 
 # --- blocks -----------------------------------------------------------------------------------
@@ -111,96 +110,118 @@ def unpack(payload: bytes, first: int = 0, last: int | None = None) -> np.ndarra
 
 
 # --- encoding ---------------------------------------------------------------------------------
+class Known:
+    """Pieces met so far with their ids, as flat arrays of about 40 bytes a piece; beyond ``most`` only the last slice's stay."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.keys, self.flat, self.ends = most, pa.array([], pa.string()), np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+    def of(self, pieces: pa.Array, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces one after another, and where each piece's begin and end."""
+        if len(self.keys) > self.most:
+            self.__init__(self.most)
+        at = pc.index_in(pieces, value_set=self.keys)
+        new = pieces.filter(pc.is_null(at))
+        place = at.fill_null(0).to_numpy().astype(np.int64)
+        place[pc.is_null(at).to_numpy(zero_copy_only=False)] = len(self.keys) + np.arange(len(new))
+        if len(new):
+            ids, lens = learn(new.to_pylist())
+            self.flat = np.concatenate([self.flat, ids])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lens)])
+            self.keys = pa.concat_arrays([self.keys, new])
+        return spread(self.flat, self.ends[place], self.ends[place + 1] - self.ends[place])
+
+
+def spread(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ``flat`` one after another, and their borders."""
+    ends = np.concatenate([[0], np.cumsum(lens)])
+    return flat[np.repeat(starts - ends[:-1], lens) + np.arange(ends[-1])], ends
+
+
 @lru_cache(2)
-def encoder(tokenizer_json: str) -> Callable[[str], bytes]:
-    """Text to little-endian uint32 ids, through the tokenizers library; one for all tasks of a worker."""
+def encoder(tokenizer_json: str) -> Callable[[pa.Array], list[np.ndarray]]:
+    """Texts to uint32 ids, through the tokenizers library; one encoder for all tasks of a worker."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tok, conf = Tokenizer.from_str(tokenizer_json), json.loads(tokenizer_json)
-    raw = lambda t: np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-    pre = conf.get("pre_tokenizer") or {}
-    if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or conf.get("normalizer"):
-        return raw
-    if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or re.search(r"\s", t["content"]) for t in conf.get("added_tokens", ())):
-        return raw
-    line = tok.encode("\n", add_special_tokens=False).ids
-    irregular = (*IRREGULAR, *(t["content"] for t in conf.get("added_tokens", ())))
-    pieces, chunks = Recent(CACHE), Recent(CACHE)
-
-    def learn(new: list[str]) -> Iterable[tuple[str, bytes]]:
-        """Encode new pieces. Those of letters go as the lines of one text, whose line feeds are tokens of their own."""
-        lines = [p for p in new if SIMPLE.fullmatch(p)] if len(line) == 1 else []
-        others = [p for p in new if not SIMPLE.fullmatch(p)] if lines else new
-        if lines:
-            ids = np.array(tok.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids, "<u4")
-            ends = [*np.flatnonzero(ids == line[0]).tolist(), len(ids)]
-            data, at = ids.tobytes(), 0
-            for p, end in zip(lines, ends, strict=True):
-                yield p, data[4 * at : 4 * end]
-                at = end + 1
-        if others:
-            for p, e in zip(others, tok.encode_batch_fast(others, add_special_tokens=False), strict=True):
-                yield p, array("I", e.ids).tobytes()
-
-    def cut(new: list[str]) -> Iterable[tuple[str, bytes]]:
-        """Encode new chunks piece by piece. A chunk without a line feed stands after a space."""
-        parts = [PIECES.findall(c if c[0] == "\n" else " " + c) for c in new]
-        ids = iter(pieces.of([p for part in parts for p in part], learn))
-        for c, part in zip(new, parts, strict=True):
-            own = b"".join([next(ids) for _ in part])
-            yield c, own if not INNER.search(c, c[0] == "\n") else ODD
-
-    def encode(text: str) -> bytes:
-        if ODD_SPACE.search(text):
-            return raw(text)
-        if not text or text[-1].isspace() or text[0].isspace() or any(x in text for x in irregular):
-            return b"".join(pieces.of(PIECES.findall(text), learn))
-        first, *rest = text.replace("\n", " \n").split(" ")
-        found = chunks.of(rest, cut)
-        if ODD in found:
-            return b"".join(pieces.of(PIECES.findall(text), learn))
-        return b"".join(pieces.of(PIECES.findall(first), learn)) + b"".join(found)
+    raw = lambda t: np.array(tok.encode(t, add_special_tokens=False).ids, "<u4")
+    added = [t["content"] for t in conf.get("added_tokens", ())]
+    pre, line = conf.get("pre_tokenizer") or {}, raw("\n")
+    whole = pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or conf.get("normalizer") or len(line) != 1
+    whole = whole or any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or re.search(r"\s", t["content"]) for t in conf.get("added_tokens", ()))
+    slow = "|".join([IRREGULAR, *map(re.escape, added)])
+    known = Known(KNOWN)
+
+    def learn(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Encode new pieces. Those without white space, but for a leading one, go as the lines of one text, whose line feeds are tokens of their own."""
+        plain = np.array([LINE.fullmatch(p) is not None for p in new]) & ~np.array([any(a in p for a in added) for p in new])
+        lines = [p.lstrip("\n") for p, ok in zip(new, plain.tolist(), strict=True) if ok]
+        ids = np.array(tok.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids, "<u4") if lines else np.zeros(0, "<u4")
+        cuts = np.flatnonzero(ids == line[0])
+        if len(cuts) != max(0, len(lines) - 1):
+            each = [raw(p) for p in new]
+            return np.concatenate(each), np.array([len(x) for x in each])
+        lens = np.zeros(len(new), np.int64)
+        lens[plain] = np.diff([-1, *cuts.tolist(), len(ids)]) - 1 if lines else 0
+        flat = np.delete(ids, cuts)
+        # What the lines lack: the leading line feeds, and the other pieces.
+        feeds = np.flatnonzero(plain & np.array([p[:1] == "\n" for p in new]))
+        others = [(k, raw(new[k])) for k in np.flatnonzero(~plain).tolist()]
+        starts = np.cumsum(lens) - lens
+        at = [*starts[feeds].tolist(), *(x for k, own in others for x in [starts[k]] * len(own))]
+        flat = np.insert(flat, at, [*([line[0]] * len(feeds)), *(x for _, own in others for x in own.tolist())]) if at else flat
+        lens[feeds] += 1
+        for k, own in others:
+            lens[k] = len(own)
+        return flat.astype("<u4"), lens
+
+    def encode(texts: pa.Array) -> list[np.ndarray]:
+        if whole:
+            return [raw(t) for t in texts.to_pylist()]
+        odd = pc.match_substring_regex(texts, ODD)
+        irregular = pc.and_not(pc.match_substring_regex(texts, slow), odd)
+        cut = pc.replace_substring_regex(texts, rf"([{LETTERS}])([{SIGNS}])", rf"\1{CUT}\2")
+        cut = pc.replace_substring(pc.replace_substring(cut, " ", f"{CUT} "), "\n", f"{CUT}\n")
+        cut = pc.replace_with_mask(cut, irregular, pa.array([CUT.join(PIECES.findall(t)) for t in texts.filter(irregular).to_pylist()], pa.string()))
+        lists = pc.split_pattern(pc.replace_with_mask(cut, odd, pa.scalar("", pa.string())), CUT)
+        index = lists.flatten().dictionary_encode()
+        flat, ends = known.of(index.dictionary, learn)
+        at = index.indices.to_numpy().astype(np.int64)
+        ids, ends = spread(flat, ends[at], ends[at + 1] - ends[at])
+        borders = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()].tolist()
+        out = [ids[a:b] for a, b in zip(borders, borders[1:], strict=False)]
+        for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            out[k] = raw(texts[k].as_py())
+        return out
 
     return encode
 
 
-class Recent(dict):
-    """Ids of the pieces met last: when ``most`` are held they become the older half, whose pieces come back when met again."""
-
-    def __init__(self, most: int) -> None:
-        super().__init__()
-        self.most, self.older = most, {}
-
-    def of(self, keys: list[str], learn: Callable[[list[str]], Iterable[tuple[str, bytes]]]) -> list[bytes]:
-        found = list(map(self.get, keys))
-        if None in found:
-            lacking = {k for k, v in zip(keys, found, strict=True) if v is None}
-            back = {k: self.older[k] for k in lacking if k in self.older}
-            back.update(learn([k for k in lacking if k not in back]))
-            if len(self) + len(back) > self.most:
-                self.older = dict(self)
-                self.clear()
-            self.update(back)
-            found = [v if v is not None else back[k] for k, v in zip(keys, found, strict=True)]
-        return found
+def by_size(texts: pa.Array, size: int = 0) -> Iterator[tuple[int, pa.Array]]:
+    """The column in stretches of about ``size`` bytes, each with its first row; null is empty."""
+    texts = texts.cast(pa.string()).fill_null("")
+    part = np.cumsum(pc.binary_length(texts).to_numpy()) // (size or SLICE)
+    starts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist()] if len(texts) else []
+    for a, b in zip(starts, [*starts[1:], len(texts)], strict=False):
+        yield a, texts.slice(a, b - a)
 
 
 def _segments(batches: Iterator[pa.RecordBatch], tokenizer_json: str, end_id: int, segment_ids: int) -> Iterator[pa.RecordBatch]:
     """Documents in their order (doc_id, text) to rows of SCHEMA."""
     from pyspark import TaskContext
 
-    encode, end = encoder(tokenizer_json), np.array([end_id], "<u4").tobytes()
+    encode, end = encoder(tokenizer_json), np.array([end_id], "<u4")
     shard, segment, before = TaskContext.get().partitionId(), 0, 0
     ids: list[pa.Array] = []
-    texts: list[bytes] = []
+    texts: list[np.ndarray] = []
     size = 0
 
     def row() -> pa.RecordBatch:
-        flat = np.frombuffer(b"".join(texts), "<u4")
-        lens = np.array([len(t) // 4 for t in texts], "<u4").tobytes()
+        flat = np.concatenate(texts)
+        lens = np.array([len(t) for t in texts], "<u4").tobytes()
         every = pa.concat_arrays(ids)
         values = [pa.array([shard], pa.int32()), pa.array([segment], pa.int32()), pa.array([before]), pa.array([len(flat)]), pa.ListArray.from_arrays(pa.array([0, len(every)], pa.int32()), every)]
         values += [pa.array([lens], pa.binary()), pa.array([pack(flat)], pa.binary())]
@@ -208,9 +229,9 @@ def _segments(batches: Iterator[pa.RecordBatch], tokenizer_json: str, end_id: in
 
     for batch in batches:
         at = 0
-        for k, text in enumerate(batch.column(1)):
-            texts.append(encode(text.as_py() or "") + end)
-            size += len(texts[-1]) // 4
+        for k, own in enumerate(x for _, part in by_size(batch.column(1)) for x in encode(part)):
+            texts.append(np.concatenate([own, end]))
+            size += len(texts[-1])
             if size >= segment_ids:
                 ids.append(batch.column(0).slice(at, k + 1 - at))
                 yield row()
@@ -243,7 +264,8 @@ def shard_starts(files: DataFrame) -> DataFrame:
 
 def read_tokens(files: DataFrame) -> DataFrame:
     """Every document of the files: doc_id, start, n_tokens, ids_crc32."""
-    placed = files.join(shard_starts(files), "shard").withColumn("before", F.col("before") + F.col("shard_start"))
+    # As many rows as tasks wrote, of 16 bytes; so the payloads stay where they are.
+    placed = files.join(F.broadcast(shard_starts(files)), "shard").withColumn("before", F.col("before") + F.col("shard_start"))
     kind = files.schema["doc_ids"].dataType.elementType.simpleString()
     return placed.select("before", "doc_ids", "doc_lens", "payload").mapInArrow(_documents, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 

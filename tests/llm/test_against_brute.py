@@ -130,18 +130,21 @@ def test_tokens(spark, docs):
 
 
 def test_pieces_encode_like_whole_texts():
+    import pyarrow as pa
     from tokenizers import Tokenizer
 
     conf = Q.tokenizer_json()
     tok, encode, rng = Tokenizer.from_str(conf), token_pack.encoder(conf), random.Random(5)
-    parts = [" ", "  ", "\n", "\t", "\u00a0", "\u2003", "\x1c", "\x85", "a", "Zé", "'s", "don't", "12", "!?", ".", ",", "|", "word", "é", "ß", "_", "'ll", "<|endoftext|>", "<|end", "\ufeff", "日本", "\x00"]
-    for _ in range(3000):
-        text = "".join(rng.choices(parts, k=rng.randint(0, 14)))
-        ids = tok.encode(text, add_special_tokens=False).ids
-        assert encode(text) == b"".join(x.to_bytes(4, "little") for x in ids), repr(text)
-    for text in ("one\n\ntwo, three.\nfour", "a\n\n\nb", " lead", "trail ", "trail\n", "\nlead", "a\n b", "a \nb", "x\u2003y z", "\n", "\n\nq", "Ünd so, weiter: »ja«\n\n<|endoftext|> end"):
-        ids = tok.encode(text, add_special_tokens=False).ids
-        assert encode(text) == b"".join(x.to_bytes(4, "little") for x in ids), repr(text)
+    parts = [" ", "  ", "\n", "\t", "\u00a0", "\u2003", "\x1c", "\x01", "\x85", "a", "Zé", "'s", "don't", "12", "!?", ".", ",", "|", "word", "é", "ß", "_", "'ll", "<|endoftext|>", "<|end", "\ufeff", "日本", "\x00"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(3000)]
+    plain = [" ", " ", " ", "\n", "\n\n", "a", "Zé", "don't", "12", "!?", ".", ",", "word", "x.", "3.5", "e.g.", "...", "<|endoftext|>", "日本"]
+    texts += ["".join(rng.choices(plain, k=rng.randint(0, 14))) for _ in range(3000)]
+    texts += ["one\n\ntwo, three.\nfour", "a\n\n\nb", " lead", "trail ", "trail\n", "\nlead", "a\n b", "a \nb", "x\u2003y z", "\n", "\n\nq", "Ünd so, weiter: »ja«\n\n<|endoftext|> end", "", "?", "word " * 50_000]
+    for size in (1 << 10, 1 << 22):
+        got = [x.tolist() for _, part in token_pack.by_size(pa.array([*texts, None], pa.large_string()), size) for x in encode(part)]
+        assert len(got) == len(texts) + 1 and got[-1] == []
+        for text, ids in zip(texts, got):
+            assert ids == tok.encode(text, add_special_tokens=False).ids, repr(text[:200])
 
 
 def test_blocks_round_trip():
