@@ -170,9 +170,10 @@ def encoder(tokenizer_json: str) -> Callable[[pa.Array], list[np.ndarray]]:
         # What the lines lack: the leading line feeds, and the other pieces.
         feeds = np.flatnonzero(plain & np.array([p[:1] == "\n" for p in new]))
         others = [(k, raw(new[k])) for k in np.flatnonzero(~plain).tolist()]
-        starts = np.cumsum(lens) - lens
-        at = [*starts[feeds].tolist(), *(x for k, own in others for x in [starts[k]] * len(own))]
-        flat = np.insert(flat, at, [*([line[0]] * len(feeds)), *(x for _, own in others for x in own.tolist())]) if at else flat
+        put = np.concatenate([feeds, *(np.full(len(own), k) for k, own in others)]).astype(np.int64)
+        order = np.argsort(put, kind="stable")
+        values = np.concatenate([np.full(len(feeds), line[0]), *(own for _, own in others)])
+        flat = np.insert(flat, (np.cumsum(lens) - lens)[put[order]], values[order])
         lens[feeds] += 1
         for k, own in others:
             lens[k] = len(own)
