@@ -11,16 +11,17 @@ touch a slot value with two readings are dropped. What is left of an item's word
 Beside its template a window with placeholders is also joined as its literal words, case folded. A literal
 hit needs no plain words and no names marked, and stays whatever its slots; a template window, whose slot
 values may differ, needs ``n - 3`` plain words, so placeholders alone match nothing. Items shorter than
-``n`` words are searched as one window of their own length, down to ``MIN_WORDS``; shorter ones
-cannot be told from chance and are left out.
+``n`` words are searched as one window of their own length; those shorter than ``MIN_WORDS``, which
+chance would find anywhere, only as a document's whole text.
 
-While the benchmark has at most ``FILTER_WINDOWS`` windows, their hashes go to the tasks, so only
-matching windows leave the document scan; beyond it all windows are joined by shuffle.
+The hashes of the benchmark's windows fill a Bloom filter of ``BITS_EACH`` bits for each, at most
+``MOST_BITS`` in all (32 MB), which goes to the tasks; so few other windows leave the document scan, and more
+only where the benchmark outgrows the filter. The join itself is on hash and text, in Spark.
 
 Defined cases: null and empty texts match nothing; repeated rows with one id and text count once; rows
 that share an id, or have none, are judged text by text (id and 64-bit hash of the text), and ``leaks`` gives
-the text of an id that covers most of an item; repeated
-items match on their own; further columns are ignored by ``leaks`` and kept by ``clean``.
+the text of an id that covers most of an item; repeated items match on their own; texts of any length are
+searched whole; further columns are ignored by ``leaks`` and kept by ``clean``; with an empty benchmark nothing leaks.
 """
 
 from __future__ import annotations
@@ -35,9 +36,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import let, require
+from .common import Scratch, let, require
 
-N, MIN_WORDS, FILTER_WINDOWS, BATCH_CHARS = 8, 5, 2_000_000, 1 << 20
+N, MIN_WORDS, BATCH_CHARS = 8, 5, 1 << 20
+BITS_EACH, MOST_BITS, PROBES = 32, 1 << 28, (0, 17, 34)
 LEAST_WORDS, LEAST_SHARE = 13, 0.6
 #: Words that count as units.
 UNITS = frozenset(
@@ -117,7 +119,16 @@ def _windows(h: np.ndarray, lengths: list[int]) -> Iterator[tuple[int, np.ndarra
             yield k + 1, rolling.mix(out)
 
 
-def _rows(texts: list[str], words: Words, lengths: list[int], known: np.ndarray | None, whole: bool) -> list[tuple]:
+def passes(bits: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Places of the hashes that may be among those in the filter ``bits`` (uint64 words, a power of two)."""
+    at = np.arange(len(w))
+    for shift in PROBES:
+        place = (w[at] >> rolling.U(shift)) & rolling.U(64 * len(bits) - 1)
+        at = at[(bits[(place >> rolling.U(6)).astype(np.int64)] >> (place & rolling.U(63))) & rolling.U(1) > 0]
+    return at
+
+
+def _rows(texts: list[str], words: Words, lengths: list[int], bits: np.ndarray | None, whole: bool) -> list[tuple]:
     """(text number, place, n, hash, template or literal text, slot values, words of the text) of each window; ``whole`` takes one length per text.
 
     A window without placeholders is given once, as its template is its literal text; literal windows have no slots.
@@ -126,24 +137,19 @@ def _rows(texts: list[str], words: Words, lengths: list[int], known: np.ndarray
     sizes = np.bincount(doc, minlength=len(texts)) if len(doc) else np.zeros(len(texts), int)
     begin = np.concatenate([[0], np.cumsum(sizes)])
     out = []
-    table = None
-    if known is not None:
-        table = np.zeros(1 << 20, bool)
-        table[known.view(rolling.U) & rolling.U((1 << 20) - 1)] = True
     for n, w, literal in ((n, w, literal) for literal, x in ((False, h), (True, folded)) for n, w in _windows(x, lengths)):
-        ok = doc[: len(w)] == doc[n - 1 :]
+        at = passes(bits, w) if bits is not None else np.arange(len(w))
+        own = doc[at]
+        ok = own == doc[at + n - 1]
         if whole:
-            ok &= np.minimum(sizes, max(lengths))[doc[: len(w)]] == n
-        if table is not None:
-            ok &= table[w & rolling.U((1 << 20) - 1)]
-            at = np.flatnonzero(ok)
-            at = at[np.isin(w[at], known.view(rolling.U))]
-        else:
-            at = np.flatnonzero(ok)
+            ok &= np.minimum(sizes, max(lengths))[own] == n
+        elif n < MIN_WORDS:
+            ok &= sizes[own] == n
+        at = at[ok]
         for p in at.tolist():
             kinds = kind[p : p + n].tolist()
             plain = sum(k == PLAIN for k in kinds)
-            if plain == n if literal else plain < max(2, n - 3):
+            if plain == n if literal else plain < min(n, max(2, n - 3)):
                 continue
             core = [words.core[k] for k in row[p : p + n]]
             text = " ".join(core if literal else (MARKS[k] or c for k, c in zip(kinds, core, strict=True)))
@@ -153,16 +159,16 @@ def _rows(texts: list[str], words: Words, lengths: list[int], known: np.ndarray
     return out
 
 
-def _scan(batches: Iterator[pa.RecordBatch], lengths: list[int], known, whole: bool, names: list[str]) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+def _scan(batches: Iterator[pa.RecordBatch], lengths: list[int], bits, whole: bool, names: list[str]) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
     words = Words()
-    hashes = known.value if known is not None else None
+    held = bits.value if bits is not None else None
     for batch in batches:
         at, texts, size = 0, [], 0
         for k in range(batch.num_rows):
             texts.append(batch.column(batch.num_columns - 1)[k].as_py() or "")
             size += len(texts[-1])
             if size >= BATCH_CHARS or k == batch.num_rows - 1:
-                if found := _rows(texts, words, lengths, hashes, whole):
+                if found := _rows(texts, words, lengths, held, whole):
                     d, place, n, h, text, slots, total = zip(*found, strict=True)
                     rows = pa.array([x + at for x in d])
                     yield pa.RecordBatch.from_arrays(
@@ -178,10 +184,22 @@ def item_windows(benchmark: DataFrame, n: int = N) -> DataFrame:
     names = ["item_id", "ipos", "n", "h", "template", "islots", "n_item"]
     kind = benchmark.schema["item_id"].dataType.simpleString()
     schema = f"item_id {kind}, ipos int, n int, h long, template string, islots array<string>, n_item int"
-    scan = partial(_scan, lengths=list(range(MIN_WORDS, n + 1)), known=None, whole=True, names=names)
+    scan = partial(_scan, lengths=list(range(1, n + 1)), bits=None, whole=True, names=names)
     return benchmark.select("item_id", "text").mapInArrow(scan, schema)
 
 
+def bloom(items: DataFrame) -> np.ndarray:
+    """Filter over the windows' hashes, as uint64 words. Its size is bounded, so what the driver gathers is: a row for each word in use."""
+    n = items.count()
+    size = min(MOST_BITS, 1 << max(10, (BITS_EACH * n).bit_length()))
+    places = F.array(*[F.shiftrightunsigned("h", s).bitwiseAND(size - 1) for s in PROBES])
+    words = items.select(F.explode(places).alias("p")).groupBy(F.shiftright("p", 6).alias("word"))
+    found = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toPandas()
+    out = np.zeros(size // 64, rolling.U)
+    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(rolling.U)
+    return out
+
+
 def consistent(hits: Column) -> Column:
     """Windows of one diagonal (ipos, n, islots, dslots) without those that touch a slot value of two readings."""
     pair = lambda w: F.zip_with(w["islots"], w["dslots"], lambda i, d: F.struct(i.alias("i"), d.alias("d")))
@@ -196,18 +214,15 @@ def consistent(hits: Column) -> Column:
 def hits(docs: DataFrame, benchmark: DataFrame, n: int = N, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
     """The rows of ``leaks`` for each text (``tk``, its hash) of an id."""
     require(docs, "doc_id", "text")
-    items = item_windows(benchmark, n).persist()
-    bounds = items.agg(F.count("*").alias("c"), F.sort_array(F.collect_set("n")).alias("lengths")).first()
-    lengths, known = bounds["lengths"] or [n], None
-    small = bounds["c"] <= FILTER_WINDOWS
-    if small:
-        hashes = np.array([r["h"] for r in items.select("h").distinct().collect()], np.int64)
-        known = docs.sparkSession.sparkContext.broadcast(hashes)
+    scratch = Scratch(docs.sparkSession, "decontamination")
+    items = scratch.write(item_windows(benchmark, n), "items")
+    shared = docs.sparkSession.sparkContext.broadcast(bloom(items))
+    lengths = [r["n"] for r in items.select("n").distinct().collect()] or [n]
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "tk", "dpos", "n", "h", "template", "dslots", "n_doc"]
-    scan = partial(_scan, lengths=lengths, known=known, whole=False, names=names)
+    scan = partial(_scan, lengths=sorted(lengths), bits=shared, whole=False, names=names)
     found = docs.select("doc_id", F.xxhash64("text").alias("tk"), "text").mapInArrow(scan, f"doc_id {kind}, tk long, dpos int, n int, h long, template string, dslots array<string>, n_doc int")
-    joined = found.join(F.broadcast(items) if small else items, ["h", "n", "template"])
+    joined = found.join(items, ["h", "n", "template"])
     window = F.struct("ipos", "n", "islots", "dslots")
     lines = joined.groupBy("doc_id", "tk", "item_id", "n_item", (F.col("dpos") - F.col("ipos")).alias("diagonal")).agg(F.collect_set(window).alias("w"))
     lines = lines.withColumn("w", consistent(F.col("w"))).where(F.size("w") > 0)

@@ -5,24 +5,28 @@ must hold. The tokens' counts over all URLs decide under which one token a rule
 distinct tokens of a URL fetch the rules filed under them, and only those run their expression.
 The longest fitting host/path rule decides; pattern rules decide where none fits.
 
-Each distinct URL is judged once, so a hot URL costs one judgement. The rules are broadcast only
-while their number is at most ``BROADCAST_RULES``; beyond it the fetch is a shuffle join.
+Each distinct URL is judged once, so a hot URL costs one judgement. Rules are a tuple or a table
+of any length. They are broadcast only while their number is at most ``BROADCAST_RULES``; beyond it the fetch is
+a shuffle join in which each token is dealt over ``SALTS`` parts, so a common token is no single task's.
 
 Defined cases: a null url or one without ``://`` has an empty host and path, fits no rule and is
-allowed; repeated rows give equal rows; further columns are ignored; an empty table gives none.
+allowed; null urls take no part in any join; urls of any length are judged whole; repeated rows give equal
+rows; further columns are ignored; an empty table gives none.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, require
 
-BROADCAST_RULES = 50_000
+BROADCAST_RULES, SALTS = 50_000, 16
+RULE = "name string, verdict string, regex string, host_rule boolean, literals array<string>"
 TOKENS = r"[^0-9A-Za-z]+"
 
 
@@ -72,33 +76,44 @@ def parts(url: Column) -> tuple[Column, Column]:
     return ascii_lower(found(1)), found(2)
 
 
-def indexed(rules: tuple[Rule, ...], counts: DataFrame) -> DataFrame:
-    """Rules with the literal token that is rarest in ``counts`` (token, n); one without literals is filed under ''."""
-    spark = counts.sparkSession
-    rows = [(r.name, r.verdict, r.regex, r.host_rule, list(r.literals) or [""]) for r in rules]
-    df = spark.createDataFrame(rows, "name string, verdict string, regex string, host_rule boolean, literals array<string>")
-    each = df.withColumn("token", F.explode("literals")).join(counts, "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    order = Window.partitionBy("name", "verdict", "regex").orderBy("n", "token")
-    return each.withColumn("at", F.row_number().over(order)).where("at = 1").select("name", "verdict", "regex", "host_rule", "token")
+def rule_table(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
+    return spark.createDataFrame([(r.name, r.verdict, r.regex, r.host_rule, list(r.literals)) for r in rules], RULE)
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = HOST_RULES + PATTERN_RULES, default: str = "allow") -> DataFrame:
+def indexed(rules: DataFrame, counts: DataFrame) -> DataFrame:
+    """Rules (as of RULE) with the literal token that is rarest in ``counts`` (token, n); one without literals is filed under ''."""
+    literals = F.when(F.size("literals") > 0, F.col("literals")).otherwise(F.array(F.lit("")))
+    each = rules.withColumn("token", F.explode(literals)).join(counts, "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rarest = each.groupBy("name", "verdict", "regex", "host_rule").agg(F.min(F.struct("n", "token")).alias("at"))
+    return rarest.select("name", "verdict", "regex", "host_rule", "at.token")
+
+
+def judge(pages: DataFrame, rules: tuple[Rule, ...] | DataFrame = HOST_RULES + PATTERN_RULES, default: str = "allow") -> DataFrame:
     """page_id, host, path, rule (the host rule that decides), verdict, pattern (the pattern rule that decides)."""
     require(pages, "page_id", "url")
-    small = len(rules) <= BROADCAST_RULES
+    spark = pages.sparkSession
+    if not isinstance(rules, DataFrame):
+        rules = rule_table(spark, rules)
+    require(rules, "name", "verdict", "regex", "host_rule", "literals")
+    small = rules.count() <= BROADCAST_RULES
     hint = F.broadcast if small else (lambda x: x)
     host, path = parts(F.col("url"))
     urls = pages.select("url").where("url is not null").distinct().select("url", F.concat(host, path).alias("key"))
-    tokens = urls.select("url", "key", F.explode(F.array_distinct(F.split("key", TOKENS))).alias("token"))
-    if any(not r.literals for r in rules):
-        tokens = tokens.where("token != ''").unionByName(urls.select("url", "key", F.lit("").alias("token")))
-    spark = pages.sparkSession
-    literals = spark.createDataFrame([(t,) for t in sorted({t for r in rules for t in r.literals or ("",)})], "token string")
+    tokens = urls.select("url", "key", F.explode(F.array_distinct(F.concat(F.split("key", TOKENS), F.array(F.lit(""))))).alias("token"))
+    literals = rules.select(F.explode("literals").alias("token")).distinct()
     counts = tokens.join(hint(literals), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
-    fetched = tokens.join(hint(indexed(rules, counts)), "token").where(F.expr("key rlike regex"))
+    filed = indexed(rules, counts)
+    if small:
+        fetched = tokens.join(F.broadcast(filed), "token")
+    else:
+        dealt = tokens.withColumn("salt", F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int"))
+        fetched = dealt.join(filed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["token", "salt"])
     rank = F.struct("host_rule", F.length("name").alias("size"), F.col("verdict") == "block", "name")
-    best = fetched.groupBy("url").agg(F.max_by(F.struct("name", "verdict", "host_rule"), rank).alias("best"))
-    out = pages.select("page_id", "url").join(best, "url", "left")
+    best = fetched.where(F.expr("key rlike regex")).groupBy("url").agg(F.max_by(F.struct("name", "verdict", "host_rule"), rank).alias("best"))
+    given = pages.select("page_id", "url")
+    # A left join would deal all null urls to one task.
+    none = given.where("url is null").withColumn("best", F.lit(None).cast(best.schema["best"].dataType))
+    out = given.where("url is not null").join(best, "url", "left").select("page_id", "url", "best").unionByName(none.select("page_id", "url", "best"))
     return out.select(
         "page_id",
         host.alias("host"),

@@ -81,13 +81,13 @@ def near(ids: list[int], texts: list[str | None]) -> dict[int, tuple[int, int]]:
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
-def url(text: str | None) -> tuple[str, str, str | None, str | None]:
+def url(text: str | None, rules: list[tuple[str, str, str]] = RULES) -> tuple[str, str, str | None, str | None]:
     at = (text or "").find("://")
     if at < 0:
         return "", "", None, None
     host, rest = re.match(r"([^/?#]*)(.*)", text[at + 3 :], re.S).groups()
     host, path = ascii_lower(host), re.match(r"[^?#]*", rest)[0]
-    fits = [(len(h + p), h + p, v) for h, p, v in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    fits = [(len(h + p), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
     best = max(fits, default=(0, None, None))
     return host, path, best[1], best[2]
 
@@ -128,3 +128,66 @@ def licenses(text: str | None, templates, shift: int = 3) -> tuple[str, float]:
             labels.add(t.label)
             score = max(score, best)
     return ",".join(sorted(labels)), score
+
+
+def template_words(text: str | None) -> list[tuple[str, str, bool]]:
+    """(template word, literal word, is plain) of each word."""
+    from condmon.llm import decontam as D
+
+    out, after = [], True
+    for line in D.GLUED.sub(r"\1 \2", text or "").split("\n"):
+        for raw in line.split():
+            core = raw.strip(D.OUTER)
+            if core:
+                low = core.casefold()
+                kind = "<num>" if D.NUMBER.match(core) else "<unit>" if low in D.UNITS else ""
+                if not kind and not after and len(core) > 1 and core[0].isupper() and core[1:].islower():
+                    kind = "<name>"
+                out.append((kind or low, low, not kind))
+            after = raw.rstrip("\"'”’)]»")[-1:] in tuple(".!?:;")
+        after = True
+    return out
+
+
+def contaminated(docs: list[tuple], items: list[tuple], n: int = 8, least_words: int = 13, least_share: float = 0.6) -> dict[tuple, tuple[int, int, bool]]:
+    """(doc, item) to (windows, words covered, reworded), text by text; the fullest text of an id counts."""
+
+    def windows(words, size):  # noqa: ANN001, ANN202
+        for p in range(len(words) - size + 1):
+            w = words[p : p + size]
+            plain = sum(x[2] for x in w)
+            if plain >= min(size, max(2, size - 3)):
+                yield (size, tuple(x[0] for x in w)), p, tuple(x[1] for x in w if not x[2])
+            if plain < size:
+                yield (size, tuple(x[1] for x in w)), p, ()
+
+    index: dict[tuple, list[tuple]] = {}
+    length = {}
+    for i, t in items:
+        words = template_words(t)
+        length[i] = len(words)
+        for key, p, slots in windows(words, min(n, len(words))) if words else ():
+            index.setdefault(key, []).append((i, p, slots))
+    found: dict[tuple, tuple] = {}
+    for d, t in set(docs):
+        words, lines = template_words(t), {}
+        for size in {min(n, x) for x in length.values() if x}:
+            if size >= 5 or len(words) == size:
+                for key, p, dslots in windows(words, size):
+                    for i, q, islots in index.get(key, ()):
+                        lines.setdefault((i, p - q), set()).add((q, size, islots, dslots))
+        total: dict[int, list] = {}
+        for (i, _), hits in lines.items():
+            pairs = {x for _, _, a, b in hits for x in zip(a, b, strict=True)}
+            odd = {a for a, n_of in Counter(a for a, _ in pairs).items() if n_of > 1}
+            good = [h for h in hits if not odd & set(h[2])]
+            if good:
+                own = total.setdefault(i, [0, set(), False])
+                own[0] += len({h[:2] for h in good})
+                own[1] |= {k for q, size, _, _ in good for k in range(q, q + size)}
+                own[2] |= any(a != b for _, _, a, b in good)
+        for i, (k, places, reworded) in total.items():
+            share = len(places) / length[i]
+            if len(places) >= least_words or share >= least_share:
+                found[d, i] = max(found.get((d, i), ()), (share, len(places), k, reworded))
+    return {key: (v[2], v[1], v[3]) for key, v in found.items()}

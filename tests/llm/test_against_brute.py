@@ -158,7 +158,9 @@ def test_blocks_round_trip():
         assert (token_pack.unpack(payload, 2, 4) == ids[2000:4000]).all()
 
 
-def test_urls(spark, sf_dir):
+@pytest.mark.parametrize("most", [50_000, 0])
+def test_urls(spark, sf_dir, most, monkeypatch):
+    monkeypatch.setattr(url_filter, "BROADCAST_RULES", most)
     urls = [r["url"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("url").collect()]
     urls += [None, "", "no scheme", "http://", "http://COM/", "http://com", "x://a://b.com/", "http://x.Example.com/en/1", "http://xexample.com/en/1", "https://www.example.com/en/?q"]
     urls += ["http://a.www.example.com/en/x#y", "http://a.net/es/", "http://a.net/es", "http://net/fr/\nx", "http://a.net?x=/es/", "http://a.com:80/en/", "http://b.org/EN/", *urls[:5]]
@@ -174,6 +176,20 @@ def test_urls(spark, sf_dir):
     assert (extra["verdict"], extra["rule"], extra["pattern"]) == ("block", None, "farm")
 
 
+@pytest.mark.parametrize("most", [50_000, 0])
+def test_urls_against_many_rules(spark, most, monkeypatch):
+    monkeypatch.setattr(url_filter, "BROADCAST_RULES", most)
+    rng = random.Random(6)
+    given = [(f"h{k}.example" if k % 2 else f"s{k % 50}.h{k // 2}.net", f"/p{k % 7}/", rng.choice(["allow", "block"])) for k in range(1500)]
+    rules = url_filter.rule_table(spark, [*(url_filter.host_rule(*r) for r in given), url_filter.pattern_rule("any", "block", r"/bad", ())])
+    urls = [f"http://{rng.choice(['', 'www.'])}{h}{p}{rng.choice(['', 'x', 'bad'])}" for h, p, _ in rng.choices(given, k=300)] + ["http://other.org/bad", "http://other.org/", None, None]
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
+    assert len(got) == len(urls)
+    for i, u in enumerate(urls):
+        host, path, rule, verdict = brute.url(u, given)
+        assert got[i] == (rule, verdict or ("block" if "/bad" in path else "allow")), u
+
+
 @pytest.mark.parametrize("length", [40, 400])
 def test_repeats(spark, docs, length):
     rng = random.Random(length)
@@ -315,11 +331,24 @@ def test_clean_texts_of_shared_and_null_ids_stay(spark):
     assert kept == expect([(None, fine), (None, fine), (None, halves[0]), (None, halves[1]), (7, fine), (8, halves[0]), (8, halves[1]), (9, None)])
 
 
-def test_decontamination_without_filter(spark, sf_dir, monkeypatch):
-    docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    a = rows_of(decontam.leaks(docs, bench), "doc_id", "item_id", "n_windows", "item_words")
-    monkeypatch.setattr(decontam, "FILTER_WINDOWS", 0)
-    assert a and rows_of(decontam.leaks(docs, bench), "doc_id", "item_id", "n_windows", "item_words") == a
+@pytest.mark.parametrize("most", [1 << 28, 64])
+def test_decontamination_against_brute_force(spark, docs, sf_dir, most, monkeypatch):
+    """Also with a filter so small that it lets everything through."""
+    monkeypatch.setattr(decontam, "MOST_BITS", most)
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    items += [(9001, "Paris"), (9002, "forty two"), (9003, "Anna has 5 apples."), (9004, "On 3 May Anna and Ben ran 10 km in 50 minutes, and Anna won by 2 minutes over Ben."), (9005, None), (9006, "")]
+    rng, data = random.Random(12), docs + ODD
+    for k, (_, t) in enumerate(items[:40]):
+        words = (t or "").split()
+        data.append((7000 + k, "Some words before. " + " ".join(words)))
+        data.append((7100 + k, " ".join(str(rng.randint(2, 99)) if w.isdigit() else w for w in words)))
+        data.append((7200 + k, " ".join(words[: len(words) // 2]) + " and other words " + " ".join(words[len(words) // 2 :])))
+    data += [(8001, "Paris"), (8002, "in Paris"), (8003, "Forty  two!"), (8004, "Mia has 7 apples"), (8005, "On 4 June Anna and Ben ran 12 km in 70 minutes, and Anna won by 9 minutes over Ben.")]
+    data += [(8006, "On 3 May Anna and Ben ran 10 km in 50 minutes, and Anna won by 2 minutes over Ben. " + "filler words " * 30_000)] * 2
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["n_windows"], r["item_words"], r["reworded"]) for r in decontam.leaks(frame(spark, data).repartition(5), bench).collect()}
+    want = brute.contaminated(data, items)
+    assert got == want and {(8001, 9001), (8003, 9002), (8006, 9004)} <= set(got) and (8002, 9001) not in got
 
 
 @pytest.mark.parametrize("name", sorted(Q.queries()))
