@@ -43,7 +43,9 @@ from .common import require, written
 
 BLOCK, PERCENTILE, SEGMENT_IDS = 4096, 98.0, 1 << 18
 #: Pieces that a worker keeps, and bytes of text that it cuts at once.
-KNOWN, SLICE = 1_500_000, 8 << 20
+KNOWN, SLICE = 1_000_000, 2 << 20
+#: Lines encoded as one text.
+LINES = 10_000
 #: Shards that are added up in one window.
 SHARDS = 512
 SCHEMA = "shard int, segment int, before long, n_ids long, doc_ids array<{kind}>, doc_lens binary, payload binary"
@@ -111,7 +113,7 @@ def unpack(payload: bytes, first: int = 0, last: int | None = None) -> np.ndarra
 
 # --- encoding ---------------------------------------------------------------------------------
 class Known:
-    """Pieces met so far with their ids, as flat arrays of about 40 bytes a piece; beyond ``most`` only the last slice's stay."""
+    """Pieces met so far with their ids, as flat arrays of about 40 bytes a piece; beyond ``most`` they are met anew."""
 
     def __init__(self, most: int) -> None:
         self.most, self.keys, self.flat, self.ends = most, pa.array([], pa.string()), np.zeros(0, "<u4"), np.zeros(1, np.int64)
@@ -159,7 +161,11 @@ def encoder(tokenizer_json: str) -> Callable[[pa.Array], list[np.ndarray]]:
         """Encode new pieces. Those without white space, but for a leading one, go as the lines of one text, whose line feeds are tokens of their own."""
         plain = np.array([LINE.fullmatch(p) is not None for p in new]) & ~np.array([any(a in p for a in added) for p in new])
         lines = [p.lstrip("\n") for p, ok in zip(new, plain.tolist(), strict=True) if ok]
-        ids = np.array(tok.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids, "<u4") if lines else np.zeros(0, "<u4")
+        parts = [np.zeros(0, "<u4")]
+        for k in range(0, len(lines), LINES):
+            text = "\n".join(lines[k : k + LINES])
+            parts += [line[: k > 0], np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")]
+        ids = np.concatenate(parts)
         cuts = np.flatnonzero(ids == line[0])
         if len(cuts) != max(0, len(lines) - 1):
             each = [raw(p) for p in new]
