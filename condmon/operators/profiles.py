@@ -55,8 +55,7 @@ def support(features: DataFrame, prefix: str = "win") -> DataFrame:
 
 def gap_sensitivity(covered: DataFrame, thresholds: tuple[int, ...]) -> DataFrame:
     """AGG15: windows with a gap of at least each threshold, all in one pass."""
-    longest = F.greatest(F.when(F.col("first_follows_gap"), F.col("lead_s")).otherwise(0), F.coalesce("max_internal_gap_s", F.lit(0)))
-    wide = covered.agg(F.count("*").alias("n"), *[count_if(longest >= t).alias(f"t{t}") for t in thresholds])
+    wide = covered.agg(F.count("*").alias("n"), *[count_if(F.col("window_gap_s") >= t).alias(f"t{t}") for t in thresholds])
     pairs = ", ".join(f"{t}, t{t}" for t in thresholds)
     return wide.selectExpr("n", f"stack({len(thresholds)}, {pairs}) as (threshold_s, excluded)").withColumn("threshold_s", F.col("threshold_s").cast("long"))
 
@@ -85,27 +84,33 @@ def tail_overlap(covered: DataFrame, bounds: DataFrame, prefix: str = "win") ->
     )
 
 
-POLICIES = (
-    ("available_baseline", False, None),
-    ("exclude_strict_tail", True, None),
-    ("exclude_material_gap", False, 1),
-    ("exclude_strict_tail_or_material_gap", True, 1),
-    ("exclude_strict_tail_or_large_gap", True, 6),
-)
+def coverage_policies(covered: DataFrame, labels: DataFrame, bounds: DataFrame, policies: list[tuple[str, bool, int | None]], asset: str = "asset", prefix: str = "win") -> DataFrame:
+    """AGG13, PROF2: rows kept and dropped by each policy, and kept ones by label.
 
-
-def coverage_policies(covered: DataFrame, labels: DataFrame, bounds: DataFrame, gap_seconds: int, asset: str = "asset", prefix: str = "win") -> DataFrame:
-    """AGG13: rows kept and dropped by each policy, and kept ones by label, all policies in one pass."""
+    A policy (name, use_tail, least_gap_s) drops the tail below the bounds if ``use_tail``, and windows with a gap of ``least_gap_s`` or more if given.
+    """
     df = covered.join(labels.select(asset, "cycle_id", "horizon_status"), [asset, "cycle_id"]).crossJoin(F.broadcast(bounds))
-    tail = (F.col(f"{prefix}_count") < F.col("low_count")) | (F.col("span_s") < F.col("low_span"))
-    longest = F.greatest(F.when(F.col("first_follows_gap"), F.col("lead_s")).otherwise(0), F.coalesce("max_internal_gap_s", F.lit(0)))
-    columns, rows = [], []
-    for k, (name, use_tail, factor) in enumerate(POLICIES):
-        out = F.lit(False) | (tail if use_tail else F.lit(False)) | (longest >= factor * gap_seconds if factor else F.lit(False))
-        keep = ~F.coalesce(out, F.lit(False))
-        columns += [count_if(keep).alias(f"k{k}"), count_if(~keep).alias(f"x{k}"), count_if(keep & (F.col("horizon_status") == "positive")).alias(f"p{k}"), count_if(keep & (F.col("horizon_status") == "negative")).alias(f"n{k}")]
-        rows.append(f"'{name}', k{k}, x{k}, p{k}, n{k}")
-    return df.agg(*columns).selectExpr(f"stack({len(POLICIES)}, {', '.join(rows)}) as (policy, kept, excluded, kept_positive, kept_negative)")
+    tail = F.coalesce((F.col(f"{prefix}_count") < F.col("low_count")) | (F.col("span_s") < F.col("low_span")), F.lit(False))
+    one = lambda name, use_tail, gap: F.struct(F.lit(name).alias("policy"), F.lit(use_tail).alias("use_tail"), F.lit(gap).cast("long").alias("gap"))
+    each = df.select("horizon_status", "window_gap_s", tail.alias("tail"), F.inline(F.array(*[one(*p) for p in policies])))
+    kept = ~((F.col("use_tail") & F.col("tail")) | F.coalesce(F.col("window_gap_s") >= F.col("gap"), F.lit(False)))
+    counts = {"kept": kept, "excluded": ~kept, "kept_positive": kept & (F.col("horizon_status") == "positive"), "kept_negative": kept & (F.col("horizon_status") == "negative")}
+    return each.groupBy("policy").agg(*[count_if(c).alias(name) for name, c in counts.items()])
+
+
+def one_sided(covered: DataFrame, bounds: DataFrame, k: int = 5, asset: str = "asset", prefix: str = "win") -> DataFrame:
+    """TOP2, PROF1: windows that one tail test rejects and the other does not, per kind the k that lie furthest on the accepted side.
+
+    ``count_only`` windows go by span downwards, ``span_only`` ones by count downwards, each then by the rejected value upwards and the key.
+    """
+    low_c, low_s = F.col(f"{prefix}_count") < F.col("low_count"), F.col("span_s") < F.col("low_span")
+    kinds = {"count_only": (low_c & ~low_s, "span_s", f"{prefix}_count"), "span_only": (~low_c & low_s, f"{prefix}_count", "span_s")}
+    df = covered.crossJoin(F.broadcast(bounds)).withColumn("gap", F.col("internal_gap_count") > 0)
+    parts = []
+    for kind, (rows, accepted, rejected) in kinds.items():
+        top = worst(df, rows, [F.desc(accepted), F.asc(rejected), F.asc(asset), F.asc("cycle_id")], [asset, "cycle_id", f"{prefix}_count", "span_s", "gap"], k)
+        parts.append(top.withColumn("kind", F.lit(kind)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def worst(df: DataFrame, conditions: Column, order: list[Column], columns: list[str], k: int = 5) -> DataFrame:

@@ -282,7 +282,19 @@ SELECT policy, count(*) FILTER (NOT dropped) AS kept, count(*) FILTER (dropped)
 def coverage_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG13, PROF2."""
     c = A.covered(spark, sf_dir)
-    return profiles.coverage_policies(c, A.labelled(spark, sf_dir), profiles.tail_bounds(c), A.GAP)
+    policies = [("available_baseline", False, None), ("exclude_strict_tail", True, None), ("exclude_material_gap", False, A.GAP)]
+    policies += [("exclude_strict_tail_or_material_gap", True, A.GAP), ("exclude_strict_tail_or_large_gap", True, 6 * A.GAP)]
+    return profiles.coverage_policies(c, A.labelled(spark, sf_dir), profiles.tail_bounds(c), policies)
+
+
+@query("""
+, t AS (SELECT c.*, win_count < low_count AS lc, span_s < low_span AS ls, internal_gap_count > 0 AS gap FROM cov c, bnds)
+SELECT * FROM (SELECT asset, cycle_id, win_count, span_s, gap, 'count_only' AS kind FROM t WHERE lc AND NOT ls ORDER BY span_s DESC, win_count, asset, cycle_id LIMIT 5)
+UNION ALL SELECT * FROM (SELECT asset, cycle_id, win_count, span_s, gap, 'span_only' FROM t WHERE ls AND NOT lc ORDER BY win_count DESC, span_s, asset, cycle_id LIMIT 5)""")
+def one_sided_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TOP2, PROF1: a top-k report."""
+    c = A.covered(spark, sf_dir)
+    return profiles.one_sided(c, profiles.tail_bounds(c))
 
 
 @query("SELECT asset, cycle_id, win_count, span_s FROM cov, bnds WHERE win_count <= low_count AND span_s <= low_span ORDER BY win_count, span_s, asset, cycle_id LIMIT 5")
@@ -481,12 +493,11 @@ def monthly_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(profiles.monthly_drift(A.view(spark, sf_dir).where("row_status = 'trainable'"), "win_mean"), "least", "mean", "most", "p5", "p50", "p95")
 
 
-@query("SELECT strftime(l_shipdate, '%Y-%m') AS month, l_returnflag, count(*) AS n, min(l_extendedprice) AS least, round(avg(l_extendedprice), 4) AS mean, max(l_extendedprice) AS most, round(quantile_cont(l_extendedprice, 0.05), 4) AS p5, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95 FROM lineitem GROUP BY 1, 2", plain=True)
+@query("SELECT strftime(l_shipdate, '%Y-%m') AS month, l_returnflag, count(*) AS n, min(l_extendedprice) AS least, avg(l_extendedprice) AS mean, max(l_extendedprice) AS most, quantile_cont(l_extendedprice, 0.05) AS p5, quantile_cont(l_extendedprice, 0.5) AS p50, quantile_cont(l_extendedprice, 0.95) AS p95 FROM lineitem GROUP BY 1, 2", plain=True)
 def line_price_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG7, AGG10 on the largest table."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("month", F.date_format("l_shipdate", "yyyy-MM"))
-    out = profiles.distribution(rows, "l_extendedprice", ["month", "l_returnflag"])
-    return out.withColumns({c: F.round(c, 4) for c in ("mean", "p5", "p50", "p95")})
+    return profiles.distribution(rows, "l_extendedprice", ["month", "l_returnflag"])
 
 
 def _development(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -12,8 +12,8 @@ seq AS (SELECT t.*, p.idx AS previous_idx, p.ts AS previous_ts, date_sub('second
                coalesce(date_sub('second', p.ts, t.ts) >= 86400, false) AS forward_gap
         FROM tel t LEFT JOIN tel p ON p.asset = t.asset AND p.idx + 1 = t.idx),
 flg AS (SELECT s.*, s.active = 1 AS is_active,
-               s.active = 1 AND p.active = 0 AND NOT s.forward_gap AS is_start,
-               s.active = 0 AND p.active = 1 AND NOT s.forward_gap AS is_stop,
+               coalesce(s.active = 1 AND p.active = 0 AND NOT s.forward_gap, false) AS is_start,
+               coalesce(s.active = 0 AND p.active = 1 AND NOT s.forward_gap, false) AS is_stop,
                s.active = 1 AND (p.active IS NULL OR s.forward_gap) AS is_left_censored
         FROM seq s LEFT JOIN tel p ON p.asset = s.asset AND p.idx = s.previous_idx),
 anc AS (SELECT *, last_value(CASE WHEN is_start OR is_left_censored THEN record_id END IGNORE NULLS) OVER w AS anchor,
