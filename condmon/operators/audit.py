@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import add_seconds, content_id, count_if, reasons, seconds_between
 from .cycles import VERSION as CYCLE_VERSION
+from .intervals import points_in_intervals
 
 Rules = list[tuple[str, Column]]
 
@@ -35,6 +36,36 @@ def _all_set(*names: str) -> Column:
     return reduce(Column.__and__, [F.col(n).isNotNull() for n in names])
 
 
+def table_rules(df: DataFrame, key: list[str], lineage: list[str], table: str, versions: dict[str, str] | None = None) -> DataFrame:
+    """VAL12, VAL16-VAL20: what holds of a whole table: unique keys, one complete lineage tuple, fixed versions. Rows as of ``violations``."""
+    keys = df.groupBy(*key).agg(F.count("*").alias("n"), F.lit(1).alias("_")).agg(F.sum("n").alias("n_rows"), count_if(F.col("n") > 1).alias("violations"))
+    parts = [keys.select(F.lit(table).alias("audited"), "n_rows", F.lit("unique_key").alias("rule"), "violations")]
+    if lineage:
+        blank = reduce(Column.__or__, [F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "") for c in lineage])
+        tuples = df.agg(F.count("*").alias("n_rows"), F.count_distinct(F.struct(*lineage)).alias("n"), count_if(blank).alias("blank"))
+        parts.append(tuples.select(F.lit(table), "n_rows", F.lit("one_lineage"), (F.greatest(F.col("n") - 1, F.lit(0)) + F.col("blank")).alias("violations")))
+    if versions:
+        parts.append(violations(df, [(f"{c}_is_{v}", F.col(c).eqNullSafe(F.lit(v))) for c, v in versions.items()], table))
+    return reduce(DataFrame.union, [p.withColumn("n_rows", F.coalesce("n_rows", F.lit(0))) for p in parts])
+
+
+def same_population(a: DataFrame, b: DataFrame, key: list[str], table: str) -> DataFrame:
+    """VAL17: both tables hold the same keys, as often."""
+    side = lambda df, n: df.select(*key, F.lit(n).alias("side"))
+    each = side(a, 1).unionByName(side(b, -1)).groupBy(*key).agg(F.sum("side").alias("more"))
+    return each.agg(F.count("*").alias("n_rows"), count_if(F.col("more") != 0).alias("violations")).select(F.lit(table).alias("audited"), "n_rows", F.lit("same_population").alias("rule"), "violations")
+
+
+def horizon_evidence(label_rows: DataFrame, failures: DataFrame, horizon_seconds: int, asset: str = "asset") -> DataFrame:
+    """JN13: every label with the number and the first start of the failures in ``(t, t + H]``, whatever its status says."""
+    points = label_rows.select(asset, "cycle_id", "prediction_ts", "horizon_end")
+    inside = (F.col("failure_start") > F.col("prediction_ts")) & (F.col("failure_start") <= F.col("horizon_end"))
+    pairs = points_in_intervals(points, failures, [asset], "prediction_ts", add_seconds(F.col("failure_start"), -horizon_seconds), F.col("failure_start"), horizon_seconds, inside)
+    found = pairs.groupBy(asset, "cycle_id").agg(F.count("*").alias("n_ahead"), F.min("failure_start").alias("first_start"))
+    out = label_rows.select(asset, "cycle_id", "horizon_status").join(found, [asset, "cycle_id"], "left")
+    return out.withColumn("n_ahead", F.coalesce("n_ahead", F.lit(0)))
+
+
 def cycle_rules() -> Rules:
     """VAL10."""
     return [
@@ -91,15 +122,29 @@ def context_rules() -> Rules:
     ]
 
 
-def view_rules() -> Rules:
-    """VAL13: row status and reasons agree, and label and feature times belong to the same point."""
+#: VAL13: exclusion reasons by the value that gives them.
+LABEL_REASONS = ("horizon_censored", "inside_failure_interval", "missing_prediction_boundary")
+
+
+def expected_reasons(with_context: bool) -> Column:
+    """The exclusion reasons that a view row's own columns ask for, as a set."""
+    asked = [F.when(F.col("eligibility_status") == "ineligible", "feature_ineligible"), F.when(F.col("horizon_status").isin(*LABEL_REASONS), F.col("horizon_status"))]
+    if with_context:
+        asked.append(F.when(~F.col("context_status").eqNullSafe(F.lit("available")), "cycle_context_unavailable"))
+    return F.sort_array(F.array_compact(F.array(*asked)))
+
+
+def view_rules(with_context: bool = True) -> Rules:
+    """VAL13: row status and reasons follow from the row's own columns, and label and feature times belong to the same point."""
     trainable, none = F.col("row_status") == "trainable", F.size("exclusion_reasons") == 0
     return [
         ("known_row_status", F.col("row_status").isin("trainable", "excluded")),
         ("reasons_agree", trainable == none),
+        ("reasons_recomputed", F.sort_array("exclusion_reasons") == expected_reasons(with_context)),
         ("trainable_has_target", ~trainable | F.col("failure_within").isNotNull()),
         ("trainable_is_eligible", ~trainable | (F.col("eligibility_status") == "eligible")),
         ("window_is_past", F.col("win_last_ts").isNull() | (F.col("win_last_ts") <= F.col("prediction_ts"))),
+        ("window_boundary", F.col("prediction_ts").isNull() | (F.col("win_window_start") == F.timestamp_add("SECOND", -F.col("win_window_s"), F.col("prediction_ts")))),
     ]
 
 

@@ -7,21 +7,27 @@ from pyspark.sql import functions as F
 
 from ..functions import micros
 
-#: An interval over more bins than this would be copied too often.
-MOST_BINS = 10_000
+#: An interval over more bins than this takes bins of COARSE times the length.
+MOST_BINS, COARSE = 1000, 1024
 
 
 def _bin(axis: Column, seconds: int) -> Column:
     return F.floor(axis / (seconds * 1_000_000)).cast("long")
 
 
+def _at(level: int, place: Column) -> Column:
+    return F.struct(F.lit(level).alias("level"), place.alias("place"))
+
+
 def points_in_intervals(points: DataFrame, intervals: DataFrame, keys: list[str], ts: str, first: Column, last: Column, bin_seconds: int, condition: Column) -> DataFrame:
     """Inner join of points and intervals [first, last] (columns of ``intervals``) by key, with ``condition`` on top.
 
-    Points without a time and intervals without an end meet nothing.
+    A point lies in one bin of either length, an interval in bins of one length, so they meet once. Points without a time and intervals without an end meet nothing.
     """
-    p = points.where(F.col(ts).isNotNull()).withColumn("_bin", _bin(micros(F.col(ts)), bin_seconds))
+    coarse = lambda b: F.floor(b / COARSE).cast("long")
+    place = _bin(micros(F.col(ts)), bin_seconds)
+    p = points.where(F.col(ts).isNotNull()).withColumn("_bin", F.explode(F.array(_at(0, place), _at(1, coarse(place)))))
     low, high = _bin(micros(first), bin_seconds), _bin(micros(last), bin_seconds)
-    bins = F.when(high >= low, F.when(high - low < MOST_BINS, F.sequence(low, high)).otherwise(F.raise_error(F.lit("an interval spans too many bins"))))
-    i = intervals.withColumn("_bin", F.explode(bins))
+    bins = lambda level, a, b: F.transform(F.sequence(a, b), lambda x: _at(level, x))
+    i = intervals.withColumn("_bin", F.explode(F.when(high - low >= MOST_BINS, bins(1, coarse(low), coarse(high))).when(high >= low, bins(0, low, high))))
     return p.join(i, [*keys, "_bin"]).where(condition).drop("_bin")

@@ -64,14 +64,33 @@ def pr_area(scored: DataFrame, label: str = "failure_within") -> float:
 
 
 def average_precision(scored: DataFrame, by: list[str], score: str = "probability", label: str = "failure_within") -> DataFrame:
-    """MOD4 per group as rows: mean over positives of the precision at their score, ties sharing one point.
+    """MOD4 per group as rows: mean over positives of the precision at their score, ties sharing one point; null without positives.
 
     Equal scores are counted first, so the ordered window sees each distinct score once.
     """
     points = scored.groupBy(*by, score).agg(F.count("*").alias("n"), F.count_if(label).alias("pos"))
     so_far = Window.partitionBy(*by).orderBy(F.desc(score))
     ranked = points.select(*by, "pos", F.sum("n").over(so_far).alias("n"), F.sum("pos").over(so_far).alias("tp"))
-    return ranked.groupBy(*by).agg(F.sum("pos").alias("positives"), (F.sum(F.col("pos") * F.col("tp") / F.col("n")) / F.sum("pos")).alias("average_precision"))
+    return ranked.groupBy(*by).agg(F.sum("pos").alias("positives"), F.try_divide(F.sum(F.col("pos") * F.col("tp") / F.col("n")), F.sum("pos")).alias("average_precision"))
+
+
+def evaluation(scored: DataFrame, by: list[str], score: str = "probability", label: str = "failure_within", shares: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
+    """MOD8, MOD9: aggregates of a scored population: rows, positives, assets, time range, score distribution of all and of positives, average precision."""
+    p = percentiles(score, *shares)
+    out = scored.groupBy(*by).agg(
+        F.count("*").alias("n_rows"),
+        F.count_distinct("asset").alias("n_assets"),
+        F.min("prediction_ts").alias("first_ts"),
+        F.max("prediction_ts").alias("last_ts"),
+        F.min(score).alias("least"),
+        F.avg(score).alias("mean"),
+        F.max(score).alias("most"),
+        F.avg(F.when(F.col(label), F.col(score))).alias("mean_positive"),
+        F.max(F.when(F.col(label), F.col(score))).alias("most_positive"),
+        p.alias("_p"),
+    )
+    out = out.withColumns({f"p{s * 100:g}": F.col("_p")[k] for k, s in enumerate(shares)}).drop("_p")
+    return out.join(average_precision(scored, by, score, label), by)
 
 
 @dataclass(frozen=True)

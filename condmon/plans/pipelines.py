@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import alerts, cycles, features, labels, models, quality, snapshots
+from ..operators import alerts, audit, cycles, features, labels, models, profiles, quality, snapshots
 from ..sources import landing, merging
 
 KEY = ["asset", "cycle_id"]
@@ -54,6 +54,20 @@ def feature_snapshots(cycle_rows: DataFrame, accepted: DataFrame, signal: str, w
     return snapshots.snapshot_v2(v1, cycles.context(cycle_rows))
 
 
+def expand_snapshots(v1_path: str, context_rows: DataFrame, path: str) -> DataFrame:
+    """SNP2, SNP3, VAL20: write the v2 snapshots of a v1 table of one version and lineage, and prove that v1 is what it was."""
+    spark = context_rows.sparkSession
+    v1 = spark.read.parquet(v1_path)
+    wrong = audit.table_rules(v1, KEY, ["dataset_version"], "v1", {"snapshot_version": snapshots.SNAPSHOT_V1}).where("violations > 0")
+    if not wrong.isEmpty():
+        raise ValueError(f"unfit v1 table: {[r['rule'] for r in wrong.collect()]}")
+    before = snapshots.digest(v1).first()
+    merging.create(snapshots.snapshot_v2(v1, context_rows), path)
+    if snapshots.digest(spark.read.parquet(v1_path)).first() != before:
+        raise ValueError("the v1 table has changed")
+    return spark.read.parquet(path)
+
+
 def modelling_view(snapshot_rows: DataFrame, label_rows: DataFrame, lineage: dict[str, Column]) -> DataFrame:
     """PIPE6: refuses key sets that differ."""
     seen = snapshots.key_coverage(snapshot_rows, label_rows, KEY).first()
@@ -66,7 +80,10 @@ def compare_candidates(view: DataFrame, candidates: list[models.Candidate], vali
     """PIPE7: evidence of each candidate on the same development rows."""
     inputs = list(dict.fromkeys(i for c in candidates for i in c.inputs))
     rows = models.development_rows(view, inputs, test_start).withColumn("part", snapshots.partition(F.col("prediction_ts"), validation_start, test_start)).persist()
-    return models.compare(rows.where("part = 'train'"), rows.where("part = 'validation'"), candidates)
+    try:
+        return models.compare(rows.where("part = 'train'"), rows.where("part = 'validation'"), candidates)
+    finally:
+        rows.unpersist()
 
 
 def score(view: DataFrame, inputs: list[str], validation_start: str, test_start: str, part: str) -> DataFrame:
@@ -75,6 +92,28 @@ def score(view: DataFrame, inputs: list[str], validation_start: str, test_start:
     return models.predict(models.fit(rows.where("part = 'train'"), inputs), rows.where(F.col("part") == part), inputs)
 
 
+def held_out(scored: DataFrame, failures: DataFrame, horizon_seconds: int, **grid) -> tuple[DataFrame, DataFrame]:  # noqa: ANN003
+    """PIPE10: aggregates of the held-out population and the metrics of every policy on it; no row of it leaves."""
+    return models.evaluation(scored.withColumn("part", F.lit("test")), ["part"]), evaluate_policies(scored, failures, horizon_seconds, **grid)
+
+
+def profiles_of(cycle_rows: DataFrame, label_rows: DataFrame, covered: DataFrame, view: DataFrame, policies: list[tuple[str, bool, int | None]], splits: list[tuple[str, str, str]]) -> dict[str, DataFrame]:
+    """PIPE12: the read-only profiles of one source, each a small table."""
+    bounds = profiles.tail_bounds(covered)
+    return {
+        "cycles": cycles.statistics(cycle_rows),
+        "labels": profiles.status_counts(label_rows, "horizon_status", labels.STATUSES),
+        "features": profiles.support(covered),
+        "coverage": profiles.coverage_policies(covered, label_rows, bounds, policies),
+        "tail": profiles.tail_overlap(covered, bounds),
+        "eligibility": profiles.status_counts(view, "eligibility_status"),
+        "context": profiles.context_profile(view),
+        "splits": snapshots.split_comparison(view, splits),
+        "view": profiles.view_summary(view),
+        "drift": profiles.monthly_drift(view.where("row_status = 'trainable'"), "win_mean"),
+    }
+
+
 def evaluate_policies(scored: DataFrame, failures: DataFrame, horizon_seconds: int, **grid) -> DataFrame:  # noqa: ANN003
     """PIPE9: metrics of every policy of the grid."""
     points = scored.select(*KEY, "prediction_ts", "probability")

@@ -246,6 +246,12 @@ def eligibility_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.metric_listing(A.eligible(spark, sf_dir).withColumn("eligibility_reasons", F.array_join("eligibility_reasons", ",")), ["eligibility_status", "win_status", "eligibility_reasons"])
 
 
+@query("SELECT context_status, count(*) AS n, " + ", ".join(f"quantile_disc({c}, {q / 100}) AS {n}_p{q}" for n, c in (("duration", "context_duration_s"), ("previous", "context_previous_duration_s"), ("idle", "context_previous_idle_s")) for q in (5, 50, 95)) + " FROM vw GROUP BY 1")
+def context_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG20."""
+    return profiles.context_profile(A.view(spark, sf_dir))
+
+
 @query("SELECT count(*) AS n, " + ", ".join(f"quantile_disc({c}, {q}) AS {n}_p{int(q * 100)}" for c, n in (("win_count", "count"), ("span_s", "span")) for q in (0.05, 0.5, 0.95)) + " FROM cov")
 def window_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG14."""
@@ -380,6 +386,8 @@ def audit_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
         audit.violations(joined, audit.policy_input_rules(), "policy inputs"),
         audit.violations(A.score_points(spark, sf_dir), audit.score_rules(), "scores"),
         audit.violations(A.failures(spark, sf_dir), audit.event_rules(A.HORIZON, "2024-01-01 00:00:00", "2024-01-31 00:00:00"), "events"),
+        audit.table_rules(A.failures(spark, sf_dir), ["asset", "record_id"], [], "events"),
+        audit.table_rules(view, ["asset", "cycle_id"], ["dataset_version", "failure_dataset_version"], "view", {"view_version": snapshots.VIEW_V2, "snapshot_version": snapshots.SNAPSHOT_V2}),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -396,6 +404,46 @@ def event_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.violations(A.failures(spark, sf_dir), audit.event_rules(A.HORIZON, "2024-01-01 00:00:00", "2024-01-25 00:00:00"), "events")
 
 
+@query("""
+, b AS (SELECT *, win_count % 5 = 0 AS flip, win_count % 7 = 0 AS blank, win_count % 3 = 0 AS wrong FROM vw),
+r AS (SELECT CASE WHEN flip THEN CASE row_status WHEN 'trainable' THEN 'excluded' ELSE 'trainable' END ELSE row_status END AS row_status,
+             CASE WHEN blank THEN NULL ELSE failure_within END AS failure_within, CASE WHEN wrong THEN 'feature_ineligible' ELSE exclusion_reasons END AS reasons, exclusion_reasons, eligibility_status FROM b),
+n AS (SELECT count(*) AS n_rows, 0::BIGINT AS known_row_status, count(*) FILTER ((row_status = 'trainable') <> (reasons = '')) AS reasons_agree,
+             count(*) FILTER (reasons <> exclusion_reasons) AS reasons_recomputed, count(*) FILTER (row_status = 'trainable' AND failure_within IS NULL) AS trainable_has_target,
+             count(*) FILTER (row_status = 'trainable' AND eligibility_status <> 'eligible') AS trainable_is_eligible, 0::BIGINT AS window_is_past, 0::BIGINT AS window_boundary FROM r)
+SELECT 'broken view' AS audited, n_rows, rule, violations FROM n UNPIVOT (violations FOR rule IN (known_row_status, reasons_agree, reasons_recomputed, trainable_has_target, trainable_is_eligible, window_is_past, window_boundary))""")
+def broken_view_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VAL13, AGG22: a view whose status, label and reasons are broken by rule."""
+    n, status = F.col("win_count"), F.col("row_status")
+    broken = A.view(spark, sf_dir).withColumns(
+        {
+            "row_status": F.when(n % 5 == 0, F.when(status == "trainable", "excluded").otherwise("trainable")).otherwise(status),
+            "failure_within": F.when(n % 7 != 0, F.col("failure_within")),
+            "exclusion_reasons": F.when(n % 3 == 0, F.array(F.lit("feature_ineligible"))).otherwise(F.col("exclusion_reasons")),
+        }
+    )
+    return audit.violations(broken, audit.view_rules(), "broken view")
+
+
+@query("""
+, b AS (SELECT *, CASE WHEN n_observations % 3 = 0 THEN NOT right_censored ELSE right_censored END AS rc, CASE WHEN n_observations % 5 = 0 THEN 0 ELSE n_observations END AS n,
+               CASE WHEN n_observations % 4 = 0 THEN duration_s + 1 ELSE duration_s END AS d FROM cyc),
+x AS (SELECT count(*) AS n_rows, 0::BIGINT AS id_matches_start, 0::BIGINT AS known_start_type, 0::BIGINT AS has_start, count(*) FILTER (rc <> right_censored) AS stop_agrees_with_censoring,
+             count(*) FILTER (NOT (rc OR coalesce(d = duration_s, false))) AS duration_matches, count(*) FILTER (NOT rc AND stop_ts IS NULL) AS stop_after_start, count(*) FILTER (n <= 0) AS has_observations FROM b)
+SELECT 'broken cycles' AS audited, n_rows, rule, violations FROM x UNPIVOT (violations FOR rule IN (id_matches_start, known_start_type, has_start, stop_agrees_with_censoring, duration_matches, stop_after_start, has_observations))""")
+def broken_cycle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VAL10, AGG22: cycles whose censoring, count and duration are broken by rule."""
+    n = F.col("n_observations")
+    broken = A.cycle_rows(spark, sf_dir).withColumns(
+        {
+            "right_censored": F.when(n % 3 == 0, ~F.col("right_censored")).otherwise(F.col("right_censored")),
+            "duration_s": F.when(n % 4 == 0, F.col("duration_s") + 1).otherwise(F.col("duration_s")),
+            "n_observations": F.when(n % 5 == 0, 0).otherwise(n),
+        }
+    )
+    return audit.violations(broken, audit.cycle_rules(), "broken cycles")
+
+
 # --- merges -----------------------------------------------------------------------------------
 CUT = "2024-01-20 00:00:00"
 
@@ -501,7 +549,7 @@ def line_price_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _development(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = models.development_rows(A.parted_view(spark, sf_dir), INPUTS, A.TEST_START).persist()
+    rows = models.development_rows(A.parted_view(spark, sf_dir), INPUTS, A.TEST_START)
     return rows.where("part = 'train'"), rows.where("part = 'validation'")
 
 
@@ -531,13 +579,34 @@ def held_out_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 , v AS (SELECT part, win_mean, failure_within FROM vw WHERE row_status = 'trainable'), g AS (SELECT part, win_mean, count(*) AS n, count(*) FILTER (failure_within) AS pos FROM v GROUP BY 1, 2),
 c AS (SELECT part, pos, sum(n) OVER w AS n, sum(pos) OVER w AS tp FROM g WINDOW w AS (PARTITION BY part ORDER BY win_mean DESC))
-SELECT part, sum(pos)::BIGINT AS positives, round(sum(pos * tp / n) / sum(pos), 6) AS average_precision FROM c GROUP BY 1""")
+SELECT part, sum(pos)::BIGINT AS positives, round(sum(pos * tp / n) / nullif(sum(pos), 0), 6) AS average_precision FROM c GROUP BY 1""")
 def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MOD4 for a rule score."""
     rows = A.parted_view(spark, sf_dir).where("row_status = 'trainable'")
     return _rounded(models.average_precision(rows, ["part"], "win_mean"), "average_precision")
 
 
+@query("""
+, v AS (SELECT * FROM vw WHERE row_status = 'trainable'), g AS (SELECT part, win_mean, count(*) AS n, count(*) FILTER (failure_within) AS pos FROM v GROUP BY 1, 2),
+c AS (SELECT part, pos, sum(n) OVER w AS n, sum(pos) OVER w AS tp FROM g WINDOW w AS (PARTITION BY part ORDER BY win_mean DESC)),
+ap AS (SELECT part, sum(pos)::BIGINT AS positives, sum(pos * tp / n) / nullif(sum(pos), 0) AS average_precision FROM c GROUP BY 1)
+SELECT part, count(*) AS n_rows, count(DISTINCT asset) AS n_assets, min(prediction_ts) AS first_ts, max(prediction_ts) AS last_ts, min(win_mean) AS least, avg(win_mean) AS mean, max(win_mean) AS most,
+  avg(win_mean) FILTER (failure_within) AS mean_positive, max(win_mean) FILTER (failure_within) AS most_positive, quantile_cont(win_mean, 0.05) AS p5, quantile_cont(win_mean, 0.25) AS p25,
+  quantile_cont(win_mean, 0.5) AS p50, quantile_cont(win_mean, 0.75) AS p75, quantile_cont(win_mean, 0.95) AS p95, any_value(positives) AS positives, any_value(average_precision) AS average_precision
+FROM v JOIN ap USING (part) GROUP BY 1""")
+def score_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MOD8, MOD9 for a rule score."""
+    return models.evaluation(A.parted_view(spark, sf_dir).where("row_status = 'trainable'"), ["part"], "win_mean")
+
+
+@query("""
+SELECT l.asset, l.cycle_id, horizon_status, count(f.record_id) AS n_ahead, min(f.failure_start) AS first_start
+FROM lab l LEFT JOIN fail f ON f.asset = l.asset AND f.failure_start > l.prediction_ts AND f.failure_start <= l.horizon_end GROUP BY ALL""")
+def horizon_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN13: every label with the failures in its horizon, counted by an interval join of its own."""
+    return audit.horizon_evidence(A.labelled(spark, sf_dir), A.failures(spark, sf_dir), A.HORIZON)
+
+
 @query("SELECT DISTINCT a.asset FROM vw a JOIN vw b USING (asset) WHERE a.part = 'train' AND b.part = 'test' AND a.row_status = 'trainable' AND b.row_status = 'trainable'")
 def cross_partition_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SET3."""

@@ -106,17 +106,35 @@ def read_newest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/v={versions(spark, path)[-1]}")
 
 
+def write_immutable(df: DataFrame, path: str, key: list[str], columns: list[str], lineage: list[str]) -> int:
+    """SNK3: append the rows with new keys; refuse changed rows, and a source or target with other than one and the same lineage. Returns the rows added."""
+    spark = df.sparkSession
+    tuples = lambda x: {tuple(r) for r in x.select(*lineage).distinct().limit(2).collect()}
+    own = tuples(df)
+    if len(own) > 1:
+        raise ValueError(f"more than one lineage: {sorted(map(str, own))}")
+    if not exists(spark, path):
+        create(df, path)
+        return df.count()
+    target = spark.read.parquet(path)
+    if own and tuples(target) - own:
+        raise ValueError("the target has another lineage")
+    actions = {r["action"]: r["count"] for r in immutable_merge(target, df, key, columns).groupBy("action").count().collect()}
+    if actions.get("conflict"):
+        raise ValueError(f"{actions['conflict']} rows were changed")
+    if actions.get("insert"):
+        insert_only(target, df, key).write.mode("append").parquet(path)
+    return actions.get("insert", 0)
+
+
 def write_split(accepted: DataFrame, quarantined: DataFrame, path: str, key: list[str], n_expected: int) -> dict[str, int]:
-    """SNK4: both tables, with their rows counted while they are written and held against the source's number."""
-    from pyspark.sql import Observation
-
-    counts = {}
-    for name, df in (("accepted", accepted), ("quarantine", quarantined)):
-        seen = Observation()
-        append_new(df.observe(seen, F.count("*").alias("n")), f"{path}/{name}", key)
-        counts[name] = seen.get["n"]
+    """SNK4: both tables, once their rows add up to the source's number; nothing is written otherwise."""
+    sides = {"accepted": accepted, "quarantine": quarantined}
+    counts = {name: df.count() for name, df in sides.items()}
     if sum(counts.values()) != n_expected:
         raise ValueError(f"{counts} do not add up to {n_expected} rows")
+    for name, df in sides.items():
+        append_new(df, f"{path}/{name}", key)
     return counts
 
 
@@ -125,8 +143,9 @@ def write_outputs(annotated: DataFrame, metrics: DataFrame, path: str, key: list
     from ..operators.quality import split
 
     totals = metrics.agg(F.sum("n_rows").alias("n"), F.sum("accepted").alias("a")).first()
-    counts = write_split(*split(annotated), path, key, totals["n"])
-    if counts["accepted"] != totals["a"]:
-        raise ValueError(f"metrics count {totals['a']} accepted rows, {counts['accepted']} were written")
+    accepted, quarantined = split(annotated)
+    if (found := accepted.count()) != totals["a"]:
+        raise ValueError(f"metrics count {totals['a']} accepted rows, there are {found}")
+    counts = write_split(accepted, quarantined, path, key, totals["n"])
     append_new(metrics, f"{path}/metrics", ["quality_batch_id"])
     return counts

@@ -156,7 +156,7 @@ def test_duplicates_mark_every_member_but_no_null(spark):
 
 def test_eligibility_fails_closed(spark):
     f = spark.createDataFrame([(1, k, s) for k, s in (("a", "available"), ("b", "available"), ("c", "available"), ("d", "missing_prediction_observation"), ("e", "strange"), ("f", None))], "asset long, cycle_id string, win_status string")
-    c = spark.createDataFrame([(1, "a", 5, True, 3), (1, "b", 5, False, 20), (1, "d", 1, False, None)], "asset long, cycle_id string, lead_s long, first_follows_gap boolean, max_internal_gap_s long")
+    c = spark.createDataFrame([(1, "a", 5), (1, "b", 20), (1, "d", 1), (1, "c", None)], "asset long, cycle_id string, window_gap_s long")
     got = {r["cycle_id"]: (r["eligibility_status"], list(r["eligibility_reasons"])) for r in features.eligibility(f, c, 20).collect()}
     assert got == {
         "a": ("eligible", []),
@@ -195,8 +195,21 @@ def test_key_coverage(spark):
     assert snapshots.key_coverage(a, b, ["k"]).first().asDict() == {"in_both": 2, "only_left": 1, "only_right": 1, "repeated_left": 1, "repeated_right": 1}
 
 
-def test_negative_bins_are_refused(spark):
-    p = spark.createDataFrame([(1, at(0))], "asset long, ts timestamp_ntz")
-    i = spark.createDataFrame([(1, at(0), at(86_400 * 400))], "asset long, a timestamp_ntz, b timestamp_ntz")
-    with pytest.raises(Exception, match="too many bins"):
-        points_in_intervals(p, i, ["asset"], "ts", F.col("a"), F.col("b"), 1, F.lit(True)).count()
+def test_long_intervals_take_coarse_bins(spark):
+    p = spark.createDataFrame([(1, k, at(86_400 * k)) for k in range(0, 500, 7)], "asset long, p long, ts timestamp_ntz")
+    i = spark.createDataFrame([(1, 0, at(0), at(86_400 * 400)), (1, 1, at(100), at(700_000)), (1, 2, None, at(5))], "asset long, i long, a timestamp_ntz, b timestamp_ntz")
+    got = points_in_intervals(p, i, ["asset"], "ts", F.col("a"), F.col("b"), 1, F.col("ts").between(F.col("a"), F.col("b")))
+    assert by(got, "p", "i") == sorted([(k, 0) for k in range(0, 401, 7)] + [(k, 1) for k in range(7, 9, 7)])
+
+
+def test_whole_table_rules(spark):
+    df = spark.createDataFrame([(1, "v1", "a"), (1, "v1", "b"), (2, "v2", "a"), (3, None, "a")], "k long, v string, w string")
+    got = {r["rule"]: r["violations"] for r in audit.table_rules(df, ["k"], ["v"], "t", {"w": "a"}).collect()}
+    assert got == {"unique_key": 1, "one_lineage": 3, "w_is_a": 1}
+    other = df.where("k > 1").select("k")
+    assert audit.same_population(df, other, ["k"], "t").first()["violations"] == 1
+
+
+def test_average_precision_without_positives(spark):
+    df = spark.createDataFrame([("a", 0.5, False), ("b", 0.5, True), ("b", 0.7, False)], "part string, probability double, failure_within boolean")
+    assert {r["part"]: r["average_precision"] for r in models.average_precision(df, ["part"]).collect()} == {"a": None, "b": 0.5}

@@ -80,3 +80,72 @@ def test_immutable_merge_and_reconciliation(spark):
     s = spark.createDataFrame([(1, None), (2, "z"), (4, "w")], "k long, v string")
     assert {r["k"]: r["action"] for r in merging.immutable_merge(t, s, ["k"], ["v"]).collect()} == {1: "equal", 2: "conflict", 4: "insert"}
     assert {r["k"]: r["problem"] for r in merging.reconcile(t, s, ["k"], ["v"]).collect()} == {2: "changed", 4: "missing"}
+
+
+def test_events_and_tables_are_read(spark, csv, tmp_path):
+    df = landing.read_events(spark, csv, NAMES, "idx_raw", "abc", "v1", "doc")
+    assert df.count() == 6 and {r["document_sha256"] for r in df.collect()} == {"doc"}
+    spark.range(3).write.parquet(f"{tmp_path}/t")
+    spark.range(4).createOrReplaceTempView("some_table")
+    assert landing.read_table(spark, f"{tmp_path}/t").count() == 3 and landing.read_table(spark, "some_table").count() == 4
+
+
+def test_immutable_sink(spark, tmp_path):
+    make = lambda rows: spark.createDataFrame(rows, "k long, v string, version string")
+    write = lambda rows: merging.write_immutable(make(rows), f"{tmp_path}/t", ["k"], ["v"], ["version"])
+    assert write([(1, "a", "v1"), (2, None, "v1")]) == 2
+    assert write([(1, "a", "v1"), (2, None, "v1"), (3, "c", "v1")]) == 1
+    assert write([(1, "a", "v1")]) == 0
+    with pytest.raises(ValueError, match="1 rows were changed"):
+        write([(2, "x", "v1"), (4, "d", "v1")])
+    with pytest.raises(ValueError, match="another lineage"):
+        write([(5, "e", "v2")])
+    with pytest.raises(ValueError, match="more than one lineage"):
+        write([(5, "e", "v1"), (6, "f", "v2")])
+    assert spark.read.parquet(f"{tmp_path}/t").count() == 3
+
+
+def test_split_that_does_not_add_up_writes_nothing(spark, tmp_path):
+    df = spark.range(3)
+    with pytest.raises(ValueError, match="add up"):
+        merging.write_split(df.where("id < 1"), df.where("id > 1"), f"{tmp_path}/s", ["id"], 3)
+    assert not merging.exists(spark, f"{tmp_path}/s/accepted")
+
+
+def test_pipelines_from_cycles_to_policies(spark, sf_dir, tmp_path):
+    """PIPE4 to PIPE10 and PIPE12 on the smallest tables, each step written and read again."""
+    from condmon.operators import models, snapshots
+    from condmon.plans import adapters as A
+
+    def kept(df, name):
+        df.write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    seq, failures = kept(A.sequence(spark, sf_dir), "seq"), kept(A.failures(spark, sf_dir), "failures")
+    cycle_rows = kept(A.cycle_rows(spark, sf_dir), "cycles")
+    lineage = {"dataset_version": F.lit("events-v1")}
+    label_rows = kept(pipelines.label_cycles(cycle_rows, failures, seq, A.HORIZON), "labels")
+    snaps = kept(pipelines.feature_snapshots(cycle_rows, seq, "value", A.WINDOW, A.GAP, lineage), "snapshots")
+    v1 = snaps.drop(*snapshots.CONTEXT).withColumn("snapshot_version", F.lit(snapshots.SNAPSHOT_V1))
+    kept(v1, "v1")
+    from condmon.operators import cycles
+
+    again = pipelines.expand_snapshots(f"{tmp_path}/v1", cycles.context(cycle_rows), f"{tmp_path}/v2")
+    assert snapshots.table_difference(snaps, again).isEmpty()
+    with pytest.raises(ValueError, match="snapshot_version"):
+        pipelines.expand_snapshots(f"{tmp_path}/snapshots", cycles.context(cycle_rows), f"{tmp_path}/v3")
+    view = kept(pipelines.modelling_view(snaps, label_rows, {"failure_dataset_version": F.lit("errors-v1")}), "view")
+    assert view.count() == cycle_rows.count() and view.where("row_status = 'trainable'").count() > 0
+    with pytest.raises(ValueError, match="differ in keys"):
+        pipelines.modelling_view(snaps, label_rows.limit(5), {})
+    inputs = ["win_count", "win_mean"]
+    few = [models.Candidate("count", ("win_count",)), models.Candidate("both", tuple(inputs))]
+    assert pipelines.compare_candidates(view, few, A.VALIDATION_START, A.TEST_START).count() == 2
+    scored = kept(pipelines.score(view, inputs, A.VALIDATION_START, A.TEST_START, "validation"), "scored")
+    grid = {"shares": (0.5, 0.9), "persistence": (1,)}
+    assert pipelines.evaluate_policies(scored, failures, A.HORIZON, **grid).count() == 2
+    population, metrics = pipelines.held_out(scored, failures, A.HORIZON, **grid)
+    assert population.first()["n_rows"] == scored.count() and metrics.count() == 2
+    covered = kept(A.covered(spark, sf_dir), "covered")
+    found = pipelines.profiles_of(cycle_rows, label_rows, covered, view, [("all", False, None)], [("one", A.VALIDATION_START, A.TEST_START)])
+    assert len(found) == 10 and all(df.count() > 0 for df in found.values())
