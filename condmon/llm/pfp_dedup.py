@@ -41,6 +41,7 @@ from . import rolling
 from .common import Scratch, require, slices
 
 LENGTH, GRAM, SPREAD, RUN = 400, 12, 256, 16
+HOT = 1000
 PLACE = 24  # bits of a place beside the trigger's hash; longer batches take the minimum piece by piece
 KEY = ["doc_id", "tk"]
 
@@ -134,19 +135,29 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _twins(rows: DataFrame, key: str) -> DataFrame:
-    """Values of ``key`` that stand in two rows or more."""
-    return rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
+def _twins(rows: DataFrame, on: list[str], scratch: Scratch, name: str) -> DataFrame:
+    """Values of ``on`` that stand in two rows or more, with their number."""
+    return scratch.write(rows.groupBy(*on).agg(F.count("*").alias("n")).where("n > 1"), f"{name}-twins")
+
+
+def _among(rows: DataFrame, twins: DataFrame, on: list[str]) -> DataFrame:
+    """Rows whose ``on`` is among ``twins``. Values that hold more than one in ``HOT`` of the rows are fewer than ``HOT``, so they are
+    broadcast and their rows stay where they are; the others are joined by shuffle."""
+    least = (twins.agg(F.sum("n")).first()[0] or 0) // HOT
+    hot = F.broadcast(twins.where(F.col("n") > least).select(*on)) if least else None
+    if hot is None:
+        return rows.join(twins.select(*on), on, "left_semi")
+    others = rows.join(hot, on, "left_anti").join(twins.where(F.col("n") <= least).select(*on), on, "left_semi")
+    return rows.join(hot, on, "left_semi").unionByName(others)
 
 
 def _settle(rows: DataFrame, length: int, carry: list[str], scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
     """From rows whose K stands twice: spans of those with a full twin, and one row of each class where classes differ."""
     classes = rows.groupBy("k", "c").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, *carry)).alias("row"))
     classes = scratch.write(classes, f"{name}-classes")
-    full = rows.join(classes.where("n > 1").select("k", "c"), ["k", "c"], "left_semi")
+    full = _among(rows, classes.where("n > 1").select("k", "c", "n"), ["k", "c"])
     spans = full.select(*KEY, "first", (F.col("last") + length).alias("end"))
-    mixed = classes.groupBy("k").agg(F.count("*").alias("n_classes")).where("n_classes > 1").select("k")
-    return scratch.write(spans, f"{name}-spans"), classes.join(mixed, "k", "left_semi").select("row.*")
+    return scratch.write(spans, f"{name}-spans"), _among(classes, _twins(classes, ["k"], scratch, f"{name}-class"), ["k"]).select("row.*")
 
 
 def removed_spans(docs: DataFrame, length: int = LENGTH, spread: int = SPREAD, run: int = RUN) -> DataFrame:
@@ -157,7 +168,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, spread: int = SPREAD, r
     kinds = f"{KEY[0]} {docs.schema['doc_id'].dataType.simpleString()}, {KEY[1]} long"
     phrases = texts.mapInArrow(partial(_first_pass, length=length, spread=spread), f"{kinds}, t int, first int, last int, k long, c long")
     phrases = scratch.write(phrases, "phrases")
-    open_rows = scratch.write(phrases.join(_twins(phrases, "k"), "k", "left_semi"), "open")
+    open_rows = scratch.write(_among(phrases, _twins(phrases, ["k"], scratch, "phrase"), ["k"]), "open")
     scratch.drop("phrases")
     spans_1, open_1 = _settle(open_rows, length, ["t", "first", "last"], scratch, "phrase")
 
@@ -167,17 +178,17 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, spread: int = SPREAD, r
     runs = with_text.mapInArrow(partial(_run_pass, length=length, run=run), f"{kinds}, first int, last int, k long, c long, ws binary")
     runs = scratch.write(runs, "runs")
     scratch.drop("open", "phrase-classes")
-    near = scratch.write(runs.join(_twins(runs, "k"), "k", "left_semi"), "near")
+    near = scratch.write(_among(runs, _twins(runs, ["k"], scratch, "run"), ["k"]), "near")
     scratch.drop("runs")
     spans_2, open_2 = _settle(near, length, ["first", "last", "ws"], scratch, "run")
 
     single = scratch.write(open_2.select(*KEY, "first", "ws").mapInArrow(_windows, f"{kinds}, at int, w long"), "windows")
     scratch.drop("near", "run-classes")
-    spans_3 = single.join(_twins(single, "w"), "w", "left_semi").select(*KEY, F.col("at").alias("first"), (F.col("at") + length).alias("end"))
+    spans_3 = _among(single, _twins(single, ["w"], scratch, "window"), ["w"]).select(*KEY, F.col("at").alias("first"), (F.col("at") + length).alias("end"))
     # Neighbouring phrases with twins overlap, so most of a document's spans merge at once.
     every = spans_1.unionByName(spans_2).unionByName(spans_3)
     found = scratch.write(every.groupBy(*KEY).agg(F.collect_set(F.struct("first", "end")).alias("spans")), "spans")
-    scratch.drop("windows", "phrase-spans", "run-spans")
+    scratch.drop("windows", "phrase-spans", "run-spans", *[f"{n}-twins" for n in ("phrase", "phrase-class", "run", "run-class", "window")])
     return found
 
 
