@@ -4,8 +4,8 @@ Two zstandard dictionaries are built, one from text labelled good and one from t
 A text is cut into chunks, each chunk is compressed with either dictionary, and the difference of
 the two sizes over the text's bytes is its raw score: a text like the good ones packs better with
 the good dictionary. A logistic curve turns the raw score into the probability of the good label. It
-is fitted on scores of labelled rows by dictionaries of the other rows, in ``FOLDS`` parts; the
-dictionaries that score are built from all of them. The curve starts from the share of good labels,
+is fitted on scores of labelled rows by dictionaries of the other rows, in ``FOLDS`` parts; one of these
+pairs of dictionaries then scores all texts, so the curve holds for it however few the labels are. The curve starts from the share of good labels,
 so a text without bytes gets that share, and a few words say little either way.
 
 Training takes at most ``max_rows`` rows of each label and at most ``max_bytes`` bytes of text of each,
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import require
 
-CHUNK, DICT_BYTES, LEVEL, FOLDS = 512, 262144, 5, 3
+CHUNK, DICT_BYTES, LEVEL, FOLDS = 512, 262144, 5, 5
 #: Bytes of a text at which its score counts half.
 SHRINK = 64
 
@@ -91,10 +91,10 @@ def dictionary(texts: list[str]) -> bytes:
         return b""
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, offset: float, ridge: float = 1e-3) -> tuple[float, float]:
-    """Weights of the two features beside a fixed offset, by Newton's method; ``ridge`` keeps separable data finite. The rows' mean weight is 1."""
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, offset: float, ridge: float = 4.0) -> tuple[float, float]:
+    """Weights of the two features beside a fixed offset, by Newton's method; ``ridge`` holds few rows to the offset. The rows' mean weight is 1."""
     scale = np.array([x[:, 0].std() or 1.0, 1.0])
-    a, w, pull = x / scale, np.zeros(2), len(x) * ridge * np.array([1.0, 1e-3])
+    a, w, pull = x / scale, np.zeros(2), ridge * np.ones(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(offset + a @ w, -30, 30)))
         hess = (a * (weight * (p * (1 - p) + 1e-9))[:, None]).T @ a + np.diag(pull)
@@ -110,16 +110,17 @@ def fit(texts: list[str], labels: list[int], counts: dict[int, int]) -> Model:
     own = {y: [t for t, label in zip(texts, labels, strict=True) if label == y] for y in (0, 1)}
     prior = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
     flat = Model(b"", b"", 0.0, 0.0, prior)
-    rows, of = [], {1: 1.0, 0: 0.0}
+    rows, pairs, of = [], [], {1: 1.0, 0: 0.0}
     for fold in range(FOLDS):
         pair = [dictionary([t for k, t in enumerate(own[y]) if k % FOLDS != fold]) for y in (1, 0)]
         if not all(pair):
             return flat
+        pairs.append(pair)
         features = scorer(*pair)
         rows += [(*features(t), of[y], counts[y] / len(own[y])) for y in (1, 0) for t in own[y][fold::FOLDS]]
     x, y, weight = np.array(rows)[:, :2], np.array(rows)[:, 2], np.array(rows)[:, 3]
     curve = logistic(x, y, weight / weight.mean(), float(np.log(prior / (1 - prior))))
-    return Model(dictionary(own[1]), dictionary(own[0]), *curve, prior)
+    return Model(*pairs[-1], *curve, prior)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", usable: Column | None = None, max_rows: int = 2000, max_bytes: int = 8 << 20) -> Model:
