@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import add_seconds
 from ..operators import alerts, audit, cycles, features, labels, models, profiles, quality, snapshots
 from ..sources import landing, merging
 from . import adapters as A
@@ -476,6 +477,19 @@ def monotonic_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merging.monotonic_merge(_earlier(spark, sf_dir), A.cycle_rows(spark, sf_dir), ["asset", "cycle_id"])
 
 
+@query(_EARLY + """
+, o AS (SELECT *, n_observations + CASE WHEN asset % 7 = 0 THEN 100 ELSE 0 END AS n FROM old),
+m AS (SELECT c.asset, c.cycle_id, c.n_observations AS fresh, o.n, CASE WHEN o.cycle_id IS NULL THEN 'insert' WHEN o.n = c.n_observations AND o.stop_ts IS NOT DISTINCT FROM c.stop_ts THEN 'equal'
+        WHEN NOT o.right_censored OR c.n_observations < o.n THEN 'conflict' WHEN c.n_observations > o.n OR NOT c.right_censored THEN 'update' ELSE 'conflict' END AS action
+      FROM cyc c LEFT JOIN o USING (asset, cycle_id))
+SELECT asset, cycle_id, action, CASE WHEN action IN ('insert', 'update') THEN fresh ELSE n END AS n_observations FROM m""")
+def merge_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK2: a target that counts too many observations of some assets."""
+    more = F.when(F.col("asset") % 7 == 0, 100).otherwise(0)
+    target = _earlier(spark, sf_dir).withColumn("n_observations", F.col("n_observations") + more)
+    return merging.monotonic_merge(target, A.cycle_rows(spark, sf_dir), ["asset", "cycle_id"]).select("asset", "cycle_id", "action", "n_observations")
+
+
 @query(_EARLY + """
 SELECT asset, cycle_id, CASE WHEN o.cycle_id IS NULL THEN 'insert' WHEN o.stop_ts IS NOT DISTINCT FROM c.stop_ts AND o.n_observations = c.n_observations THEN 'equal' ELSE 'conflict' END AS action
 FROM cyc c LEFT JOIN old o USING (asset, cycle_id)""")
@@ -676,7 +690,8 @@ def alert_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts.select_policy(_metrics(spark, sf_dir))
 
 
-@query("SELECT asset, policy, episode FROM (SELECT *, max(end_ts) OVER (PARTITION BY asset, policy ORDER BY start_ts, episode ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM epi) WHERE start_ts <= m OR end_ts < start_ts", alerts=True)
+@query("SELECT asset, policy, episode FROM (SELECT *, max(late) OVER (PARTITION BY asset, policy ORDER BY start_ts, episode ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM (SELECT *, end_ts + INTERVAL 864000 SECOND AS late FROM epi)) WHERE start_ts <= m OR late < start_ts", alerts=True)
 def alert_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """VAL18."""
-    return alerts.episode_order(_alerting(spark, sf_dir)[2]).select("asset", "policy", "episode")
+    """VAL18: episodes that are made to end ten days late, so that some overlap."""
+    late = _alerting(spark, sf_dir)[2].withColumn("end_ts", add_seconds(F.col("end_ts"), 864_000))
+    return alerts.episode_order(late).select("asset", "policy", "episode")
