@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontam, jaccard_join, license_scan, mixing, pfp_dedup, quality_clf, quality_rules, token_pack, url_filter
+from . import chat_format, convo_repair, decontam, jaccard_join, license_scan, mixing, pfp_dedup, quality_clf, quality_rules, token_pack, url_filter
 from .common import table
+from .sql_more import CONVERSATION_REPAIR
 
 TOKENIZER, END_ID, THRESHOLD = "byte_bpe_50k.json", 2, 0.7
 
@@ -81,9 +82,14 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return convo_repair.repaired(rows, convo_repair.damage(rows))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_quality_rules, op2_decontamination, op3_license_scan, op4_chat_format, op5_token_output)
-    own += (op6_url_filter, op7_quality_classifier, op8_repeat_removal, op9_mixing, op10_jaccard_join)
+    own += (op6_url_filter, op7_quality_classifier, op8_repeat_removal, op9_mixing, op10_jaccard_join, op11_conversation_repair)
     return {f.__name__: f for f in own}
 
 
@@ -92,6 +98,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 SQL: dict[str, str] = {
+    "op11_conversation_repair": CONVERSATION_REPAIR,
     "op1_quality_rules": r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 l AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
