@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,3 +96,28 @@ def slices(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, list[by
             at, group, held = k + 1, [], 0
     if group:
         yield at, group
+
+
+#: Bits of a Bloom filter for each of its hashes, most bits in all (32 MB), and how far a hash is shifted for each probe.
+BITS_EACH, MOST_BITS, PROBES = 32, 1 << 28, (0, 17, 34)
+
+
+def bloom(hashes: DataFrame, most_bits: int | None = None) -> np.ndarray:
+    """Filter over 64-bit hashes (column ``h``), as uint64 words. Its size is bounded, and so is what the driver gathers: the words in use, as Arrow columns."""
+    n = hashes.count()
+    size = min(most_bits or MOST_BITS, 1 << max(10, (BITS_EACH * n).bit_length()))
+    places = F.array(*[F.shiftrightunsigned("h", s).bitwiseAND(size - 1) for s in PROBES])
+    words = hashes.select(F.explode(places).alias("p")).groupBy(F.shiftright("p", 6).alias("word"))
+    found = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(size // 64, np.uint64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def passes(bits: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Places of the hashes that may be among those in the filter ``bits`` (uint64 words, a power of two)."""
+    at = np.arange(len(w))
+    for shift in PROBES:
+        place = (w[at] >> np.uint64(shift)) & np.uint64(64 * len(bits) - 1)
+        at = at[(bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) > 0]
+    return at

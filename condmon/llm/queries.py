@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, convo_repair, decontam, jaccard_join, license_scan, mixing, pfp_dedup, quality_clf, quality_rules, token_pack, url_filter, warc
+from . import chat_format, convo_repair, decontam, jaccard_join, license_scan, mixing, pfp_dedup, phrases, quality_clf, quality_rules, token_pack, url_filter, warc
 from .common import table
-from .sql_more import ARCHIVES, CONVERSATION_REPAIR
+from .sql_more import ARCHIVES, CONVERSATION_REPAIR, PHRASES
 
 TOKENIZER, END_ID, THRESHOLD = "byte_bpe_50k.json", 2, 0.7
 
@@ -87,13 +87,17 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convo_repair.repaired(rows, convo_repair.damage(rows))
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_quality_rules, op2_decontamination, op3_license_scan, op4_chat_format, op5_token_output)
-    own += (op6_url_filter, op7_quality_classifier, op8_repeat_removal, op9_mixing, op10_jaccard_join, op11_conversation_repair, op13_warc)
+    own += (op6_url_filter, op7_quality_classifier, op8_repeat_removal, op9_mixing, op10_jaccard_join, op11_conversation_repair, op12_phrase_mining, op13_warc)
     return {f.__name__: f for f in own}
 
 
@@ -102,6 +106,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 SQL: dict[str, str] = {
+    "op12_phrase_mining": PHRASES,
     "op13_warc": ARCHIVES,
     "op11_conversation_repair": CONVERSATION_REPAIR,
     "op1_quality_rules": r"""
