@@ -60,7 +60,3 @@ def content_id(*parts: Column | str) -> Column:
     """SHA-256 of the parts joined with a bar, in lower-case hex."""
     return F.sha2(F.concat_ws("|", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]), 256)
 
-
-def percentiles(column: Column | str, *shares: float) -> Column:
-    """Exact, interpolated percentiles as an array."""
-    return F.percentile(column, F.array(*[F.lit(s) for s in shares]))

@@ -6,53 +6,67 @@ merge_gap_s, cooldown_s; a short given table. failures: asset, record_id, failur
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import add_seconds, micros, seconds_between
+from ..functions import add_seconds, seconds_between
+from ..steps import Steps
 from .intervals import points_in_intervals
 from .models import unique_best
+from .selection import percentiles_of
+from .windows import CHUNK_SECONDS, chunk_of, numbered, running
 
 KEY = ["asset", "policy"]
 
 
 def policy_grid(points: DataFrame, shares: tuple[float, ...] = (0.9, 0.95, 0.99), persistence: tuple[int, ...] = (1, 2), merge_gap_s: int = 3600, cooldown_s: int = 7200) -> DataFrame:
-    """ALR9: thresholds at the scores' percentiles, crossed with the persistence values."""
-    cut = points.agg(F.percentile("probability", F.array(*[F.lit(s) for s in shares])).alias("t"))
+    """ALR9: thresholds at the scores' percentiles, crossed with the persistence values. ``points`` is read twice."""
+    cut = percentiles_of(points, "probability", [], shares).select(F.col("p").alias("t"))
     rows = [(k, f"p{s * 100:g}-n{n}", n) for k, s in enumerate(shares) for n in persistence]
     grid = points.sparkSession.createDataFrame(rows, "k int, policy string, persistence int")
-    out = grid.crossJoin(cut).select("policy", F.get("t", F.col("k")).alias("threshold"), "persistence")
+    out = grid.crossJoin(F.broadcast(cut)).select("policy", F.get("t", F.col("k")).alias("threshold"), "persistence")
     return out.withColumns({"merge_gap_s": F.lit(merge_gap_s).cast("long"), "cooldown_s": F.lit(cooldown_s).cast("long")})
 
 
-def streaks(points: DataFrame, policies: DataFrame) -> DataFrame:
-    """ALR1: runs of consecutive points at or above the threshold, with their points counted off."""
-    order = ["prediction_ts", "cycle_id"]
-    each = points.crossJoin(F.broadcast(policies)).withColumn("_over", F.col("probability") >= F.col("threshold"))
-    run = Window.partitionBy(*KEY).orderBy(*order)
-    breaks = F.sum((~F.col("_over")).cast("int")).over(run.rowsBetween(Window.unboundedPreceding, 0))
-    rows = each.withColumn("_run", breaks).where("_over")
-    return rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*KEY, "_run").orderBy(*order)))
+def streaks(points: DataFrame, policies: DataFrame, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
+    """ALR1: runs of consecutive points at or above the threshold, with their points counted off.
 
-
-def drafts(points: DataFrame, policies: DataFrame) -> DataFrame:
+    A series is cut into chunks of time. A chunk becomes one row: its breaks (points below) and the points behind the last one. Over these
+    rows alone go the breaks before each chunk and the length of the run that is still open where it begins. ``points`` is read twice.
+    """
+    order, part = ["prediction_ts", "cycle_id"], [*KEY, "_chunk"]
+    each = points.crossJoin(F.broadcast(policies)).withColumns({"_over": F.col("probability") >= F.col("threshold"), "_chunk": chunk_of("prediction_ts", chunk_seconds)})
+    inside = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    cut = each.withColumn("_breaks", F.sum((~F.col("_over")).cast("long")).over(inside))
+    ends = cut.groupBy(*part, "_breaks").agg(F.count_if("_over").alias("n")).groupBy(*part).agg(F.max(F.struct("_breaks", "n")).alias("end"))
+    earlier = Window.partitionBy(*KEY).orderBy("_chunk")
+    ends = ends.withColumn("_after", F.sum("end._breaks").over(earlier.rowsBetween(Window.unboundedPreceding, 0)))
+    # Chunks without a break carry on the run of the chunk before, so runs are sums over the chunks of one number of breaks.
+    ends = ends.withColumn("_open", F.sum("end.n").over(Window.partitionBy(*KEY, "_after").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, 0)))
+    before = ends.select(*KEY, "_chunk", F.lag("_after", 1, 0).over(earlier).alias("_before"), F.lag("_open", 1, 0).over(earlier).alias("_open"))
+    rows = cut.where("_over").withColumn("_at", F.row_number().over(Window.partitionBy(*part, "_breaks").orderBy(*order)))
+    rows = rows.join(before, part)
+    nth = F.col("_at") + F.when(F.col("_breaks") == 0, F.col("_open")).otherwise(0)
+    return rows.withColumns({"_nth": nth, "_run": F.col("_before") + F.col("_breaks")}).drop("_at", "_open", "_before", "_breaks", "_chunk")
+
+
+def drafts(streak_rows: DataFrame) -> DataFrame:
     """ALR2: streaks of at least ``persistence`` points; the trigger is the point that reaches it."""
     point = F.struct("prediction_ts", "cycle_id")
     trigger = F.col("_nth") >= F.col("persistence")
-    out = streaks(points, policies).groupBy(*KEY, "_run", "persistence", "merge_gap_s", "cooldown_s").agg(
+    out = streak_rows.groupBy(*KEY, "_run", "persistence", "merge_gap_s", "cooldown_s").agg(
         F.min(F.when(trigger, point)).alias("start"), F.max(point).alias("end"), F.count("*").alias("support"), F.max("probability").alias("peak")
     )
     out = out.where("support >= persistence")
     return out.withColumns({"alert_points": F.col("support") - F.col("persistence") + 1, "n_streaks": F.lit(1).cast("long")}).drop("_run")
 
 
-def merged(draft_rows: DataFrame) -> DataFrame:
-    """ALR3: drafts whose start is at most the merge gap after the latest end so far become one."""
-    order = Window.partitionBy(*KEY).orderBy("start")
-    latest = F.max("end.prediction_ts").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.coalesce(F.col("start.prediction_ts") > F.timestamp_add("SECOND", F.col("merge_gap_s"), latest), F.lit(True))
-    rows = draft_rows.withColumn("_new", fresh.cast("int"))
-    rows = rows.withColumn("_group", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+def merged(draft_rows: DataFrame, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
+    """ALR3: drafts whose start is at most the merge gap after the latest end so far become one. ``draft_rows`` is read four times."""
+    rows = draft_rows.withColumn("_ts", F.col("start.prediction_ts"))
+    rows = running(rows, KEY, "_ts", ["start"], {"_latest": ("max", F.col("end.prediction_ts"))}, True, chunk_seconds)
+    fresh = F.coalesce(F.col("_ts") > F.timestamp_add("SECOND", F.col("merge_gap_s"), F.col("_latest")), F.lit(True))
+    rows = running(rows.withColumn("_new", fresh.cast("long")), KEY, "_ts", ["start"], {"_group": ("sum", F.col("_new"))}, False, chunk_seconds)
     return rows.groupBy(*KEY, "cooldown_s", "_group").agg(
         F.min("start").alias("start"),
         F.max("end").alias("end"),
@@ -63,45 +77,66 @@ def merged(draft_rows: DataFrame) -> DataFrame:
     ).drop("_group")
 
 
-def cooled(merged_rows: DataFrame) -> DataFrame:
+def cooled(merged_rows: DataFrame, steps: Steps, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
     """ALR4: drop an episode that starts within the cooldown after the last retained end.
 
-    The choice depends on the choices before, so the merged episodes of one (asset, policy), few by
-    construction, are folded in order; only times and places are held, and rows are picked by place.
+    An episode that starts after the cooldown of the one before is retained whatever came before, as ends never decrease; the episodes from one
+    such start to the next are a cluster. In a cluster each episode points to the first that starts after its own cooldown, found by
+    counting starts. Retained are those that the first one reaches; pointers double, so a cluster of n takes log n joins, and one of one episode none.
     """
-    order = Window.partitionBy(*KEY).orderBy("start")
-    rows = merged_rows.withColumn("_at", F.row_number().over(order))
-    times = F.struct("_at", micros(F.col("start.prediction_ts")).alias("s"), micros(F.col("end.prediction_ts")).alias("e"))
-    listed = rows.groupBy(*KEY, "cooldown_s").agg(F.sort_array(F.collect_list(times)).alias("list"))
-
-    def step(state: Column, x: Column) -> Column:
-        keep = state["last"].isNull() | (x["s"] >= state["last"] + F.col("cooldown_s") * 1_000_000)
-        return F.struct(F.when(keep, x["e"]).otherwise(state["last"]).alias("last"), F.when(keep, F.concat(state["kept"], F.array(x["_at"]))).otherwise(state["kept"]).alias("kept"))
-
-    zero = F.struct(F.lit(None).cast("long").alias("last"), F.expr("cast(array() as array<int>)").alias("kept"))
-    kept = listed.select(*KEY, F.explode(F.aggregate("list", zero, step, lambda s: s["kept"])).alias("_at"))
-    out = rows.join(kept, [*KEY, "_at"], "left_semi")
-    return out.withColumn("episode", F.row_number().over(order).cast("long")).drop("_at")
-
-
-def episodes(points: DataFrame, policies: DataFrame) -> DataFrame:
-    """ALR5."""
-    found = cooled(merged(drafts(points, policies)))
-    return found.select(
+    rows = merged_rows.withColumns({"_ts": F.col("start.prediction_ts"), "_until": add_seconds(F.col("end.prediction_ts"), F.col("cooldown_s"))})
+    rows = running(rows, KEY, "_ts", ["start"], {"_last": ("max", F.col("_until"))}, True, chunk_seconds)
+    first = F.coalesce(F.col("_ts") >= F.col("_last"), F.lit(True))
+    rows = steps.keep(rows.withColumn("_first", first.cast("long")).drop("_last"), "merged")
+    totals = {"_cluster": ("sum", F.col("_first")), "_at": ("sum", F.lit(1).cast("long"))}
+    rows = steps.keep(running(rows, KEY, "_ts", ["start"], totals, False, chunk_seconds), "clusters")
+    key = [*KEY, "_cluster"]
+    sizes = rows.groupBy(*key).agg(F.min("_at").alias("_begin"), F.count("*").alias("_n"))
+    most = sizes.agg(F.max("_n")).first()[0] or 0
+    kept = rows.where("_first = 1").select(*key, "_at")
+    if most > 1:
+        several = rows.join(sizes.where("_n > 1"), key)
+        mark = lambda t, start: several.select(*key, "_begin", "_n", "_at", F.col(t).alias("_t"), F.lit(start).cast("long").alias("_start"))
+        # At one time the end of a cooldown comes before a start, which it lets through.
+        counted = running(mark("_ts", 1).unionByName(mark("_until", 0)), key, "_t", ["_t", "_start", "_at"], {"_starts": ("sum", F.col("_start"))}, False, chunk_seconds)
+        jumps = counted.where("_start = 0 and _starts < _n").select(*key, "_at", (F.col("_begin") + F.col("_starts")).alias("_next"))
+        jumps, reach = steps.keep(jumps, "jumps"), 1
+        while reach < most:
+            met = kept.join(jumps, [*key, "_at"]).select(*key, F.col("_next").alias("_at"))
+            further = jumps.select(*key, F.col("_at").alias("_next"), F.col("_next").alias("_far"))
+            jumps = jumps.join(further, [*key, "_next"]).select(*key, "_at", F.col("_far").alias("_next"))
+            kept, reach = kept.unionByName(met), 2 * reach
+            if reach % 16 == 0 and reach < most:
+                kept, jumps = steps.keep(kept, "reached"), steps.keep(jumps, "jumps")
+        kept = steps.keep(kept, "retained")
+    out = rows.join(kept, [*key, "_at"], "left_semi").drop("_cluster", "_at", "_first", "_until")
+    return numbered(steps.keep(out, "cooled"), KEY, "_ts", ["start"], "episode", chunk_seconds).drop("_ts")
+
+
+def detected(points: DataFrame, policies: DataFrame, steps: Steps, chunk_seconds: int = CHUNK_SECONDS) -> dict[str, DataFrame]:
+    """ALR1-ALR5: the tables ``streaks``, ``drafts``, ``merged`` and ``episodes``, each of the first three written once."""
+    runs = steps.keep(streaks(points, policies, chunk_seconds), "streaks")
+    ready = steps.keep(drafts(runs), "drafts")
+    joined = steps.keep(merged(ready, chunk_seconds), "episodes")
+    found = cooled(joined, steps, chunk_seconds).select(
         *KEY, "episode", F.col("start.cycle_id").alias("start_cycle_id"), F.col("start.prediction_ts").alias("start_ts"), F.col("end.cycle_id").alias("end_cycle_id"),
         F.col("end.prediction_ts").alias("end_ts"), "support", "alert_points", "n_streaks", "peak",
     )
+    return {"streaks": runs, "drafts": ready, "merged": joined, "episodes": steps.keep(found, "found")}
+
+
+def episodes(points: DataFrame, policies: DataFrame, steps: Steps | None = None, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
+    """ALR5."""
+    return detected(points, policies, steps or Steps(points.sparkSession, "alerts"), chunk_seconds)["episodes"]
 
 
-def episode_audit(points: DataFrame, policies: DataFrame) -> DataFrame:
+def episode_audit(points: DataFrame, policies: DataFrame, found: dict[str, DataFrame]) -> DataFrame:
     """ALR5's counts: points, qualifying points, streaks, qualified streaks, merged, suppressed and kept episodes of each policy."""
     n = lambda df, name: df.groupBy("policy").agg(F.count("*").alias(name))
-    runs = streaks(points, policies)
-    joined = merged(drafts(points, policies))
     out = policies.select("policy").crossJoin(points.agg(F.count("*").alias("n_points")))
-    out = out.join(n(runs, "qualifying_points"), "policy", "left").join(n(runs.where("_nth = 1"), "streaks"), "policy", "left")
-    out = out.join(n(drafts(points, policies), "qualified_streaks"), "policy", "left")
-    out = out.join(n(joined, "merged_episodes"), "policy", "left").join(n(cooled(joined), "episodes"), "policy", "left").fillna(0)
+    out = out.join(n(found["streaks"], "qualifying_points"), "policy", "left").join(n(found["streaks"].where("_nth = 1"), "streaks"), "policy", "left")
+    out = out.join(n(found["drafts"], "qualified_streaks"), "policy", "left")
+    out = out.join(n(found["merged"], "merged_episodes"), "policy", "left").join(n(found["episodes"], "episodes"), "policy", "left").fillna(0)
     return out.withColumn("suppressed", F.col("merged_episodes") - F.col("episodes"))
 
 
@@ -152,8 +187,7 @@ def select_policy(metrics: DataFrame) -> DataFrame:
     return unique_best(metrics, "struct(detected, -false_alerts)")
 
 
-def episode_order(episode_rows: DataFrame) -> DataFrame:
+def episode_order(episode_rows: DataFrame, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
     """VAL18: episodes that start before an earlier one of the same asset and policy has ended."""
-    order = Window.partitionBy(*KEY).orderBy("start_ts", "episode")
-    latest = F.max("end_ts").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return episode_rows.withColumn("_latest", latest).where("start_ts <= _latest or end_ts < start_ts").drop("_latest")
+    rows = running(episode_rows, KEY, "start_ts", ["start_ts", "episode"], {"_latest": ("max", F.col("end_ts"))}, True, chunk_seconds)
+    return rows.where("start_ts <= _latest or end_ts < start_ts").drop("_latest")

@@ -8,21 +8,22 @@ from pyspark.ml.classification import LogisticRegression, LogisticRegressionMode
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import percentiles
+from .selection import named, percentiles_of
+from .windows import running_down
 
 #: Fixed values of the logistic fit.
 MAX_ITERATIONS, REGULARISATION, ELASTIC_NET = 100, 0.1, 0.0
 
 
 def robust_baseline(train: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """BAS1: exact median and median absolute deviation of the negative rows of each group."""
-    rows = train.where(F.col(value).isNotNull() & ~F.col("failure_within"))
-    middle = rows.groupBy(*by).agg(F.count("*").alias("n"), percentiles(value, 0.5)[0].alias("median"))
-    spread = rows.join(middle, by).groupBy(*by).agg(percentiles(F.abs(F.col(value) - F.col("median")), 0.5)[0].alias("mad"))
-    return middle.join(spread, by)
+    """BAS1: exact median and median absolute deviation of the negative rows of each group. ``train`` is read four times."""
+    rows = train.where(F.col(value).isNotNull() & ~F.col("failure_within")).select(*by, value)
+    middle = percentiles_of(rows, value, by, (0.5,)).select(*by, "n", F.get("p", F.lit(0)).alias("median"))
+    away = rows.join(middle, by).select(*by, F.abs(F.col(value) - F.col("median")).alias("away"))
+    return middle.join(percentiles_of(away, "away", by, (0.5,)).select(*by, F.get("p", F.lit(0)).alias("mad")), by)
 
 
 def robust_score(df: DataFrame, baseline: DataFrame, value: str, by: list[str]) -> DataFrame:
@@ -66,30 +67,28 @@ def pr_area(scored: DataFrame, label: str = "failure_within") -> float:
 def average_precision(scored: DataFrame, by: list[str], score: str = "probability", label: str = "failure_within") -> DataFrame:
     """MOD4 per group as rows: mean over positives of the precision at their score, ties sharing one point; null without positives.
 
-    Equal scores are counted first, so the ordered window sees each distinct score once.
+    Equal scores are counted first; rows and positives above each score are sums over ranges of scores (``running_down``), so no window holds a group.
     """
-    points = scored.groupBy(*by, score).agg(F.count("*").alias("n"), F.count_if(label).alias("pos"))
-    so_far = Window.partitionBy(*by).orderBy(F.desc(score))
-    ranked = points.select(*by, "pos", F.sum("n").over(so_far).alias("n"), F.sum("pos").over(so_far).alias("tp"))
+    points = scored.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count("*").alias("n"), F.count_if(label).alias("tp"), F.count_if(label).alias("pos"))
+    ranked = running_down(points, by, score, ["n", "tp"])
     return ranked.groupBy(*by).agg(F.sum("pos").alias("positives"), F.try_divide(F.sum(F.col("pos") * F.col("tp") / F.col("n")), F.sum("pos")).alias("average_precision"))
 
 
 def evaluation(scored: DataFrame, by: list[str], score: str = "probability", label: str = "failure_within", shares: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
     """MOD8, MOD9: aggregates of a scored population: rows, positives, assets, time range, score distribution of all and of positives, average precision."""
-    p = percentiles(score, *shares)
-    out = scored.groupBy(*by).agg(
-        F.count("*").alias("n_rows"),
-        F.count_distinct("asset").alias("n_assets"),
-        F.min("prediction_ts").alias("first_ts"),
-        F.max("prediction_ts").alias("last_ts"),
-        F.min(score).alias("least"),
-        F.avg(score).alias("mean"),
-        F.max(score).alias("most"),
-        F.avg(F.when(F.col(label), F.col(score))).alias("mean_positive"),
-        F.max(F.when(F.col(label), F.col(score))).alias("most_positive"),
-        p.alias("_p"),
-    )
-    out = out.withColumns({f"p{s * 100:g}": F.col("_p")[k] for k, s in enumerate(shares)}).drop("_p")
+    positive = F.when(F.col(label), F.col(score))
+    also = {
+        "n_rows": F.count("*"),
+        "n_assets": F.count_distinct("asset"),
+        "first_ts": F.min("prediction_ts"),
+        "last_ts": F.max("prediction_ts"),
+        "least": F.min(score),
+        "mean": F.avg(score),
+        "most": F.max(score),
+        "mean_positive": F.avg(positive),
+        "most_positive": F.max(positive),
+    }
+    out = named(percentiles_of(scored, score, by, shares, also), shares).drop("n")
     return out.join(average_precision(scored, by, score, label), by)
 
 
@@ -110,15 +109,15 @@ def compare(train: DataFrame, validation: DataFrame, candidates: list[Candidate]
 
 
 def select_best(evidence: DataFrame, metric: str, largest: bool = True) -> DataFrame:
-    """MOD6: the best candidate, no row if several share the best value. The table has a row per candidate."""
+    """MOD6: the best candidate, no row if several share the best value."""
     return unique_best(evidence, metric if largest else f"-{metric}")
 
 
 def unique_best(table: DataFrame, score: str) -> DataFrame:
-    """The row of a short table whose score (SQL) is alone the largest; the table is computed once."""
-    rows = table.agg(F.collect_list(F.struct(F.expr(score).alias("s"), F.struct(*table.columns).alias("row"))).alias("m"))
-    top = F.transform(F.array("m"), lambda m: F.filter(m, lambda x: x["s"] == F.array_max(F.transform(m, lambda y: y["s"]))))[0]
-    return rows.select(top.alias("top")).where(F.size("top") == 1).select(F.inline("top")).select("row.*")
+    """The row whose score (SQL) is alone the largest, in one pass: the best row of each score, then the best score if one row has it."""
+    scored = table.select(F.expr(score).alias("_s"), F.struct(*table.columns).alias("row"))
+    each = scored.groupBy("_s").agg(F.count("*").alias("n"), F.first("row").alias("row"))
+    return each.agg(F.max_by(F.struct("n", "row"), "_s").alias("top")).where("top.n = 1").select("top.row.*")
 
 
 def cross_partition_keys(train: DataFrame, test: DataFrame, key: list[str]) -> DataFrame:

@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import count_if, percentiles
+from ..functions import count_if
+from ..steps import Steps
+from .selection import named, percentiles_of
 
 
 def status_counts(df: DataFrame, column: str, statuses: tuple[str, ...] | None = None) -> DataFrame:
@@ -31,18 +33,15 @@ def unknown_events(labelled: DataFrame, events: DataFrame, asset: str = "asset")
     return labelled.where("matched_record_id is not null").select(asset, "matched_record_id").distinct().join(known, [asset, "matched_record_id"], "left_anti")
 
 
-def distribution(df: DataFrame, value: str, by: list[str], shares: tuple[float, ...] = (0.05, 0.5, 0.95)) -> DataFrame:
-    """AGG7, AGG9, AGG10: count, extrema, mean and exact percentiles of each group."""
-    names = [f"p{s * 100:g}".replace(".", "_") for s in shares]
-    out = df.where(F.col(value).isNotNull()).groupBy(*by).agg(
-        F.count("*").alias("n"), F.min(value).alias("least"), F.avg(value).alias("mean"), F.max(value).alias("most"), percentiles(value, *shares).alias("_p")
-    )
-    return out.withColumns({n: F.col("_p")[k] for k, n in enumerate(names)}).drop("_p")
+def distribution(df: DataFrame, value: str, by: list[str], shares: tuple[float, ...] = (0.05, 0.5, 0.95), steps: Steps | None = None) -> DataFrame:
+    """AGG7, AGG9, AGG10: count, extrema, mean and exact percentiles of each group with a value."""
+    also = {"least": F.min(value), "mean": F.avg(value), "most": F.max(value)}
+    return named(percentiles_of(df, value, by, shares, also, steps).where("n > 0"), shares)
 
 
-def monthly_drift(view: DataFrame, value: str, label: str = "failure_within", ts: str = "prediction_ts") -> DataFrame:
+def monthly_drift(view: DataFrame, value: str, label: str = "failure_within", ts: str = "prediction_ts", steps: Steps | None = None) -> DataFrame:
     """AGG10: distribution by month and label."""
-    return distribution(view.withColumn("month", F.date_format(ts, "yyyy-MM")), value, ["month", label])
+    return distribution(view.withColumn("month", F.date_format(ts, "yyyy-MM")), value, ["month", label], steps=steps)
 
 
 def support(features: DataFrame, prefix: str = "win") -> DataFrame:

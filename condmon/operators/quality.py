@@ -64,12 +64,12 @@ def duplicate_reasons(df: DataFrame, keys: list[list[str]]) -> DataFrame:
     return df
 
 
-def sequence(df: DataFrame, asset: str = "asset", step: int = 1, gap_seconds: int = 86_400) -> DataFrame:
-    """VAL5, JN1: predecessor at exactly one index step, elapsed seconds, forward gap, out-of-order reason."""
+def sequence(df: DataFrame, asset: str = "asset", step: int = 1, gap_seconds: int = 86_400, carried: tuple[str, ...] = ()) -> DataFrame:
+    """VAL5, JN1: predecessor at exactly one index step, elapsed seconds, forward gap, out-of-order reason; ``carried`` columns of the predecessor as ``previous_``."""
     repeated = F.arrays_overlap(REASONS, F.array(F.lit("duplicate_idx"), F.lit("duplicate_ts")))
     fit = F.col("idx").isNotNull() & F.col("ts").isNotNull() & ~repeated
     rows = df.withColumn("_at", F.when(fit, F.col("idx")))
-    before = rows.where("_at is not null").select(asset, (F.col("idx") + step).alias("_at"), F.col("idx").alias("previous_idx"), F.col("ts").alias("previous_ts"))
+    before = rows.where("_at is not null").select(asset, (F.col("idx") + step).alias("_at"), F.col("idx").alias("previous_idx"), F.col("ts").alias("previous_ts"), *[F.col(c).alias(f"previous_{c}") for c in carried])
     out = rows.join(before, [asset, "_at"], "left").drop("_at")
     out = out.withColumn("interval_s", seconds_between(F.col("previous_ts"), F.col("ts")))
     out = out.withColumn("forward_gap", F.coalesce(F.col("interval_s") >= gap_seconds, F.lit(False)))

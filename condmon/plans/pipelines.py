@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import alerts, audit, cycles, features, labels, models, profiles, quality, snapshots
 from ..sources import landing, merging
+from ..steps import Steps
 
 KEY = ["asset", "cycle_id"]
 
@@ -117,5 +118,6 @@ def profiles_of(cycle_rows: DataFrame, label_rows: DataFrame, covered: DataFrame
 def evaluate_policies(scored: DataFrame, failures: DataFrame, horizon_seconds: int, **grid) -> DataFrame:  # noqa: ANN003
     """PIPE9: metrics of every policy of the grid."""
     points = scored.select(*KEY, "prediction_ts", "probability")
-    policies = alerts.policy_grid(points, **grid)
-    return alerts.policy_metrics(points, alerts.episodes(points, policies), failures, policies, horizon_seconds)
+    steps = Steps(scored.sparkSession, "policies")
+    policies = steps.keep(alerts.policy_grid(points, **grid), "policies")
+    return alerts.policy_metrics(points, alerts.episodes(points, policies, steps), failures, policies, horizon_seconds)

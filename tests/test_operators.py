@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from condmon.operators import alerts, audit, cycles, features, labels, models, quality, snapshots, windows
 from condmon.operators.intervals import points_in_intervals
+from condmon.operators.selection import percentiles_of
 
 T0 = dt.datetime(2024, 1, 1)
 LOG = "asset long, idx long, ts timestamp_ntz, value double, active byte, record_id string"
@@ -67,10 +68,68 @@ def test_chunked_windows_equal_plain_ones(spark, items, chunk):
     assert {r["idx"]: r["held"] for r in got.collect()} == last
     got = windows.previous_row(df, ["asset"], "ts", ["ts"], ["idx"], "p", chunk)
     assert {r["idx"]: r["p"] and r["p"]["idx"] for r in got.collect()} == previous
-    got = windows.trailing(df, ["asset"], "ts", 30, {"n": F.count("value"), "s": F.sum("value")}, chunk)
+    got = windows.running(df, ["asset"], "ts", ["ts"], {"total": ("sum", F.col("value")), "top": ("max", F.col("idx"))}, True, chunk)
     for r in got.collect():
-        inside = [x[3] for x in rows if x[0] == r["asset"] and r["ts"] - dt.timedelta(seconds=30) < x[2] <= r["ts"] and x[3] is not None]
-        assert (r["n"], r["s"] or 0) == (len(inside), sum(inside))
+        earlier = [x for x in rows if x[0] == r["asset"] and x[2] < r["ts"]]
+        assert (r["total"], r["top"]) == (sum(x[3] or 0 for x in earlier), max((x[1] for x in earlier), default=None))
+    got = windows.numbered(df, ["asset"], "ts", ["ts"], "nth", chunk).collect()
+    assert {r["idx"]: r["nth"] for r in got} == {x[1]: 1 + sum(y[0] == x[0] and y[2] < x[2] for y in rows) for x in rows}
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.integers(1, 2), st.integers(0, 300), st.sampled_from([None, 1.0, -2.0, 7.5])), min_size=1, max_size=40), st.lists(st.integers(0, 330), min_size=1, max_size=8), st.integers(2, 120), st.integers(1, 20))
+def test_tiles_equal_plain_windows(spark, items, times, seconds, tiles):
+    log = spark.createDataFrame([(a, at(s), v) for a, s, v in items], "asset long, ts timestamp_ntz, value double")
+    points = spark.createDataFrame([(a, at(t)) for a in (1, 2) for t in times] + [(1, None)], "asset long, t timestamp_ntz")
+    aggregates = {"n": ("count", F.col("value")), "low": ("min", F.col("value")), "top": ("max", F.col("value")), "mid": ("mean", F.col("value")), "first": ("min", F.col("ts"))}
+    got = {(r["asset"], r["t"]): r for r in windows.trailing(points, "t", log, ["asset"], "ts", seconds, aggregates, tiles).collect()}
+    for a in (1, 2):
+        for t in set(times):
+            inside = [(s, v) for b, s, v in items if b == a and t - seconds < s <= t]
+            values = [v for _, v in inside if v is not None]
+            r = got.pop((a, at(t)), None)
+            assert (r is None) == (not inside)
+            if r:
+                assert (r["n"], r["low"], r["top"]) == (len(values), min(values, default=None), max(values, default=None))
+                assert r["first"] == at(min(s for s, _ in inside)) and r["seen"] == any(s == t for s, _ in inside)
+                assert r["mid"] is None if not values else abs(r["mid"] - sum(values) / len(values)) < 1e-9
+    assert not got
+
+
+def test_percentiles_of_small_and_odd_groups(spark):
+    rng = random.Random(3)
+    rows = [(g, None if rng.random() < 0.1 else float(rng.choice([rng.random(), 1.0, 2.0]))) for g in ("a", "b", None) for _ in range(rng.randint(1, 90))] + [("one", 5.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r["g"]: (r["n"], r["p"]) for r in percentiles_of(df, "x", ["g"], (0.0, 0.05, 0.5, 0.99, 1.0)).collect()}
+    want = {r["g"]: (r["n"], r["p"]) for r in df.groupBy("g").agg(F.count("x").alias("n"), F.percentile("x", F.array(*map(F.lit, (0.0, 0.05, 0.5, 0.99, 1.0)))).alias("p")).collect()}
+    assert set(got) == set(want)
+    for g, (n, p) in want.items():
+        assert got[g][0] == n and (p is None and got[g][1] == [None] * 5 or all(abs(a - b) < 1e-9 for a, b in zip(got[g][1], p)))
+    assert percentiles_of(df.where("g = 'none'"), "x", [], (0.5,)).first()["p"] in ([], [None])
+
+
+def test_percentiles_of_ten_million_rows_in_one_group(spark):
+    n = 10_000_000
+    # A permutation of 0 to n - 1, with one value put in for a tenth of them.
+    x = F.pmod(F.col("id") * 7_368_787 + 12_345, F.lit(n))
+    df = spark.range(0, n, 1, 16).select(F.lit("g").alias("g"), F.when(x < n // 10, n // 10).otherwise(x).cast("double").alias("x"))
+    shares = (0.0, 0.001, 0.05, 0.5, 0.999, 1.0)
+    found = percentiles_of(df, "x", ["g"], shares)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "percentile_approx" in plan and " percentile(" not in plan
+    got = found.first()
+    assert got["n"] == n
+    for s, p in zip(shares, got["p"]):
+        assert abs(p - max(n // 10, s * (n - 1))) < 1e-6, (s, p)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.integers(0, 40), st.booleans()), min_size=1, max_size=120), st.integers(2, 9))
+def test_sums_over_ranges_of_values(spark, items, parts):
+    df = spark.createDataFrame([(g, v / 4, p) for g, v, p in items], "g string, v double, p boolean").groupBy("g", "v").agg(F.count("*").alias("n"), F.count_if("p").alias("tp"))
+    for r in windows.running_down(df, ["g"], "v", ["n", "tp"], parts).collect():
+        above = [p for g, v, p in items if g == r["g"] and v / 4 >= r["v"]]
+        assert (r["n"], r["tp"]) == (len(above), sum(above))
 
 
 def test_window_bounds_to_the_microsecond(spark):
@@ -138,15 +197,29 @@ def loop_episodes(points, threshold, persistence, gap, cooldown):
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
-@given(st.lists(st.sampled_from([0.1, 0.5, 0.9]), min_size=1, max_size=50), st.integers(1, 3), st.integers(0, 40), st.integers(0, 80))
-def test_episodes_equal_a_loop(spark, scores, persistence, gap, cooldown):
+@given(st.lists(st.sampled_from([0.1, 0.5, 0.9]), min_size=1, max_size=50), st.integers(1, 3), st.integers(0, 40), st.integers(0, 200), st.sampled_from([15, 60, 10_000]))
+def test_episodes_equal_a_loop(spark, scores, persistence, gap, cooldown, chunk):
     points = [(10 * k + (k * k) % 7, f"c{k:03}", s) for k, s in enumerate(scores)]
     df = spark.createDataFrame([(1, c, at(t), s) for t, c, s in points], "asset long, cycle_id string, prediction_ts timestamp_ntz, probability double")
     policies = spark.createDataFrame([("x", 0.5, persistence, gap, cooldown)], "policy string, threshold double, persistence int, merge_gap_s long, cooldown_s long")
-    got = [((r["start_ts"] - T0).total_seconds(), (r["end_ts"] - T0).total_seconds(), r["support"]) for r in alerts.episodes(df, policies).orderBy("episode").collect()]
+    got = [((r["start_ts"] - T0).total_seconds(), (r["end_ts"] - T0).total_seconds(), r["support"]) for r in alerts.episodes(df, policies, chunk_seconds=chunk).orderBy("episode").collect()]
     assert got == loop_episodes(points, 0.5, persistence, gap, cooldown)
 
 
+def test_long_cooldown_chains(spark):
+    """Two hundred episodes in one cluster, of which every third is retained; written rounds of pointers."""
+    points = [(10 * k, f"c{k:04}", 0.9 if k % 2 else 0.1) for k in range(400)]
+    df = spark.createDataFrame([(a, c, at(t), s) for a in (1, 2) for t, c, s in points], "asset long, cycle_id string, prediction_ts timestamp_ntz, probability double")
+    policies = spark.createDataFrame([("x", 0.5, 1, 0, 50), ("y", 0.5, 1, 0, 0)], "policy string, threshold double, persistence int, merge_gap_s long, cooldown_s long")
+    got = alerts.episodes(df, policies, chunk_seconds=700).orderBy("asset", "policy", "episode").collect()
+    for a in (1, 2):
+        for p, cooldown in (("x", 50), ("y", 0)):
+            mine = [((r["start_ts"] - T0).total_seconds(), (r["end_ts"] - T0).total_seconds(), r["support"]) for r in got if (r["asset"], r["policy"]) == (a, p)]
+            assert mine == loop_episodes(points, 0.5, 1, 0, cooldown)
+    plan = alerts.streaks(df, policies)._jdf.queryExecution().executedPlan().toString()
+    assert "_chunk" in plan
+
+
 def test_duplicates_mark_every_member_but_no_null(spark):
     df = spark.createDataFrame([(1, 5), (1, 5), (2, 5), (1, None), (1, None)], "asset long, idx long").withColumn(quality.REASONS, F.expr("cast(array() as array<string>)"))
     got = by(quality.duplicate_reasons(df, [["asset", "idx"]]).withColumn("n", F.size(quality.REASONS)).fillna(-1), "asset", "idx", "n")
@@ -194,6 +267,16 @@ def test_key_coverage(spark):
     assert snapshots.key_coverage(a, b, ["k"]).first().asDict() == {"in_both": 2, "only_left": 1, "only_right": 1, "repeated_left": 1, "repeated_right": 1}
 
 
+def test_points_look_up_only_the_levels_in_use(spark):
+    p = spark.createDataFrame([(1, k, at(60 * k)) for k in range(200)], "asset long, p long, ts timestamp_ntz")
+    short = [(1, k, at(600 * k), at(600 * k + 180)) for k in range(5)]
+    for more, levels in (([], 1), ([(1, 9, at(0), at(6000))], 2)):
+        i = spark.createDataFrame(short + more, "asset long, i long, a timestamp_ntz, b timestamp_ntz")
+        got = points_in_intervals(p, i, ["asset"], "ts", F.col("a"), F.col("b"), 60, F.col("ts").between(F.col("a"), F.col("b")))
+        assert by(got, "p", "i") == sorted((k, j) for k in range(200) for _, j, a, b in short + more if a <= at(60 * k) <= b)
+        assert points_in_intervals(p, i, ["asset"], "ts", F.col("a"), F.col("b"), 60, F.lit(True)).select("p", "i").distinct().count() < 2 * got.count() + 60 * levels
+
+
 def test_long_intervals_take_coarse_bins(spark):
     p = spark.createDataFrame([(1, k, at(86_400 * k)) for k in range(0, 500, 7)], "asset long, p long, ts timestamp_ntz")
     i = spark.createDataFrame([(1, 0, at(0), at(86_400 * 400)), (1, 1, at(100), at(700_000)), (1, 2, None, at(5))], "asset long, i long, a timestamp_ntz, b timestamp_ntz")

@@ -121,8 +121,9 @@ def test_pipelines_from_cycles_to_policies(spark, sf_dir, tmp_path):
         df.write.parquet(f"{tmp_path}/{name}")
         return spark.read.parquet(f"{tmp_path}/{name}")
 
-    seq, failures = kept(A.sequence(spark, sf_dir), "seq"), kept(A.failures(spark, sf_dir), "failures")
-    cycle_rows = kept(A.cycle_rows(spark, sf_dir), "cycles")
+    run = A.Run(spark, sf_dir, A.WINDOWS)
+    seq, failures = kept(run.sequence(), "seq"), kept(run.failures(), "failures")
+    cycle_rows = kept(run.cycle_rows(), "cycles")
     lineage = {"dataset_version": F.lit("events-v1")}
     label_rows = kept(pipelines.label_cycles(cycle_rows, failures, seq, A.HORIZON), "labels")
     snaps = kept(pipelines.feature_snapshots(cycle_rows, seq, "value", A.WINDOW, A.GAP, lineage), "snapshots")
@@ -146,6 +147,6 @@ def test_pipelines_from_cycles_to_policies(spark, sf_dir, tmp_path):
     assert pipelines.evaluate_policies(scored, failures, A.HORIZON, **grid).count() == 2
     population, metrics = pipelines.held_out(scored, failures, A.HORIZON, **grid)
     assert population.first()["n_rows"] == scored.count() and metrics.count() == 2
-    covered = kept(A.covered(spark, sf_dir), "covered")
+    covered = kept(run.covered(), "covered")
     found = pipelines.profiles_of(cycle_rows, label_rows, covered, view, [("all", False, None)], [("one", A.VALIDATION_START, A.TEST_START)])
     assert len(found) == 10 and all(df.count() > 0 for df in found.values())
