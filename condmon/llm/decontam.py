@@ -1,22 +1,21 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words of benchmark items and documents are brought to templates: numbers become a number
-placeholder, units a unit placeholder, capitalised words inside a sentence a name placeholder,
-all other words their lower-case letters without outer punctuation. Windows of ``n`` template words
+placeholder, units behind a number a unit placeholder, capitalised words inside a sentence a name placeholder,
+all other words, the plain ones, their lower-case letters without outer punctuation. Windows of template words
 are hash-joined (hash and template text). A hit lies on a diagonal, place in document less place in item.
 On one diagonal each value of a slot must stand for one value throughout; windows that
 touch a slot value with two readings are dropped. What is left of an item's words must reach
 ``least_words`` or the share ``least_share`` of the item.
 
-Beside its template a window with placeholders is also joined as its literal words, case folded. A literal
-hit needs no plain words and no names marked, and stays whatever its slots; a template window, whose slot
-values may differ, needs ``n - 3`` plain words, so placeholders alone match nothing. Items shorter than
-``n`` words are searched as one window of their own length; those shorter than ``MIN_WORDS``, which
+From each place goes a window of ``n`` words, or longer until it holds ``PLAIN_WORDS`` plain words, so placeholders alone match
+nothing and an item dense in numbers has windows too. Beside it goes a window of ``n`` literal words, case folded: a literal
+hit needs no plain words and no names marked, and stays whatever its slots. Items shorter than
+``n`` words, or with fewer plain words in all, are searched as one window of their own length; those shorter than ``MIN_WORDS`` words, which
 chance would find anywhere, only as a document's whole text.
 
-The hashes of the benchmark's windows fill a Bloom filter of ``BITS_EACH`` bits for each, at most
-``MOST_BITS`` in all (32 MB), which goes to the tasks; so few other windows leave the document scan, and more
-only where the benchmark outgrows the filter. The join itself is on hash and text, in Spark.
+The hashes of the benchmark's windows fill a Bloom filter of bounded size (``common.bloom``), which goes to the tasks; so few
+other windows leave the document scan, and more only where the benchmark outgrows the filter. The join itself is on hash and text, in Spark.
 
 Defined cases: null and empty texts match nothing; repeated rows with one id and text count once; rows
 that share an id, or have none, are judged text by text (id and 64-bit hash of the text), and ``leaks`` gives
@@ -36,12 +35,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import Scratch, let, require
+from .common import Scratch, bloom, let, passes, require
 
-N, MIN_WORDS, BATCH_CHARS = 8, 5, 1 << 20
-BITS_EACH, MOST_BITS, PROBES = 32, 1 << 28, (0, 17, 34)
+N, PLAIN_WORDS, MIN_WORDS, BATCH_CHARS = 8, 5, 5, 1 << 20
 LEAST_WORDS, LEAST_SHARE = 13, 0.6
-#: Words that count as units.
+#: Words that count as units behind a number; signs do anywhere.
 UNITS = frozenset(
     "% $ € £ mm cm m km in ft mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres"
     " mg g kg lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ton tons ml l liter liters litre litres gallon gallons"
@@ -56,7 +54,7 @@ MARKS = ("", "<num>", "<unit>", "<name>")
 
 
 class Words(dict):
-    """Raw word to its row in ``columns``: template hash, literal hash, kind, ends a sentence, is capitalised, is a word."""
+    """Raw word to its row in ``columns``: template hash, literal hash, kind, ends a sentence, is capitalised, is a word, is a sign."""
 
     def __init__(self, most: int = 300_000) -> None:
         super().__init__()
@@ -67,16 +65,16 @@ class Words(dict):
 
     def reset(self) -> None:
         self.clear()
-        self.fresh: list[tuple[int, int, int, bool, bool, bool]] = []
+        self.fresh: list[tuple[int, int, int, bool, bool, bool, bool]] = []
         self.core: list[str] = []
-        self.columns = [np.zeros(0, t) for t in (rolling.U, rolling.U, np.int64, bool, bool, bool)]
+        self.columns = [np.zeros(0, t) for t in (rolling.U, rolling.U, np.int64, bool, bool, bool, bool)]
 
     def __missing__(self, raw: str) -> int:
         core = raw.strip(OUTER)
         low = core.casefold()
         kind = NUM if NUMBER.match(core) else UNIT if low in UNITS else PLAIN
         ends = raw == "\x01" or raw.rstrip("\"'”’)]»")[-1:] in tuple(".!?:;")
-        self.fresh.append((self.hash(MARKS[kind] or low), self.hash(low), kind, ends, len(core) > 1 and core[0].isupper() and core[1:].islower(), raw != "\x01" and bool(core)))
+        self.fresh.append((self.hash(MARKS[kind] or low), self.hash(low), kind, ends, len(core) > 1 and core[0].isupper() and core[1:].islower(), raw != "\x01" and bool(core), not core.isalpha()))
         self.core.append(low)
         self[raw] = len(self.core) - 1
         return len(self.core) - 1
@@ -101,66 +99,89 @@ def template(texts: list[str], words: Words) -> tuple[np.ndarray, ...]:
     at, doc_of = np.concatenate(ids) if ids else np.zeros(0, np.int64), np.concatenate(doc) if doc else np.zeros(0, np.int64)
     if not len(at):
         return doc_of, at.view(rolling.U), at.view(rolling.U), at, at
-    h, literal, kind, ends, cap, real = words.looked_up(at)
+    h, literal, kind, ends, cap, real, sign = words.looked_up(at)
     after = np.ones(len(at), bool)
     after[1:] = ends[:-1] | (doc_of[1:] != doc_of[:-1])
+    # Only what follows a number is a unit.
+    behind = np.zeros(len(at), bool)
+    behind[1:] = (kind[:-1] == NUM) & (doc_of[1:] == doc_of[:-1])
+    stray = (kind == UNIT) & ~behind & ~sign
+    kind, h = np.where(stray, PLAIN, kind), np.where(stray, literal, h)
     name = cap & ~after & (kind == PLAIN)
     kind = np.where(name, NAME, kind)
     h = np.where(name, rolling.U(words.hash(MARKS[NAME])), h)
     return doc_of[real], h[real], literal[real], kind[real], at[real]
 
 
-def _windows(h: np.ndarray, lengths: list[int]) -> Iterator[tuple[int, np.ndarray]]:
-    """Each length with its ``rolling.windows``, all in one pass."""
-    out = np.zeros(len(h), rolling.U)
-    for k in range(min(max(lengths), len(h))):
-        out = out[: len(h) - k] * rolling.U(rolling.BASE) + rolling.mix(h[k:] + rolling.U(k + 1))
-        if k + 1 in lengths:
-            yield k + 1, rolling.mix(out)
+class Stretches:
+    """Hash of any stretch of words from their hashes."""
 
+    def __init__(self, h: np.ndarray, tables: rolling.Powers) -> None:
+        up, self.down = tables.to(len(h))
+        self.sums = np.zeros(len(h) + 1, rolling.U)
+        np.cumsum(rolling.mix(h + rolling.U(1)) * up[: len(h)], out=self.sums[1:])
 
-def passes(bits: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Places of the hashes that may be among those in the filter ``bits`` (uint64 words, a power of two)."""
-    at = np.arange(len(w))
-    for shift in PROBES:
-        place = (w[at] >> rolling.U(shift)) & rolling.U(64 * len(bits) - 1)
-        at = at[(bits[(place >> rolling.U(6)).astype(np.int64)] >> (place & rolling.U(63))) & rolling.U(1) > 0]
-    return at
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return rolling.mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(rolling.U))
 
 
-def _rows(texts: list[str], words: Words, lengths: list[int], bits: np.ndarray | None, whole: bool) -> list[tuple]:
-    """(text number, place, n, hash, template or literal text, slot values, words of the text) of each window; ``whole`` takes one length per text.
+def _ends(kind: np.ndarray, n: int) -> np.ndarray:
+    """Where the window from each place ends: after ``n`` words at least and with ``PLAIN_WORDS`` plain ones; beyond all words if there are too few."""
+    plain = np.flatnonzero(kind == PLAIN)
+    at = np.searchsorted(plain, np.arange(len(kind))) + PLAIN_WORDS - 1
+    last = np.full(len(kind), 2 * len(kind) + n, np.int64)
+    enough = at < len(plain)
+    last[enough] = plain[at[enough]]
+    return np.maximum(last + 1, np.arange(len(kind)) + n)
 
-    A window without placeholders is given once, as its template is its literal text; literal windows have no slots.
+
+def _rows(texts: list[str], words: Words, tables: rolling.Powers, n: int, lengths: list[int], longest: int | None, bits: np.ndarray | None) -> list[tuple]:
+    """(text number, place, n, hash, template or literal text, slot values, words of the text, stands for a whole item) of each window.
+
+    ``bits`` is None for items: each takes the windows that its own words ask for. Documents take windows of all whole-item ``lengths``, and others up to ``longest``
+    words. A window without placeholders is given once, as its template is its literal text; literal windows have no slots.
     """
     doc, h, folded, kind, row = template(texts, words)
     sizes = np.bincount(doc, minlength=len(texts)) if len(doc) else np.zeros(len(texts), int)
-    begin = np.concatenate([[0], np.cumsum(sizes)])
+    close = np.cumsum(sizes)
+    begin = close - sizes
+    plain_before = np.concatenate([[0], np.cumsum(kind == PLAIN)])
+    n_plain = plain_before[close] - plain_before[begin]
+    every = np.arange(len(doc))
+    stop = close[doc] if len(doc) else every
+    own = (sizes < n) | (n_plain < PLAIN_WORDS)
+    families = []  # (start, end, literal, whole)
+    ends = _ends(kind, n)
+    ok = (ends <= stop) if longest is None else (ends <= stop) & (ends - every <= longest)
+    families.append((every[ok], ends[ok], False, False))
+    ok = every + n <= stop
+    families.append((every[ok], every[ok] + n, True, False))
+    if bits is None:
+        starts = begin[own & (sizes > 0)]
+        families += [(starts, stop[starts], literal, True) for literal in (False, True)]
+    for m in lengths:
+        ok = (every + m <= stop) if m >= MIN_WORDS else (every + m <= stop) & (sizes[doc] == m)
+        families += [(every[ok], every[ok] + m, literal, True) for literal in (False, True)]
+    hashes = {literal: Stretches(x, tables) for literal, x in ((False, h), (True, folded))}
     out = []
-    for n, w, literal in ((n, w, literal) for literal, x in ((False, h), (True, folded)) for n, w in _windows(x, lengths)):
+    for start, end, literal, whole in families:
+        w = hashes[literal].of(start, end)
         at = passes(bits, w) if bits is not None else np.arange(len(w))
-        own = doc[at]
-        ok = own == doc[at + n - 1]
-        if whole:
-            ok &= np.minimum(sizes, max(lengths))[own] == n
-        elif n < MIN_WORDS:
-            ok &= sizes[own] == n
-        at = at[ok]
-        for p in at.tolist():
-            kinds = kind[p : p + n].tolist()
+        for p, e, hashed in zip(start[at].tolist(), end[at].tolist(), w[at].view(np.int64).tolist(), strict=True):
+            d, kinds, size = int(doc[p]), kind[p:e].tolist(), e - p
             plain = sum(k == PLAIN for k in kinds)
-            if plain == n if literal else plain < min(n, max(2, n - 3)):
+            needed = 2 if size >= n else min(size, max(2, size - 3))
+            if plain == size if literal else whole and plain < needed:
                 continue
-            core = [words.core[k] for k in row[p : p + n]]
+            core = [words.core[k] for k in row[p:e]]
             text = " ".join(core if literal else (MARKS[k] or c for k, c in zip(kinds, core, strict=True)))
             slots = [] if literal else [c for k, c in zip(kinds, core, strict=True) if k != PLAIN]
-            d = int(doc[p])
-            out.append((d, p - int(begin[d]), n, int(w[p].view(np.int64)), text, slots, int(sizes[d])))
+            out.append((d, p - int(begin[d]), size, hashed, text, slots, int(sizes[d]), whole))
     return out
 
 
-def _scan(batches: Iterator[pa.RecordBatch], lengths: list[int], bits, whole: bool, names: list[str]) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-    words = Words()
+def _scan(batches: Iterator[pa.RecordBatch], n: int, lengths: list[int], longest: int | None, bits, names: list[str]) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+    words, tables = Words(), rolling.Powers()
     held = bits.value if bits is not None else None
     for batch in batches:
         at, texts, size = 0, [], 0
@@ -168,38 +189,26 @@ def _scan(batches: Iterator[pa.RecordBatch], lengths: list[int], bits, whole: bo
             texts.append(batch.column(batch.num_columns - 1)[k].as_py() or "")
             size += len(texts[-1])
             if size >= BATCH_CHARS or k == batch.num_rows - 1:
-                if found := _rows(texts, words, lengths, held, whole):
-                    d, place, n, h, text, slots, total = zip(*found, strict=True)
+                if found := _rows(texts, words, tables, n, lengths, longest, held):
+                    d, place, size_of, h, text, slots, total, whole = zip(*found, strict=True)
                     rows = pa.array([x + at for x in d])
                     yield pa.RecordBatch.from_arrays(
-                        [*(c.take(rows) for c in batch.columns[:-1]), pa.array(place, pa.int32()), pa.array(n, pa.int32()), pa.array(h, pa.int64()), pa.array(text, pa.string()), pa.array(slots, pa.list_(pa.string())), pa.array(total, pa.int32())],
+                        [*(c.take(rows) for c in batch.columns[:-1]), pa.array(place, pa.int32()), pa.array(size_of, pa.int32()), pa.array(h, pa.int64()), pa.array(text, pa.string()), pa.array(slots, pa.list_(pa.string())), pa.array(total, pa.int32()), pa.array(whole, pa.bool_())],
                         names=names,
                     )
                 at, texts, size = k + 1, [], 0
 
 
 def item_windows(benchmark: DataFrame, n: int = N) -> DataFrame:
-    """item_id, ipos, n, h, template, islots, n_item of all windows."""
+    """item_id, ipos, n, h, template, islots, n_item, whole of all windows."""
     require(benchmark, "item_id", "text")
-    names = ["item_id", "ipos", "n", "h", "template", "islots", "n_item"]
+    names = ["item_id", "ipos", "n", "h", "template", "islots", "n_item", "whole"]
     kind = benchmark.schema["item_id"].dataType.simpleString()
-    schema = f"item_id {kind}, ipos int, n int, h long, template string, islots array<string>, n_item int"
-    scan = partial(_scan, lengths=list(range(1, n + 1)), bits=None, whole=True, names=names)
+    schema = f"item_id {kind}, ipos int, n int, h long, template string, islots array<string>, n_item int, whole boolean"
+    scan = partial(_scan, n=n, lengths=[], longest=None, bits=None, names=names)
     return benchmark.select("item_id", "text").mapInArrow(scan, schema)
 
 
-def bloom(items: DataFrame) -> np.ndarray:
-    """Filter over the windows' hashes, as uint64 words. Its size is bounded, so what the driver gathers is: a row for each word in use."""
-    n = items.count()
-    size = min(MOST_BITS, 1 << max(10, (BITS_EACH * n).bit_length()))
-    places = F.array(*[F.shiftrightunsigned("h", s).bitwiseAND(size - 1) for s in PROBES])
-    words = items.select(F.explode(places).alias("p")).groupBy(F.shiftright("p", 6).alias("word"))
-    found = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toPandas()
-    out = np.zeros(size // 64, rolling.U)
-    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(rolling.U)
-    return out
-
-
 def consistent(hits: Column) -> Column:
     """Windows of one diagonal (ipos, n, islots, dslots) without those that touch a slot value of two readings."""
     pair = lambda w: F.zip_with(w["islots"], w["dslots"], lambda i, d: F.struct(i.alias("i"), d.alias("d")))
@@ -216,12 +225,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = N, least_words: int = L
     require(docs, "doc_id", "text")
     scratch = Scratch(docs.sparkSession, "decontamination")
     items = scratch.write(item_windows(benchmark, n), "items")
-    shared = docs.sparkSession.sparkContext.broadcast(bloom(items))
-    lengths = [r["n"] for r in items.select("n").distinct().collect()] or [n]
+    shared = docs.sparkSession.sparkContext.broadcast(bloom(items.select("h")))
+    # Items of a length of their own are short or hold few words but placeholders, so their lengths are few.
+    own = items.agg(F.sort_array(F.collect_set(F.when(F.col("whole"), F.col("n")))).alias("lengths"), F.max(F.when(~F.col("whole"), F.col("n"))).alias("longest")).first()
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "tk", "dpos", "n", "h", "template", "dslots", "n_doc"]
-    scan = partial(_scan, lengths=sorted(lengths), bits=shared, whole=False, names=names)
-    found = docs.select("doc_id", F.xxhash64("text").alias("tk"), "text").mapInArrow(scan, f"doc_id {kind}, tk long, dpos int, n int, h long, template string, dslots array<string>, n_doc int")
+    names = ["doc_id", "tk", "dpos", "n", "h", "template", "dslots", "n_doc", "doc_whole"]
+    scan = partial(_scan, n=n, lengths=own["lengths"], longest=own["longest"] or 0, bits=shared, names=names)
+    found = docs.select("doc_id", F.xxhash64("text").alias("tk"), "text").mapInArrow(scan, f"doc_id {kind}, tk long, dpos int, n int, h long, template string, dslots array<string>, n_doc int, doc_whole boolean")
     joined = found.join(items, ["h", "n", "template"])
     window = F.struct("ipos", "n", "islots", "dslots")
     lines = joined.groupBy("doc_id", "tk", "item_id", "n_item", (F.col("dpos") - F.col("ipos")).alias("diagonal")).agg(F.collect_set(window).alias("w"))
@@ -229,7 +239,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = N, least_words: int = L
     places = F.flatten(F.transform("w", lambda x: F.sequence(x["ipos"], x["ipos"] + x["n"] - 1)))
     lines = lines.withColumns({"places": F.array_distinct(places), "reworded": F.exists("w", lambda x: x["islots"] != x["dslots"])})
     out = lines.groupBy("doc_id", "tk", "item_id", "n_item").agg(
-        F.sum(F.size(F.array_distinct(F.transform("w", lambda x: F.struct(x["ipos"], x["n"]))))).alias("n_windows"), F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("item_words"), F.max("reworded").alias("reworded")
+        F.sum(F.size(F.array_distinct(F.transform("w", lambda x: x["ipos"])))).alias("n_windows"), F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("item_words"), F.max("reworded").alias("reworded")
     )
     out = out.withColumn("share", F.col("item_words") / F.col("n_item"))
     out = out.where((F.col("item_words") >= least_words) | (F.col("share") >= least_share))
@@ -237,7 +247,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = N, least_words: int = L
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
-    """doc_id, item_id, n_windows, item_words (covered), share, reworded (whether a slot's value differs)."""
+    """doc_id, item_id, n_windows (places of the item from which a window was found, on each diagonal), item_words (covered), share, reworded (whether a slot's value differs)."""
     most = F.max(F.struct("share", "item_words", "n_windows", "reworded")).alias("most")
     out = hits(docs, benchmark, n, least_words, least_share).groupBy("doc_id", "item_id").agg(most)
     return out.select("doc_id", "item_id", "most.n_windows", "most.item_words", "most.share", "most.reworded")

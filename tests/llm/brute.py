@@ -130,64 +130,95 @@ def licenses(text: str | None, templates, shift: int = 3) -> tuple[str, float]:
     return ",".join(sorted(labels)), score
 
 
+#: Rules of decontamination, written anew. Units as in the operator (fixed values).
+UNIT_WORDS = (
+    "mm cm m km in ft mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres mg g kg lb lbs oz gram grams kilogram kilograms"
+    " pound pounds ounce ounces ton tons ml l liter liters litre litres gallon gallons s sec min h hr hrs second seconds minute minutes hour hours day days week weeks month months year years"
+    " cent cents dollar dollars euro euros degree degrees percent mph kmh km/h kb mb gb"
+).split()
+PUNCTUATION = set("!\"#&'()*+,-./:;<=>?@[\\]^_`{|}~“”‘’«»…–—¿¡")
+
+
 def template_words(text: str | None) -> list[tuple[str, str, bool]]:
     """(template word, literal word, is plain) of each word."""
-    from condmon.llm import decontam as D
-
-    out, after = [], True
-    for line in D.GLUED.sub(r"\1 \2", text or "").split("\n"):
-        for raw in line.split():
-            core = raw.strip(D.OUTER)
-            if core:
-                low = core.casefold()
-                kind = "<num>" if D.NUMBER.match(core) else "<unit>" if low in D.UNITS else ""
-                if not kind and not after and len(core) > 1 and core[0].isupper() and core[1:].islower():
-                    kind = "<name>"
-                out.append((kind or low, low, not kind))
-            after = raw.rstrip("\"'”’)]»")[-1:] in tuple(".!?:;")
-        after = True
+    out, starts_sentence = [], True
+    for line in (text or "").split("\n"):
+        for chunk in line.split():
+            # A number with letters or a sign behind it, up to the end of the chunk or a mark, is two words.
+            cut = re.match(r"(.*?\d)([A-Za-z%$€£]+)([.,;:!?)].*)?$", chunk, re.S)
+            for raw in [cut[1], cut[2] + (cut[3] or "")] if cut else [chunk]:
+                core = raw
+                while core and core[0] in PUNCTUATION:
+                    core = core[1:]
+                while core and core[-1] in PUNCTUATION:
+                    core = core[:-1]
+                if core:
+                    low, kind = core.casefold(), ""
+                    digits = core.lstrip("+-") if core[:1] in "+-" and core[:2] not in ("++", "--", "+-", "-+") else core
+                    digits = digits[1:] if digits[:1] in tuple("$€£") else digits
+                    if digits[:1].isdigit() and all(c.isdigit() or c in ".,:/" for c in (digits[:-1] if digits.endswith("%") else digits)):
+                        kind = "<num>"
+                    elif low in ("%", "$", "€", "£") or low in UNIT_WORDS and out and out[-1][0] == "<num>":
+                        kind = "<unit>"
+                    elif not starts_sentence and len(core) > 1 and core[0].isupper() and core[1:].islower():
+                        kind = "<name>"
+                    out.append((kind or low, low, not kind))
+                starts_sentence = raw.rstrip("\"'”’)]»")[-1:] in tuple(".!?:;")
+        starts_sentence = True
     return out
 
 
 def contaminated(docs: list[tuple], items: list[tuple], n: int = 8, least_words: int = 13, least_share: float = 0.6) -> dict[tuple, tuple[int, int, bool]]:
-    """(doc, item) to (windows, words covered, reworded), text by text; the fullest text of an id counts."""
-
-    def windows(words, size):  # noqa: ANN001, ANN202
-        for p in range(len(words) - size + 1):
-            w = words[p : p + size]
-            plain = sum(x[2] for x in w)
-            if plain >= min(size, max(2, size - 3)):
-                yield (size, tuple(x[0] for x in w)), p, tuple(x[1] for x in w if not x[2])
-            if plain < size:
-                yield (size, tuple(x[1] for x in w)), p, ()
-
-    index: dict[tuple, list[tuple]] = {}
-    length = {}
-    for i, t in items:
-        words = template_words(t)
-        length[i] = len(words)
-        for key, p, slots in windows(words, min(n, len(words))) if words else ():
-            index.setdefault(key, []).append((i, p, slots))
+    """(doc, item) to (places, words covered, reworded), item against text, place against place; the fullest text of an id counts."""
     found: dict[tuple, tuple] = {}
-    for d, t in set(docs):
-        words, lines = template_words(t), {}
-        for size in {min(n, x) for x in length.values() if x}:
-            if size >= 5 or len(words) == size:
-                for key, p, dslots in windows(words, size):
-                    for i, q, islots in index.get(key, ()):
-                        lines.setdefault((i, p - q), set()).add((q, size, islots, dslots))
-        total: dict[int, list] = {}
-        for (i, _), hits in lines.items():
-            pairs = {x for _, _, a, b in hits for x in zip(a, b, strict=True)}
-            odd = {a for a, n_of in Counter(a for a, _ in pairs).items() if n_of > 1}
-            good = [h for h in hits if not odd & set(h[2])]
-            if good:
-                own = total.setdefault(i, [0, set(), False])
-                own[0] += len({h[:2] for h in good})
-                own[1] |= {k for q, size, _, _ in good for k in range(q, q + size)}
-                own[2] |= any(a != b for _, _, a, b in good)
-        for i, (k, places, reworded) in total.items():
-            share = len(places) / length[i]
-            if len(places) >= least_words or share >= least_share:
-                found[d, i] = max(found.get((d, i), ()), (share, len(places), k, reworded))
+    read = {t: template_words(t) for t in {t for _, t in docs} | {t for _, t in items}}
+
+    def same(a, b, slots):  # noqa: ANN001, ANN202
+        return len(a) == len(b) and all(x[1 - slots] == y[1 - slots] for x, y in zip(a, b, strict=True))
+
+    def windows(words):  # noqa: ANN001, ANN202
+        """(start, end, by template, whole item)"""
+        if not words:
+            return
+        size = len(words)
+        if size < n or sum(w[2] for w in words) < 5:
+            plain = sum(w[2] for w in words)
+            if plain >= (2 if size >= n else min(size, max(2, size - 3))):
+                yield 0, size, True, True
+            yield 0, size, False, True
+        for p in range(size - n + 1):
+            yield p, p + n, False, False
+            e = next((e for e in range(p + n, size + 1) if sum(w[2] for w in words[p:e]) >= 5), None)
+            if e:
+                yield p, e, True, False
+
+    for i, item in items:
+        mine = read[item]
+        asked = list(windows(mine))
+        for d, text in set(docs):
+            theirs = read[text]
+            lines: dict[int, set] = {}
+            place: dict[tuple[bool, str], list[int]] = {}
+            for q, w in enumerate(theirs):
+                place.setdefault((True, w[0]), []).append(q)
+                place.setdefault((False, w[1]), []).append(q)
+            for p, e, slots, whole in asked:
+                for q in place.get((slots, mine[p][0 if slots else 1]), []):
+                    part = theirs[q : q + e - p]
+                    if not same(mine[p:e], part, slots) or whole and e - p < 5 and len(theirs) != e - p:
+                        continue
+                    pairs = tuple((a[1], b[1]) for a, b in zip(mine[p:e], part, strict=True) if not a[2]) if slots else ()
+                    lines.setdefault(q - p, set()).add((p, e, pairs))
+            covered, places, reworded = set(), 0, False
+            for hits in lines.values():
+                readings: dict[str, set] = {}
+                for _, _, pairs in hits:
+                    for a, b in pairs:
+                        readings.setdefault(a, set()).add(b)
+                good = [h for h in hits if all(len(readings[a]) == 1 for a, _ in h[2])]
+                places += len({p for p, _, _ in good})
+                covered |= {k for p, e, _ in good for k in range(p, e)}
+                reworded |= any(a != b for h in good for a, b in h[2])
+            if covered and (len(covered) >= least_words or len(covered) / len(mine) >= least_share):
+                found[d, i] = max(found.get((d, i), ()), (len(covered) / len(mine), len(covered), places, reworded))
     return {key: (v[2], v[1], v[3]) for key, v in found.items()}

@@ -6,7 +6,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from condmon.llm import decontam, jaccard_join, license_scan, pfp_dedup, quality_rules, token_pack, url_filter
+from condmon.llm import common, decontam, jaccard_join, license_scan, pfp_dedup, quality_rules, token_pack, url_filter
 from condmon.llm import queries as Q
 
 from . import brute
@@ -320,6 +320,21 @@ def test_literal_copies_without_plain_words_or_names(spark):
     assert all(r["share"] == 1 and not r["reworded"] and r["n_windows"] == r["item_words"] - 7 for r in got.values())
 
 
+def test_items_dense_in_numbers_with_other_numbers(spark):
+    pens = "Tom buys 3 pens for 4 dollars, 5 cups for 6 dollars and 2 hats for 9 dollars in 1 day."
+    tank = "A tank holds 40 kg, 12 cm by 30 cm by 45 cm, and drains 5 kg in 3 hours."
+    sums = "7 + 8 = 15 and 9 + 4 = 13 or 6 + 5 = 11 ."
+    twice = "Tom has 5 red pens and 5 blue ones in his bag."
+    bench = spark.createDataFrame([(1, pens), (2, tank), (3, sums), (4, twice), (4, twice), (None, pens)], "item_id long, text string")
+    rows = [(10, "So: " + "Tom buys 13 pens for 24 dollars, 35 cups for 46 dollars and 52 hats for 69 dollars in 71 days."), (11, "A tank holds 41 g, 13 mm by 31 mm by 46 mm, and drains 6 g in 4 days.")]
+    rows += [(12, "1 + 2 = 3 and 4 + 5 = 9 or 6 + 7 = 8 ."), (13, twice.replace("5", "8")), (14, twice.replace("5", "8", 1).replace("5", "9"))]
+    rows += [(15, "Ann sells 3 pens for 4 dollars, or 5 cups for 6 dollars but 2 hats for 9 dollars in 1 day."), (16, "He came in at 5 and m stood for the s in l and g")]
+    got = {(r["doc_id"], r["item_id"]): r["reworded"] for r in decontam.leaks(frame(spark, rows), bench).collect()}
+    assert got == {(10, 1): True, (10, None): True, (11, 2): True, (12, 3): True, (13, 4): True}
+    assert brute.contaminated(rows, [(1, pens), (2, tank), (3, sums), (4, twice)]).keys() == {k for k in got if k[1] is not None}
+    assert brute.template_words("in 5 in, a m 3m at $ 4") == [("in", "in", True), ("<num>", "5", False), ("<unit>", "in", False), ("a", "a", True), ("m", "m", True), ("<num>", "3", False), ("<unit>", "m", False), ("at", "at", True), ("<unit>", "$", False), ("<num>", "4", False)]
+
+
 def test_clean_texts_of_shared_and_null_ids_stay(spark):
     item = "Every garden has seven trees in five rows and nobody knows which of them will bear fruit first, so the owner waits until late in autumn"
     words, fine = item.split(), "Nothing here at all, only some plain words in a row to read."
@@ -334,7 +349,7 @@ def test_clean_texts_of_shared_and_null_ids_stay(spark):
 @pytest.mark.parametrize("most", [1 << 28, 64])
 def test_decontamination_against_brute_force(spark, docs, sf_dir, most, monkeypatch):
     """Also with a filter so small that it lets everything through."""
-    monkeypatch.setattr(decontam, "MOST_BITS", most)
+    monkeypatch.setattr(common, "MOST_BITS", most)
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     items += [(9001, "Paris"), (9002, "forty two"), (9003, "Anna has 5 apples."), (9004, "On 3 May Anna and Ben ran 10 km in 50 minutes, and Anna won by 2 minutes over Ben."), (9005, None), (9006, "")]
     rng, data = random.Random(12), docs + ODD
