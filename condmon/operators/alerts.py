@@ -108,7 +108,6 @@ def cooled(merged_rows: DataFrame, steps: Steps, chunk_seconds: int = CHUNK_SECO
             kept, reach = kept.unionByName(met), 2 * reach
             if reach % 16 == 0 and reach < most:
                 kept, jumps = steps.keep(kept, "reached"), steps.keep(jumps, "jumps")
-        kept = steps.keep(kept, "retained")
     out = rows.join(kept, [*key, "_at"], "left_semi").drop("_cluster", "_at", "_first", "_until")
     return numbered(steps.keep(out, "cooled"), KEY, "_ts", ["start"], "episode", chunk_seconds).drop("_ts")
 

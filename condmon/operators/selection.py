@@ -36,7 +36,7 @@ def percentiles_of(df: DataFrame, value: str, by: list[str], shares: tuple[float
     high = lambda k: F.when(whole | F.lit(highs[k] == 1), F.col("_most")).otherwise(F.get("_ends", F.lit(k + len(shares))))
     rank = lambda s, f: f((F.col("n") - 1) * F.lit(float(s))).cast("long")
     wanted = [
-        F.struct(F.lit(k).alias("k"), low(k).alias("low"), high(k).alias("high"), rank(s, F.floor).alias("first"), rank(s, F.ceil).alias("second"), ((F.col("n") - 1) * F.lit(float(s))).alias("place"))
+        F.struct(F.lit(k).alias("k"), F.when(whole, -1).otherwise(k).alias("b"), low(k).alias("low"), high(k).alias("high"), rank(s, F.floor).alias("first"), rank(s, F.ceil).alias("second"), ((F.col("n") - 1) * F.lit(float(s))).alias("place"))
         for k, s in enumerate(shares)
     ]
     brackets = brackets.withColumn("_wanted", F.array(*wanted)).drop("_ends", "_least", "_most")
@@ -45,16 +45,20 @@ def percentiles_of(df: DataFrame, value: str, by: list[str], shares: tuple[float
     rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_x"))
     met = rows.join(groups, matches(by)) if by else rows.crossJoin(F.broadcast(groups))
     # A row below a bracket is counted without its value, one inside with it.
-    near = F.transform(F.filter("_wanted", lambda w: F.col("_x") <= w["high"]), lambda w: F.struct(w["k"].alias("k"), F.when(F.col("_x") >= w["low"], F.col("_x")).alias("v")))
-    counted = met.select(*by, F.inline(near)).groupBy(*by, "k", "v").agg(F.count("*").alias("c"))
-    up_to = Window.partitionBy(*by, "k").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0)
+    # The ranks of a small group share one bracket, -1.
+    near = F.transform(F.filter("_wanted", lambda w: (F.col("_x") <= w["high"]) & ((w["b"] >= 0) | (w["k"] == 0))), lambda w: F.struct(w["b"].alias("b"), F.when(F.col("_x") >= w["low"], F.col("_x")).alias("v")))
+    counted = met.select(*by, F.inline(near)).groupBy(*by, "b", "v").agg(F.count("*").alias("c"))
+    up_to = Window.partitionBy(*by, "b").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0)
     ranked = counted.withColumn("upto", F.sum("c").over(up_to))
-    targets = brackets.select(*[F.col(b).alias(f"_by_{b}") for b in by], F.inline("_wanted")).withColumnRenamed("k", "_by_k").drop("low", "high")
-    placed = ranked.join(targets, matches([*by, "k"])).withColumn("from", F.col("upto") - F.col("c"))
-    at = lambda r: F.max(F.when((F.col("from") <= F.col(r)) & (F.col(r) < F.col("upto")), F.col("v")))
-    found = placed.groupBy(*by, "k").agg(at("first").alias("a"), at("second").alias("b"), F.first("place").alias("place"))
+    # Few rows hold a wanted rank; those are given once for each.
+    placed = ranked.withColumn("from", F.col("upto") - F.col("c"))
+    placed = placed.join(groups, matches(by)) if by else placed.crossJoin(F.broadcast(groups))
+    holds = lambda r: (F.col("from") <= r) & (r < F.col("upto"))
+    hits = F.filter("_wanted", lambda w: (w["b"] == F.col("b")) & (holds(w["first"]) | holds(w["second"])))
+    hits = F.transform(hits, lambda w: F.struct(w["k"].alias("k"), F.when(holds(w["first"]), F.col("v")).alias("below"), F.when(holds(w["second"]), F.col("v")).alias("above"), w["place"].alias("place")))
+    found = placed.select(*by, F.inline(hits)).groupBy(*by, "k").agg(F.max("below").alias("below"), F.max("above").alias("above"), F.first("place").alias("place"))
     missed = F.raise_error(F.lit("a rank lies outside its bracket")).cast("double")
-    exact = F.when(F.col("a").isNull() | F.col("b").isNull(), missed).otherwise(F.col("a") + (F.col("b") - F.col("a")) * (F.col("place") - F.floor("place")))
+    exact = F.when(F.col("below").isNull() | F.col("above").isNull(), missed).otherwise(F.col("below") + (F.col("above") - F.col("below")) * (F.col("place") - F.floor("place")))
     listed = found.withColumn("x", exact).groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("p"))
     listed = listed.select(*[F.col(b).alias(f"_by_{b}") for b in by], "p")
     out = brackets.drop("_wanted")

@@ -191,7 +191,7 @@ def product_counts(r: A.Run) -> DataFrame:
 @query("SELECT asset, max(ts) AS label_observation_end FROM tel GROUP BY 1")
 def observation_ends(r: A.Run) -> DataFrame:
     """AGG27."""
-    return labels.observation_end(r.log())
+    return labels.observation_end(r.readings())
 
 
 @query("SELECT asset, cycle_id, prediction_ts, horizon_version, horizon_s, label_observation_end, horizon_end, horizon_status, failure_within, matched_record_id, matched_source_row, matched_start, matched_end, seconds_to_failure FROM lab", kept=A.LABELS)
@@ -229,35 +229,35 @@ def window_features(r: A.Run) -> DataFrame:
 @query("SELECT asset, cycle_id, win_status AS diff_status, diff_count, round(diff_mean, 6) AS diff_mean, round(diff_mean_abs, 6) AS diff_mean_abs, round(diff_max_abs, 6) AS diff_max_abs FROM win", kept=A.LABELS)
 def difference_features(r: A.Run) -> DataFrame:
     """FEA2."""
-    df = features.difference_window(r.points(), r.log(), "value", "second", A.WINDOW)
+    df = features.difference_window(r.points(), r.readings(), "value", "second", A.WINDOW)
     return _rounded(df.select("asset", "cycle_id", *[f"diff_{x}" for x in ("status", "count", "mean", "mean_abs", "max_abs")]), "diff_mean", "diff_mean_abs", "diff_max_abs")
 
 
-@query("SELECT asset, cycle_id, span_s, lead_s, first_follows_gap, preceding_interval_s, internal_gap_count, max_internal_gap_s FROM cov", kept=(*A.WINDOWS, "covered"))
+@query("SELECT asset, cycle_id, span_s, lead_s, first_follows_gap, preceding_interval_s, internal_gap_count, max_internal_gap_s FROM cov", kept=A.COVERED)
 def window_coverage(r: A.Run) -> DataFrame:
     """FEA3, FEA4, JN6."""
     return r.covered().select("asset", "cycle_id", "span_s", "lead_s", "first_follows_gap", "preceding_interval_s", "internal_gap_count", "max_internal_gap_s")
 
 
-@query("SELECT asset, cycle_id, max_window_gap_s, eligibility_status, eligibility_reasons FROM eli", kept=(*A.WINDOWS, "covered"))
+@query("SELECT asset, cycle_id, max_window_gap_s, eligibility_status, eligibility_reasons FROM eli", kept=A.COVERED)
 def window_eligibility(r: A.Run) -> DataFrame:
     """ELI1, JN7."""
     return r.eligible().select("asset", "cycle_id", "max_window_gap_s", "eligibility_status", _text("eligibility_reasons"))
 
 
-@query("SELECT 'eligibility_status' AS metric, eligibility_status AS value, count(*) AS n FROM eli GROUP BY 2 UNION ALL SELECT 'win_status', win_status, count(*) FROM eli GROUP BY 2 UNION ALL SELECT 'eligibility_reasons', eligibility_reasons, count(*) FROM eli GROUP BY 2", kept=(*A.WINDOWS, "covered"))
+@query("SELECT 'eligibility_status' AS metric, eligibility_status AS value, count(*) AS n FROM eli GROUP BY 2 UNION ALL SELECT 'win_status', win_status, count(*) FROM eli GROUP BY 2 UNION ALL SELECT 'eligibility_reasons', eligibility_reasons, count(*) FROM eli GROUP BY 2", kept=A.COVERED)
 def eligibility_profile(r: A.Run) -> DataFrame:
     """AGG18, AGG20, AGG23."""
     return profiles.metric_listing(r.eligible().withColumn("eligibility_reasons", F.array_join("eligibility_reasons", ",")), ["eligibility_status", "win_status", "eligibility_reasons"])
 
 
-@query("SELECT context_status, count(*) AS n, " + ", ".join(f"quantile_disc({c}, {q / 100}) AS {n}_p{q}" for n, c in (("duration", "context_duration_s"), ("previous", "context_previous_duration_s"), ("idle", "context_previous_idle_s")) for q in (5, 50, 95)) + " FROM vw GROUP BY 1", kept=A.VIEW)
+@query("SELECT context_status, count(*) AS n, " + ", ".join(f"quantile_disc({c}, {q / 100}) AS {n}_p{q}" for n, c in (("duration", "context_duration_s"), ("previous", "context_previous_duration_s"), ("idle", "context_previous_idle_s")) for q in (5, 50, 95)) + " FROM vw GROUP BY 1", kept=A.COVERED)
 def context_profile(r: A.Run) -> DataFrame:
     """AGG20."""
     return profiles.context_profile(r.view())
 
 
-@query("SELECT count(*) AS n, " + ", ".join(f"quantile_disc({c}, {q}) AS {n}_p{int(q * 100)}" for c, n in (("win_count", "count"), ("span_s", "span")) for q in (0.05, 0.5, 0.95)) + " FROM cov", kept=(*A.WINDOWS, "covered"))
+@query("SELECT count(*) AS n, " + ", ".join(f"quantile_disc({c}, {q}) AS {n}_p{int(q * 100)}" for c, n in (("win_count", "count"), ("span_s", "span")) for q in (0.05, 0.5, 0.95)) + " FROM cov", kept=A.COVERED)
 def window_support(r: A.Run) -> DataFrame:
     """AGG14."""
     return profiles.support(r.covered())
@@ -266,7 +266,7 @@ def window_support(r: A.Run) -> DataFrame:
 THRESHOLDS = (43_200, 86_400, 129_600, 172_800, 216_000, 259_200)
 
 
-@query("SELECT n, t AS threshold_s, excluded FROM (SELECT v.t, count(*) AS n, count(*) FILTER (greatest(CASE WHEN first_follows_gap THEN lead_s ELSE 0 END, coalesce(max_internal_gap_s, 0)) >= v.t) AS excluded FROM cov, (VALUES (43200), (86400), (129600), (172800), (216000), (259200)) v(t) GROUP BY 1)", kept=(*A.WINDOWS, "covered"))
+@query("SELECT n, t AS threshold_s, excluded FROM (SELECT v.t, count(*) AS n, count(*) FILTER (greatest(CASE WHEN first_follows_gap THEN lead_s ELSE 0 END, coalesce(max_internal_gap_s, 0)) >= v.t) AS excluded FROM cov, (VALUES (43200), (86400), (129600), (172800), (216000), (259200)) v(t) GROUP BY 1)", kept=A.COVERED)
 def gap_sensitivity(r: A.Run) -> DataFrame:
     """AGG15."""
     return profiles.gap_sensitivity(r.covered(), THRESHOLDS)
@@ -276,7 +276,7 @@ def gap_sensitivity(r: A.Run) -> DataFrame:
 SELECT count(*) FILTER (lc AND ls) AS both, count(*) FILTER (lc AND NOT ls) AS count_only, count(*) FILTER (NOT lc AND ls) AS span_only, count(*) FILTER (NOT lc AND NOT ls) AS neither,
   count(*) FILTER (g AND (lc OR ls)) AS gap_and_tail, count(*) FILTER (g AND NOT (lc OR ls)) AS gap_only, count(*) FILTER (NOT g AND (lc OR ls)) AS tail_only, count(*) FILTER (lc AND NOT ls AND g) AS count_only_with_gap,
   min(max_internal_gap_s) FILTER (g AND NOT (lc OR ls)) AS gap_only_least_s, max(max_internal_gap_s) FILTER (g AND NOT (lc OR ls)) AS gap_only_most_s
-FROM (SELECT *, win_count < low_count AS lc, span_s < low_span AS ls, internal_gap_count > 0 AS g FROM cov, bnds)""", kept=(*A.WINDOWS, "covered"))
+FROM (SELECT *, win_count < low_count AS lc, span_s < low_span AS ls, internal_gap_count > 0 AS g FROM cov, bnds)""", kept=A.COVERED)
 def tail_overlap(r: A.Run) -> DataFrame:
     """AGG16, PROF1."""
     c = r.covered()
@@ -289,7 +289,7 @@ def tail_overlap(r: A.Run) -> DataFrame:
 y AS (SELECT p.policy, x.*, (p.tail_out AND x.tail) OR coalesce(longest >= p.gap, false) AS dropped FROM x,
       (VALUES ('available_baseline', false, NULL), ('exclude_strict_tail', true, NULL), ('exclude_material_gap', false, 86400), ('exclude_strict_tail_or_material_gap', true, 86400), ('exclude_strict_tail_or_large_gap', true, 518400)) p(policy, tail_out, gap))
 SELECT policy, count(*) FILTER (NOT dropped) AS kept, count(*) FILTER (dropped) AS excluded, count(*) FILTER (NOT dropped AND horizon_status = 'positive') AS kept_positive,
-  count(*) FILTER (NOT dropped AND horizon_status = 'negative') AS kept_negative FROM y GROUP BY 1""", kept=(*A.WINDOWS, "covered"))
+  count(*) FILTER (NOT dropped AND horizon_status = 'negative') AS kept_negative FROM y GROUP BY 1""", kept=A.COVERED)
 def coverage_policies(r: A.Run) -> DataFrame:
     """AGG13, PROF2."""
     c = r.covered()
@@ -301,14 +301,14 @@ def coverage_policies(r: A.Run) -> DataFrame:
 @query("""
 , t AS (SELECT c.*, win_count < low_count AS lc, span_s < low_span AS ls, internal_gap_count > 0 AS gap FROM cov c, bnds)
 SELECT * FROM (SELECT asset, cycle_id, win_count, span_s, gap, 'count_only' AS kind FROM t WHERE lc AND NOT ls ORDER BY span_s DESC, win_count, asset, cycle_id LIMIT 5)
-UNION ALL SELECT * FROM (SELECT asset, cycle_id, win_count, span_s, gap, 'span_only' FROM t WHERE ls AND NOT lc ORDER BY win_count DESC, span_s, asset, cycle_id LIMIT 5)""", kept=(*A.WINDOWS, "covered"))
+UNION ALL SELECT * FROM (SELECT asset, cycle_id, win_count, span_s, gap, 'span_only' FROM t WHERE ls AND NOT lc ORDER BY win_count DESC, span_s, asset, cycle_id LIMIT 5)""", kept=A.COVERED)
 def one_sided_windows(r: A.Run) -> DataFrame:
     """TOP2, PROF1: a top-k report."""
     c = r.covered()
     return profiles.one_sided(c, profiles.tail_bounds(c))
 
 
-@query("SELECT asset, cycle_id, win_count, span_s FROM cov, bnds WHERE win_count <= low_count AND span_s <= low_span ORDER BY win_count, span_s, asset, cycle_id LIMIT 5", kept=(*A.WINDOWS, "covered"))
+@query("SELECT asset, cycle_id, win_count, span_s FROM cov, bnds WHERE win_count <= low_count AND span_s <= low_span ORDER BY win_count, span_s, asset, cycle_id LIMIT 5", kept=A.COVERED)
 def worst_windows(r: A.Run) -> DataFrame:
     """TOP1, TOP2: a top-k report."""
     c = r.covered()
@@ -318,7 +318,7 @@ def worst_windows(r: A.Run) -> DataFrame:
 
 
 # --- snapshots and views ----------------------------------------------------------------------
-@query("SELECT 'window-context-snapshot-v2' AS snapshot_version, e.asset, e.cycle_id, e.prediction_ts, win_status, win_count, round(win_mean, 6) AS win_mean, eligibility_status, eligibility_reasons, context_status, context_previous_idle_s, 'events-v1' AS dataset_version FROM eli e JOIN ctx USING (asset, cycle_id)", kept=(*A.WINDOWS, "covered"))
+@query("SELECT 'window-context-snapshot-v2' AS snapshot_version, e.asset, e.cycle_id, e.prediction_ts, win_status, win_count, round(win_mean, 6) AS win_mean, eligibility_status, eligibility_reasons, context_status, context_previous_idle_s, 'events-v1' AS dataset_version FROM eli e JOIN ctx USING (asset, cycle_id)", kept=A.COVERED)
 def feature_snapshot(r: A.Run) -> DataFrame:
     """SNP1, SNP2, JN8."""
     df = r.snapshot_v2()
@@ -326,19 +326,19 @@ def feature_snapshot(r: A.Run) -> DataFrame:
     return _rounded(out, "win_mean")
 
 
-@query("SELECT asset, cycle_id, CASE WHEN eligibility_status = 'eligible' AND horizon_status IN ('positive', 'negative') THEN 'trainable' ELSE 'excluded' END AS row_status, replace(replace(exclusion_reasons, ',cycle_context_unavailable', ''), 'cycle_context_unavailable', '') AS exclusion_reasons, 'modelling-view-v1' AS view_version, failure_within FROM vw", kept=(*A.WINDOWS, "covered"))
+@query("SELECT asset, cycle_id, CASE WHEN eligibility_status = 'eligible' AND horizon_status IN ('positive', 'negative') THEN 'trainable' ELSE 'excluded' END AS row_status, replace(replace(exclusion_reasons, ',cycle_context_unavailable', ''), 'cycle_context_unavailable', '') AS exclusion_reasons, 'modelling-view-v1' AS view_version, failure_within FROM vw", kept=A.COVERED)
 def modelling_view_v1(r: A.Run) -> DataFrame:
     """VIEW1."""
     return r.view_v1().select("asset", "cycle_id", "row_status", _text("exclusion_reasons"), "view_version", "failure_within")
 
 
-@query("SELECT asset, cycle_id, part, row_status, exclusion_reasons, 'modelling-view-v2' AS view_version, failure_within, context_status, matched_record_id FROM vw", kept=A.VIEW)
+@query("SELECT asset, cycle_id, part, row_status, exclusion_reasons, 'modelling-view-v2' AS view_version, failure_within, context_status, matched_record_id FROM vw", kept=A.COVERED)
 def modelling_view_v2(r: A.Run) -> DataFrame:
     """VIEW2, SPL1."""
     return r.view().select("asset", "cycle_id", "part", "row_status", _text("exclusion_reasons"), "view_version", "failure_within", "context_status", "matched_record_id")
 
 
-@query("SELECT count(*) AS n_rows, count(*) FILTER (row_status = 'trainable') AS trainable, count(*) FILTER (row_status = 'excluded') AS excluded, count(*) FILTER (row_status = 'trainable' AND failure_within) AS positives, min(prediction_ts) AS first_ts, max(prediction_ts) AS last_ts, count(DISTINCT matched_record_id) AS n_events, count(DISTINCT (asset, cycle_id)) AS n_keys FROM vw", kept=A.VIEW)
+@query("SELECT count(*) AS n_rows, count(*) FILTER (row_status = 'trainable') AS trainable, count(*) FILTER (row_status = 'excluded') AS excluded, count(*) FILTER (row_status = 'trainable' AND failure_within) AS positives, min(prediction_ts) AS first_ts, max(prediction_ts) AS last_ts, count(DISTINCT matched_record_id) AS n_events, count(DISTINCT (asset, cycle_id)) AS n_keys FROM vw", kept=A.COVERED)
 def view_summary(r: A.Run) -> DataFrame:
     """AGG8, AGG19, AGG21, WIN5."""
     return profiles.view_summary(r.view())
@@ -350,7 +350,7 @@ CANDIDATES = [("middle", "2024-01-15 00:00:00", "2024-01-22 00:00:00"), ("late",
 @query("""
 SELECT candidate, CASE WHEN prediction_ts < a THEN 'train' WHEN prediction_ts < b THEN 'validation' ELSE 'test' END AS part, count(*) AS n_rows, count(*) FILTER (failure_within) AS positives,
   min(prediction_ts) AS first_ts, max(prediction_ts) AS last_ts, count(DISTINCT matched_record_id) AS n_events
-FROM vw, (VALUES ('middle', TIMESTAMP '2024-01-15', TIMESTAMP '2024-01-22'), ('late', TIMESTAMP '2024-01-20', TIMESTAMP '2024-01-26')) c(candidate, a, b) WHERE row_status = 'trainable' GROUP BY 1, 2""", kept=A.VIEW)
+FROM vw, (VALUES ('middle', TIMESTAMP '2024-01-15', TIMESTAMP '2024-01-22'), ('late', TIMESTAMP '2024-01-20', TIMESTAMP '2024-01-26')) c(candidate, a, b) WHERE row_status = 'trainable' GROUP BY 1, 2""", kept=A.COVERED)
 def split_comparison(r: A.Run) -> DataFrame:
     """AGG11."""
     return snapshots.split_comparison(r.view(), CANDIDATES)
@@ -416,7 +416,7 @@ r AS (SELECT CASE WHEN flip THEN CASE row_status WHEN 'trainable' THEN 'excluded
 n AS (SELECT count(*) AS n_rows, 0::BIGINT AS known_row_status, count(*) FILTER ((row_status = 'trainable') <> (reasons = '')) AS reasons_agree,
              count(*) FILTER (reasons <> exclusion_reasons) AS reasons_recomputed, count(*) FILTER (row_status = 'trainable' AND failure_within IS NULL) AS trainable_has_target,
              count(*) FILTER (row_status = 'trainable' AND eligibility_status <> 'eligible') AS trainable_is_eligible, 0::BIGINT AS window_is_past, 0::BIGINT AS window_boundary FROM r)
-SELECT 'broken view' AS audited, n_rows, rule, violations FROM n UNPIVOT (violations FOR rule IN (known_row_status, reasons_agree, reasons_recomputed, trainable_has_target, trainable_is_eligible, window_is_past, window_boundary))""", kept=A.VIEW)
+SELECT 'broken view' AS audited, n_rows, rule, violations FROM n UNPIVOT (violations FOR rule IN (known_row_status, reasons_agree, reasons_recomputed, trainable_has_target, trainable_is_eligible, window_is_past, window_boundary))""", kept=A.COVERED)
 def broken_view_audit(r: A.Run) -> DataFrame:
     """VAL13, AGG22: a view whose status, label and reasons are broken by rule."""
     n, status = F.col("win_count"), F.col("row_status")
@@ -546,7 +546,7 @@ def robust_score_distribution(r: A.Run) -> DataFrame:
 SELECT threshold, part, count(*) FILTER (failure_within AND hit) AS tp, count(*) FILTER (failure_within AND NOT hit) AS fn, count(*) FILTER (NOT failure_within AND hit) AS fp,
   count(*) FILTER (NOT failure_within AND NOT hit) AS tn, count(DISTINCT CASE WHEN hit THEN matched_record_id END) AS events_hit,
   round(count(*) FILTER (failure_within AND hit) / nullif(count(*) FILTER (hit), 0), 6) AS precision, round(count(*) FILTER (failure_within AND hit) / nullif(count(*) FILTER (failure_within), 0), 6) AS recall
-FROM (SELECT *, win_mean <= threshold AS hit FROM vw, (VALUES (40.0::DOUBLE), (60.0), (80.0), (100.0), (150.0)) t(threshold) WHERE row_status = 'trainable') GROUP BY 1, 2""", kept=A.VIEW)
+FROM (SELECT *, win_mean <= threshold AS hit FROM vw, (VALUES (40.0::DOUBLE), (60.0), (80.0), (100.0), (150.0)) t(threshold) WHERE row_status = 'trainable') GROUP BY 1, 2""", kept=A.COVERED)
 def directional_confusion(r: A.Run) -> DataFrame:
     """BAS4, BAS5, AGG12."""
     rows = r.view().where("row_status = 'trainable'")
