@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
 
-def components(edges: DataFrame, most_steps: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for all nodes of ``edges`` (a, b); component is the smallest node reachable.
 
     Each round points every node to its smallest known neighbour and then joins the neighbours'
@@ -18,7 +20,7 @@ def components(edges: DataFrame, most_steps: int = 50) -> DataFrame:
     pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
     pairs = scratch.write(pairs, "round-0")
     before = None
-    for step in range(1, most_steps + 1):
+    for step in count(1):
         # Large star: the larger neighbours of a node point to its smallest neighbour.
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -32,8 +34,6 @@ def components(edges: DataFrame, most_steps: int = 50) -> DataFrame:
         if state == before:
             break
         before = state
-    else:
-        raise RuntimeError("components did not settle")
     found = pairs.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
     roots = pairs.select(F.col("b").alias("node")).distinct().join(found.select("node"), "node", "left_anti")
     return found.unionByName(roots.select("node", F.col("node").alias("component")))

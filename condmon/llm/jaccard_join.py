@@ -5,9 +5,11 @@
 2. A pair that reaches the threshold shares a shingle among the first ``n - ceil(t n) + 1`` of
    either set in any common order. The order puts shingles last that are frequent in one of ``SAMPLE``
    documents. The sample shapes the order alone: no link depends on it.
-3. Each shingle of those prefixes that two classes share is led by the class with the largest hash;
-   classes gather under the leaders of their shingles, so a pair that could link meets under a
-   leader, and copies with many shared shingles meet under a few.
+3. The smaller set of such a pair has the pair's first common shingle even among its first ``n - ceil(2 t n / (1 + t)) + 1``,
+   as the union is at least as large as itself; there it stands in *front*. A shingle that stands in front of no class brings
+   no pair together, so the shingles of a template, which come late in the order, gather nobody. Each other shingle that two classes share in
+   their prefixes is led by the class with the largest hash; classes gather under the leaders of their shingles, so a pair that
+   could link meets under a leader, and copies with many shared shingles meet under a few.
 4. Groups are cut into blocks of about ``BLOCK``, each with the leader. In a block a signature
    tree over rows in order of their bitmaps holds OR-combined bitmaps, size ranges and least bit
    counts; walking pairs of nodes from the root, those whose greatest possible overlap is too small
@@ -18,10 +20,12 @@
 5. Groups of several blocks whose members are then in one component are done. The members of the
    others are cut into blocks by size band; a tree over the *blocks* of each two neighbouring bands
    walks pairs of blocks in the same way, and only the pairs left meet, as blocks of step 4. Blocks
-   that lie in the group's largest component don't meet each other.
+   that lie in the group's largest component don't meet each other, nor do blocks without a class in front. OR-combined
+   bitmaps of unlike sets soon hold all bits, so this walk prunes by size and by clusters of like sets; where many unlike classes
+   have one frequent shingle in front, pairs of their blocks do meet.
 6. Components of all links.
 
-No step lists the pairs of a group, and no cap drops a candidate.
+No cap drops a candidate.
 
 Defined cases: words are pieces between U+0020 and U+0009 to U+000D after A-Z are lower-cased;
 a text with fewer than five words is one shingle; without words its set is empty and links with
@@ -330,6 +334,7 @@ def _batches(found: Iterator[tuple], names: str) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=columns)
 
 
+FRONT = f"n_shingles - int(ceil({2 * NUM} * n_shingles / {NUM + DEN})) + 1"
 MEMBER, LINK, MEETING = "leader long, block long, rep long, known long", "a long, b long", "leader long, x long, y long"
 
 
@@ -357,32 +362,32 @@ def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _summaries(batches: Iterator[pa.RecordBatch], words: int = 64) -> Iterator[pa.RecordBatch]:
-    """Blocks of (leader, band, block, main, n_shingles, bits) to one node each: OR of the bitmaps in ``words`` words, sizes, least bit count."""
-    names = ["leader", "band", "block", "main", "bits", "least", "most", "few"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    """Blocks of (leader, band, block, main, n_shingles, bits, front) to one node each: OR of the bitmaps in ``words`` words, sizes, least bit count."""
+    names = ["leader", "band", "block", "main", "front", "bits", "least", "most", "few"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
     out = []
     for rows in _groups(batches, 3):
         # Short bitmaps are repeated rather than folded, which keeps a bit of every member.
         cut = np.stack([folded(b, words) if len(b) > words else np.resize(b, words) for b in (np.frombuffer(r[5], "<u8") for r in rows)])
         few = min(int(ones(np.frombuffer(r[5], "<u8"))) if len(r[5]) <= 8 * words else int(ones(c)) for r, c in zip(rows, cut, strict=True))
         sizes = [r[4] for r in rows]
-        out.append((*rows[0][:3], all(r[3] for r in rows), np.bitwise_or.reduce(cut, axis=0).tobytes(), min(sizes), max(sizes), few))
+        out.append((*rows[0][:3], all(r[3] for r in rows), any(r[6] for r in rows), np.bitwise_or.reduce(cut, axis=0).tobytes(), min(sizes), max(sizes), few))
     for k in range(0, len(out), 1000):
         columns = zip(*out[k : k + 1000], strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Nodes of two neighbouring bands of one leader (leader, at, band, block, main, bits, least, most, few) to the pairs of blocks that meet."""
+    """Nodes of two neighbouring bands of one leader (leader, at, band, block, main, front, bits, least, most, few) to the pairs of blocks that meet."""
 
     def found() -> Iterator[tuple]:
         for rows in _groups(batches, 2):
-            bits = np.stack([np.frombuffer(r[5], "<u8") for r in rows])
-            tree = Tree(bits, *(np.array([r[k] for r in rows], np.int64) for k in (6, 7, 8)))
+            bits = np.stack([np.frombuffer(r[6], "<u8") for r in rows])
+            tree = Tree(bits, *(np.array([r[k] for r in rows], np.int64) for k in (7, 8, 9)))
             i, j = tree.pairs()
             for a, b in [*zip(i.tolist(), j.tolist(), strict=True), *((k, k) for k in range(len(rows)))]:
                 # Two blocks of the lower band, or one of each, meet here; those of the upper band among themselves meet in theirs.
-                if min(rows[a][2], rows[b][2]) == rows[a][1] and not (rows[a][4] and rows[b][4]):
+                if min(rows[a][2], rows[b][2]) == rows[a][1] and not (rows[a][4] and rows[b][4]) and (rows[a][5] or rows[b][5]):
                     yield rows[a][0], min(rows[a][3], rows[b][3]), max(rows[a][3], rows[b][3])
 
     return _batches(found(), MEETING)
@@ -397,9 +402,10 @@ def _linked(members: DataFrame, classes: DataFrame, texts: DataFrame, firsts: Da
     full = members.join(classes.select("rep", "n_shingles", "bits"), "rep").select("leader", "block", "rep", "known", "n_shingles", "bits")
     left = scratch.write(_by(full, "leader", "block").mapInArrow(_alive_members, MEMBER), f"{name}-alive")
     wanted = left.select("rep").distinct().join(firsts, "rep")
-    same = texts["doc_id"].eqNullSafe(wanted["first.doc_id"]) & (texts["tk"] == wanted["first.tk"])
-    # Repeated rows have one id and text; one of them is enough.
-    chosen = texts.join(wanted, same).select("rep", "text").dropDuplicates(["rep"])
+    # Repeated rows have one id and text; tasks drop them before texts move.
+    once = texts.groupBy("doc_id", "tk").agg(F.any_value("text").alias("text"))
+    same = (once["doc_id"] == wanted["first.doc_id"]) & (once["tk"] == wanted["first.tk"])
+    chosen = once.join(wanted, same).select("rep", "text")
     sets = scratch.write(chosen.mapInArrow(_sets, "rep long, tokens binary"), f"{name}-sets")
     found = left.join(sets, "rep").select("leader", "block", "rep", "known", "tokens")
     out = scratch.write(_by(found, "leader", "block").mapInArrow(_join_blocks, LINK), f"{name}-links")
@@ -412,7 +418,7 @@ def _pmod(x: Column, n: Column) -> Column:
 
 
 def _remaining(large: DataFrame, edges: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """Members (leader, block, rep, known) of the pairs of blocks that could still hold links of large groups (leader, rep)."""
+    """Members (leader, block, rep, known) of the pairs of blocks that could still hold links of large groups (leader, rep, front)."""
     known = components(edges).withColumnRenamed("node", "rep")
     labelled = large.join(known, "rep", "left").withColumn("known", F.coalesce("component", "rep")).drop("component")
     labelled = scratch.write(labelled.join(classes.select("rep", "n_shingles"), "rep"), "labelled")
@@ -420,14 +426,14 @@ def _remaining(large: DataFrame, edges: DataFrame, classes: DataFrame, scratch:
     main = sizes.groupBy("leader").agg(F.max(F.struct("n", "known")).alias("top"), F.count("*").alias("n_known")).where("n_known > 1")
     still = labelled.join(main.select("leader", F.col("top.known").alias("largest")), "leader").withColumn("main", F.col("known") == F.col("largest"))
     still = still.withColumn("band", F.floor(F.log(F.col("n_shingles")) / float(np.log(BAND))).cast("long"))
-    part = ["leader", "band", "main"]
+    part = ["leader", "band", "main", "front"]
     n_blocks = still.groupBy(*part).agg(F.ceil(F.count("*") / BLOCK).alias("n_blocks"))
-    blocked = still.join(n_blocks, part).withColumn("block", F.xxhash64("band", "main", _pmod(F.col("rep"), F.col("n_blocks"))))
-    blocked = scratch.write(blocked.select("leader", "band", "block", "main", "rep", "known", "n_shingles"), "size-blocks")
-    full = blocked.join(classes.select("rep", "bits"), "rep").select("leader", "band", "block", "main", "n_shingles", "bits")
-    nodes = _by(full, "leader", "band", "block").mapInArrow(_summaries, "leader long, band long, block long, main boolean, bits binary, least long, most long, few long")
+    blocked = still.join(n_blocks, part).withColumn("block", F.xxhash64("band", "main", "front", _pmod(F.col("rep"), F.col("n_blocks"))))
+    blocked = scratch.write(blocked.select("leader", "band", "block", "main", "front", "rep", "known", "n_shingles"), "size-blocks")
+    full = blocked.join(classes.select("rep", "bits"), "rep").select("leader", "band", "block", "main", "n_shingles", "bits", "front")
+    nodes = _by(full, "leader", "band", "block").mapInArrow(_summaries, "leader long, band long, block long, main boolean, front boolean, bits binary, least long, most long, few long")
     # Logarithms may err in the last digit, so neighbours are taken one band further.
-    near = nodes.withColumn("at", F.explode(F.array("band", F.col("band") - 1, F.col("band") - 2))).select("leader", "at", "band", "block", "main", "bits", "least", "most", "few")
+    near = nodes.withColumn("at", F.explode(F.array("band", F.col("band") - 1, F.col("band") - 2))).select("leader", "at", "band", "block", "main", "front", "bits", "least", "most", "few")
     met = _by(near, "leader", "at").mapInArrow(_meetings, MEETING)
     met = scratch.write(met.select("leader", F.xxhash64("x", "y").alias("meeting"), F.explode(F.array_distinct(F.array("x", "y"))).alias("block")), "meetings")
     out = blocked.join(met, ["leader", "block"]).select("leader", F.col("meeting").alias("block"), "rep", "known")
@@ -435,6 +441,14 @@ def _remaining(large: DataFrame, edges: DataFrame, classes: DataFrame, scratch:
 
 
 # --- the join ---------------------------------------------------------------------------------
+def gathered(classes: DataFrame) -> DataFrame:
+    """Classes (rep, n_shingles, prefix) under the leaders of their shingles: (leader, rep, front), front where one of those shingles stands in the class's front."""
+    tokens = classes.select("rep", F.expr(FRONT).alias("k"), F.posexplode("prefix").alias("place", "token")).select("rep", "token", (F.col("place") < F.col("k")).alias("front"))
+    # Counts are added up in the tasks before they meet; Spark splits the join's rows of a frequent shingle.
+    leaders = tokens.groupBy("token").agg(F.max("rep").alias("leader"), F.count("*").alias("n"), F.max("front").alias("any")).where("n > 1 and any").select("token", "leader")
+    return tokens.join(leaders, "token").groupBy("leader", "rep").agg(F.max("front").alias("front"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     require(docs, "doc_id", "text")
@@ -450,17 +464,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     scratch.drop("shingles")
     firsts = rows.where(linkable).groupBy("rep").agg(F.min(F.struct("doc_id", "tk")).alias("first"))
 
-    # One shuffle by token serves both the leaders and the join with them.
-    tokens = classes.select("rep", F.explode("prefix").alias("token")).repartition("token")
-    leaders = tokens.groupBy("token").agg(F.max("rep").alias("leader"), F.count("*").alias("n")).where("n > 1").select("token", "leader")
-    members = scratch.write(tokens.join(leaders, "token").select("leader", "rep").distinct(), "members")
+    members = scratch.write(gathered(classes), "members")
     n_blocks = members.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).alias("n_blocks"))
     sized = members.join(n_blocks, "leader")
     others = sized.where("rep != leader").select("leader", _pmod(F.col("rep"), F.col("n_blocks")).alias("block"), "rep")
     led = n_blocks.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"), F.col("leader").alias("rep"))
     edges = _linked(others.unionByName(led).withColumn("known", F.col("rep")), classes, texts, firsts, scratch, "first")
 
-    large = sized.where("n_blocks > 1").select("leader", "rep")
+    large = sized.where("n_blocks > 1").select("leader", "rep", "front")
     if not large.isEmpty():
         edges = edges.unionByName(_linked(_remaining(large, edges, classes, scratch), classes, texts, firsts, scratch, "second"))
     # Components of classes; texts that share an id may be in different ones.

@@ -268,6 +268,27 @@ def test_trees_prune_unrelated_nodes():
     assert tree.walked[2][1] < tree.walked[2][0] / 2 and tree.walked[1][1] < 0.7 * tree.walked[1][0], tree.walked
 
 
+def templated(spark, n, shared=170, own=30, first=0):
+    """Pages of one template that share most words and link with nobody."""
+    words = F.transform(F.sequence(F.lit(1), F.lit(own)), lambda j: F.concat(F.lit("o"), F.col("id").cast("string"), F.lit("x"), j.cast("string")))
+    frame_words = " ".join(f"t{k}" for k in range(shared + 4))
+    return spark.range(first, first + n, 1, 8).select(F.col("id").alias("doc_id"), F.concat(F.lit(frame_words + " "), F.array_join(words, " ")).alias("text"))
+
+
+def test_pages_of_one_template_gather_nobody(spark, monkeypatch):
+    seen = []
+    whole = jaccard_join.gathered
+    monkeypatch.setattr(jaccard_join, "gathered", lambda classes: seen.append(whole(classes).count()) or whole(classes))
+    for n in (500, 2000):
+        got = jaccard_join.near_duplicates(templated(spark, n)).collect()
+        assert len(got) == n and all(r["component_id"] == r["doc_id"] for r in got)
+    assert seen == [0, 0]
+    # Pages with few words of their own do link, and find their way past those with many.
+    few = templated(spark, 300, own=15, first=10_000)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(templated(spark, 500).unionByName(few)).collect()}
+    assert got == {k: k for k in range(500)} | {10_000 + k: 10_000 for k in range(300)}
+
+
 def test_near_duplicates_of_other_ids_and_long_texts(spark):
     rng = random.Random(8)
     long = " ".join(f"w{rng.randint(0, 10**7)}" for _ in range(300_000))
