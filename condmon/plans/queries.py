@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import add_seconds
-from ..operators import alerts, audit, cycles, features, labels, models, profiles, quality, snapshots
+from ..operators import alerts, audit, cycles, features, labels, models, profiles, quality, sketches, snapshots
 from ..sources import landing, merging
 from . import adapters as A
 from .sql_base import with_base
@@ -187,6 +187,18 @@ def product_counts(r: A.Run) -> DataFrame:
     return n(r.log(), "log").unionAll(n(r.failures(), "failures")).unionAll(n(r.cycle_rows(), "cycles"))
 
 
+@query("""
+SELECT asset % 4 AS fleet, strftime(ts, '%Y-%m') AS month, count(*) AS n, min(value) AS least, max(value) AS most, true AS p5_within, true AS p50_within, true AS p95_within, true AS n_keys_within
+FROM tel WHERE value IS NOT NULL GROUP BY 1, 2""")
+def merged_sketches(r: A.Run) -> DataFrame:
+    """AGG5, AGG14, AGG20 as profiles that add up: sketches stored by asset and day, merged by fleet and month, held against exact ranks and counts."""
+    rows = r.readings().select("asset", (F.col("asset") % 4).alias("fleet"), F.to_date("ts").alias("day"), F.date_format("ts", "yyyy-MM").alias("month"), "value", "record_id")
+    stored = r.steps.keep(sketches.sketched(rows, "value", "record_id", ["asset", "day"]), "sketches")
+    groups = stored.withColumns({"fleet": F.col("asset") % 4, "month": F.date_format("day", "yyyy-MM")})
+    found = r.steps.keep(sketches.profile(sketches.merged(groups, ["fleet", "month"])), "estimates")
+    return sketches.within_bounds(found, rows, "value", "record_id", ["fleet", "month"])
+
+
 # --- labels -----------------------------------------------------------------------------------
 @query("SELECT asset, max(ts) AS label_observation_end FROM tel GROUP BY 1")
 def observation_ends(r: A.Run) -> DataFrame:

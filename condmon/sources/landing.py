@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from functools import partial
+from urllib.parse import quote
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,10 +55,33 @@ def read_events(spark: SparkSession, path: str, names: list[str], key: str, sour
     return out.withColumn("document_sha256", F.lit(document_sha256))
 
 
-def file_identities(spark: SparkSession, path: str) -> DataFrame:
-    """Name, size and SHA-256 of files below 2 GB, hashed by the tasks that read them."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+def _digests(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+    """Paths and sizes to names, sizes and SHA-256, each file streamed through its store's own reader, a block at a time."""
+    from pyarrow.fs import FileSystem, LocalFileSystem
+
+    for batch in batches:
+        for path, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            # Spark's paths are not percent-encoded.
+            local = path.startswith("file:")
+            store, inside = (LocalFileSystem(), f"/{path.removeprefix('file:').lstrip('/')}") if local else FileSystem.from_uri(quote(path, safe=":/@?=&"))
+            digest, seen = hashlib.sha256(), 0
+            with store.open_input_stream(inside) as stream:
+                while part := stream.read(block):
+                    digest.update(part)
+                    seen += len(part)
+            if seen != size:
+                raise OSError(f"{path} was listed with {size} bytes and has {seen}")
+            yield pa.RecordBatch.from_arrays([pa.array([path.rsplit("/", 1)[-1]]), pa.array([seen], pa.int64()), pa.array([digest.hexdigest()])], names=["name", "size", "sha256"])
+
+
+def file_identities(spark: SparkSession, path: str, block: int = 8 << 20) -> DataFrame:
+    """Name, size and SHA-256 of files of any size. Spark lists them and deals them out one by one; the task that has a file streams it in blocks.
+
+    The store must be one that pyarrow opens (local, HDFS, S3, GCS, Azure).
+    """
+    listed = spark.read.format("binaryFile").load(path).select("path", "length")
+    n = max(1, listed.count())
+    return listed.repartition(n).mapInArrow(partial(_digests, block=block), "name string, size long, sha256 string")
 
 
 def reconcile_files(found: DataFrame, manifest: DataFrame) -> DataFrame:

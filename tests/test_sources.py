@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,6 +51,36 @@ def test_files_against_a_manifest(spark, csv, tmp_path):
     assert {r["name"]: r["status"] for r in landing.reconcile_files(found, manifest).collect()} == {"log.csv": "ok", "gone.csv": "missing", "extra.csv": "unlisted"}
 
 
+def test_identity_of_a_file_of_three_gigabytes(spark, tmp_path):
+    """A sparse file, streamed: the worker's memory stays far below the file's size."""
+    import psutil
+
+    size, tail = 3 << 30, b"the end"
+    with open(tmp_path / "large file.bin", "wb") as f:
+        f.seek(size - len(tail))
+        f.write(tail)
+    (tmp_path / "small.bin").write_bytes(b"")
+    most, over = [0], threading.Event()
+
+    def watch():
+        while not over.wait(0.1):
+            workers = [p for p in psutil.Process().children(recursive=True) if "python" in p.name()]
+            with contextlib.suppress(psutil.Error):
+                most[0] = max(most[0], *(p.memory_info().rss for p in workers), 0)
+
+    thread = threading.Thread(target=watch)
+    thread.start()
+    got = {r["name"]: (r["size"], r["sha256"]) for r in landing.file_identities(spark, f"{tmp_path}/*.bin").collect()}
+    over.set()
+    thread.join()
+    want, zeros = hashlib.sha256(), bytes(1 << 24)
+    for _ in range(size // len(zeros) - 1):
+        want.update(zeros)
+    want.update(zeros[: -len(tail)] + tail)
+    assert got == {"large file.bin": (size, want.hexdigest()), "small.bin": (0, hashlib.sha256().hexdigest())}
+    assert 0 < most[0] < 1 << 30
+
+
 def test_pipeline_reruns_add_nothing(spark, csv, tmp_path):
     with pytest.raises(ValueError, match="repeated_keys': 1"):
         pipelines.land(spark, csv, NAMES, "idx_raw", "abc", "v1", f"{tmp_path}/refused")
