@@ -299,14 +299,15 @@ def tail_overlap(r: A.Run) -> DataFrame:
 , x AS (SELECT c.*, l.horizon_status, win_count < low_count OR span_s < low_span AS tail, greatest(CASE WHEN first_follows_gap THEN lead_s ELSE 0 END, coalesce(max_internal_gap_s, 0)) AS longest
         FROM cov c JOIN lab l USING (asset, cycle_id), bnds),
 y AS (SELECT p.policy, x.*, (p.tail_out AND x.tail) OR coalesce(longest >= p.gap, false) AS dropped FROM x,
-      (VALUES ('available_baseline', false, NULL), ('exclude_strict_tail', true, NULL), ('exclude_material_gap', false, 86400), ('exclude_strict_tail_or_material_gap', true, 86400), ('exclude_strict_tail_or_large_gap', true, 518400)) p(policy, tail_out, gap))
+      (VALUES ('gap_two_days', false, 172800), ('gap_two_days_or_thin', true, 172800), ('thin', true, NULL), ('gap_half_day', false, 43200), ('gap_half_day_or_thin', true, 43200), ('gap_week_or_thin', true, 604800)) p(policy, tail_out, gap))
 SELECT policy, count(*) FILTER (NOT dropped) AS kept, count(*) FILTER (dropped) AS excluded, count(*) FILTER (NOT dropped AND horizon_status = 'positive') AS kept_positive,
   count(*) FILTER (NOT dropped AND horizon_status = 'negative') AS kept_negative FROM y GROUP BY 1""", kept=A.COVERED)
 def coverage_policies(r: A.Run) -> DataFrame:
     """AGG13, PROF2."""
     c = r.covered()
-    policies = [("available_baseline", False, None), ("exclude_strict_tail", True, None), ("exclude_material_gap", False, A.GAP)]
-    policies += [("exclude_strict_tail_or_material_gap", True, A.GAP), ("exclude_strict_tail_or_large_gap", True, 6 * A.GAP)]
+    gaps = {"gap_two_days": 2 * A.GAP, "gap_half_day": A.GAP // 2, "gap_week": 7 * A.GAP}
+    policies = [(name, False, gap) for name, gap in gaps.items() if name != "gap_week"]
+    policies += [(f"{name}_or_thin", True, gap) for name, gap in gaps.items()] + [("thin", True, None)]
     return profiles.coverage_policies(c, r.labelled(), profiles.tail_bounds(c), policies)
 
 
@@ -389,7 +390,62 @@ def key_set_difference(r: A.Run) -> DataFrame:
     return snapshots.set_difference(o.where("o_orderstatus = 'O'").select("o_custkey"), o.where("o_orderstatus = 'F'").select("o_custkey"))
 
 
-@query(kept=A.VIEW)
+#: The audit's rules as SQL conditions: table, what it is audited as, and (rule, condition that a good row fulfils).
+_STATUSES = "('missing_prediction_boundary', 'inside_failure_interval', 'positive', 'negative', 'horizon_censored')"
+_MATCHED = ("matched_record_id", "matched_source_row", "matched_start", "matched_end", "seconds_to_failure")
+_SET, _NONE = (lambda *names: " AND ".join(f"{n} IS NOT NULL" for n in names)), (lambda *names: " AND ".join(f"{n} IS NULL" for n in names))
+_VALUES = ("win_first_ts", "win_last_ts", "win_min", "win_mean", "win_max")
+_AUDITS = [
+    ("cyc", "cycles", [
+        ("id_matches_start", "cycle_id = sha256('cycle-v1|' || start_record_id)"), ("known_start_type", "start_type IN ('observed', 'left_censored')"), ("has_start", "start_ts IS NOT NULL"),
+        ("stop_agrees_with_censoring", f"CASE WHEN right_censored THEN {_NONE('stop_ts', 'stop_record_id', 'duration_s')} ELSE {_SET('stop_ts', 'stop_record_id', 'duration_s')} END"),
+        ("duration_matches", "right_censored OR duration_s = date_sub('second', start_ts, stop_ts)"), ("stop_after_start", "right_censored OR stop_ts > start_ts"), ("has_observations", "n_observations > 0")]),
+    ("lab", "labels", [
+        ("known_status", f"horizon_status IN {_STATUSES}"), ("end_is_prediction_plus_horizon", "prediction_ts IS NULL OR horizon_end = prediction_ts + INTERVAL 172800 SECOND"),
+        ("missing_has_no_prediction", "(horizon_status = 'missing_prediction_boundary') = (prediction_ts IS NULL)"), ("positive_is_matched", f"horizon_status <> 'positive' OR (failure_within AND {_SET(*_MATCHED)})"),
+        ("positive_in_horizon", "horizon_status <> 'positive' OR (matched_start > prediction_ts AND matched_start <= horizon_end)"), ("others_unmatched", f"horizon_status = 'positive' OR ({_NONE(*_MATCHED)})"),
+        ("negative_is_observed", "horizon_status <> 'negative' OR (NOT failure_within AND horizon_end <= label_observation_end)"), ("undecided_has_no_target", "horizon_status IN ('positive', 'negative') OR failure_within IS NULL"),
+        ("censored_not_observed", "horizon_status <> 'horizon_censored' OR horizon_end > label_observation_end")]),
+    ("win", "windows", [
+        ("known_status", "win_status IN ('available', 'missing_prediction_boundary', 'missing_prediction_observation')"), ("missing_boundary_has_no_prediction", "(win_status = 'missing_prediction_boundary') = (prediction_ts IS NULL)"),
+        ("available_has_values", f"win_status <> 'available' OR (win_count > 0 AND {_SET(*_VALUES)})"), ("missing_has_none", f"win_status = 'available' OR (win_count = 0 AND {_NONE(*_VALUES)})"),
+        ("ordered_values", "win_status <> 'available' OR (win_min <= win_mean + 1e-9 AND win_mean <= win_max + 1e-9)"), ("inside_window", "win_status <> 'available' OR (win_first_ts > win_window_start AND win_last_ts <= prediction_ts)"),
+        ("window_start", "prediction_ts IS NULL OR win_window_start = prediction_ts - INTERVAL 259200 SECOND")]),
+    ("ctx", "context", [
+        ("known_status", "context_status IN ('missing_prediction_boundary', 'left_censored_current_cycle', 'incomplete_current_cycle', 'missing_previous_cycle', 'incomplete_previous_cycle', 'invalid_previous_interval', 'available')"),
+        ("available_is_complete", f"context_status <> 'available' OR ({_SET('context_duration_s', 'context_previous_cycle_id', 'context_previous_duration_s', 'context_previous_idle_s')})"),
+        ("no_negative_times", "coalesce(least(context_duration_s, context_previous_duration_s, context_previous_idle_s) >= 0, true)")]),
+    ("vw JOIN win USING (asset, cycle_id)", "view", [
+        ("known_row_status", "row_status IN ('trainable', 'excluded')"), ("reasons_agree", "(row_status = 'trainable') = (exclusion_reasons = '')"),
+        ("reasons_recomputed", "list_sort(list_filter(string_split(exclusion_reasons, ','), lambda x: x <> '')) = list_sort(list_filter([CASE WHEN eligibility_status = 'ineligible' THEN 'feature_ineligible' END, CASE WHEN horizon_status IN ('horizon_censored', 'inside_failure_interval', 'missing_prediction_boundary') THEN horizon_status END, CASE WHEN context_status IS DISTINCT FROM 'available' THEN 'cycle_context_unavailable' END], lambda x: x IS NOT NULL))"),
+        ("trainable_has_target", "row_status <> 'trainable' OR failure_within IS NOT NULL"), ("trainable_is_eligible", "row_status <> 'trainable' OR eligibility_status = 'eligible'"),
+        ("window_is_past", "win_last_ts IS NULL OR win_last_ts <= win.prediction_ts"), ("window_boundary", "win.prediction_ts IS NULL OR win_window_start = win.prediction_ts - INTERVAL 259200 SECOND")]),
+    ("cov JOIN lab USING (asset, cycle_id)", "policy inputs", [
+        ("no_negative_lead", "lead_s >= 0"), ("no_negative_gap", "coalesce(max_internal_gap_s >= 0, true)"), ("known_label", f"horizon_status IN {_STATUSES}")]),
+    ("sco", "scores", [("has_key", _SET("asset", "cycle_id", "prediction_ts")), ("probability_in_range", "probability BETWEEN 0 AND 1")]),
+    ("fail", "events", [
+        ("ordered_interval", "failure_start <= failure_end"), ("warning_window_inside", "failure_start - INTERVAL 172800 SECOND >= TIMESTAMP '2024-01-01'"), ("end_inside", "failure_end < TIMESTAMP '2024-01-31'")]),
+]
+
+
+def _unique(audited: str, table: str, key: str) -> str:
+    return f"SELECT '{audited}' AS audited, coalesce(sum(n), 0)::BIGINT AS n_rows, 'unique_key' AS rule, count(*) FILTER (n > 1) AS violations FROM (SELECT count(*) AS n FROM {table} GROUP BY {key})"
+
+
+def _fixed(audited: str, table: str, *rules: str) -> list[str]:
+    """Rules that hold by how a table is made in SQL."""
+    return [f"SELECT '{audited}', count(*), '{rule}', 0 FROM {table}" for rule in rules]
+
+
+_AUDIT_SQL = " UNION ALL ".join([
+    *(f"SELECT '{name}' AS audited, count(*) AS n_rows, '{rule}' AS rule, count(*) FILTER (NOT coalesce({ok}, false)) AS violations FROM {table}" for table, name, rules in _AUDITS for rule, ok in rules),
+    _unique("events", "fail", "asset, record_id"), _unique("view", "vw", "asset, cycle_id"), _unique("policy inputs", "cov", "asset, cycle_id"),
+    *_fixed("events", "fail", "one_lineage"), *_fixed("view", "vw", "one_lineage", "view_version_is_modelling-view-v2", "snapshot_version_is_window-context-snapshot-v2"),
+    "SELECT 'view and labels', count(*), 'same_population', count(*) FILTER (v <> l) FROM (SELECT coalesce(v, 0) AS v, coalesce(l, 0) AS l FROM (SELECT asset, cycle_id, count(*) AS v FROM vw GROUP BY 1, 2) FULL JOIN (SELECT asset, cycle_id, count(*) AS l FROM lab GROUP BY 1, 2) USING (asset, cycle_id))",
+])
+
+
+@query(_AUDIT_SQL, kept=A.VIEW)
 def audit_suite(r: A.Run) -> DataFrame:
     """VAL10-VAL19, AGG22, PIPE11, JN13, JN14."""
     lab, win, view = r.labelled(), r.windowed(), r.view()
@@ -403,7 +459,9 @@ def audit_suite(r: A.Run) -> DataFrame:
         audit.violations(joined, audit.policy_input_rules(), "policy inputs"),
         audit.violations(r.score_points(), audit.score_rules(), "scores"),
         audit.violations(r.failures(), audit.event_rules(A.HORIZON, "2024-01-01 00:00:00", "2024-01-31 00:00:00"), "events"),
-        audit.table_rules(r.failures(), ["asset", "record_id"], [], "events"),
+        audit.table_rules(r.failures().withColumn("dataset_version", F.lit("errors-v1")), ["asset", "record_id"], ["dataset_version"], "events"),
+        audit.table_rules(joined, ["asset", "cycle_id"], [], "policy inputs"),
+        audit.same_population(view, lab, ["asset", "cycle_id"], "view and labels"),
         audit.table_rules(view, ["asset", "cycle_id"], ["dataset_version", "failure_dataset_version"], "view", {"view_version": snapshots.VIEW_V2, "snapshot_version": snapshots.SNAPSHOT_V2}),
     ]
     out = parts[0]
@@ -461,6 +519,26 @@ def broken_cycle_audit(r: A.Run) -> DataFrame:
     return audit.violations(broken, audit.cycle_rules(), "broken cycles")
 
 
+@query("""
+, e AS (SELECT record_id, source_row, CASE WHEN source_row % 5 = 0 THEN '' WHEN source_row % 7 = 0 THEN 'errors-v0' ELSE 'errors-v1' END AS v, unnest(range(CASE WHEN source_row % 3 = 0 THEN 2 ELSE 1 END)) AS copy FROM fail),
+p AS (SELECT cycle_id, CASE WHEN win_count % 2 = 0 THEN -1 ELSE lead_s END AS lead_s, CASE WHEN win_count % 5 = 0 THEN -5 ELSE max_internal_gap_s END AS gap, win_count % 4 = 0 AS odd, unnest(range(CASE WHEN win_count % 3 = 0 THEN 2 ELSE 1 END)) AS copy FROM cov)
+SELECT 'broken events' AS audited, (SELECT count(*) FROM e) AS n_rows, 'unique_key' AS rule, (SELECT count(*) FROM fail WHERE source_row % 3 = 0) AS violations
+UNION ALL SELECT 'broken events', count(*), 'one_lineage', greatest(count(DISTINCT v) - 1, 0) + count(*) FILTER (v = '') FROM e
+UNION ALL SELECT 'broken inputs', count(*), 'no_negative_lead', count(*) FILTER (lead_s < 0) FROM p
+UNION ALL SELECT 'broken inputs', count(*), 'no_negative_gap', count(*) FILTER (gap < 0) FROM p
+UNION ALL SELECT 'broken inputs', count(*), 'known_label', count(*) FILTER (odd) FROM p
+UNION ALL SELECT 'broken inputs', (SELECT count(*) FROM p), 'unique_key', count(*) FROM cov WHERE win_count % 3 = 0""", kept=A.COVERED)
+def broken_input_audit(r: A.Run) -> DataFrame:
+    """VAL16, VAL19: events and policy inputs that are broken by rule: repeated keys, blank and second versions, impossible times, unknown labels."""
+    twice = lambda df, often: df.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.when(often, 2).otherwise(1))))
+    n, w = F.col("source_row"), F.col("win_count")
+    events = twice(r.failures().withColumn("dataset_version", F.when(n % 5 == 0, "").when(n % 7 == 0, "errors-v0").otherwise("errors-v1")), n % 3 == 0)
+    inputs = r.covered().withColumns({"lead_s": F.when(w % 2 == 0, -1).otherwise(F.col("lead_s")), "max_internal_gap_s": F.when(w % 5 == 0, -5).otherwise(F.col("max_internal_gap_s")), "horizon_status": F.when(w % 4 == 0, "odd").otherwise("negative")})
+    inputs = twice(inputs, w % 3 == 0)
+    parts = [audit.table_rules(events, ["asset", "record_id"], ["dataset_version"], "broken events"), audit.violations(inputs, audit.policy_input_rules(), "broken inputs"), audit.table_rules(inputs, ["asset", "cycle_id"], [], "broken inputs")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 # --- merges -----------------------------------------------------------------------------------
 CUT = "2024-01-20 00:00:00"
 

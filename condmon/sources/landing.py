@@ -77,7 +77,7 @@ def _digests(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.Recor
 def file_identities(spark: SparkSession, path: str, block: int = 8 << 20) -> DataFrame:
     """Name, size and SHA-256 of files of any size. Spark lists them and deals them out one by one; the task that has a file streams it in blocks.
 
-    The store must be one that pyarrow opens (local, HDFS, S3, GCS, Azure).
+    The store must be one that pyarrow opens (local, HDFS, S3, GCS, Azure). Spark lists no empty files, so those count as missing.
     """
     listed = spark.read.format("binaryFile").load(path).select("path", "length")
     n = max(1, listed.count())
