@@ -6,13 +6,13 @@ merge_gap_s, cooldown_s; a short given table. failures: asset, record_id, failur
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import add_seconds, seconds_between
 from ..steps import Steps
 from .intervals import points_in_intervals
-from .models import unique_best
+from .models import average_precision, unique_best
 from .selection import percentiles_of
 from .windows import CHUNK_SECONDS, chunk_of, numbered, running
 
@@ -190,3 +190,21 @@ def episode_order(episode_rows: DataFrame, chunk_seconds: int = CHUNK_SECONDS) -
     """VAL18: episodes that start before an earlier one of the same asset and policy has ended."""
     rows = running(episode_rows, KEY, "start_ts", ["start_ts", "episode"], {"_latest": ("max", F.col("end_ts"))}, True, chunk_seconds)
     return rows.where("start_ts <= _latest or end_ts < start_ts").drop("_latest")
+
+
+def metric_rules(period_days: int) -> list[tuple[str, Column]]:
+    """VAL18: counts of ``policy_metrics`` reconcile, and no more days were in operation than the period has."""
+    return [
+        ("kinds_add_up", F.col("warnings") + F.col("insides") + F.col("false_alerts") == F.col("episodes")),
+        ("events_add_up", F.col("detected") + F.col("missed") == F.col("events")),
+        ("rate_in_range", F.coalesce(F.col("detection_rate").between(0.0, 1.0), F.col("events") == 0)),
+        ("operating_days_in_period", F.col("operating_days").between(1, period_days)),
+    ]
+
+
+def aggregates(scored: DataFrame, metrics: DataFrame, matches: DataFrame, label: str = "failure_within") -> DataFrame:
+    """PIPE10: the sixteen aggregates of a scored population under each policy, and nothing of its rows; lead times are the mean of the detected events'."""
+    area = average_precision(scored.withColumn("_all", F.lit(1)), ["_all"], "probability", label).drop("_all", "positives")
+    population = scored.agg(F.count("*").alias("row_count"), F.count_if(label).alias("positive_count"), F.count_if(~F.col(label)).alias("negative_count")).crossJoin(F.broadcast(area))
+    lead = matches.groupBy("policy").agg(F.avg("lead_s").alias("warning_lead_time_s"))
+    return metrics.join(lead, "policy", "left").crossJoin(F.broadcast(population))

@@ -112,6 +112,39 @@ def one_sided(covered: DataFrame, bounds: DataFrame, k: int = 5, asset: str = "a
     return reduce(DataFrame.unionByName, parts)
 
 
+def gap_tail_disagreement(covered: DataFrame, bounds: DataFrame, k: int = 5, asset: str = "asset", prefix: str = "win") -> DataFrame:
+    """TOP2, PROF1: windows that the tail test and the gap test judge unlike: per kind the k first.
+
+    ``tail_only`` ones by count and span upwards; ``gap_only`` ones by their longest gap and their number of gaps downwards, then by count and span.
+    A gap before the first reading counts with its whole interval.
+    """
+    count, key = f"{prefix}_count", ["prediction_ts", asset, "cycle_id"]
+    df = covered.crossJoin(F.broadcast(bounds)).withColumns(
+        {
+            "tail": (F.col(count) < F.col("low_count")) | (F.col("span_s") < F.col("low_span")),
+            "gap": F.col("first_follows_gap") | (F.col("internal_gap_count") > 0),
+            "longest_gap_s": F.greatest(F.when(F.col("first_follows_gap"), F.coalesce("preceding_interval_s", F.lit(0))).otherwise(0), F.coalesce("max_internal_gap_s", F.lit(0))).cast("long"),
+        }
+    )
+    columns = [*key[1:], count, "span_s", "internal_gap_count", "longest_gap_s"]
+    up = [F.asc(c) for c in (count, "span_s", *key)]
+    tail_only = worst(df, F.col("tail") & ~F.col("gap"), up, columns, k).withColumn("kind", F.lit("tail_only"))
+    gap_only = worst(df, ~F.col("tail") & F.col("gap"), [F.desc("longest_gap_s"), F.desc("internal_gap_count"), *up], columns, k).withColumn("kind", F.lit("gap_only"))
+    return tail_only.unionByName(gap_only)
+
+
+def overlap_rules() -> list[tuple[str, Column]]:
+    """PROF1: a ``tail_overlap`` row adds up, given the number of windows ``n``."""
+    total = lambda *names: sum((F.col(c) for c in names[1:]), F.col(names[0]))
+    return [
+        ("tails_add_up", total("both", "count_only", "span_only", "neither") == F.col("n")),
+        ("tail_windows_add_up", total("gap_and_tail", "tail_only") == total("both", "count_only", "span_only")),
+        ("gap_only_in_the_rest", F.col("gap_only") <= F.col("neither")),
+        ("marked_ones_among_count_only", F.col("count_only_with_gap") <= F.col("count_only")),
+        ("ordered_gaps", F.coalesce(F.col("gap_only_least_s") <= F.col("gap_only_most_s"), F.col("gap_only") == 0)),
+    ]
+
+
 def worst(df: DataFrame, conditions: Column, order: list[Column], columns: list[str], k: int = 5) -> DataFrame:
     """TOP1, TOP2: the first k rows that fulfil the conditions, in an order that ends in a unique key."""
     return df.where(conditions).orderBy(*order).limit(k).select(*columns)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import add_seconds
-from ..operators import alerts, audit, cycles, features, labels, models, profiles, quality, sketches, snapshots
+from ..operators import alerts, audit, cycles, features, labels, models, profiles, quality, sketches, snapshots, windows
 from ..sources import landing, merging
 from . import adapters as A
 from .sql_base import with_base
@@ -167,6 +167,34 @@ def cycle_inspection(r: A.Run) -> DataFrame:
     return cycles.inspection(r.cycle_rows(), ["asset"])
 
 
+@query("""
+, g AS (SELECT asset, start_type, right_censored, count(*) AS n, sum(n_observations) AS o FROM cyc GROUP BY 1, 2, 3),
+b AS (SELECT *, CASE WHEN asset % 2 = 0 AND NOT right_censored THEN 1 ELSE 0 END AS more FROM g),
+k(rule) AS (VALUES ('known_start_type'), ('has_observations'), ('censored_without_durations'), ('closed_with_all_durations'), ('ordered_durations')),
+t(rule) AS (VALUES ('n_cycles_add_up'), ('n_observations_add_up'), ('n_durations_add_up'))
+SELECT 'groups' AS audited, (SELECT count(*) FROM g) AS n_rows, rule, 0::BIGINT AS violations FROM k UNION ALL SELECT 'groups', (SELECT count(*) FROM cyc), rule, 0 FROM t
+UNION ALL SELECT 'broken groups', (SELECT count(*) FROM g), rule, CASE rule WHEN 'has_observations' THEN (SELECT count(*) FROM b WHERE o < n + more) WHEN 'closed_with_all_durations' THEN (SELECT sum(more) FROM b) WHEN 'ordered_durations' THEN (SELECT count(*) FROM g WHERE asset % 3 = 0 AND NOT right_censored) WHEN 'censored_without_durations' THEN (SELECT count(*) FROM g WHERE asset % 5 = 0 AND right_censored) ELSE 0 END FROM k
+UNION ALL SELECT 'broken groups', (SELECT count(*) FROM cyc), rule, CASE rule WHEN 'n_cycles_add_up' THEN (SELECT (sum(more) > 0)::INT FROM b) ELSE 0 END FROM t""", kept=("cycle_rows",))
+def inspection_audit(r: A.Run) -> DataFrame:
+    """AGG6: groups by censoring hold their checks and add up to the cycles; groups broken by rule do not."""
+    whole = r.steps.keep(cycles.inspection_groups(r.cycle_rows(), ["asset"]), "groups")
+    odd = lambda n: F.col("asset") % n == 0
+    closed = ~F.col("right_censored")
+    broken = whole.withColumns(
+        {
+            "n_cycles": F.col("n_cycles") + F.when(odd(2) & closed, 1).otherwise(0),
+            "min_duration_s": F.when(odd(3) & closed, F.col("max_duration_s") + 1).when(odd(5) & ~closed, 1).otherwise(F.col("min_duration_s")),
+        }
+    )
+    parts = []
+    for rows, name in ((whole, "groups"), (broken, "broken groups")):
+        parts += [audit.violations(rows, cycles.group_rules(), name), cycles.totals_agree(rows, r.cycle_rows(), name)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 @query("SELECT to_day AS day, count(*) AS n_cycles, sum(n_observations)::BIGINT AS n_observations FROM (SELECT start_ts::DATE AS to_day, n_observations FROM cyc) GROUP BY 1")
 def daily_activity(r: A.Run) -> DataFrame:
     """AGG25."""
@@ -269,6 +297,13 @@ def context_profile(r: A.Run) -> DataFrame:
     return profiles.context_profile(r.view())
 
 
+@query("SELECT win_status AS diff_status, count(*) AS n, min(diff_mean_abs) AS least, round(avg(diff_mean_abs), 6) AS mean, max(diff_mean_abs) AS most, quantile_cont(diff_mean_abs, 0.05) AS p5, quantile_cont(diff_mean_abs, 0.5) AS p50, quantile_cont(diff_mean_abs, 0.95) AS p95 FROM win WHERE diff_mean_abs IS NOT NULL GROUP BY 1", kept=A.LABELS)
+def difference_profile(r: A.Run) -> DataFrame:
+    """AGG20: spread of the mean size of the signals' difference by status."""
+    found = r.steps.keep(features.difference_window(r.points(), r.readings(), "value", "second", A.WINDOW), "differences")
+    return _rounded(profiles.distribution(found, "diff_mean_abs", ["diff_status"]), "mean")
+
+
 @query("SELECT count(*) AS n, " + ", ".join(f"quantile_disc({c}, {q}) AS {n}_p{int(q * 100)}" for c, n in (("win_count", "count"), ("span_s", "span")) for q in (0.05, 0.5, 0.95)) + " FROM cov", kept=A.COVERED)
 def window_support(r: A.Run) -> DataFrame:
     """AGG14."""
@@ -321,6 +356,30 @@ def one_sided_windows(r: A.Run) -> DataFrame:
     return profiles.one_sided(c, profiles.tail_bounds(c))
 
 
+@query("""
+, t AS (SELECT c.*, win_count < low_count OR span_s < low_span AS tail, first_follows_gap OR internal_gap_count > 0 AS gap,
+               greatest(CASE WHEN first_follows_gap THEN coalesce(preceding_interval_s, 0) ELSE 0 END, coalesce(max_internal_gap_s, 0))::BIGINT AS longest_gap_s FROM cov c, bnds)
+SELECT * FROM (SELECT asset, cycle_id, win_count, span_s, internal_gap_count, longest_gap_s, 'tail_only' AS kind FROM t WHERE tail AND NOT gap ORDER BY win_count, span_s, prediction_ts, asset, cycle_id LIMIT 5)
+UNION ALL SELECT * FROM (SELECT asset, cycle_id, win_count, span_s, internal_gap_count, longest_gap_s, 'gap_only' FROM t WHERE NOT tail AND gap ORDER BY longest_gap_s DESC, internal_gap_count DESC, win_count, span_s, prediction_ts, asset, cycle_id LIMIT 5)""", kept=A.COVERED)
+def gap_tail_windows(r: A.Run) -> DataFrame:
+    """TOP2, PROF1: a top-k report of the windows that the gap and the tail test judge unlike."""
+    return profiles.gap_tail_disagreement(r.covered(), profiles.tail_bounds(r.covered()))
+
+
+@query("""
+, t AS (SELECT win_count < low_count AS lc, span_s < low_span AS ls, internal_gap_count > 0 AS g FROM cov, bnds),
+x AS (SELECT count(*) FILTER (lc AND NOT ls) AS co, count(*) FILTER (lc AND NOT ls AND g) AS cog FROM t)
+SELECT 'tail overlap' AS audited, 1::BIGINT AS n_rows, rule, violations FROM (VALUES ('tails_add_up', 0::BIGINT), ('tail_windows_add_up', 0), ('gap_only_in_the_rest', 0), ('marked_ones_among_count_only', 0), ('ordered_gaps', 0)) v(rule, violations)
+UNION ALL SELECT 'broken overlap', 1, 'tails_add_up', 1 UNION ALL SELECT 'broken overlap', 1, 'tail_windows_add_up', 1 UNION ALL SELECT 'broken overlap', 1, 'gap_only_in_the_rest', 0
+UNION ALL SELECT 'broken overlap', 1, 'marked_ones_among_count_only', (cog > co + 1)::BIGINT FROM x UNION ALL SELECT 'broken overlap', 1, 'ordered_gaps', 0""", kept=A.COVERED)
+def overlap_audit(r: A.Run) -> DataFrame:
+    """PROF1: the overlap profile adds up, and one with a window too many does not."""
+    c = r.covered()
+    row = profiles.tail_overlap(c, profiles.tail_bounds(c)).crossJoin(c.agg(F.count("*").alias("n")))
+    broken = row.withColumn("count_only", F.col("count_only") + 1)
+    return audit.violations(row, profiles.overlap_rules(), "tail overlap").unionByName(audit.violations(broken, profiles.overlap_rules(), "broken overlap"))
+
+
 @query("SELECT asset, cycle_id, win_count, span_s FROM cov, bnds WHERE win_count <= low_count AND span_s <= low_span ORDER BY win_count, span_s, asset, cycle_id LIMIT 5", kept=A.COVERED)
 def worst_windows(r: A.Run) -> DataFrame:
     """TOP1, TOP2: a top-k report."""
@@ -707,6 +766,53 @@ def score_evaluation(r: A.Run) -> DataFrame:
     return models.evaluation(r.view().where("row_status = 'trainable'"), ["part"], "win_mean")
 
 
+#: A model of one input orders rows by that input, upwards or downwards as it varies with the label in training, so SQL can follow it.
+_ONE_INPUT = """
+, dev AS (SELECT asset, cycle_id, part, failure_within AS y, win_mean, win_count FROM vw WHERE row_status = 'trainable' AND win_mean IS NOT NULL AND win_count IS NOT NULL
+          AND context_duration_s IS NOT NULL AND context_previous_duration_s IS NOT NULL AND context_previous_idle_s IS NOT NULL),
+way AS (SELECT sign(covar_pop(win_mean, y::INT)) AS m, sign(covar_pop(win_count, y::INT)) AS c FROM dev WHERE part = 'train'),
+sc AS (SELECT part, asset, cycle_id, y, 'mean' AS candidate, m * win_mean AS s FROM dev, way UNION ALL SELECT part, asset, cycle_id, y, 'count', c * win_count FROM dev, way)
+"""
+
+
+def _one_input(r: A.Run, name: str, part: str) -> DataFrame:
+    train, _ = _development(r)
+    rows = r.view().where((F.col("row_status") == "trainable") & (F.col("part") == part)).dropna(subset=INPUTS)
+    return models.predict(models.fit(train, [name]), rows, [name])
+
+
+@query(_ONE_INPUT + """
+, g AS (SELECT candidate, s, count(*) AS n, count(*) FILTER (y) AS pos FROM sc WHERE part = 'validation' GROUP BY 1, 2),
+c AS (SELECT candidate, s, sum(n) OVER w AS n, sum(pos) OVER w AS tp, sum(pos) OVER (PARTITION BY candidate) AS p FROM g WINDOW w AS (PARTITION BY candidate ORDER BY s DESC)),
+d AS (SELECT candidate, tp / p AS recall, tp / n AS prec, coalesce(lag(tp / p) OVER w, 0) AS recall0, coalesce(lag(tp / n) OVER w, tp / n) AS prec0 FROM c WINDOW w AS (PARTITION BY candidate ORDER BY s DESC)),
+a AS (SELECT candidate, sum((recall - recall0) * (prec + prec0) / 2) AS area FROM d GROUP BY 1),
+n AS (SELECT candidate, count(*) AS n_rows, count(*) FILTER (y) AS positives FROM sc WHERE part = 'validation' GROUP BY 1)
+SELECT candidate, 1 AS n_inputs, n_rows, positives, round(area, 6) AS pr_area, area = (SELECT max(area) FROM a) AND (SELECT count(*) FROM a WHERE area = (SELECT max(area) FROM a)) = 1 AS best FROM a JOIN n USING (candidate)""", kept=A.VIEW)
+def one_input_models(r: A.Run) -> DataFrame:
+    """MOD1-MOD6: two logistic models of one input each on the same rows, and the one that is alone the best."""
+    train, validation = _development(r)
+    found = r.steps.keep(models.compare(train, validation, [models.Candidate("mean", ("win_mean",)), models.Candidate("count", ("win_count",))]), "evidence")
+    best = models.select_best(found, "pr_area").select("candidate", F.lit(True).alias("best"))
+    return _rounded(found.join(best, "candidate", "left").withColumn("best", F.coalesce("best", F.lit(False))), "pr_area")
+
+
+@query(_ONE_INPUT + "SELECT asset, cycle_id, y AS failure_within, dense_rank() OVER (ORDER BY s DESC) AS place FROM sc WHERE part = 'validation' AND candidate = 'mean'", kept=A.VIEW)
+def validation_order(r: A.Run) -> DataFrame:
+    """MOD7: the place of each validation row's score among the distinct scores, from the largest down."""
+    scored = r.steps.keep(_one_input(r, "win_mean", "validation").select("asset", "cycle_id", "failure_within", "probability"), "scored")
+    each = scored.groupBy("probability").agg(F.lit(1).cast("long").alias("place"))
+    return scored.join(windows.running_down(each, [], "probability", ["place"]), "probability").select("asset", "cycle_id", "failure_within", "place")
+
+
+@query(_ONE_INPUT + """
+, g AS (SELECT s, count(*) AS n, count(*) FILTER (y) AS pos FROM sc WHERE part = 'test' AND candidate = 'mean' GROUP BY 1), c AS (SELECT pos, sum(n) OVER w AS n, sum(pos) OVER w AS tp FROM g WINDOW w AS (ORDER BY s DESC))
+SELECT 'test' AS part, sum(pos)::BIGINT AS positives, round(sum(pos * tp / n) / nullif(sum(pos), 0), 6) AS average_precision FROM c HAVING count(*) > 0""", kept=A.VIEW)
+def held_out_precision(r: A.Run) -> DataFrame:
+    """MOD8, MOD9: average precision of held-out rows under a model fitted on the training rows alone."""
+    scored = r.steps.keep(_one_input(r, "win_mean", "test").select("part", "failure_within", "probability"), "scored")
+    return _rounded(models.average_precision(scored, ["part"]), "average_precision")
+
+
 @query("""
 SELECT l.asset, l.cycle_id, horizon_status, count(f.record_id) AS n_ahead, min(f.failure_start) AS first_start
 FROM lab l LEFT JOIN fail f ON f.asset = l.asset AND f.failure_start > l.prediction_ts AND f.failure_start <= l.horizon_end GROUP BY ALL""", kept=A.LABELS)
@@ -792,3 +898,38 @@ def alert_order(r: A.Run) -> DataFrame:
     """VAL18: episodes that are made to end ten days late, so that some overlap."""
     late = _alerting(r)[2]["episodes"].withColumn("end_ts", add_seconds(F.col("end_ts"), 864_000))
     return alerts.episode_order(late).select("asset", "policy", "episode")
+
+
+@query("""
+, x AS (SELECT policy, episodes, operating_days, events, detected FROM met)
+SELECT 'metrics' AS audited, count(*) AS n_rows, rule, 0::BIGINT AS violations FROM x, (VALUES ('kinds_add_up'), ('events_add_up'), ('rate_in_range'), ('operating_days_in_period')) v(rule) GROUP BY 3
+UNION ALL SELECT 'broken metrics', count(*), rule, count(*) FILTER (CASE rule WHEN 'kinds_add_up' THEN policy LIKE '%n1' WHEN 'events_add_up' THEN policy LIKE 'p9%-n2' WHEN 'rate_in_range' THEN false ELSE true END)
+FROM x, (VALUES ('kinds_add_up'), ('events_add_up'), ('rate_in_range'), ('operating_days_in_period')) v(rule) GROUP BY 3""", alerts=True, kept=A.SCORES)
+def alert_metric_audit(r: A.Run) -> DataFrame:
+    """VAL18: the policies' metrics reconcile; metrics broken by rule do not."""
+    found = r.steps.keep(_metrics(r), "metrics")
+    broken = found.withColumns(
+        {
+            "episodes": F.col("episodes") + F.when(F.col("policy").endswith("n1"), 1).otherwise(0),
+            "missed": F.col("missed") + F.when(F.col("policy").endswith("n2"), 1).otherwise(0),
+            "operating_days": F.lit(400).cast("long"),
+        }
+    )
+    return audit.violations(found, alerts.metric_rules(366), "metrics").unionByName(audit.violations(broken, alerts.metric_rules(366), "broken metrics"))
+
+
+@query(f"""
+, s AS (SELECT probability, l.failure_within AS pos FROM sco JOIN lab l USING (asset, cycle_id) WHERE l.failure_within IS NOT NULL),
+g AS (SELECT probability, count(*) AS n, count(*) FILTER (pos) AS pos FROM s GROUP BY 1), c AS (SELECT pos, sum(n) OVER w AS n, sum(pos) OVER w AS tp FROM g WINDOW w AS (ORDER BY probability DESC)),
+ap AS (SELECT round(sum(pos * tp / n) / nullif(sum(pos), 0), 6) AS average_precision FROM c),
+ld AS (SELECT policy, round(avg(date_sub('second', first_warning_ts, failure_start)), 3) AS warning_lead_time_s FROM evm GROUP BY 1)
+SELECT {_METRICS}, warning_lead_time_s, average_precision, (SELECT count(*) FROM s) AS row_count, (SELECT count(*) FROM s WHERE pos) AS positive_count, (SELECT count(*) FROM s WHERE NOT pos) AS negative_count
+FROM met JOIN ld USING (policy), ap""", alerts=True, kept=(*A.SCORES, "labelled"))
+def population_aggregates(r: A.Run) -> DataFrame:
+    """PIPE10: the sixteen aggregates of the scored population under each policy."""
+    points, policies, found = _alerting(r)
+    scored = r.steps.keep(points.join(r.labelled().where("failure_within is not null").select("asset", "cycle_id", "failure_within"), ["asset", "cycle_id"]), "scored")
+    metrics = alerts.policy_metrics(points, found["episodes"], r.failures(), policies, A.HORIZON)
+    matches = alerts.event_matches(found["episodes"], r.failures(), policies, A.HORIZON)
+    out = _rounded(alerts.aggregates(scored, metrics, matches), "detection_rate", "episodes_per_day", "false_alerts_per_day", "average_precision")
+    return out.withColumn("warning_lead_time_s", F.round("warning_lead_time_s", 3))
