@@ -56,8 +56,9 @@ def unescape(text: Column) -> Column:
 def machine(turns: Column, template: Template) -> Column:
     """Run the machine over (turn, role, text) structs: segments (text, loss), and ``violation``.
 
-    The state is the role last seen. Each step emits the turn's three segments and checks that the turn may follow;
-    ``violation:N`` names the first turn that may not, ``violation:end`` a state that may not be the last.
+    The state is the role last seen. Each step checks that the turn may follow; ``violation:N`` names the first turn that
+    may not, ``violation:end`` a state that may not be the last. The three segments that entering a state emits are laid out turn
+    by turn beside the walk, so no step copies what came before.
     """
     steps = F.array(*[F.lit(f"{a}\n{b}") for a, after in template.steps.items() for b in after])
     segment = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
@@ -69,33 +70,32 @@ def machine(turns: Column, template: Template) -> Column:
     def step(state: Column, turn: Column) -> Column:
         ok = F.array_contains(steps, F.concat(state["at"], F.lit("\n"), turn["role"]))
         bad = F.when(state["bad"] >= 0, state["bad"]).when(ok, F.lit(-1)).otherwise(state["n"])
-        return F.struct((state["n"] + 1).alias("n"), turn["role"].alias("at"), bad.alias("bad"), F.concat(state["segments"], emitted(turn)).alias("segments"))
+        return F.struct((state["n"] + 1).alias("n"), turn["role"].alias("at"), bad.alias("bad"))
 
     def finish(state: Column) -> Column:
         wrong = F.when(state["bad"] >= 0, F.concat(F.lit("violation:"), state["bad"].cast("string")))
         wrong = wrong.when(~state["at"].isin(*template.final), F.lit("violation:end")) if template.final else wrong
-        return F.struct(state["segments"].alias("segments"), wrong.alias("violation"))
+        return wrong
 
-    none = F.expr("cast(array() as array<struct<text:string,loss:boolean>>)")
-    zero = F.struct(F.lit(0).alias("n"), F.lit(template.begin).alias("at"), F.lit(-1).alias("bad"), none.alias("segments"))
-    return F.aggregate(turns, zero, step, finish)
+    zero = F.struct(F.lit(0).alias("n"), F.lit(template.begin).alias("at"), F.lit(-1).alias("bad"))
+    return F.struct(F.flatten(F.transform(turns, emitted)).alias("segments"), F.aggregate(turns, zero, step, finish).alias("violation"))
 
 
 def format_chats(rows: DataFrame, template: Template = CHATML) -> DataFrame:
-    """conv_id, segments (text, loss), formatted, loss_spans (start from 1, length), violation."""
+    """conv_id, segments (text, loss), formatted, loss_spans (start from 1 and length, in characters and in UTF-8 bytes), violation."""
     require(rows, "conv_id", "turn", "role", "text")
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     # One struct in an array of its own, so that the machine runs once for both of its results.
     chats = chats.select("conv_id", F.inline(F.array(machine(F.col("turns"), template))))
-    span = "struct<start:bigint,length:bigint>"
+    span = "struct<start:bigint,length:bigint,byte_start:bigint,byte_length:bigint>"
 
     def place(state: Column, s: Column) -> Column:
-        n = F.length(s["text"]).cast("long")
-        mine = F.array(F.struct((state["at"] + 1).alias("start"), n.alias("length")))
-        return F.struct((state["at"] + n).alias("at"), F.when(s["loss"], F.concat(state["spans"], mine)).otherwise(state["spans"]).alias("spans"))
+        n, b = F.length(s["text"]).cast("long"), F.octet_length(s["text"]).cast("long")
+        mine = F.array(F.struct((state["at"] + 1).alias("start"), n.alias("length"), (state["byte"] + 1).alias("byte_start"), b.alias("byte_length")))
+        return F.struct((state["at"] + n).alias("at"), (state["byte"] + b).alias("byte"), F.when(s["loss"], F.concat(state["spans"], mine)).otherwise(state["spans"]).alias("spans"))
 
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.expr(f"cast(array() as array<{span}>)").alias("spans"))
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("byte"), F.expr(f"cast(array() as array<{span}>)").alias("spans"))
     return chats.select(
         "conv_id",
         "segments",
@@ -115,7 +115,9 @@ def read_back(formatted: DataFrame, template: Template = CHATML) -> DataFrame:
         text = F.substring(p, at + len(template.separator), F.length(p) - at - len(template.separator) + 1 - len(template.end))
         return F.struct(unescape(role).alias("role"), unescape(text).alias("text"))
 
-    cut = let(F.col("formatted"), lambda f: F.transform("loss_spans", lambda s: unescape(F.substring(f, s["start"].cast("int"), s["length"].cast("int")))))
+    # By bytes, as finding a character counts from the text's start.
+    part = lambda f, s: F.substring(f, s["byte_start"].cast("int"), s["byte_length"].cast("int")).cast("string")
+    cut = let(F.col("formatted").cast("binary"), lambda f: F.transform("loss_spans", lambda s: unescape(part(f, s))))
     return formatted.select("conv_id", F.transform(pieces, parse).alias("turns"), cut.alias("loss_texts"), "formatted", "violation")
 
 

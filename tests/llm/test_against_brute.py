@@ -1,12 +1,13 @@
 from __future__ import annotations
 
 import random
+import time
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from condmon.llm import common, decontam, jaccard_join, license_scan, pfp_dedup, quality_rules, token_pack, url_filter
+from condmon.llm import chat_format, common, decontam, jaccard_join, license_scan, pfp_dedup, quality_rules, token_pack, url_filter
 from condmon.llm import queries as Q
 
 from . import brute
@@ -387,6 +388,17 @@ def test_decontamination_against_brute_force(spark, docs, sf_dir, most, monkeypa
     assert got == want and {(8001, 9001), (8003, 9002), (8006, 9004)} <= set(got) and (8002, 9001) not in got
 
 
+def test_a_conversation_of_many_turns(spark):
+    """Quadratic copying takes minutes here on a busy machine."""
+    n = 20_000
+    rows = spark.range(0, n, 1, 4).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("t<|"), F.col("id").cast("string")).alias("text"))
+    began = time.perf_counter()
+    back = chat_format.read_back(chat_format.format_chats(rows)).first()
+    assert time.perf_counter() - began < 90
+    assert [tuple(t) for t in back["turns"]] == [("assistant" if k % 2 else "user", f"t<|{k}") for k in range(n)]
+    assert back["loss_texts"] == [f"t<|{k}" for k in range(1, n, 2)] and back["violation"] is None
+
+
 @pytest.mark.parametrize("name", sorted(Q.queries()))
 def test_empty_tables(spark, name, tmp_path):
     for t, schema in {"pages": "page_id long, url string, html string", "conversations": "conv_id long, turn int, role string, text string", "documents": "doc_id long, text string, lang string, source string, n_chars long", "labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string"}.items():
