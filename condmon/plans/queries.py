@@ -784,7 +784,7 @@ def _one_input(r: A.Run, name: str, part: str) -> DataFrame:
 @query(_ONE_INPUT + """
 , g AS (SELECT candidate, s, count(*) AS n, count(*) FILTER (y) AS pos FROM sc WHERE part = 'validation' GROUP BY 1, 2),
 c AS (SELECT candidate, s, sum(n) OVER w AS n, sum(pos) OVER w AS tp, sum(pos) OVER (PARTITION BY candidate) AS p FROM g WINDOW w AS (PARTITION BY candidate ORDER BY s DESC)),
-d AS (SELECT candidate, tp / p AS recall, tp / n AS prec, coalesce(lag(tp / p) OVER w, 0) AS recall0, coalesce(lag(tp / n) OVER w, tp / n) AS prec0 FROM c WINDOW w AS (PARTITION BY candidate ORDER BY s DESC)),
+d AS (SELECT candidate, tp / nullif(p, 0) AS recall, tp / n AS prec, coalesce(lag(tp / nullif(p, 0)) OVER w, 0) AS recall0, coalesce(lag(tp / n) OVER w, tp / n) AS prec0 FROM c WINDOW w AS (PARTITION BY candidate ORDER BY s DESC)),
 a AS (SELECT candidate, coalesce(sum((recall - recall0) * (prec + prec0) / 2), 0) AS area FROM d GROUP BY 1),
 n AS (SELECT candidate, count(*) AS n_rows, count(*) FILTER (y) AS positives FROM sc WHERE part = 'validation' GROUP BY 1)
 SELECT candidate, 1 AS n_inputs, n_rows, positives, round(area, 6) AS pr_area, area = (SELECT max(area) FROM a) AND (SELECT count(*) FROM a WHERE area = (SELECT max(area) FROM a)) = 1 AS best FROM a JOIN n USING (candidate)""", kept=A.VIEW)
