@@ -95,6 +95,72 @@ def test_classifier_on_held_out_rows(spark, sf_dir):
     assert again == model
 
 
+def test_classifier_scores_against_a_plain_recomputation(spark, sf_dir):
+    """Training rows, dictionaries, sizes and curve worked out again in plain Python; the curve by halving steps downhill instead of Newton's."""
+    import math
+    import zlib
+
+    import zstandard
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    usable = lambda i: zlib.crc32(str(i).encode()) % 4 != 2
+    model = quality_clf.train(docs, labels, usable=~quality_clf.held_out(F.col("doc_id")))
+    got = {r["doc_id"]: r["score"] for r in quality_clf.score(docs.select("doc_id", "text"), model).collect()}
+
+    label = {r["doc_id"]: r["quality"] for r in labels.collect() if usable(r["doc_id"])}
+    keyed = docs.select(F.xxhash64("doc_id", F.lit("train")).alias("k"), "doc_id", "text").collect()
+    rows = sorted((r["k"], r["doc_id"], r["text"]) for r in keyed if label.get(r["doc_id"]) in (0, 1) and r["text"] is not None)
+    own = {y: [t for _, i, t in rows if label[i] == y] for y in (0, 1)}
+    counts = {y: sum(x == y for x in label.values()) for y in (0, 1)}
+    assert all(len(own[y]) < 2000 and sum(len(t.encode()) for t in own[y]) < 8 << 20 for y in own)
+
+    def pieces(text):
+        raw, out = (text or "").encode(), []
+        while raw:
+            out.append(raw[:512])
+            raw = raw[512:]
+        return out
+
+    def trained(texts):
+        samples = [p for t in texts for p in pieces(t) if len(p) >= 8]
+        return zstandard.ZstdCompressionDict(zstandard.train_dictionary(min(262144, max(1024, sum(len(p) for p in samples) // 8)), samples).as_bytes())
+
+    def packed(text, held):
+        held.precompute_compress(level=5)
+        return sum(len(zstandard.ZstdCompressor(dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False).compress(p)) for p in pieces(text))
+
+    def features(text, good, bad):
+        size = len((text or "").encode())
+        return (packed(text, bad) - packed(text, good)) / (size + 64), size / (size + 64)
+
+    prior = (counts[1] + 1) / (counts[0] + counts[1] + 2)
+    start, points = math.log(prior / (1 - prior)), []
+    for fold in range(5):
+        good, bad = (trained([t for k, t in enumerate(own[y]) if k % 5 != fold]) for y in (1, 0))
+        points += [(*features(t, good, bad), y, counts[y] / len(own[y])) for y in (1, 0) for k, t in enumerate(own[y]) if k % 5 == fold]
+    mean = sum(p[3] for p in points) / len(points)
+    centre = sum(p[0] for p in points) / len(points)
+    scale = math.sqrt(sum((p[0] - centre) ** 2 for p in points) / len(points))
+
+    def loss(a, b):
+        z = [start + a * p[0] / scale + b * p[1] for p in points]
+        fit = sum(w / mean * (math.log1p(math.exp(-abs(v))) + max(v, 0) - y * v) for v, (_, _, y, w) in zip(z, points, strict=True))
+        return fit + 2 * (a * a + b * b)
+
+    at, step = [0.0, 0.0], 1.0
+    while step > 1e-7:
+        around = [(at[0] + da * step, at[1] + db * step) for da in (-1, 0, 1) for db in (-1, 0, 1)]
+        best = min(around, key=lambda x: loss(*x))
+        if loss(*best) < loss(*at):
+            at = list(best)
+        else:
+            step /= 2
+    for i, t in [(r["doc_id"], r["text"]) for r in keyed]:
+        x, share = features(t, good, bad)
+        z = start + at[0] * x / scale + at[1] * share
+        assert abs(got[i] - 1 / (1 + math.exp(-z))) < 1e-4, i
+
+
 def test_classifier_prior_does_not_depend_on_the_bounds(spark):
     rng = random.Random(3)
     common, own = [f"word{k}" for k in range(300)], {1: [f"fine{k}" for k in range(60)], 0: [f"poor{k}" for k in range(60)]}
