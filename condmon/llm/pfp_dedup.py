@@ -22,6 +22,8 @@ They come in three steps, each a count by hash key, never a pair of places:
 Text moves twice, joined by document, once with the open phrases and once with the removed spans.
 Keys are 64-bit hashes: among n places, two different strings meet with probability n*n/2**65.
 
+Texts of any length are hashed in pieces of ``PIECE`` windows, so a task holds a few copies of its longest text and no more.
+
 Defined cases: a null text counts as empty; texts shorter than ``length`` keep all; repeated rows
 are each other's repeats; ids may be null or repeat; further columns are ignored.
 """
@@ -42,7 +44,8 @@ from .common import Scratch, require, slices
 
 LENGTH, GRAM, SPREAD, RUN = 400, 12, 256, 16
 HOT = 1000
-PLACE = 24  # bits of a place beside the trigger's hash; longer batches take the minimum piece by piece
+PLACE = 24  # bits of a place beside the trigger's hash
+PIECE = 1 << 20  # windows that are hashed at once, fewer than 1 << PLACE
 KEY = ["doc_id", "tk"]
 
 
@@ -54,13 +57,9 @@ def _phrases(data: np.ndarray, ends: np.ndarray, tables: rolling.Powers, length:
         return empty, empty, empty, empty.view(rolling.U), empty.view(rolling.U)
     h = rolling.Bytes(data, tables)
     low = rolling.U((1 << PLACE) - 1)
-    trigger = np.empty(n - length + 1, np.int64)
-    step = (1 << PLACE) - spread
-    for begin in range(0, len(trigger), step):
-        grams = np.arange(begin, min(begin + (1 << PLACE), n - GRAM + 1))
-        hashed = (h.of(grams, grams + GRAM) & ~low) | (grams - begin).astype(rolling.U)
-        least = rolling.sliding_min(hashed, spread)[: min(step, len(trigger) - begin)]
-        trigger[begin : begin + len(least)] = begin + (least & low).astype(np.int64)
+    grams = np.arange(n - GRAM + 1)
+    hashed = (h.of(grams, grams + GRAM) & ~low) | grams.astype(rolling.U)
+    trigger = (rolling.sliding_min(hashed, spread)[: n - length + 1] & low).astype(np.int64)
     place = np.arange(len(trigger))
     inside = place + length <= ends[np.searchsorted(ends, place, side="right")]
     start = inside.copy()
@@ -74,32 +73,51 @@ def _phrases(data: np.ndarray, ends: np.ndarray, tables: rolling.Powers, length:
     return t, first, last, k, rolling.mix(h.of(first, last + length) + reach * rolling.U(rolling.BASE))
 
 
-def _first_pass(batches: Iterator[pa.RecordBatch], length: int, spread: int) -> Iterator[pa.RecordBatch]:
+def _pieces(data: np.ndarray, ends: np.ndarray, tables: rolling.Powers, length: int, spread: int, piece: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Phrases of ``piece`` windows at a time, in order, so that memory doesn't grow with the text. A phrase that may go on behind a piece
+    opens the next one; it has at most ``spread`` windows, so each piece moves on."""
+    begin, windows = 0, len(data) - length + 1
+    while begin < windows:
+        t, first, last, k, c = _phrases(data[begin : begin + piece + length - 1], ends - begin, tables, length, spread)
+        goes_on = begin + piece < windows and len(last) and last[-1] == piece - 1
+        keep = slice(None, -1) if goes_on else slice(None)
+        yield t[keep] + begin, first[keep] + begin, last[keep] + begin, k[keep], c[keep]
+        begin += int(first[-1]) if goes_on else piece
+
+
+def _first_pass(batches: Iterator[pa.RecordBatch], length: int, spread: int, piece: int = PIECE) -> Iterator[pa.RecordBatch]:
     """doc_id, tk, text to one row for each phrase; places count from the document's start."""
     tables = rolling.Powers()
     for batch in batches:
         for at, texts in slices(batch.column(2)):
-            ends = np.cumsum([len(t) for t in texts])
-            t, first, last, k, c = _phrases(np.frombuffer(b"".join(texts), np.uint8), ends, tables, length, spread)
-            doc = np.searchsorted(ends, first, side="right")
-            begin = ends[doc] - np.array([len(x) for x in texts], np.int64)[doc] if len(doc) else first
-            rows = pa.array(doc + at)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows), batch.column(1).take(rows), *(pa.array((x - begin).astype(np.int32)) for x in (t, first, last)), pa.array(k.view(np.int64)), pa.array(c.view(np.int64))],
-                names=[*KEY, "t", "first", "last", "k", "c"],
-            )
-
-
-def _run_pass(batches: Iterator[pa.RecordBatch], length: int, run: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, tk, text, open (t, first, last) to one row for each run of windows, with the windows' hashes."""
+            sizes = np.array([len(t) for t in texts], np.int64)
+            ends = np.cumsum(sizes)
+            data = np.frombuffer(b"".join(texts), np.uint8)
+            del texts
+            for t, first, last, k, c in _pieces(data, ends, tables, length, spread, piece):
+                doc = np.searchsorted(ends, first, side="right")
+                begin = (ends - sizes)[doc]
+                rows = pa.array(doc + at)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(rows), batch.column(1).take(rows), *(pa.array((x - begin).astype(np.int32)) for x in (t, first, last)), pa.array(k.view(np.int64)), pa.array(c.view(np.int64))],
+                    names=[*KEY, "t", "first", "last", "k", "c"],
+                )
+
+
+def _run_pass(batches: Iterator[pa.RecordBatch], length: int, run: int, piece: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """doc_id, tk, text, open (t, first, last) to one row for each run of windows, with the windows' hashes. Only the pieces with open
+    phrases are hashed, one at a time."""
     tables = rolling.Powers()
     for batch in batches:
         out: list[list] = [[] for _ in range(6)]
         for row in range(batch.num_rows):
             data = np.frombuffer((batch.column(2)[row].as_py() or "").encode(), np.uint8)
-            h = rolling.Bytes(data, tables)
-            for x in batch.column(3)[row].as_py():
-                t, first, last = x["t"], x["first"], x["last"]
+            begin = end = 0
+            for first, last, t in sorted((x["first"], x["last"], x["t"]) for x in batch.column(3)[row].as_py()):
+                if last + length > end:
+                    begin, end = first, max(first + piece, last + length)
+                    h = rolling.Bytes(data[begin:end], tables)
+                first, last, t = first - begin, last - begin, t - begin
                 p = np.arange(first, last + 1)
                 w = h.of(p, p + length)
                 j = np.arange((t - last) // run, (t - first) // run + 1)
@@ -107,8 +125,8 @@ def _run_pass(batches: Iterator[pa.RecordBatch], length: int, run: int) -> Itera
                 core = h.of(t - run * j, t - run * j - (run - 1) + length)
                 reach = (t - lo).astype(rolling.U) * rolling.U(1 << 20) + (t - hi).astype(rolling.U)
                 out[0] += [row] * len(j)
-                out[1] += lo.tolist()
-                out[2] += hi.tolist()
+                out[1] += (lo + begin).tolist()
+                out[2] += (hi + begin).tolist()
                 out[3].append(rolling.mix(core + j.astype(rolling.U)))
                 out[4].append(rolling.mix(h.of(lo, hi + length) + reach * rolling.U(rolling.BASE)))
                 out[5] += [w[a - first : b - first + 1].astype("<u8").tobytes() for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]

@@ -226,6 +226,40 @@ def test_repeats_far_into_a_long_text(spark):
     assert got == [(1, len(long), 600, 1), (2, 614, 600, 1)]
 
 
+@pytest.mark.parametrize("piece", [17, 300, 4096])
+def test_phrases_and_runs_do_not_depend_on_the_pieces(piece):
+    import pyarrow as pa
+
+    rng = random.Random(piece)
+    texts = [rng.randbytes(rng.randint(0, 900)).hex() for _ in range(20)] + ["ab" * 900, "", None, rng.randbytes(9000).hex()]
+    ids, length, spread = list(range(len(texts))), 40, 16
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids), pa.array(texts)], names=["doc_id", "tk", "text"])
+    rows = lambda found: [r for b in found for r in b.to_pylist()]
+    whole = rows(pfp_dedup._first_pass([batch], length, spread))
+    assert rows(pfp_dedup._first_pass([batch], length, spread, piece)) == whole and len(whole) > 500
+    windows = sorted((r["doc_id"], p) for r in whole for p in range(r["first"], r["last"] + 1))
+    assert windows == [(i, p) for i, t in zip(ids, texts, strict=True) for p in range(len(t or "") - length + 1)]
+    listed = [[{k: r[k] for k in ("t", "first", "last")} for r in whole if r["doc_id"] == i] for i in ids]
+    opened = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids), pa.array(texts), pa.array(listed)], names=["doc_id", "tk", "text", "open"])
+    assert rows(pfp_dedup._run_pass([opened], length, 4, piece)) == rows(pfp_dedup._run_pass([opened], length, 4))
+
+
+def test_memory_of_a_long_text():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    text = random.Random(5).randbytes(15_000_000).hex()
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1]), pa.array([text])], names=["doc_id", "tk", "text"])
+    opened = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1]), pa.array([text]), pa.array([[{"t": 29_000_100, "first": 29_000_000, "last": 29_000_090}]])], names=["doc_id", "tk", "text", "open"])
+    for run in (lambda: pfp_dedup._first_pass([batch], 400, 256), lambda: pfp_dedup._run_pass([opened], 400, 16)):
+        tracemalloc.start()
+        n = sum(b.num_rows for b in run())
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert n > 0 and most < 3 * len(text) + (160 << 20)
+
+
 def edited(text: str, share: float, rng: random.Random) -> str:
     return " ".join(f"w{rng.randint(0, 10**9)}" if rng.random() < share else w for w in text.split())
 
