@@ -192,13 +192,20 @@ def episode_order(episode_rows: DataFrame, chunk_seconds: int = CHUNK_SECONDS) -
     return rows.where("start_ts <= _latest or end_ts < start_ts").drop("_latest")
 
 
-def metric_rules(period_days: int) -> list[tuple[str, Column]]:
-    """VAL18: counts of ``policy_metrics`` reconcile, and no more days were in operation than the period has."""
+def most_operating_days(points: DataFrame) -> DataFrame:
+    """One row: ``most_days``, the days from the first point to the last times the assets, as ``operating_days`` counts each asset's days; 0 without points."""
+    day = F.to_date("prediction_ts")
+    return points.agg(F.coalesce(F.count_distinct("asset") * (F.date_diff(F.max(day), F.min(day)) + 1), F.lit(0)).alias("most_days"))
+
+
+def metric_rules(most_days: int | Column) -> list[tuple[str, Column]]:
+    """VAL18: counts of ``policy_metrics`` reconcile, and no more asset days were in operation than ``most_days``; none only where there can be none."""
+    most = F.lit(most_days)
     return [
         ("kinds_add_up", F.col("warnings") + F.col("insides") + F.col("false_alerts") == F.col("episodes")),
         ("events_add_up", F.col("detected") + F.col("missed") == F.col("events")),
         ("rate_in_range", F.coalesce(F.col("detection_rate").between(0.0, 1.0), F.col("events") == 0)),
-        ("operating_days_in_period", F.col("operating_days").between(1, period_days)),
+        ("operating_days_in_period", F.col("operating_days").between(F.least(F.lit(1), most), most)),
     ]
 
 

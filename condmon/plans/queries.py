@@ -907,15 +907,16 @@ UNION ALL SELECT 'broken metrics', count(*), rule, count(*) FILTER (CASE rule WH
 FROM x, (VALUES ('kinds_add_up'), ('events_add_up'), ('rate_in_range'), ('operating_days_in_period')) v(rule) GROUP BY 3""", alerts=True, kept=A.SCORES)
 def alert_metric_audit(r: A.Run) -> DataFrame:
     """VAL18: the policies' metrics reconcile; metrics broken by rule do not."""
-    found = r.steps.keep(_metrics(r), "metrics")
+    found = r.steps.keep(_metrics(r).crossJoin(F.broadcast(alerts.most_operating_days(r.score_points()))), "metrics")
+    rules = alerts.metric_rules(F.col("most_days"))
     broken = found.withColumns(
         {
             "episodes": F.col("episodes") + F.when(F.col("policy").endswith("n1"), 1).otherwise(0),
             "missed": F.col("missed") + F.when(F.col("policy").endswith("n2"), 1).otherwise(0),
-            "operating_days": F.lit(400).cast("long"),
+            "operating_days": F.col("most_days") + 1,
         }
     )
-    return audit.violations(found, alerts.metric_rules(366), "metrics").unionByName(audit.violations(broken, alerts.metric_rules(366), "broken metrics"))
+    return audit.violations(found, rules, "metrics").unionByName(audit.violations(broken, rules, "broken metrics"))
 
 
 @query(f"""

@@ -295,3 +295,13 @@ def test_whole_table_rules(spark):
 def test_average_precision_without_positives(spark):
     df = spark.createDataFrame([("a", 0.5, False), ("b", 0.5, True), ("b", 0.7, False)], "part string, probability double, failure_within boolean")
     assert {r["part"]: r["average_precision"] for r in models.average_precision(df, ["part"]).collect()} == {"a": None, "b": 0.5}
+
+
+def test_operating_days_are_bounded_by_assets_and_period(spark):
+    rules = [alerts.metric_rules(F.col("most_days"))[3]]
+    points = spark.createDataFrame([(a, a, at(86_400 * d), 0.5) for a in range(40) for d in range(10)] + [(0, 99, at(86_400 * 10), 0.5)], "asset long, cycle_id long, prediction_ts timestamp_ntz, probability double")
+    for some, days, most in ((points, 401, 440), (points.where("asset = 0"), 11, 11), (points.limit(0), 0, 0)):
+        bound = alerts.most_operating_days(some)
+        assert bound.first()["most_days"] == most
+        for operating_days, bad in ((days, 0), (most + 1, 1), (0, int(most > 0))):
+            assert audit.violations(bound.withColumn("operating_days", F.lit(operating_days)), rules, "t").first()["violations"] == bad

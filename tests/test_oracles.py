@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from pathlib import Path
 
 import duckdb
 import pandas as pd
 import pytest
 
+from __spark_entry__ import SMALL
 from condmon import registry
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -54,3 +56,12 @@ def test_query_equals_sql(spark, sf_dir, con, name):
 def test_query_runs(spark, sf_dir, name):
     df = registry.queries()[name](spark, sf_dir)
     assert df.columns and df.count() >= 0  # the smallest tables leave no held-out rows
+
+
+def test_metric_audit_of_many_assets(spark, tmp_path):
+    """150 assets have 989 operating days in a month, more than a year has days."""
+    sf_dir = f"{Path(SMALL).parent}/sf0.01"
+    c = duckdb.connect()
+    for t in TABLES:
+        c.sql(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
+    same(rows(registry.queries()["alert_metric_audit"](spark, sf_dir).toPandas()), rows(c.sql(registry.oracle_sql()["alert_metric_audit"]).df()))
