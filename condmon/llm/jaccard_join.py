@@ -9,12 +9,14 @@
    as the union is at least as large as itself; there it stands in *front*. A shingle that stands in front of no class brings
    no pair together, so the shingles of a template, which come late in the order, gather nobody. Each other shingle that two classes share in
    their prefixes is led by the class with the largest hash; classes gather under the leaders of their shingles, so a pair that
-   could link meets under a leader, and copies with many shared shingles meet under a few.
+   could link meets under a leader, and copies with many shared shingles meet under a few. Shingles are counted first; those that
+   gather somebody fill a Bloom filter, so that only they, and few others by chance, move again with their classes.
 4. Groups are cut into blocks of about ``BLOCK``, each with the leader. In a block a signature
    tree over rows in order of their bitmaps holds OR-combined bitmaps, size ranges and least bit
    counts; walking pairs of nodes from the root, those whose greatest possible overlap is too small
    are dropped, down to pairs of rows. A first walk, over bitmaps of four to eight bits for each shingle,
-   drops the members that no partner could reach, so whole sets move only for the rest; a second
+   drops the members that no partner could reach, so whole sets move only for the rest: their texts are found in a scan by a
+   Bloom filter of ids and hashes, and no other text moves; a second
    walk verifies on the sets. Pairs already connected are not verified, so a block yields at most as
    many links as rows.
 5. Groups of several blocks whose members are then in one component are done. The members of the
@@ -45,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import Scratch, require, slices
+from .common import Scratch, bloom, passes, require, slices
 from .components import components
 
 SHINGLE, BLOCK = 5, 128
@@ -166,13 +168,19 @@ def _prefixes(batches: Iterator[pa.RecordBatch], frequent) -> Iterator[pa.Record
             )
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rep, text) to (rep, tokens)."""
-    tables = rolling.Powers()
+def _passing(batches: Iterator[pa.RecordBatch], bits) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+    """Rows whose second column, a 64-bit hash, passes the filter."""
     for batch in batches:
-        for at, texts in slices(batch.column(1)):
+        yield batch.take(pa.array(passes(bits.value, batch.column(1).to_numpy().view(rolling.U))))
+
+
+def _sets(batches: Iterator[pa.RecordBatch], bits) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+    """(doc_id, h, text) to (doc_id, h, tokens) where h passes the filter."""
+    tables = rolling.Powers()
+    for batch in _passing(batches, bits):
+        for at, texts in slices(batch.column(2)):
             sets = [s.astype("<u8").tobytes() for s in shingle_sets(texts, tables)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(sets, pa.binary())], names=["rep", "tokens"])
+            yield pa.RecordBatch.from_arrays([*(c.slice(at, len(texts)) for c in batch.columns[:2]), pa.array(sets, pa.binary())], names=["doc_id", "h", "tokens"])
 
 
 # --- signature tree ---------------------------------------------------------------------------
@@ -401,15 +409,17 @@ def _linked(members: DataFrame, classes: DataFrame, texts: DataFrame, firsts: Da
     """Links of members (leader, block, rep, known): first on bitmaps, then on the sets of those left."""
     full = members.join(classes.select("rep", "n_shingles", "bits"), "rep").select("leader", "block", "rep", "known", "n_shingles", "bits")
     left = scratch.write(_by(full, "leader", "block").mapInArrow(_alive_members, MEMBER), f"{name}-alive")
-    wanted = left.select("rep").distinct().join(firsts, "rep")
-    # Repeated rows have one id and text; tasks drop them before texts move.
-    once = texts.groupBy("doc_id", "tk").agg(F.any_value("text").alias("text"))
-    same = (once["doc_id"] == wanted["first.doc_id"]) & (once["tk"] == wanted["first.tk"])
-    chosen = once.join(wanted, same).select("rep", "text")
-    sets = scratch.write(chosen.mapInArrow(_sets, "rep long, tokens binary"), f"{name}-sets")
+    wanted = left.select("rep").distinct().join(firsts, "rep").select("rep", "first.doc_id", F.xxhash64("first.doc_id", "first.tk").alias("h"))
+    wanted = scratch.write(wanted, f"{name}-wanted")
+    bits = texts.sparkSession.sparkContext.broadcast(bloom(wanted))
+    kinds = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, h long, tokens binary"
+    some = texts.select("doc_id", F.xxhash64("doc_id", "tk").alias("h"), "text").mapInArrow(partial(_sets, bits=bits), kinds)
+    # Repeated rows have one id and text; tasks drop them before sets move.
+    once = some.groupBy("doc_id", "h").agg(F.any_value("tokens").alias("tokens"))
+    sets = scratch.write(once.join(wanted, ["doc_id", "h"]).select("rep", "tokens"), f"{name}-sets")
     found = left.join(sets, "rep").select("leader", "block", "rep", "known", "tokens")
     out = scratch.write(_by(found, "leader", "block").mapInArrow(_join_blocks, LINK), f"{name}-links")
-    scratch.drop(f"{name}-alive", f"{name}-sets")
+    scratch.drop(f"{name}-alive", f"{name}-wanted", f"{name}-sets")
     return out
 
 
@@ -441,10 +451,20 @@ def _remaining(large: DataFrame, edges: DataFrame, classes: DataFrame, scratch:
 
 
 # --- the join ---------------------------------------------------------------------------------
-def gathered(classes: DataFrame) -> DataFrame:
-    """Classes (rep, n_shingles, prefix) under the leaders of their shingles: (leader, rep, front), front where one of those shingles stands in the class's front."""
+def shared(classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Shingles (rep, token, front) of classes (rep, n_shingles, prefix), front where they stand in the class's front: all that two classes have in
+    their prefixes and one in its front, and few others."""
     tokens = classes.select("rep", F.expr(FRONT).alias("k"), F.posexplode("prefix").alias("place", "token")).select("rep", "token", (F.col("place") < F.col("k")).alias("front"))
-    # Counts are added up in the tasks before they meet; Spark splits the join's rows of a frequent shingle.
+    # Counts are added up in the tasks before they meet.
+    counts = tokens.groupBy("token").agg(F.count("*").alias("n"), F.max("front").alias("any")).where("n > 1 and any")
+    bits = classes.sparkSession.sparkContext.broadcast(bloom(scratch.write(counts.select(F.col("token").alias("h")), "counts")))
+    scratch.drop("counts")
+    return scratch.write(tokens.mapInArrow(partial(_passing, bits=bits), "rep long, token long, front boolean"), "tokens")
+
+
+def gathered(tokens: DataFrame) -> DataFrame:
+    """Classes under the leaders of their shingles (rep, token, front): (leader, rep, front), front where one of those shingles stands in the class's front."""
+    # Spark splits the join's rows of a frequent shingle.
     leaders = tokens.groupBy("token").agg(F.max("rep").alias("leader"), F.count("*").alias("n"), F.max("front").alias("any")).where("n > 1 and any").select("token", "leader")
     return tokens.join(leaders, "token").groupBy("leader", "rep").agg(F.max("front").alias("front"))
 
@@ -464,7 +484,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     scratch.drop("shingles")
     firsts = rows.where(linkable).groupBy("rep").agg(F.min(F.struct("doc_id", "tk")).alias("first"))
 
-    members = scratch.write(gathered(classes), "members")
+    members = scratch.write(gathered(shared(classes, scratch)), "members")
+    scratch.drop("tokens")
     n_blocks = members.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).alias("n_blocks"))
     sized = members.join(n_blocks, "leader")
     others = sized.where("rep != leader").select("leader", _pmod(F.col("rep"), F.col("n_blocks")).alias("block"), "rep")

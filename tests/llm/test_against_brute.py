@@ -324,6 +324,36 @@ def test_pages_of_one_template_gather_nobody(spark, monkeypatch):
     assert got == {k: k for k in range(500)} | {10_000 + k: 10_000 for k in range(300)}
 
 
+def test_only_what_may_link_moves_again(spark, monkeypatch):
+    """Shingles of unlike texts don't move behind the counts; what moves gathers the same classes."""
+    rng, moved = random.Random(11), []
+    words = lambda n: " ".join(f"w{rng.randint(0, 10**9)}" for _ in range(n))
+    base = words(200)
+    rows = [(k, words(rng.randint(50, 150))) for k in range(400)] + [(1000 + k, base.replace(" ", f" y{k} ", 1)) for k in range(8)]
+    whole = jaccard_join.shared
+
+    def spied(classes, scratch):
+        out = whole(classes, scratch)
+        every = classes.selectExpr("rep", f"{jaccard_join.FRONT} as k", "posexplode(prefix) as (place, token)").selectExpr("rep", "token", "place < k as front")
+        assert rows_of(jaccard_join.gathered(out), "leader", "rep", "front") == rows_of(jaccard_join.gathered(every), "leader", "rep", "front")
+        moved.append((out.count(), every.count()))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "shared", spied)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {k: 1000 if k >= 1000 else k for k, _ in rows}
+    assert 8 <= moved[0][0] < 0.1 * moved[0][1]
+
+
+def test_sets_are_made_of_wanted_texts_alone(spark):
+    import pyarrow as pa
+
+    docs = spark.createDataFrame([(k, f"one two three four five six n{k}") for k in range(1000)], "doc_id long, text string").withColumn("h", F.xxhash64("doc_id", "text"))
+    bits = spark.sparkContext.broadcast(common.bloom(docs.where("doc_id % 100 = 7").select("h")))
+    got = pa.Table.from_batches(jaccard_join._sets(iter(docs.select("doc_id", "h", "text").toArrow().to_batches()), bits)).to_pydict()
+    assert set(range(7, 1000, 100)) <= set(got["doc_id"]) and len(got["doc_id"]) < 30 and all(len(t) == 24 for t in got["tokens"])
+
+
 def test_near_duplicates_of_other_ids_and_long_texts(spark):
     rng = random.Random(8)
     long = " ".join(f"w{rng.randint(0, 10**7)}" for _ in range(300_000))
