@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import count_if
 from ..steps import Steps
-from .selection import named, percentiles_of
+from .selection import named, percentiles_of, spreads_of
 
 
 def status_counts(df: DataFrame, column: str, statuses: tuple[str, ...] | None = None) -> DataFrame:
@@ -59,10 +59,10 @@ def gap_sensitivity(covered: DataFrame, thresholds: tuple[int, ...]) -> DataFram
     return wide.selectExpr("n", f"stack({len(thresholds)}, {pairs}) as (threshold_s, excluded)").withColumn("threshold_s", F.col("threshold_s").cast("long"))
 
 
-def tail_bounds(covered: DataFrame, prefix: str = "win") -> DataFrame:
-    """The 5 % points of observation count and span."""
-    p = covered.agg(F.percentile_approx(f"{prefix}_count", 0.05, 10_000).alias("low_count"), F.percentile_approx("span_s", 0.05, 10_000).alias("low_span"))
-    return p
+def tail_bounds(covered: DataFrame, prefix: str = "win", steps: Steps | None = None) -> DataFrame:
+    """The exact 5 % points of observation count and span, one row."""
+    p = spreads_of(covered, {"_c": f"{prefix}_count", "_s": "span_s"}, [], (0.05,), steps)
+    return p.select(F.get("_c", F.lit(0)).alias("low_count"), F.get("_s", F.lit(0)).alias("low_span"))
 
 
 def tail_overlap(covered: DataFrame, bounds: DataFrame, prefix: str = "win") -> DataFrame:

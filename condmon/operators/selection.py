@@ -8,6 +8,8 @@ that lies outside its bracket is an error, never a wrong value.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,9 +20,10 @@ ACCURACY = 10_000
 SMALL = 4 * ACCURACY
 
 
-def percentiles_of(df: DataFrame, value: str, by: list[str], shares: tuple[float, ...], also: dict[str, Column] | None = None, steps: Steps | None = None) -> DataFrame:
+def percentiles_of(df: DataFrame, value: str, by: list[str], shares: tuple[float, ...], also: dict[str, Column] | None = None, steps: Steps | None = None, discrete: bool = False) -> DataFrame:
     """by, n (values), p (array of the interpolated percentiles, in the order of ``shares``) and the aggregates ``also`` of each group.
 
+    With ``discrete`` a percentile is a value of the group instead: the least that is not below the share of all values.
     Null values count in nothing but ``also``; groups without a value have n 0 and nulls. ``df`` is read twice, so it should be a written step.
     With ``steps`` the brackets, a row for each group, are written too; Spark then knows their size and broadcasts them where they are small.
     """
@@ -34,9 +37,11 @@ def percentiles_of(df: DataFrame, value: str, by: list[str], shares: tuple[float
     whole = F.col("n") <= SMALL
     low = lambda k: F.when(whole | F.lit(lows[k] == 0), F.col("_least")).otherwise(F.get("_ends", F.lit(k)))
     high = lambda k: F.when(whole | F.lit(highs[k] == 1), F.col("_most")).otherwise(F.get("_ends", F.lit(k + len(shares))))
-    rank = lambda s, f: f((F.col("n") - 1) * F.lit(float(s))).cast("long")
+    nth = lambda s: F.greatest(F.ceil(F.col("n").cast("decimal(20,0)") * F.lit(Decimal(str(s)))).cast("long"), F.lit(1)) - 1
+    place = lambda s: nth(s).cast("double") if discrete else (F.col("n") - 1) * F.lit(float(s))
+    rank = lambda s, f: f(place(s)).cast("long")
     wanted = [
-        F.struct(F.lit(k).alias("k"), F.when(whole, -1).otherwise(k).alias("b"), low(k).alias("low"), high(k).alias("high"), rank(s, F.floor).alias("first"), rank(s, F.ceil).alias("second"), ((F.col("n") - 1) * F.lit(float(s))).alias("place"))
+        F.struct(F.lit(k).alias("k"), F.when(whole, -1).otherwise(k).alias("b"), low(k).alias("low"), high(k).alias("high"), rank(s, F.floor).alias("first"), rank(s, F.ceil).alias("second"), place(s).alias("place"))
         for k, s in enumerate(shares)
     ]
     brackets = brackets.withColumn("_wanted", F.array(*wanted)).drop("_ends", "_least", "_most")
@@ -66,6 +71,17 @@ def percentiles_of(df: DataFrame, value: str, by: list[str], shares: tuple[float
     return out.withColumn("p", F.coalesce("p", F.array(*[F.lit(None).cast("double")] * len(shares)))).drop(*[f"_by_{b}" for b in by])
 
 
+def spreads_of(df: DataFrame, values: dict[str, str], by: list[str], shares: tuple[float, ...], steps: Steps | None = None) -> DataFrame:
+    """by, n (rows) and for each of ``values`` (name to whole-numbered column) the array of its discrete percentiles under its name; without ``by`` one row.
+
+    Null values count in n only. ``df`` is read twice.
+    """
+    each = df.select(*by, F.inline(F.array(*[F.struct(F.lit(name).alias("_name"), F.col(c).cast("long").alias("_value")) for name, c in values.items()])))
+    found = percentiles_of(each, "_value", [*by, "_name"], shares, {"_rows": F.count("*")}, steps, discrete=True)
+    own = {name: F.max(F.when(F.col("_name") == name, F.col("p").cast("array<long>"))).alias(name) for name in values}
+    return found.groupBy(*by).agg(F.coalesce(F.max("_rows"), F.lit(0)).cast("long").alias("n"), *own.values())
+
+
 def named(df: DataFrame, shares: tuple[float, ...]) -> DataFrame:
     """The array ``p`` as columns p5, p50, p97_5."""
     return df.withColumns({f"p{s * 100:g}".replace(".", "_"): F.get("p", F.lit(k)) for k, s in enumerate(shares)}).drop("p")

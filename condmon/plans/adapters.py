@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import add_seconds
-from ..operators import cycles, features, labels, quality, snapshots
+from ..operators import cycles, features, labels, profiles, quality, snapshots
 from ..operators.windows import numbered
 from ..steps import Steps
 
@@ -26,7 +26,7 @@ CONTRACT = quality.Contract(bounds=(("value", 0.0, 450.0),))
 #: Steps that a query of each kind reads in several places.
 LABELS = ("cycle_rows",)
 WINDOWS = ("sequence", "cycle_rows", "windowed")
-COVERED = (*WINDOWS, "covered")
+COVERED = (*WINDOWS, "covered", "bounds")
 VIEW = (*COVERED, "view")
 SCORES = ("cycle_rows", "score_points")
 
@@ -148,6 +148,10 @@ class Run:
     def covered(self) -> DataFrame:
         return features.internal_gaps(features.coverage(self.windowed(), self.sequence()), self.sequence(), WINDOW)
 
+    @step
+    def bounds(self) -> DataFrame:
+        return profiles.tail_bounds(self.covered(), steps=self.steps)
+
     @step
     def eligible(self) -> DataFrame:
         return features.eligibility(self.windowed(), self.covered(), GAP)

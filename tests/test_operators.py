@@ -9,9 +9,9 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from condmon.operators import alerts, audit, cycles, features, labels, models, quality, snapshots, windows
+from condmon.operators import alerts, audit, cycles, features, labels, models, profiles, quality, snapshots, windows
 from condmon.operators.intervals import points_in_intervals
-from condmon.operators.selection import percentiles_of
+from condmon.operators.selection import percentiles_of, spreads_of
 
 T0 = dt.datetime(2024, 1, 1)
 LOG = "asset long, idx long, ts timestamp_ntz, value double, active byte, record_id string"
@@ -305,3 +305,41 @@ def test_operating_days_are_bounded_by_assets_and_period(spark):
         assert bound.first()["most_days"] == most
         for operating_days, bad in ((days, 0), (most + 1, 1), (0, int(most > 0))):
             assert audit.violations(bound.withColumn("operating_days", F.lit(operating_days)), rules, "t").first()["violations"] == bad
+
+
+def nth_of(values, share):
+    """The least value that is not below the share (in percent) of all."""
+    ordered = sorted(v for v in values if v is not None)
+    return ordered[max(-(-len(ordered) * share // 100), 1) - 1] if ordered else None
+
+
+def test_spreads_are_values_of_their_group(spark):
+    rng = random.Random(7)
+    rows = [("many", rng.randint(0, 10**6), k) for k in range(90_000)] + [("few", rng.randint(0, 9), None) for _ in range(20)] + [("none", None, None), (None, 5, 1)]
+    df = spark.createDataFrame(rows, "g string, x long, y long")
+    got = {r["g"]: (r["n"], r["_x"], r["_y"]) for r in spreads_of(df, {"_x": "x", "_y": "y"}, ["g"], (0.05, 0.5, 0.95)).collect()}
+    assert set(got) == {"many", "few", "none", None}
+    for g, (n, *found) in got.items():
+        own = [r for r in rows if r[0] == g]
+        assert n == len(own)
+        assert found == [[nth_of([r[k] for r in own], share) for share in (5, 50, 95)] for k in (1, 2)]
+    empty = spreads_of(df.where("g = 'x'"), {"_x": "x"}, [], (0.5,)).collect()
+    assert [(r["n"], r["_x"]) for r in empty] == [(0, None)]
+
+
+def many_windows(spark, n=200_003):
+    """Windows with their rows in plain Python; counts and spans are permutations of one another."""
+    columns = {"asset": "id % 97", "cycle_id": "cast(id as string)", "win_count": f"id * 7919 % {n}", "span_s": f"id * 104729 % {n}", "internal_gap_count": "id % 2", "max_internal_gap_s": "if(id % 2 = 1, 86400 + id, null)", "window_gap_s": "if(id % 2 = 1, 86400 + id, 0)"}
+    plain = [(k * 7919 % n, k * 104729 % n, k % 2 == 1, 86_400 + k if k % 2 else 0) for k in range(n)]
+    return spark.range(n).selectExpr(*[f"{x} as {c}" for c, x in columns.items()]), plain
+
+
+def test_policies_count_by_exact_bounds(spark):
+    df, plain = many_windows(spark)
+    label_rows = df.select("asset", "cycle_id", F.when(F.col("span_s") % 2 == 0, "positive").otherwise("negative").alias("horizon_status"))
+    policies = [("thin", True, None), ("gap", False, 100_000), ("either", True, 100_000)]
+    got = {r["policy"]: (r["kept"], r["excluded"], r["kept_positive"]) for r in profiles.coverage_policies(df, label_rows, profiles.tail_bounds(df), policies).collect()}
+    low_c, low_s = (nth_of([r[k] for r in plain], 5) for k in (0, 1))
+    for name, tail, gap in policies:
+        kept = [s for c, s, _, g in plain if not (tail and (c < low_c or s < low_s) or gap and g >= gap)]
+        assert got[name] == (len(kept), len(plain) - len(kept), sum(s % 2 == 0 for s in kept))
