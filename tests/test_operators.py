@@ -343,3 +343,23 @@ def test_policies_count_by_exact_bounds(spark):
     for name, tail, gap in policies:
         kept = [s for c, s, _, g in plain if not (tail and (c < low_c or s < low_s) or gap and g >= gap)]
         assert got[name] == (len(kept), len(plain) - len(kept), sum(s % 2 == 0 for s in kept))
+
+
+def test_tail_overlap_counts_by_exact_bounds(spark):
+    df, plain = many_windows(spark)
+    got = profiles.tail_overlap(df, profiles.tail_bounds(df)).first().asDict()
+    low_c, low_s = (nth_of([r[k] for r in plain], 5) for k in (0, 1))
+    marked = [(c < low_c, s < low_s, gap, longest) for c, s, gap, longest in plain]
+    gaps = [longest for c, s, gap, longest in marked if gap and not (c or s)]
+    assert got == {
+        "both": sum(c and s for c, s, _, _ in marked),
+        "count_only": sum(c and not s for c, s, _, _ in marked),
+        "span_only": sum(s and not c for c, s, _, _ in marked),
+        "neither": sum(not (c or s) for c, s, _, _ in marked),
+        "gap_and_tail": sum(gap and (c or s) for c, s, gap, _ in marked),
+        "gap_only": len(gaps),
+        "tail_only": sum(not gap and (c or s) for c, s, gap, _ in marked),
+        "count_only_with_gap": sum(gap and c and not s for c, s, gap, _ in marked),
+        "gap_only_least_s": min(gaps),
+        "gap_only_most_s": max(gaps),
+    }
