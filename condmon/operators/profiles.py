@@ -165,12 +165,11 @@ def confusion(view: DataFrame, value: str, thresholds: list[float], by: str = "p
     return out.withColumns({"precision": F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), "recall": F.try_divide(F.col("tp"), F.col("tp") + F.col("fn"))})
 
 
-def context_profile(view: DataFrame) -> DataFrame:
-    """AGG20: rows per context status with the spread of what is known of the cycle, the one before and the time between."""
-    p = lambda c: F.percentile_approx(c, [0.05, 0.5, 0.95], 10_000)
+def context_profile(view: DataFrame, steps: Steps | None = None) -> DataFrame:
+    """AGG20: rows per context status with the exact spread of what is known of the cycle, the one before and the time between."""
     names = {"duration": "context_duration_s", "previous": "context_previous_duration_s", "idle": "context_previous_idle_s"}
-    out = view.groupBy("context_status").agg(F.count("*").alias("n"), *[p(c).alias(f"_{n}") for n, c in names.items()])
-    return out.withColumns({f"{n}_{q}": F.col(f"_{n}")[k] for n in names for k, q in enumerate(("p5", "p50", "p95"))}).drop(*[f"_{n}" for n in names])
+    out = spreads_of(view, {f"_{n}": c for n, c in names.items()}, ["context_status"], (0.05, 0.5, 0.95), steps)
+    return out.withColumns({f"{n}_{q}": F.get(f"_{n}", F.lit(k)) for n in names for k, q in enumerate(("p5", "p50", "p95"))}).drop(*[f"_{n}" for n in names])
 
 
 def metric_listing(df: DataFrame, columns: list[str]) -> DataFrame:

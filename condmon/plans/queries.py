@@ -291,10 +291,10 @@ def eligibility_profile(r: A.Run) -> DataFrame:
     return profiles.metric_listing(r.eligible().withColumn("eligibility_reasons", F.array_join("eligibility_reasons", ",")), ["eligibility_status", "win_status", "eligibility_reasons"])
 
 
-@query("SELECT context_status, count(*) AS n, " + ", ".join(f"quantile_disc({c}, {q / 100}) AS {n}_p{q}" for n, c in (("duration", "context_duration_s"), ("previous", "context_previous_duration_s"), ("idle", "context_previous_idle_s")) for q in (5, 50, 95)) + " FROM vw GROUP BY 1", kept=A.COVERED)
+@query("SELECT context_status, count(*) AS n, " + ", ".join(f"quantile_disc({c}, {q / 100}) AS {n}_p{q}" for n, c in (("duration", "context_duration_s"), ("previous", "context_previous_duration_s"), ("idle", "context_previous_idle_s")) for q in (5, 50, 95)) + " FROM vw GROUP BY 1", kept=A.VIEW)
 def context_profile(r: A.Run) -> DataFrame:
     """AGG20."""
-    return profiles.context_profile(r.view())
+    return profiles.context_profile(r.view(), r.steps)
 
 
 @query("SELECT win_status AS diff_status, count(*) AS n, min(diff_mean_abs) AS least, round(avg(diff_mean_abs), 6) AS mean, max(diff_mean_abs) AS most, quantile_cont(diff_mean_abs, 0.05) AS p5, quantile_cont(diff_mean_abs, 0.5) AS p50, quantile_cont(diff_mean_abs, 0.95) AS p95 FROM win WHERE diff_mean_abs IS NOT NULL GROUP BY 1", kept=A.LABELS)

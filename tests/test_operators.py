@@ -363,3 +363,15 @@ def test_tail_overlap_counts_by_exact_bounds(spark):
         "gap_only_least_s": min(gaps),
         "gap_only_most_s": max(gaps),
     }
+
+
+def test_context_profile_gives_exact_percentiles(spark):
+    n = 120_011
+    times = {"duration": 7919, "previous": 104729, "idle": 15485863}
+    view = spark.range(n).selectExpr("if(id % 3 = 0, 'available', 'other') as context_status", f"id * {times['duration']} % {n} as context_duration_s", f"if(id % 2 = 0, id * {times['previous']} % {n}, null) as context_previous_duration_s", f"if(id % 3 = 0, id * {times['idle']} % {n}, null) as context_previous_idle_s")
+    got = {r["context_status"]: r for r in profiles.context_profile(view).collect()}
+    keys = {"available": range(0, n, 3), "other": [k for k in range(n) if k % 3]}
+    assert {s: r["n"] for s, r in got.items()} == {s: len(ks) for s, ks in keys.items()}
+    for status, ks in keys.items():
+        for name, step, every in (("duration", times["duration"], 1), ("previous", times["previous"], 2), ("idle", times["idle"], 3)):
+            assert [got[status][f"{name}_p{q}"] for q in (5, 50, 95)] == [nth_of([k * step % n for k in ks if k % every == 0], q) for q in (5, 50, 95)]
