@@ -44,11 +44,10 @@ def monthly_drift(view: DataFrame, value: str, label: str = "failure_within", ts
     return distribution(view.withColumn("month", F.date_format(ts, "yyyy-MM")), value, ["month", label], steps=steps)
 
 
-def support(features: DataFrame, prefix: str = "win") -> DataFrame:
-    """AGG14: spread of observation counts and spans of available windows."""
-    p = lambda c: F.percentile_approx(c, [0.05, 0.5, 0.95], 10_000)
-    out = features.agg(F.count("*").alias("n"), p(f"{prefix}_count").alias("_c"), p("span_s").alias("_s"))
-    names = {f"{x}_{q}": F.col(f"_{x[0]}")[k] for x in ("count", "span") for k, q in enumerate(("p5", "p50", "p95"))}
+def support(features: DataFrame, prefix: str = "win", steps: Steps | None = None) -> DataFrame:
+    """AGG14: exact spread of observation counts and spans of available windows."""
+    out = spreads_of(features, {"_c": f"{prefix}_count", "_s": "span_s"}, [], (0.05, 0.5, 0.95), steps)
+    names = {f"{x}_{q}": F.get(f"_{x[0]}", F.lit(k)) for x in ("count", "span") for k, q in enumerate(("p5", "p50", "p95"))}
     return out.withColumns(names).drop("_c", "_s")
 
 

@@ -307,7 +307,7 @@ def difference_profile(r: A.Run) -> DataFrame:
 @query("SELECT count(*) AS n, " + ", ".join(f"quantile_disc({c}, {q}) AS {n}_p{int(q * 100)}" for c, n in (("win_count", "count"), ("span_s", "span")) for q in (0.05, 0.5, 0.95)) + " FROM cov", kept=A.COVERED)
 def window_support(r: A.Run) -> DataFrame:
     """AGG14."""
-    return profiles.support(r.covered())
+    return profiles.support(r.covered(), steps=r.steps)
 
 
 THRESHOLDS = (43_200, 86_400, 129_600, 172_800, 216_000, 259_200)

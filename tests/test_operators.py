@@ -375,3 +375,10 @@ def test_context_profile_gives_exact_percentiles(spark):
     for status, ks in keys.items():
         for name, step, every in (("duration", times["duration"], 1), ("previous", times["previous"], 2), ("idle", times["idle"], 3)):
             assert [got[status][f"{name}_p{q}"] for q in (5, 50, 95)] == [nth_of([k * step % n for k in ks if k % every == 0], q) for q in (5, 50, 95)]
+
+
+def test_window_support_gives_exact_percentiles(spark):
+    df, plain = many_windows(spark)
+    expected = {"n": len(plain)} | {f"{name}_p{q}": nth_of([r[k] for r in plain], q) for k, name in enumerate(("count", "span")) for q in (5, 50, 95)}
+    assert profiles.support(df).first().asDict() == expected
+    assert profiles.support(df.where("asset < 0")).first().asDict() == dict.fromkeys(expected) | {"n": 0}
