@@ -58,6 +58,15 @@ def predict(model: LogisticRegressionModel, df: DataFrame, inputs: list[str]) ->
     return out.drop("features", "rawPrediction", "prediction", "probability").withColumnRenamed("_p", "probability")
 
 
+def direction(model: LogisticRegressionModel) -> float:
+    """Whether the probability rises (1) or falls (-1) with the input of a model of one, or does neither (0).
+
+    Probabilities of inputs that differ in the last digits round to the same; the input times this orders rows without that loss.
+    """
+    slope = float(model.coefficients[0])
+    return float((slope > 0) - (slope < 0))
+
+
 def pr_area(scored: DataFrame, label: str = "failure_within") -> float:
     """MOD4."""
     rows = scored.select(F.col("probability"), F.col(label).cast("double").alias("label"))

@@ -799,9 +799,13 @@ def one_input_models(r: A.Run) -> DataFrame:
 @query(_ONE_INPUT + "SELECT asset, cycle_id, y AS failure_within, dense_rank() OVER (ORDER BY s DESC) AS place FROM sc WHERE part = 'validation' AND candidate = 'mean'", kept=A.VIEW)
 def validation_order(r: A.Run) -> DataFrame:
     """MOD7: the place of each validation row's score among the distinct scores, from the largest down."""
-    scored = r.steps.keep(_one_input(r, "win_mean", "validation").select("asset", "cycle_id", "failure_within", "probability"), "scored")
-    each = scored.groupBy("probability").agg(F.lit(1).cast("long").alias("place"))
-    return scored.join(windows.running_down(each, [], "probability", ["place"]), "probability").select("asset", "cycle_id", "failure_within", "place")
+    train, validation = _development(r)
+    way = models.direction(models.fit(train, ["win_mean"]))
+    means = features.mean_in_order(validation, r.sequence(), "value", A.WINDOW, "mean")
+    scored = validation.join(means, ["asset", "cycle_id"]).select("asset", "cycle_id", "failure_within", (F.lit(way) * F.col("mean")).alias("score"))
+    scored = r.steps.keep(scored, "scored")
+    each = scored.groupBy("score").agg(F.lit(1).cast("long").alias("place"))
+    return scored.join(windows.running_down(each, [], "score", ["place"]), "score").select("asset", "cycle_id", "failure_within", "place")
 
 
 @query(_ONE_INPUT + """

@@ -392,3 +392,20 @@ def test_cycles_of_under_a_second_are_no_violation(spark):
     assert set(found(groups).values()) == {0}
     backward = groups.withColumn("min_duration_s", F.when(~F.col("right_censored"), -1))
     assert {rule for rule, n in found(backward).items() if n} == {"ordered_durations"}
+
+
+def test_means_add_up_in_the_order_of_the_log(spark):
+    rng = random.Random(3)
+    values = [round(rng.uniform(0, 100), 2) for _ in range(400)]
+    rows = [(1, k, 10 * (k // 2), v, 1) for k, v in enumerate(values)]
+    rows[7] = (1, 7, 30, None, 1)
+    points = spark.createDataFrame([(1, str(s), at(s)) for s in (0, 45, 400, 1990)] + [(2, "no value", at(0))], "asset long, cycle_id string, prediction_ts timestamp_ntz")
+    got = {r["cycle_id"]: r["mean"] for r in features.mean_in_order(points, log(spark, rows).repartition(7), "value", 200, "mean").collect()}
+    expected = {}
+    for s in (0, 45, 400, 1990):
+        own = [v for _, _, t, v, _ in rows if s - 200 < t <= s and v is not None]
+        total = 0.0
+        for v in own:
+            total += v
+        expected[str(s)] = total / len(own)
+    assert got == expected

@@ -65,3 +65,16 @@ def test_metric_audit_of_many_assets(spark, tmp_path):
     for t in TABLES:
         c.sql(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     same(rows(registry.queries()["alert_metric_audit"](spark, sf_dir).toPandas()), rows(c.sql(registry.oracle_sql()["alert_metric_audit"]).df()))
+
+
+def test_validation_order_tells_last_digits_apart(spark, tmp_path):
+    """Values of one digit: many windows have means that are equal but for the last digits of their sums."""
+    source = f"{Path(SMALL).parent}/sf0.1/events.parquet"
+    c = duckdb.connect(config={"threads": 1})  # sums of several threads come in no fixed order
+    value = "CASE WHEN event_type = 'error' AND value > 60 THEN 60.1 + event_id % 9 / 10 ELSE event_id % 10 / 10 + 50 END"
+    c.execute(f"COPY (SELECT * REPLACE ({value} AS value) FROM '{source}' ORDER BY event_id) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    for t in TABLES:
+        c.sql(f"create view {t} as select * from '{tmp_path if t == 'events' else Path(source).parent}/{t}.parquet'")
+    expected = rows(c.sql(registry.oracle_sql()["validation_order"]).df())
+    assert len({r[-1] for r in expected[1]}) < len(expected[1])
+    same(rows(registry.queries()["validation_order"](spark, str(tmp_path)).toPandas()), expected)
